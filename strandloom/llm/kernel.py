@@ -39,7 +39,15 @@ def _table(lower: bool) -> np.ndarray:
     return t
 
 
-_TABLES = {False: _table(False), True: _table(True)}
+def _letters() -> np.ndarray:
+    """As ``_table(True)``, with ASCII digits and punctuation as separators too."""
+    t = _table(True)
+    ascii_letters = np.r_[65:91, 97:123]
+    t[np.setdiff1d(np.arange(128), ascii_letters)] = 0
+    return t
+
+
+_TABLES = {False: _table(False), True: _table(True), "letters": _letters()}
 _MULT = splitmix(256, 77) | U64(1)
 
 
@@ -79,8 +87,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[o[0] : o[-1]], o - o[0]
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
-    """Cut a string column into its words and hash each of them to 64 bits."""
+def words(column: pa.Array, lower: bool | str = False) -> Words:
+    """Cut a string column into its words and hash each of them to 64 bits.
+
+    lower: A-Z count as a-z; "letters": besides, words end at ASCII punctuation and digits.
+    """
     data, o = buffers(column)
     table = _TABLES[lower]
     starts, ends, hashes = [], [], []
