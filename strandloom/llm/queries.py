@@ -37,9 +37,22 @@ def op8_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"), vocabulary_path(), size=1024, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
     "op8_quality_fourier": op8_quality_fourier,
+    "op5_packing_dp": op5_packing_dp,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
