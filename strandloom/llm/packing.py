@@ -144,7 +144,7 @@ def places(ids: np.ndarray, ends: np.ndarray, doc_end: np.ndarray, gap: int, sen
     return full, penalty
 
 
-def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, gap: int = 64, sentence: int = 8, hard: int = 24, block: int = 2_000_000, with_ids: bool = True) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, gap: int = 16, sentence: int = 4, hard: int = 8, block: int = 2_000_000, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), with ids if asked for.
 
     A document is its token ids and a final id 0, so a null or empty text is
