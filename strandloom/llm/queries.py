@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shards
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +51,14 @@ def op5_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), vocabulary_path(), size=1024, with_ids=False)
 
 
+def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import sharded
+
+    return sharded(_table(spark, sf_dir, "documents"), [1.0] * 16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rendezvous_shards": op1_rendezvous_shards,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
     "op8_quality_fourier": op8_quality_fourier,
     "op5_packing_dp": op5_packing_dp,
@@ -57,4 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_rendezvous_shards": shards.oracle(16),
+}
