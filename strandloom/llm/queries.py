@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shards, warc
+from . import nearest, shards, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,26 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages"))
 
 
+def op6_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_shards": op1_rendezvous_shards,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
     "op8_quality_fourier": op8_quality_fourier,
     "op3_warc": op3_warc,
     "op5_packing_dp": op5_packing_dp,
+    "op6_block_matrix_ann": op6_block_matrix_ann,
+    "op9_token_counts": op9_token_counts,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -76,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_rendezvous_shards": shards.oracle(16),
     "op3_warc": warc.ORACLE,
+    "op6_block_matrix_ann": nearest.ORACLE,
 }
