@@ -39,15 +39,14 @@ def _table(lower: bool) -> np.ndarray:
     return t
 
 
-def _letters() -> np.ndarray:
-    """As ``_table(True)``, with ASCII digits and punctuation as separators too."""
+def _only(ascii_bytes: np.ndarray) -> np.ndarray:
+    """As ``_table(True)``, with all ASCII bytes but the named ones as separators."""
     t = _table(True)
-    ascii_letters = np.r_[65:91, 97:123]
-    t[np.setdiff1d(np.arange(128), ascii_letters)] = 0
+    t[np.setdiff1d(np.arange(128), ascii_bytes)] = 0
     return t
 
 
-_TABLES = {False: _table(False), True: _table(True), "letters": _letters()}
+_TABLES = {False: _table(False), True: _table(True), "letters": _only(np.r_[65:91, 97:123]), "alnum": _only(np.r_[48:58, 65:91, 97:123])}
 _MULT = splitmix(256, 77) | U64(1)
 
 
@@ -90,7 +89,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(column: pa.Array, lower: bool | str = False) -> Words:
     """Cut a string column into its words and hash each of them to 64 bits.
 
-    lower: A-Z count as a-z; "letters": besides, words end at ASCII punctuation and digits.
+    lower: A-Z count as a-z; "letters": besides, words end at ASCII punctuation and digits;
+    "alnum": only at punctuation.
     """
     data, o = buffers(column)
     table = _TABLES[lower]

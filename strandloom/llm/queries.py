@@ -39,6 +39,13 @@ def op8_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op4_decontamination_lsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "common_words", "item_words")
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
     "op8_quality_fourier": op8_quality_fourier,
     "op3_warc": op3_warc,
+    "op4_decontamination_lsi": op4_decontamination_lsi,
     "op5_packing_dp": op5_packing_dp,
     "op6_block_matrix_ann": op6_block_matrix_ann,
     "op9_token_counts": op9_token_counts,
