@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import kernel
 from .scratch import modest_batches
 
-PASSAGE, RANK, SPARE, SUMS = 64, 48, 16, 16
-ITEMS = 4096
+PASSAGE, RANK, SPARE, SUMS = 64, 64, 8, 16
+ITEMS = 1024
 LEAST_WORDS = 5
 
 
@@ -39,7 +39,7 @@ def _test_matrix(terms: int) -> np.ndarray:
 
 
 def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per term its inverse document frequency over all passages, and its row of the singular vectors."""
+    """Per term its inverse document frequency over all passages, and its row of the singular vectors, each divided by its singular value."""
     n = len(vocabulary)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,9 @@ def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     if not good.any():
         return idf, np.zeros((n, 1), np.float32)
     factor = (idf[:, None] * z) @ (vector[:, good] / np.sqrt(value[good]))
-    return idf, np.linalg.svd(factor, full_matrices=False)[0][:, :RANK].astype(np.float32)
+    u, size, _ = np.linalg.svd(factor, full_matrices=False)
+    k = min(RANK, int((size > size[0] * 1e-6).sum()))
+    return idf, (u[:, :k] / size[:k]).astype(np.float32)
 
 
 def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -104,7 +106,7 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", cosine: float = 0.5, mass: float = 0.5, share: float = 0.75, answer: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", cosine: float = 0.35, mass: float = 0.5, share: float = 0.75, answer: float = 0.6) -> DataFrame:
     """Rows (doc_id, item_id, common_words, item_words, cosine, at): benchmark items found in documents.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in
@@ -160,18 +162,21 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
         masks.append(m)
     length = np.array([len(w) for w in words])
     level = np.maximum(np.ceil(np.log2(length)), 3).astype(int)
-    shared = spark.sparkContext.broadcast((vocabulary, idf, weighted.astype(np.float64), latent, weight, masks, length, answers, ids))
+    shared = spark.sparkContext.broadcast((vocabulary, idf, weighted.astype(np.float32), latent.astype(np.float32), weight, masks, length, answers, ids))
     classes = [(int(u), np.flatnonzero(level == u)) for u in np.unique(level)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf, weighted, latent, weight, masks, length, answers, ids = shared.value
+        member = np.zeros((len(vocabulary), len(ids)), bool)
+        for i, m in enumerate(masks):
+            member[np.searchsorted(vocabulary, np.array(list(m), np.uint64)), i] = True
         for batch in kernel.sliced(batches, 1, size=1 << 20):
             w = kernel.words(batch.column(1), "alnum")
             t = _terms(w, vocabulary)
             hits = np.append(0, np.cumsum(t >= 0))
             h = t[t >= 0]
             heavy = np.append(0.0, np.cumsum(idf[h]))
-            sums = np.zeros((len(h) + 1, weighted.shape[1]))
+            sums = np.zeros((len(h) + 1, weighted.shape[1]), np.float32)
             np.cumsum(weighted[h], axis=0, out=sums[1:])
             size = np.diff(w.first)
             best: dict[tuple[int, int], tuple[int, float, int]] = {}
@@ -190,7 +195,14 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
                     v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
                     cos = v @ latent[members].T
                     near = (cos >= cosine) & ((heavy[hi[s]] - heavy[lo[s]])[:, None] >= mass * weight[members][None, :] - 1e-9)
-                    for x, y in zip(*np.nonzero(near), strict=True):
+                    xs, ys = np.nonzero(near)
+                    if not len(xs):
+                        continue
+                    a, n = lo[s][xs], (hi[s] - lo[s])[xs]  # words of the item in the window: no subsequence is longer
+                    flat = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+                    inside = np.append(0, np.cumsum(member[h[flat], np.repeat(members[ys], n)], dtype=np.int64))
+                    enough = inside[np.cumsum(n)] - inside[np.cumsum(n) - n] >= share * length[members[ys]]
+                    for x, y in zip(xs[enough].tolist(), ys[enough].tolist(), strict=True):
                         i, a, z = int(members[y]), int(start[at + x]), int(stop[at + x])
                         there = w.hash[a:z].tolist()
                         common = common_subsequence(masks[i], int(length[i]), there)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE = 1 << 20
@@ -47,6 +48,7 @@ def _only(ascii_bytes: np.ndarray) -> np.ndarray:
 
 
 _TABLES = {False: _table(False), True: _table(True), "letters": _only(np.r_[65:91, 97:123]), "alnum": _only(np.r_[48:58, 65:91, 97:123])}
+LOWER = _TABLES[True]
 _MULT = splitmix(256, 77) | U64(1)
 
 
@@ -89,9 +91,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(column: pa.Array, lower: bool | str = False) -> Words:
     """Cut a string column into its words and hash each of them to 64 bits.
 
-    lower: A-Z count as a-z; "letters": besides, words end at ASCII punctuation and digits;
+    lower: A-Z count as a-z; "letters": all letters in lower case, besides words end at ASCII punctuation and digits;
     "alnum": only at punctuation.
     """
+    if isinstance(lower, str):
+        column = pc.utf8_lower(column)
     data, o = buffers(column)
     table = _TABLES[lower]
     starts, ends, hashes = [], [], []
