@@ -96,7 +96,10 @@ def _marked(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 def _stretches(docs: DataFrame, marks, window: int, phrase: int) -> DataFrame:
-    """Rows (route, seg, words, text_key, start, n) of stretches with a marked anchor; n copies in this batch."""
+    """Rows (route, seg, words, text_key, start, n) of stretches with a marked anchor.
+
+    A batch gives the words of equal stretches once, with their number n; the other rows have null words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, hot = marks.value
@@ -111,6 +114,7 @@ def _stretches(docs: DataFrame, marks, window: int, phrase: int) -> DataFrame:
             doc = np.searchsorted(w.first, first, "right") - 1
             cols: list[list] = [[], [], [], [], [], []]
             seen: dict[bytes, int] = {}
+            row: dict[bytes, int] = {}
             keys: dict[int, bytes | None] = {}
             for a, s, e, d, h in zip(anchor.view(np.int64).tolist(), first.tolist(), last.tolist(), doc.tolist(), often.tolist(), strict=True):
                 if d not in keys:
@@ -121,7 +125,10 @@ def _stretches(docs: DataFrame, marks, window: int, phrase: int) -> DataFrame:
                 for x, y in [(i, i) for i in range(s, e + 1)] if h else [(s, e)]:
                     text = b" ".join(w.text(x, y + window).split())
                     seg = hashlib.blake2b(text, digest_size=16).digest()
-                    for col, value in zip(cols, (int.from_bytes(seg[:8], "little", signed=True) if h else a, seg, text, key, x - int(w.first[d]), copies[key]), strict=True):
+                    if (there := row.setdefault(seg, len(cols[0]))) < len(cols[0]):  # its words go to the shard once a batch
+                        cols[5][there] += copies[key]
+                        text = None
+                    for col, value in zip(cols, (int.from_bytes(seg[:8], "little", signed=True) if h else a, seg, text, key, x - int(w.first[d]), copies[key] if text is not None else 0), strict=True):
                         col.append(value)
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["route", "seg", "words", "text_key", "start", "n"])
@@ -200,11 +207,11 @@ def _locate(stretches: DataFrame, window: int) -> DataFrame:
         if pool:
             yield stream(pool)
 
-    return stretches.select("route", "seg", "words", "n").repartition("route").sortWithinPartitions("route").mapInArrow(run, "seg binary, lo long, hi long")
+    return stretches.where("words is not null").select("route", "seg", "words", "n").repartition("route").sortWithinPartitions("route").mapInArrow(run, "seg binary, lo long, hi long")
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, phrase: int = 8) -> DataFrame:
-    """Per row of docs: doc_id, text, n_words, n_removed, spans, kept.
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, phrase: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, text, n_words, n_removed, spans, kept, and the columns ``keep``.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D. A window is
     ``window`` consecutive words of one text; every word is removed that lies
@@ -213,7 +220,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     holds the removed word ranges [lo, hi) in order, ``kept`` the other words
     joined by one space. Rows are kept as they are otherwise: rows that repeat
     (texts or ids) count as different places, null, empty and short texts have
-    no windows. Other columns are not read.
+    no windows. Other columns are not read unless ``keep`` names them.
     """
     spark = docs.sparkSession
     modest_batches(spark)
@@ -228,7 +235,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy("text_key")
         .agg(F.array_sort(F.collect_set("span")).alias("spans"))
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     types = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +261,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 removed.append(sum(hi - lo for lo, hi in cover))
                 merged.append([{"lo": lo, "hi": hi} for lo, hi in cover])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "text", "n_words", "n_removed", "spans", "kept"],
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]],
+                names=["doc_id", "text", "n_words", "n_removed", "spans", "kept", *keep],
             )
 
-    out = rows.join(spans, "text_key", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {types}, text string, n_words long, n_removed long, spans array<struct<lo:long,hi:long>>, kept string")
-    return out.select(F.col("doc_id").alias(doc_id), F.col("text").alias(text), "n_words", "n_removed", "spans", "kept")
+    out = rows.join(spans, "text_key", "left").select("doc_id", "text", "spans", *keep).mapInArrow(run, f"doc_id {types}, text string, n_words long, n_removed long, spans array<struct<lo:long,hi:long>>, kept string{carried}")
+    return out.withColumnsRenamed({"doc_id": doc_id, "text": text})

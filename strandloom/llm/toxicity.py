@@ -19,16 +19,32 @@ from . import kernel
 from .scratch import durable, modest_batches
 
 
+STEM = 5
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from training: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _presence(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Document numbers and hashes of the distinct words of each document."""
+def _features(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Document numbers and hashes of words, and of the first STEM bytes of longer ones."""
     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    order = np.lexsort((w.hash, doc))
-    d, h = doc[order], w.hash[order]
+    long_ = w.end - w.start > STEM
+    start = w.start[long_]
+    stem = np.zeros(len(start), np.uint64)
+    factors = kernel.splitmix(STEM, 55) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for j in range(STEM):
+            stem += kernel.LOWER[w.data[start + j]].astype(np.uint64) * factors[j]
+    return np.concatenate([doc, doc[long_]]), np.concatenate([w.hash, kernel.mix(stem)])
+
+
+def _presence(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Document numbers and hashes of the distinct features of each document."""
+    doc, hashes = _features(w)
+    order = np.lexsort((hashes, doc))
+    d, h = doc[order], hashes[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     return d[new], h[new]
@@ -36,12 +52,14 @@ def _presence(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _hits(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (document number, vocabulary index) of the words present; each pair once, by document."""
-    w = kernel.words(column, "letters")
-    at = np.minimum(np.searchsorted(vocabulary, w.hash), max(len(vocabulary) - 1, 0))
-    hit = np.flatnonzero(vocabulary[at] == w.hash) if len(vocabulary) else np.zeros(0, np.int64)
-    doc = np.searchsorted(w.first, hit, "right") - 1
-    pairs = np.unique(doc * max(len(vocabulary), 1) + at[hit])
-    return pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1)
+    n = len(vocabulary)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc, h = _features(kernel.words(column, "letters"))
+    at = np.minimum(np.searchsorted(vocabulary, h), n - 1)
+    hit = vocabulary[at] == h
+    pairs = np.unique(doc[hit] * n + at[hit])
+    return pairs // n, pairs % n
 
 
 def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -71,7 +89,7 @@ def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: f
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: int = 16000, words: int = 4096) -> tuple[np.ndarray, np.ndarray, float]:
-    """Vocabulary (sorted word hashes), weights and bias.
+    """Vocabulary (sorted feature hashes), weights and bias.
 
     docs: doc_id, text; labels: doc_id, toxic. Rows that ``held_out`` names are
     left out. The fit uses a bounded sample, chosen by a hash of the id: about
@@ -131,19 +149,19 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     return vocabulary, weights, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **sample) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted.
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = (), **sample) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score, predicted, and the columns ``keep``.
 
     The score is a probability between 0 and 1 from the whole text alone. Null,
     empty and wordless texts get the score of a text without any known word.
     Rows that repeat are scored each; a null id is never held out and never
     labelled. Of several labels of an id, any toxic one counts. Other columns
-    are not read.
+    are not read unless ``keep`` names them.
     """
     spark = docs.sparkSession
     modest_batches(spark)
-    docs = docs.select("doc_id", "text")
-    vocabulary, weights, bias = fit(docs, labels.select("doc_id", "toxic").where("doc_id is not null"), **sample)
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    vocabulary, weights, bias = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where("doc_id is not null"), **sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +169,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **sampl
             doc, at = _hits(batch.column(2), vocabulary)
             f = np.bincount(doc, weights[at], batch.num_rows) + bias
             p = 1 / (1 + np.exp(-np.clip(f, -40, 40))) if np.isfinite(bias) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *keep])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("whole"), *keep).mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int{carried}")
