@@ -31,8 +31,8 @@ def duplicates(binned: DataFrame) -> DataFrame:
     return binned.groupBy("signature", "seq", "minim_pos").agg(F.min("read_id").alias("read_id"), F.count("*").alias("n_copies"))
 
 
-def costs(seqs: list[str], pos: np.ndarray, back: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each distance d = 1..back: d, shifts and costs of every row against the row d before.
+def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each distance d = 1..back: d, shifts and costs of every row against the row d before, in its group.
 
     Rows are laid out so that signatures meet in one column; a mismatch is a
     column that both rows fill with different bases.
@@ -42,18 +42,24 @@ def costs(seqs: list[str], pos: np.ndarray, back: int) -> Iterator[tuple[int, np
     wall = np.zeros((len(seqs), left + right), np.uint8)
     for i, s in enumerate(seqs):
         wall[i, left - pos[i] : left - pos[i] + size[i]] = np.frombuffer(s.encode(), np.uint8)
-    for d in range(1, min(back, len(seqs) - 1) + 1):
-        a, b = wall[d:], wall[:-d]
-        mism = ((a != b) & (a != 0) & (b != 0)).sum(axis=1)
+    group = np.zeros(len(seqs), np.int64) if group is None else group
+    most = int(np.unique(group, return_counts=True)[1].max(initial=0)) - 1
+    for d in range(1, min(back, most) + 1):
         shift = pos[:-d] - pos[d:]
-        yield d, shift, np.where(np.abs(shift) > MAX_SHIFT, np.iinfo(np.int32).max, np.abs(shift) * SHIFT_COST + mism * MISMATCH_COST)
+        cost = np.full(len(shift), np.iinfo(np.int32).max, np.int64)
+        pair = np.flatnonzero((group[d:] == group[:-d]) & (np.abs(shift) <= MAX_SHIFT))
+        for at in range(0, len(pair), 8192):
+            x = pair[at : at + 8192]
+            a, b = wall[x + d], wall[x]
+            cost[x] = np.abs(shift[x]) * SHIFT_COST + ((a != b) & (a != 0) & (b != 0)).sum(axis=1) * MISMATCH_COST
+        yield d, shift, cost
 
 
-def best_before(seqs: list[str], pos: np.ndarray, back: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_before(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row the distance of the cheapest of the ``back`` rows before (0: none), its shift and cost; the nearest wins ties."""
     best = np.full(len(seqs), np.iinfo(np.int32).max, np.int64)
     dist, shift = np.zeros(len(seqs), np.int64), np.zeros(len(seqs), np.int64)
-    for d, s, c in costs(seqs, pos, back):
+    for d, s, c in costs(seqs, pos, back, group):
         better = np.flatnonzero(c < best[d:]) + d
         best[better], dist[better], shift[better] = c[better - d], d, s[better - d]
     return dist, shift, best
@@ -73,10 +79,14 @@ def lz_nodes(binned: DataFrame, window: int = 255, threshold: int | None = None,
     reach = F.expr(f"cast((rank - 1 + {window - 1}) div {BLOCK} as int)")
     cells = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence("own", reach)))
 
+    names = ["signature", "read_id", "rank", "node_type", "parent_id", "shift", "cost", "no_mismatch", "n_copies"]
+
     def match(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank", kind="stable").reset_index(drop=True)
+        """Whole groups of one (signature, block) each, in order of rank: one pass of array operations over all of them."""
+        f = f.reset_index(drop=True)
+        group = ((f["signature"] != f["signature"].shift()) | (f["block"] != f["block"].shift())).cumsum().to_numpy(np.int64)
         seqs, pos = f["seq"].tolist(), f["minim_pos"].to_numpy(np.int64)
-        dist, shift, cost = best_before(seqs, pos, window - 1)
+        dist, shift, cost = best_before(seqs, pos, window - 1, group)
         limit = f["seq"].str.len().to_numpy() // 2 if threshold is None else np.full(len(f), threshold)
         lz = (dist > 0) & (cost <= limit)
         ids = f["read_id"].to_numpy()
@@ -86,10 +96,22 @@ def lz_nodes(binned: DataFrame, window: int = 255, threshold: int | None = None,
         out["shift"], out["cost"] = pd.array(shift, "Int32"), pd.array(np.minimum(cost, 1 << 30), "Int32")
         out.loc[~lz, ["parent_id", "shift", "cost"]] = pd.NA
         out["no_mismatch"] = lz & (cost == np.abs(shift))
-        return out[f["own"] == f["block"]][["signature", "read_id", "rank", "node_type", "parent_id", "shift", "cost", "no_mismatch", "n_copies"]]
+        return out[f["own"] == f["block"]][names]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            if len(f):
+                last = (f["signature"] == f["signature"].iat[-1]) & (f["block"] == f["block"].iat[-1])
+                rest, f = f[last], f[~last]  # the last group may go on in the next batch
+                if len(f):
+                    yield match(f)
+        if rest is not None and len(rest):
+            yield match(rest)
 
     schema = "signature int, read_id long, rank int, node_type string, parent_id long, shift int, cost int, no_mismatch boolean, n_copies long"
-    return cells.groupBy("signature", "block").applyInPandas(match, schema)
+    return cells.repartition("signature", "block").sortWithinPartitions("signature", "block", "rank").mapInPandas(run, schema)
 
 
 def parent_distance(nodes: DataFrame) -> DataFrame:

@@ -181,10 +181,10 @@ put("alphabet_union", READS, "select distinct unnest(string_split(qua || mate_qu
 put("top_signatures", B, "select signature, count(*) as bin_size from binned group by 1 order by bin_size desc, signature limit 4")
 put(
     "match_rle",
-    f"""{N}, fl as (select n.read_id, (i - 1)::int as at, substr(a.seq, greatest(-shift, 0) + i::int, 1) = substr(b.seq, greatest(shift, 0) + i::int, 1) as is_match
+    f"""{N}, fl as (select n.read_id, (i - 1)::int as place, substr(a.seq, greatest(-shift, 0) + i::int, 1) = substr(b.seq, greatest(shift, 0) + i::int, 1) as is_match
     from nodes n join srt a on a.read_id = n.read_id join srt b on b.read_id = n.parent_id, range(1, 101) t(i) where i <= least(length(a.seq) - greatest(-shift, 0), length(b.seq) - greatest(shift, 0))),
-g as (select *, at - row_number() over (partition by read_id, is_match order by at) as g from fl)""",
-    "select read_id, min(at) as start, is_match, count(*) as n from g group by read_id, is_match, g",
+g as (select *, place - row_number() over (partition by read_id, is_match order by place) as g from fl)""",
+    "select read_id, min(place) as start, is_match, count(*) as n from g group by read_id, is_match, g",
 )
 put("archive_roundtrip_lossless", READS, "select read_id, head, seq, qua from reads")
 put("archive_roundtrip_fast", READS, "select read_id, head, seq, qua from reads")
