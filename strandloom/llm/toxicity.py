@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     prior = min(max(p / n, 1e-4), 0.9)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     confirmed = marks.where((F.col("toxic") == 1) & (chance < positives / p)).select("doc_id", F.lit(1).alias("role"))
-    sample = train.select("doc_id", "text").join(confirmed, "doc_id", "left").where(F.col("role").isNotNull() | (chance < unlabelled / total))
+    # about ``positives`` rows of two numbers: small enough to send to every task
+    sample = train.select("doc_id", "text").join(F.broadcast(confirmed), "doc_id", "left").where(F.col("role").isNotNull() | (chance < unlabelled / total))
     sample = sample.select("text", F.coalesce("role", F.lit(0)).alias("role"), (F.col("role").isNull() | (chance < unlabelled / total)).alias("as_unlabelled"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
