@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import phred
 from ..functions.dna import K
 from ..operators.bins import small_to_n
+from ..operators.forest import cut
 from ..operators.headers import trimmed
 from ..operators.matching import lz_nodes
 from ..operators.minimizers import minimizer_se, restored
@@ -61,7 +63,7 @@ def pack(reads: DataFrame, p: Profile, k: int = K) -> tuple[DataFrame, DataFrame
     A root's payload is its bases with the signature as a dot; an LZ node's is
     the bases outside the overlap and the differing letters by place.
     """
-    binned = small_to_n(minimizer_se(lossy(reads, p), k, p.skip), p.least_bin, k)
+    binned = cut(small_to_n(minimizer_se(lossy(reads, p), k, p.skip), p.least_bin, k))  # read five times below
     std, raw = binned.where(F.col("signature") != 4**k), binned.where(F.col("signature") == 4**k)
     nodes = lz_nodes(std, p.window, k=k)
     own = std.select("read_id", "seq", "minim_pos", "sig_text")
@@ -88,20 +90,27 @@ def pack(reads: DataFrame, p: Profile, k: int = K) -> tuple[DataFrame, DataFrame
 def unpack(nodes: DataFrame, members: DataFrame, raw: DataFrame) -> DataFrame:
     """read_id, head, seq, qua of all reads. A bin is rebuilt in one task, parents first."""
 
-    def rebuild(f: pd.DataFrame) -> pd.DataFrame:
-        seqs: dict[int, str] = {}
-        for r in f.sort_values("rank").itertuples():
-            if r.node_type == "HARD":
-                seqs[r.read_id] = r.before.replace(".", r.sig_text, 1)
-            else:
-                lz = max(int(r.shift), 0)
-                middle = list(seqs[int(r.parent_id)][lz : lz + int(r.overlap)])
-                for d in r.diffs:
-                    middle[d["at"] - 1] = d["base"]
-                seqs[r.read_id] = r.before + "".join(middle) + r.after
-        return pd.DataFrame({"node_id": list(seqs), "seq": list(seqs.values())})
-
-    rebuilt = nodes.groupBy("signature").applyInPandas(rebuild, "node_id long, seq string")
+    def rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bin_, seqs = None, {}
+        for f in frames:
+            made = []
+            for sig, text, i, kind, parent, shift, before, after, overlap, diffs in zip(
+                f["signature"], f["sig_text"], f["read_id"], f["node_type"], f["parent_id"], f["shift"], f["before"], f["after"], f["overlap"], f["diffs"], strict=True
+            ):
+                if sig != bin_:
+                    bin_, seqs = sig, {}
+                if kind == "HARD":
+                    seqs[i] = before.replace(".", text, 1)
+                else:
+                    lz = max(int(shift), 0)
+                    middle = list(seqs[int(parent)][lz : lz + int(overlap)])
+                    for d in diffs:
+                        middle[d["at"] - 1] = d["base"]
+                    seqs[i] = before + "".join(middle) + after
+                made.append((i, seqs[i]))
+            yield pd.DataFrame(made, columns=["node_id", "seq"])
+
+    rebuilt = nodes.repartition("signature").sortWithinPartitions("signature", "rank").mapInPandas(rebuild, "node_id long, seq string")
     rows = restored(members.join(rebuilt, "node_id")).select("read_id", "head", "seq", "qua")
     return rows.unionByName(raw)
 

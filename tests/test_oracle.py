@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strandloom.plans.oracle import ORACLE
@@ -14,7 +15,7 @@ SAMPLE = ["bin_stats", "minimizer_pe", "minimizer_skip10", "small_bins_to_n", "q
 
 def rows(frame):
     cols = sorted(frame.columns)
-    text = lambda v: "null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return cols, sorted(tuple(text(v) for v in r) for r in frame[cols].astype(object).itertuples(index=False))
 
 
