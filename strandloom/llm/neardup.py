@@ -4,14 +4,14 @@
    its size, its digest, and band keys of a MinHash signature.
 2. Documents with equal sets are one class; everything after works on classes,
    so copies, however many, cost one row each.
-3. Candidates share a band key. In each bucket a pivot (the member that shares
-   most buckets with others) meets every other member; pairs go through
-   batches of signature positions and are dropped as soon as the posterior
-   probability of reaching the threshold is below ``miss``; the survivors are
-   checked on full sets. Found links contract the buckets. After the pivot
-   rounds, what is left of a bucket is compared in blocks, all against all, so
-   that no candidate goes without a decision, while a group of many near
-   copies costs one comparison a member.
+3. Candidates share a band key. A bucket's pivot is the member that shares
+   most buckets with others; each class meets the best pivot of its buckets.
+   Pairs go through batches of signature positions and are dropped as soon as
+   the posterior probability of reaching the threshold is below ``miss``; the
+   survivors are checked on full sets. Found links contract the buckets. What
+   is left of a bucket, pairs of different components, is decided in cells of
+   two blocks by the same tests, so that no candidate goes without a decision,
+   while a group of many near copies mostly costs one comparison a member.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    return kernel.grams(np.concatenate([sig, sig[:0]]).astype(np.uint64), ROWS, seed=9)[::ROWS]
+    return kernel.grams(sig.astype(np.uint64), ROWS, seed=9)[::ROWS]
 
 
 def digest(items: np.ndarray) -> bytes:
@@ -89,19 +89,23 @@ def profile(docs: DataFrame, text: str, k: int, keep: list[str]) -> DataFrame:
 
 
 def details(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """From rows (node, text): node, sig, items, of rows whose digest is the node."""
+    """From rows (node, text): node, sig, bands, items, of rows whose digest is the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.sliced(batches, 1, rows=500, size=2 << 20):
-            node, sig, items = [], [], []
+            node, sig, bands, items = [], [], [], []
             for want, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 if len(found) and digest(found) == want:
                     node.append(want)
-                    sig.append(signature(found).tobytes())
+                    mine = signature(found)
+                    sig.append(mine.tobytes())
+                    bands.append(band_keys(mine).view(np.int64))
                     items.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (node, sig, items)], names=["node", "sig", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(items, pa.binary())], names=["node", "sig", "bands", "items"]
+            )
 
-    return docs.select("node", text).mapInArrow(run, "node binary, sig binary, items binary")
+    return docs.select("node", text).mapInArrow(run, "node binary, sig binary, bands array<long>, items binary")
 
 
 def least_matches(threshold: float, miss: float, batch: int = 20) -> dict[int, int]:
@@ -162,38 +166,69 @@ def _verify(pairs: DataFrame, detail: DataFrame, percent: int, miss: float) -> D
 BLOCK = 1024
 
 
+def _cell(f: pd.DataFrame, percent: int, least: dict[int, int]) -> list[tuple[int, int]]:
+    """Row numbers of linked pairs of one cell that join components which nothing before has joined."""
+    band = int(f["band"].iat[0])
+    same = f["i"].iat[0] == f["j"].iat[0]
+    sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, HASHES)
+    bands = np.vstack(f["bands"])[:, :band]
+    part = f["part"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in f["items"]]
+    size = np.array([len(x) for x in sets])
+    root = pd.factorize(f["label"])[0]
+    items, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.cumsum(times > 1) - 1  # an item of one row alone is in no intersection
+    cols = [common[x[times[x] > 1]] for x in np.split(at, np.cumsum(size)[:-1])]
+    wide = int((times > 1).sum())
+    table = None
+    if len(f) * wide <= 64 << 20:
+        table = np.zeros((len(f), wide), np.uint8)
+        for x, c in enumerate(cols):
+            table[x, c] = 1
+    out = []
+    for x in range(len(f)):
+        if not same and part[x] != f["i"].iat[0]:
+            continue
+        y = np.flatnonzero((root != root[x]) & ((np.arange(len(f)) > x) if same else (part != part[x])))
+        y = y[~(bands[y] == bands[x]).any(axis=1)] if band else y  # an earlier bucket has the pair
+        y = y[(100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+        y = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
+        if not len(y):
+            continue
+        if table is not None:
+            both = table[np.ix_(y, cols[x])].sum(axis=1, dtype=np.int64)
+        else:
+            both = np.array([len(np.intersect1d(cols[x], cols[z], assume_unique=True)) for z in y])
+        for z in y[100 * both >= percent * (size[y] + size[x] - both)].tolist():
+            if root[z] != root[x]:
+                root[root == root[z]] = root[x]
+                out.append((x, z))
+    return out
+
+
 def _leftovers(members: DataFrame, detail: DataFrame, percent: int, miss: float) -> DataFrame:
-    """All pairs within a bucket that differ in label and survive, made block by block."""
+    """Links between different labels within a bucket: all pairs are decided, block by block.
+
+    A cell has two blocks of a bucket. It decides each pair in the first bucket
+    that the two share, and returns fewer links than it has rows.
+    """
     least = least_matches(percent / 100, miss)
-    spread = members.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).cast("int"))
-    spread = spread.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    spread = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
     cells = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label", "retired"
+        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label"
     )
-    cells = cells.join(detail.select("node", "sig"), "node")
+    cells = cells.join(detail, "node")
 
     def cell(f: pd.DataFrame) -> pd.DataFrame:
-        same = f["i"].iat[0] == f["j"].iat[0]
-        sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, HASHES)
-        label, part, retired = pd.factorize(f["label"])[0], f["part"].to_numpy(), f["retired"].to_numpy(bool)
-        out = []
-        for x in range(len(f)):
-            if retired[x] or not same and part[x] != f["i"].iat[0]:
-                continue
-            y = np.flatnonzero((label != label[x]) & ~retired & ((np.arange(len(f)) > x) if same else (part != part[x])))
-            if len(y):
-                y = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
-                out.append((x, y))
         nodes = f["node"].to_numpy()
-        if not out:
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        x = np.repeat([x for x, _ in out], [len(y) for _, y in out])
-        return pd.DataFrame({"a": nodes[x], "b": nodes[np.concatenate([y for _, y in out])]})
+        found = _cell(f, percent, least)
+        return pd.DataFrame({"a": [nodes[x] for x, _ in found], "b": [nodes[y] for _, y in found]}, dtype=object)
 
-    return cells.groupBy("band", "key", "i", "j").applyInPandas(cell, "a binary, b binary").distinct()
+    return cells.groupBy("band", "key", "i", "j").applyInPandas(cell, "a binary, b binary")
 
 
-def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6, pivot_rounds: int = 2) -> DataFrame:
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """Per row of docs: its id, n_shingles, component_id and kept.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z in lower case. A
@@ -219,29 +254,17 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(active, "doc_id").select("node", "text")
     detail = durable(details(texts, "text", shingle).dropDuplicates(["node"]))
 
-    edges, labels = None, None
-    state = members.join(degree, "node").withColumn("label", F.col("node")).withColumn("retired", F.lit(False))
-    for _ in range(pivot_rounds):
-        pivots = state.where("not retired").groupBy("band", "key").agg(F.max_by(F.struct("node", "label"), F.struct("degree", "node")).alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-        met = state.join(pivots.select("band", "key", "p"), ["band", "key"])
-        pairs = met.where("not retired and label <> p.label").select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
-        found = durable(_verify(pairs, detail, percent, miss))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        done = pivots.select("band", "key", F.col("p.node").alias("node"), F.lit(True).alias("out"))
-        state = durable(
-            state.drop("label")
-            .join(done, ["band", "key", "node"], "left")
-            .join(labels, "node", "left")
-            .select("band", "key", "node", "m", "degree", F.coalesce("label", "node").alias("label"), (F.col("retired") | F.col("out").isNotNull()).alias("retired"))
-        )
-    open_ = state.where("not retired").groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("rest")).where("l0 <> l1")
-    left = state.where("not retired").join(open_.select("band", "key", "rest"), ["band", "key"]).withColumn("m", F.col("rest"))
-    if left.limit(1).count():
-        found = durable(_verify(_leftovers(left, detail, percent, miss), detail, percent, miss))
-        if found.limit(1).count():
-            edges = edges.unionByName(found)
-            labels = components(edges)
+    ranked = members.join(degree, "node")
+    pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "node")).alias("p"))
+    chosen = ranked.join(pivots, ["band", "key"]).groupBy("node").agg(F.max("p").alias("p"))
+    pairs = chosen.select(F.col("node").alias("a"), F.col("p.node").alias("b")).where("a <> b")
+    edges = durable(_verify(pairs, detail, percent, miss))
+    labels = components(edges)
+    state = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+    open_ = state.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).where("l0 <> l1")
+    found = durable(_leftovers(state.join(open_.select("band", "key", "m"), ["band", "key"]), detail, percent, miss))
+    if found.limit(1).count():
+        labels = components(edges.unionByName(found))
 
     lows = classes.select("node", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     linked = lows.join(labels.select("node"), "node", "left_semi").groupBy("label").agg(F.min("low").alias("component_low"))
