@@ -40,6 +40,15 @@ def entropies(counts: DataFrame) -> DataFrame:
     return marginals(counts).groupBy("col").agg((-F.sum(F.col("p") * F.log2("p"))).alias("bits"))
 
 
+def divergences(counts: DataFrame) -> DataFrame:
+    """Kullback-Leibler divergence, in bits, of each column's distribution from that of all columns."""
+    m = marginals(counts)
+    overall = counts.groupBy(F.col("cur").alias("q")).agg(F.sum("cnt").alias("n"))
+    total = overall.agg(F.sum("n").alias("total"))
+    base = overall.join(total).select("q", (F.col("n") / F.col("total")).alias("p0"))  # one row times the symbols
+    return m.join(F.broadcast(base), "q").groupBy("col").agg(F.sum(F.col("p") * F.log2(F.col("p") / F.col("p0"))).alias("kl"))
+
+
 def mean_distortion(reads: DataFrame, mapped: Column, offset: int = 33) -> DataFrame:
     """Mean L1, squared and Lorentz distortion of a quality map."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("qua")), lambda i: (F.ascii(F.substr("qua", i, F.lit(1))) - F.ascii(F.substr("_m", i, F.lit(1)))).cast("double"))

@@ -191,3 +191,13 @@ put("archive_roundtrip_fast", READS, "select read_id, head, seq, qua from reads"
 EIGHT = "list_aggregate(list_transform(range(1, length(seq) + 1), lambda i: case when substr(seq, i::int, 1) = 'N' then '!' else chr((" + LEVEL.replace("q <=", "ascii(substr(qua, i::int, 1)) - 33 <=") + ") + 33) end), 'string_agg', '')"
 put("archive_roundtrip_reduced", READS, f"select read_id, split_part(head, ' ', 1) as head, seq, {EIGHT} as qua from reads")
 put("archive_roundtrip_max", READS, "select read_id, '@' as head, seq, list_aggregate(list_transform(range(1, length(seq) + 1), lambda i: case when substr(seq, i::int, 1) = 'N' then '''' when ascii(substr(qua, i::int, 1)) >= 53 then 'I' else '''' end), 'string_agg', '') as qua from reads")
+put(
+    "qual_divergence",
+    f"{PROB}, whole as (select cur::int as q, count(*) / sum(count(*)) over () as p0 from sym group by cur)",
+    "select col, round(sum(p * log2(p / p0)), 6)::double as kl from prob join whole using (q) group by col",
+)
+put("whole_logs", READS, "select read_id, (length(read_id::varchar) - 1)::int as log10, length(bin(read_id))::int as bits from reads where read_id > 0")
+put("records_head", READS, "select * from reads order by read_id limit 100")
+put("records_shuffled", READS, "select * from reads")
+put("position_steps", B, "select read_id, minim_pos - lag(minim_pos, 1, 0) over (partition by signature order by minim_pos, read_id) as step from binned")
+put("bins_allowed", B, "select read_id, signature from binned where signature in (select signature from binned group by signature having count(*) >= 8)")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dna, phred
-from ..operators import bins, codecs, contigs, forest, headers, matching, minimizers, pairs, qualities, quantize, rebin
+from ..functions import dna, numbers, phred
+from ..operators import bins, codecs, contigs, forest, headers, matching, minimizers, order, pairs, qualities, quantize, rebin
 from . import archive
 from .fixture import derived_reads
 
@@ -186,6 +186,38 @@ def qual_entropy(spark, sf_dir):
     return rows.select("col", F.round("bits", 6).alias("bits"))
 
 
+@query
+def qual_divergence(spark, sf_dir):
+    rows = qualities.divergences(qualities.cond_counts(derived_reads(spark, sf_dir)))
+    return rows.select("col", F.round("kl", 6).alias("kl"))
+
+
+@query
+def whole_logs(spark, sf_dir):
+    x = F.col("read_id")
+    return derived_reads(spark, sf_dir).where("read_id > 0").select("read_id", numbers.int_log(10, x).alias("log10"), numbers.bit_length(x).alias("bits"))
+
+
+@query
+def records_head(spark, sf_dir):
+    return order.first_records(derived_reads(spark, sf_dir), 100)
+
+
+@query
+def records_shuffled(spark, sf_dir):
+    return order.shuffled(derived_reads(spark, sf_dir))
+
+
+@query
+def position_steps(spark, sf_dir):
+    return order.position_steps(_binned(spark, sf_dir))
+
+
+@query
+def bins_allowed(spark, sf_dir):
+    return order.in_sized_bins(_binned(spark, sf_dir), 8).select("read_id", "signature")
+
+
 def _mapped(spark, sf_dir, column) -> DataFrame:
     return derived_reads(spark, sf_dir).select("read_id", column.alias("qua"))
 
