@@ -7,7 +7,9 @@ document frequency is diagonal and is applied to the sums. From these the
 Nystroem form of the randomised SVD gives the leading right singular vectors
 of the TF-IDF matrix. Windows of the texts and benchmark items are compared by
 cosine in that space; what is close enough and holds enough of an item's
-weight goes to a longest-common-subsequence and an answer check.
+weight goes to a longest-common-subsequence and an answer check. So does every
+window with one of an item's rarest words, of which there are as many as a hit
+may miss and one more: no hit is without one, whatever its cosine.
 """
 
 from __future__ import annotations
@@ -94,6 +96,15 @@ def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return idf, (u[:, :k] / size[:k]).astype(np.float32)
 
 
+def rarest(places: list[np.ndarray], idf: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items by term (those of term t from first[t] to first[t + 1]) whose rarest words it is among: a subsequence of ``need`` words has one of them."""
+    pairs = set()
+    for i, p in enumerate(places):
+        pairs.update((t, i) for t in p[np.argsort(-idf[p], kind="stable")][: len(p) - int(need[i]) + 1].tolist())
+    term, item = np.array(sorted(pairs)).T
+    return np.searchsorted(term, np.arange(len(idf) + 1)), item
+
+
 def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence with an item of n words; masks: its places by word, as bits."""
     full = (1 << n) - 1
@@ -112,7 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in
     lower case. A window of the text is a candidate for an item if their
     latent cosine is at least ``cosine`` and the window's inverse document
-    frequencies sum to ``mass`` of the item's. It is a hit if a subsequence of
+    frequencies sum to ``mass`` of the item's, or if it has one of the item's
+    rarest words, without which it cannot be a hit. It is a hit if a subsequence of
     ``share`` of the item's words is in it and ``answer`` of the distinct words
     of the item's answer: the column ``answer`` of the benchmark, if it has
     one, else the last fifth of the item (three words at least). ``at`` is the
@@ -162,19 +174,24 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
         masks.append(m)
     length = np.array([len(w) for w in words])
     level = np.maximum(np.ceil(np.log2(length)), 3).astype(int)
-    shared = spark.sparkContext.broadcast((vocabulary, idf, weighted.astype(np.float32), latent.astype(np.float32), weight, masks, length, answers, ids))
+    rare = rarest(place, idf, np.ceil(share * length))
+    shared = spark.sparkContext.broadcast((vocabulary, idf, weighted.astype(np.float32), latent.astype(np.float32), weight, masks, length, answers, ids, rare))
     classes = [(int(u), np.flatnonzero(level == u)) for u in np.unique(level)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, weighted, latent, weight, masks, length, answers, ids = shared.value
+        vocabulary, idf, weighted, latent, weight, masks, length, answers, ids, (rare_first, rare_items) = shared.value
         member = np.zeros((len(vocabulary), len(ids)), bool)
         for i, m in enumerate(masks):
             member[np.searchsorted(vocabulary, np.array(list(m), np.uint64)), i] = True
+        rare_n = np.diff(rare_first)
+        column = np.full(len(ids), -1)
         for batch in kernel.sliced(batches, 1, size=1 << 20):
             w = kernel.words(batch.column(1), "alnum")
             t = _terms(w, vocabulary)
             hits = np.append(0, np.cumsum(t >= 0))
-            h = t[t >= 0]
+            at_word = np.flatnonzero(t >= 0)
+            h = t[at_word]
+            often = np.append(0, np.cumsum(rare_n[h]))
             heavy = np.append(0.0, np.cumsum(idf[h]))
             sums = np.zeros((len(h) + 1, weighted.shape[1]), np.float32)
             np.cumsum(weighted[h], axis=0, out=sums[1:])
@@ -187,28 +204,48 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
                 start = w.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * step
                 stop = np.minimum(start + span, w.first[doc + 1])
                 lo, hi = hits[start], hits[stop]
-                stay = heavy[hi] - heavy[lo] >= mass * weight[members].min() - 1e-9
-                doc, start, stop, lo, hi = doc[stay], start[stay], stop[stay], lo[stay], hi[stay]
+                base = np.cumsum(per_doc) - per_doc
+                column[:] = -1
+                column[members] = np.arange(len(members))
                 for at in range(0, len(doc), 4096):
                     s = slice(at, at + 4096)
-                    v = sums[hi[s]] - sums[lo[s]]
+                    held = np.zeros((len(doc[s]), len(members)), bool)  # the window has one of the item's rarest words
+                    a, z = int(lo[s][0]), int(hi[s][-1])
+                    while a < z:  # few (word, item) pairs at once
+                        b = min(z, max(a + 1, int(np.searchsorted(often, often[a] + (1 << 18), "right")) - 1))
+                        n = rare_n[h[a:b]]
+                        x = np.repeat(np.arange(a, b), n)
+                        col = column[rare_items[np.arange(len(x)) + np.repeat(rare_first[h[a:b]] - (np.cumsum(n) - n), n)]]
+                        x, col = at_word[x[col >= 0]], col[col >= 0]
+                        d = np.searchsorted(w.first, x, "right") - 1
+                        last = (x - w.first[d]) // step
+                        for k in range(-(-span // step)):
+                            v = base[d] + last - k - at
+                            good = (last >= k) & (last - k < per_doc[d]) & (x - w.first[d] < (last - k) * step + span) & (v >= 0) & (v < len(held))
+                            held[v[good], col[good]] = True
+                        a = b
+                    mine = heavy[hi[s]] - heavy[lo[s]]
+                    rows = np.flatnonzero((mine >= mass * weight[members].min() - 1e-9) | held.any(axis=1))
+                    v = sums[hi[s][rows]] - sums[lo[s][rows]]
                     v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
                     cos = v @ latent[members].T
-                    near = (cos >= cosine) & ((heavy[hi[s]] - heavy[lo[s]])[:, None] >= mass * weight[members][None, :] - 1e-9)
-                    xs, ys = np.nonzero(near)
-                    if not len(xs):
-                        continue
-                    a, n = lo[s][xs], (hi[s] - lo[s])[xs]  # words of the item in the window: no subsequence is longer
-                    flat = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
-                    inside = np.append(0, np.cumsum(member[h[flat], np.repeat(members[ys], n)], dtype=np.int64))
-                    enough = inside[np.cumsum(n)] - inside[np.cumsum(n) - n] >= share * length[members[ys]]
-                    for x, y in zip(xs[enough].tolist(), ys[enough].tolist(), strict=True):
-                        i, a, z = int(members[y]), int(start[at + x]), int(stop[at + x])
-                        there = w.hash[a:z].tolist()
-                        common = common_subsequence(masks[i], int(length[i]), there)
-                        key = (int(doc[at + x]), i)
-                        if common >= share * length[i] and common > best.get(key, (0,))[0] and len(answers[i].intersection(there)) >= answer * len(answers[i]):
-                            best[key] = (common, float(cos[x, y]), a - int(w.first[key[0]]))
+                    near = held[rows] | ((cos >= cosine) & (mine[rows, None] >= mass * weight[members][None, :] - 1e-9))
+                    pairs = np.argwhere(near)
+                    for few in range(0, len(pairs), 1 << 15):
+                        xs, ys = pairs[few : few + (1 << 15)].T
+                        full = at + rows[xs]
+                        a, n = lo[full], hi[full] - lo[full]  # words of the item in the window: no subsequence is longer
+                        flat = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+                        inside = np.append(0, np.cumsum(member[h[flat], np.repeat(members[ys], n)], dtype=np.int64))
+                        enough = inside[np.cumsum(n)] - inside[np.cumsum(n) - n] >= share * length[members[ys]]
+                        for x, y in zip(xs[enough].tolist(), ys[enough].tolist(), strict=True):
+                            i, g = int(members[y]), at + int(rows[x])
+                            a, z = int(start[g]), int(stop[g])
+                            there = w.hash[a:z].tolist()
+                            common = common_subsequence(masks[i], int(length[i]), there)
+                            key = (int(doc[g]), i)
+                            if common >= share * length[i] and common > best.get(key, (0,))[0] and len(answers[i].intersection(there)) >= answer * len(answers[i]):
+                                best[key] = (common, float(cos[x, y]), a - int(w.first[key[0]]))
             rows = sorted(best.items())
             yield pa.RecordBatch.from_arrays(
                 [

@@ -138,3 +138,39 @@ def test_pipeline_stages(spark, tmp_path):
     assert passage not in cut[1] and passage not in cut[3] and cut[2] == rows[2][1]
     assert ids("decontamination") == clean - {9, 5}
     assert ids("packing") == clean - {9, 5}
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        was = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(was[j] + 1 if x == y else max(row[-1], was[j + 1]))
+    return row[-1]
+
+
+def test_contaminated_in_repetitive_texts(spark):
+    rng = random.Random(4)
+    items = [words(rng, n) for n in (12, 20, 35, 60)]
+    common = [x for t in items for x in t.split()]
+    docs = [(i, words(rng, 80)) for i in range(100)]
+    for i in range(100, 220):
+        part = items[i % 4].split()
+        for j in rng.sample(range(len(part)), rng.choice([0, len(part) // 10, len(part) // 4, len(part) // 3])):
+            part[j] = "zzz"
+        echo = rng.choice([x for x in common if x not in part])
+        few = [echo] * rng.choice([1, 3]) + [rng.choice(common)]
+        host = [rng.choice(few) for _ in range(rng.randint(60, 200))]
+        at = rng.randrange(len(host))
+        docs.append((i, " ".join(host[:at] + part + host[at:])))
+    want = set()
+    for i, t in docs:
+        for k, item in enumerate(x.split() for x in items):
+            cut = t.split()
+            if any(longest(item, cut[s : s + len(item)]) >= 0.75 * len(item) for s in range(max(1, len(cut) - len(item) + 1))):
+                want.add((i, k))
+    assert len(want) > 80
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("answer", F.element_at(F.split("text", " "), 1))
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, answer=0.0)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} >= want
