@@ -7,7 +7,8 @@ document frequency is diagonal and is applied to the sums. From these the
 Nystroem form of the randomised SVD gives the leading right singular vectors
 of the TF-IDF matrix. Windows of the texts and benchmark items are compared by
 cosine in that space; what is close enough and holds enough of an item's
-weight goes to a longest-common-subsequence and an answer check. So does every
+weight goes to a longest-common-subsequence check and, where the benchmark
+names answers, an answer check. So does every
 window with one of an item's rarest words, of which there are as many as a hit
 may miss and one more: no hit is without one, whatever its cosine.
 """
@@ -124,10 +125,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     lower case. A window of the text is a candidate for an item if their
     latent cosine is at least ``cosine`` and the window's inverse document
     frequencies sum to ``mass`` of the item's, or if it has one of the item's
-    rarest words, without which it cannot be a hit. It is a hit if a subsequence of
-    ``share`` of the item's words is in it and ``answer`` of the distinct words
-    of the item's answer: the column ``answer`` of the benchmark, if it has
-    one, else the last fifth of the item (three words at least). ``at`` is the
+    rarest words, without which it cannot be a hit. It is a hit
+    if a subsequence of ``share`` of the item's words is in it and, where the
+    benchmark has a column ``answer`` and the item's holds words, ``answer`` of
+    the distinct words of that. ``at`` is the
     first word of the best window. A document has one row for each item found;
     documents that repeat have rows each. Null and empty texts hold nothing;
     items of fewer than LEAST_WORDS words, null or empty are never found. Items
@@ -158,7 +159,7 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
         return spark.createDataFrame([], schema)
     answers = cut([r["answer"] or "" for r in items])
     ids, words, answers = [items[i]["item_id"] for i in use], [words[i] for i in use], [answers[i] for i in use]
-    answers = [set(a.tolist()) if len(a) else set(w[-max(3, len(w) // 5) :].tolist()) for a, w in zip(answers, words, strict=True)]
+    answers = [set(a.tolist()) for a in answers]
     vocabulary = np.unique(np.concatenate(words))
     idf, vectors = latent_space(docs.select("text"), vocabulary)
     weighted = idf[:, None] * vectors

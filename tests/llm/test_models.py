@@ -174,3 +174,16 @@ def test_contaminated_in_repetitive_texts(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("answer", F.element_at(F.split("text", " "), 1))
     found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, answer=0.0)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} >= want
+
+
+def test_contaminated_needs_no_answer_where_none_is_given(spark):
+    rng = random.Random(5)
+    items = [words(rng, n) for n in (20, 35, 60)]
+    docs = [(i, words(rng, 80)) for i in range(60)] + [(100 + k, " ".join(t.split()[: -(-len(t.split()) * 8 // 10)])) for k, t in enumerate(items)]
+    docs = spark.createDataFrame([(i, f"{words(rng, 30)} {t} {words(rng, 30)}") for i, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda b: sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, b).collect())
+    assert found(bench) == [(100, 0), (101, 1), (102, 2)]
+    last = F.element_at(F.split("text", " "), -1)  # item 0: an answer that the cut has taken; item 1: none; item 2: one that is there
+    named = bench.withColumn("answer", F.when(F.col("item_id") == 0, last).when(F.col("item_id") == 2, F.element_at(F.split("text", " "), 1)))
+    assert found(named) == [(101, 1), (102, 2)]
