@@ -28,6 +28,7 @@ from .scratch import modest_batches
 
 PASSAGE, RANK, SPARE, SUMS = 64, 64, 8, 16
 ITEMS = 1024
+SPAN = 1 << 16
 LEAST_WORDS = 5
 
 
@@ -194,10 +195,9 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
             h = t[at_word]
             often = np.append(0, np.cumsum(rare_n[h]))
             heavy = np.append(0.0, np.cumsum(idf[h]))
-            sums = np.zeros((len(h) + 1, weighted.shape[1]), np.float32)
-            np.cumsum(weighted[h], axis=0, out=sums[1:])
             size = np.diff(w.first)
             best: dict[tuple[int, int], tuple[int, float, int]] = {}
+            grids = []
             for u, members in classes:
                 step, span = max(1, (1 << u) // 4), (1 << u) + max(1, (1 << u) // 4)
                 per_doc = np.where(size > 0, 1 + np.maximum(0, -(-(size - span) // step)), 0)
@@ -206,10 +206,20 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
                 stop = np.minimum(start + span, w.first[doc + 1])
                 lo, hi = hits[start], hits[stop]
                 base = np.cumsum(per_doc) - per_doc
-                column[:] = -1
-                column[members] = np.arange(len(members))
-                for at in range(0, len(doc), 4096):
-                    s = slice(at, at + 4096)
+                grids.append((members, step, span, per_doc, base, doc, start, stop, lo, hi))
+            reach = max(grid[2] for grid in grids)
+            for seg in range(0, len(t), SPAN):
+                low = int(hits[seg])
+                some = h[low : hits[min(seg + SPAN + reach, len(t))]]
+                sums = np.zeros((len(some) + 1, weighted.shape[1]))  # from here on only: long sums lose digits
+                np.cumsum(weighted[some], axis=0, dtype=np.float64, out=sums[1:])
+                for members, step, span, per_doc, base, doc, start, stop, lo, hi in grids:
+                    at, to = np.searchsorted(start, [seg, seg + SPAN]).tolist()
+                    if at == to:
+                        continue
+                    s = slice(at, to)
+                    column[:] = -1
+                    column[members] = np.arange(len(members))
                     held = np.zeros((len(doc[s]), len(members)), bool)  # the window has one of the item's rarest words
                     a, z = int(lo[s][0]), int(hi[s][-1])
                     while a < z:  # few (word, item) pairs at once
@@ -227,7 +237,9 @@ def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: floa
                         a = b
                     mine = heavy[hi[s]] - heavy[lo[s]]
                     rows = np.flatnonzero((mine >= mass * weight[members].min() - 1e-9) | held.any(axis=1))
-                    v = sums[hi[s][rows]] - sums[lo[s][rows]]
+                    if not len(rows):
+                        continue
+                    v = (sums[hi[s][rows] - low] - sums[lo[s][rows] - low]).astype(np.float32)
                     v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
                     cos = v @ latent[members].T
                     near = held[rows] | ((cos >= cosine) & (mine[rows, None] >= mass * weight[members][None, :] - 1e-9))

@@ -187,3 +187,14 @@ def test_contaminated_needs_no_answer_where_none_is_given(spark):
     last = F.element_at(F.split("text", " "), -1)  # item 0: an answer that the cut has taken; item 1: none; item 2: one that is there
     named = bench.withColumn("answer", F.when(F.col("item_id") == 0, last).when(F.col("item_id") == 2, F.element_at(F.split("text", " "), 1)))
     assert found(named) == [(101, 1), (102, 2)]
+
+
+def test_contaminated_deep_in_a_long_text(spark):
+    rng = random.Random(6)
+    items = [words(rng, n) for n in (12, 20, 35, 60)]
+    tail = " ".join(words(rng, 64) + " " + t for t in items)
+    docs = spark.createDataFrame([(0, tail), (1, f"{items[3].split()[0]} " * (1 << 20) + tail)], "doc_id long, text string")
+    found = decontam.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["cosine"], r["at"]) for r in found.collect()}
+    for k in range(4):
+        assert abs(got[0, k][0] - got[1, k][0]) < 1e-6 and got[1, k][1] - got[0, k][1] == 1 << 20
