@@ -13,6 +13,7 @@ a sliding-window minimum, kept in a monotone queue: linear time in the cuts.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -42,14 +43,20 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Token ids of texts by a byte-level BPE file, as the tokenizers library gives them.
 
-    Names of special tokens in a text are ordinary text. Runs between single
-    spaces never share a pre-token, so their ids are kept by run.
+    With ``added``, the file's added tokens in a text have their own ids, as by
+    the library's default; without, their names are ordinary text (its
+    ``encode_special_tokens``). Runs between single spaces never share a
+    pre-token, so their ids are kept by run.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec["added_tokens"] if t["special"]}
+        if added and any(t[f] for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added tokens of {path} take or need text beside them")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]} if added else {}
+        self.names = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("from_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -84,6 +91,20 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none for null."""
+        named = [i for i, t in enumerate(texts) if t and any(name in t for name in self.added)]
+        if not named:
+            return self._ordinary(texts)
+        rest = list(texts)
+        for i in named:
+            rest[i] = None
+        out = self._ordinary(rest)
+        for i in named:
+            pieces = self.names.split(texts[i])
+            ids = self._ordinary(pieces[::2])
+            out[i] = ids[0] + b"".join(self.added[name] + x for name, x in zip(pieces[1::2], ids[1:], strict=True))
+        return out
+
+    def _ordinary(self, texts: list[str | None]) -> list[bytes]:
         cut = [t.split(" ") if t else [] for t in texts]
         self._learn({r for runs in cut for r in runs[1:]})
         out = []
@@ -104,7 +125,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def cuts(position: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -147,7 +168,7 @@ def places(ids: np.ndarray, ends: np.ndarray, doc_end: np.ndarray, gap: int, sen
 def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, gap: int = 16, sentence: int = 4, hard: int = 8, block: int = 2_000_000, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), with ids if asked for.
 
-    A document is its token ids and a final id 0, so a null or empty text is
+    A document is its token ids, the file's added tokens among them, and a final id 0, so a null or empty text is
     one token. Sequences never cross partitions of the input or, within one,
     blocks of about ``block`` tokens; each of these ends with at most one short
     sequence. Rows that repeat are packed each; ids of any type, also null, are

@@ -257,3 +257,18 @@ def test_token_counts(spark):
     assert sorted((str(r[0]), r[1], r[2]) for r in got) == want
     small = tokencount.Trie(scores, limit=5)
     assert [small.count("▁" + w) for w in ("hello", "help", "hello")] == [brute("▁hello"), brute("▁help"), brute("▁hello")]
+
+
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    name = "<|endoftext|>"
+    rows = [(0, f"a {name} b"), (1, name), (2, name * 3), (3, f" {name}\n{name} x y "), (4, "a <|endoftext| > b"), (5, f"it's{name}we'll  {name}  z"), (6, f"<|{name}|>"), (7, "a b"), (8, None)]
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in rows}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = {i: [] for i, _ in rows}
+    for r in packing.packed(frame(spark, rows), vocabulary_path()).orderBy("doc_id", "start").collect():
+        got[r["doc_id"]] += r["ids"]
+        assert r["doc_tokens"] == len(want[r["doc_id"]])
+    assert got == want
