@@ -243,15 +243,19 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     modest_batches(spark)
-    rows = durable(profile(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, ["doc_id"]))
-    classes = durable(rows.where("digest is not null").groupBy(F.col("digest").alias("node"), "bands").agg(F.min("doc_id").alias("low")))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    code = F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))).alias("code")  # finds texts without an id
+    rows = durable(profile(source.select("doc_id", code, "text"), "text", shingle, ["doc_id", "code"]))
+    classes = durable(rows.where("digest is not null").groupBy(F.col("digest").alias("node"), "bands").agg(F.min("doc_id").alias("low"), F.min("code").alias("code")))
     keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     members = durable(keys.join(shared, ["band", "key"]))
     degree = members.groupBy("node").agg(F.sum("m").alias("degree"))
 
-    active = classes.join(degree.select("node"), "node", "left_semi").where("low is not null").select("node", F.col("low").alias("doc_id"))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(active, "doc_id").select("node", "text")
+    active = classes.join(degree.select("node"), "node", "left_semi").select("node", F.col("low").alias("doc_id"), "code")
+    texts = source.join(active.where("doc_id is not null").drop("code"), "doc_id").select("node", "text")
+    nameless = source.where("doc_id is null").select(code, "text").dropDuplicates(["code"])
+    texts = texts.unionByName(nameless.join(active.where("doc_id is null").drop("doc_id"), "code").select("node", "text"))
     detail = durable(details(texts, "text", shingle).dropDuplicates(["node"]))
 
     ranked = members.join(degree, "node")

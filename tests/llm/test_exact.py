@@ -272,3 +272,29 @@ def test_packing_gives_added_tokens_their_ids(spark):
         got[r["doc_id"]] += r["ids"]
         assert r["doc_tokens"] == len(want[r["doc_id"]])
     assert got == want
+
+
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(100))) for i in range(20)]
+    for i in range(8):  # id, no id, id: the ends are linked by the row without an id alone; then two rows without ids
+        w = [word() for _ in range(200)]
+        a, b, c = w[:], w[:], w[:]
+        a[:14] = [word() for _ in range(14)]
+        c[-14:] = [word() for _ in range(14)]
+        rows += [(100 + i if i < 4 else None, " ".join(a)), (None, " ".join(b)), (200 + i if i < 4 else None, " ".join(c))]
+    rows += [(None, rows[21][1]), (None, None), (None, "")]
+    sets = sets_of(rows, 3)
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                label = [label[b] if x == label[a] else x for x in label]
+    ids = lambda x: [rows[y][0] for y in range(len(rows)) if label[y] == label[x] and rows[y][0] is not None]
+    low = [min(ids(x), default=None) for x in range(len(rows))]
+    assert low[20:23] == [100, 100, 100]
+    want = sorted(str((rows[x][0], len(sets[x]), low[x], rows[x][0] == low[x])) for x in range(len(rows)))
+    got = neardup.similar_classes(frame(spark, rows), shingle=3, percent=85).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
