@@ -38,10 +38,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id; of equal rows one."""
-    keyed = _keyed(docs)
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id; of rows with equal id and text one. Rows without words stay."""
+    worded = F.coalesce(F.col("text").rlike(r"[^ \x09-\x0D]"), F.lit(False))
+    keyed = _keyed(docs.where(worded))
     gone = similar_classes(keyed, doc_id="key", shingle=5, percent=80).where("not kept").select("key").distinct()
-    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select(*COLUMNS)
+    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select(*COLUMNS).unionByName(docs.where(~worded).select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

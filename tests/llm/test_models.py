@@ -198,3 +198,15 @@ def test_contaminated_deep_in_a_long_text(spark):
     got = {(r["doc_id"], r["item_id"]): (r["cosine"], r["at"]) for r in found.collect()}
     for k in range(4):
         assert abs(got[0, k][0] - got[1, k][0]) < 1e-6 and got[1, k][1] - got[0, k][1] == 1 << 20
+
+
+def test_pipeline_keeps_rows_without_words(spark):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(8)
+    full = [(1, words(rng, 30), "en", "s", 9), (1, None, "en", "s", 0), (2, words(rng, 30), "en", "s", 9)]
+    empty = [(x, t, lang, "s", n) for x in (None, 1) for t in (None, "", " \t\n\x0b\r") for lang, n in (("en", 0), ("de", 1))]
+    rows = [*full, (2, full[2][1], "de", "t", 9), *empty]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in pipe.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [*full, *empty])) or sorted(map(str, got)) == sorted(map(str, [*full[:2], rows[3], *empty]))
