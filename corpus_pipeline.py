@@ -60,8 +60,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences of 1024 tokens."""
-    return packed(docs, vocabulary_path(), size=1024, with_ids=False)
+    """Pieces of the kept documents, with their token ids, in sequences of 1024 tokens."""
+    return packed(docs, vocabulary_path(), size=1024)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -210,3 +210,13 @@ def test_pipeline_keeps_rows_without_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [tuple(r) for r in pipe.drop_near_copies(spark, docs, "").collect()]
     assert sorted(map(str, got)) == sorted(map(str, [*full, *empty])) or sorted(map(str, got)) == sorted(map(str, [*full[:2], rows[3], *empty]))
+
+
+def test_pipeline_packs_ids(spark):
+    import zlib
+
+    import corpus_pipeline as pipe
+
+    rows = pipe.pack(spark, spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in rows) == [(1, [64, 275, 0]), (2, [0])]
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
