@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the cluster's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandloom-"))
-    return df.checkpoint(eager=True)
+from .lineage import durable
 
 
 def depths(nodes: DataFrame) -> DataFrame:
     """read_id, root_id, depth; a node's known ancestor doubles its distance each round."""
-    state = cut(nodes.select("read_id", F.coalesce("parent_id", "read_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth")))
+    state = durable(nodes.select("read_id", F.coalesce("parent_id", "read_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth")))
     while True:
         above = state.select(F.col("read_id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
-        new = cut(state.join(above, "up").select("read_id", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        new = durable(state.join(above, "up").select("read_id", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         state = new.drop("moved")
         if not new.where("moved").limit(1).count():
             return state.select("read_id", F.col("up").alias("root_id"), "depth")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import phred
 from ..functions.dna import K
 from ..operators.bins import small_to_n
-from ..operators.forest import cut
+from ..operators.lineage import durable
 from ..operators.headers import trimmed
 from ..operators.matching import lz_nodes
 from ..operators.minimizers import minimizer_se, restored
@@ -63,7 +63,7 @@ def pack(reads: DataFrame, p: Profile, k: int = K) -> tuple[DataFrame, DataFrame
     A root's payload is its bases with the signature as a dot; an LZ node's is
     the bases outside the overlap and the differing letters by place.
     """
-    binned = cut(small_to_n(minimizer_se(lossy(reads, p), k, p.skip), p.least_bin, k))  # read five times below
+    binned = durable(small_to_n(minimizer_se(lossy(reads, p), k, p.skip), p.least_bin, k))  # read five times below
     std, raw = binned.where(F.col("signature") != 4**k), binned.where(F.col("signature") == 4**k)
     nodes = lz_nodes(std, p.window, k=k)
     own = std.select("read_id", "seq", "minim_pos", "sig_text")

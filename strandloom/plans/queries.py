@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, numbers, phred
-from ..operators import bins, codecs, contigs, forest, headers, matching, minimizers, order, pairs, qualities, quantize, rebin
+from ..operators import bins, codecs, contigs, forest, headers, lineage, matching, minimizers, order, pairs, qualities, quantize, rebin
 from . import archive
 from .fixture import derived_reads
 
@@ -387,7 +387,7 @@ def contig_variants(spark, sf_dir):
 
 @query
 def contig_growth(spark, sf_dir):
-    binned, nodes = _binned(spark, sf_dir), forest.cut(_nodes(spark, sf_dir, 64))
+    binned, nodes = _binned(spark, sf_dir), lineage.durable(_nodes(spark, sf_dir, 64))
     return contigs.contigs(nodes, forest.depths(nodes), binned)
 
 
