@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .scratch import durable, modest_batches
+from .scratch import durable
 
 
 STEM = 5
@@ -62,25 +62,36 @@ def _hits(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs // n, pairs % n
 
 
-def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nnpu_risk(f: np.ndarray, positive: np.ndarray, times: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Of scores f: pi * R+(positives), R-(unlabelled) - pi * R-(positives), and the descent direction in f.
+
+    The risk is the first plus what the second is above 0; where the second is
+    negative, the direction raises it (Kiryo and others, 2017).
+    """
+    share = np.where(positive, prior * times / max(times[positive].sum(), 1), times / max(times[~positive].sum(), 1))
+    p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+    loss = np.logaddexp(0, f)
+    reward = float((share * np.logaddexp(0, -f))[positive].sum())
+    negative = float((share * loss)[~positive].sum() - (share * loss)[positive].sum())
+    up = np.where(positive, (p - 1) * share, 0.0)
+    down = np.where(positive, -p * share, p * share)
+    return reward, negative, up + down if negative >= 0 else -down
+
+
+def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, times: np.ndarray | None = None, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model with the least non-negative PU risk.
 
-    rows: the present features of each row; positive: true for confirmed rows, the others are unlabelled.
+    rows: the present features of each row; positive: true for confirmed rows,
+    the others are unlabelled; times: how often each row counts.
     """
+    times = np.ones(len(rows)) if times is None else times
     lengths = np.array([len(r) for r in rows])
     index = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m1, m2 = np.zeros(size + 1), np.zeros(size + 1)
-    n_p, n_u = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
     for t in range(1, epochs + 1):
-        f = np.bincount(owner, w[index], len(rows)) + b
-        p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-        loss_minus = np.logaddexp(0, f)
-        negative = loss_minus[~positive].sum() / n_u - prior * loss_minus[positive].sum() / n_p
-        up = np.where(positive, (p - 1) * prior / n_p, 0.0)  # of pi * R+(positives)
-        down = np.where(positive, -p * prior / n_p, p / n_u)  # of R-(unlabelled) - pi * R-(positives)
-        g = up + down if negative >= 0 else -down
+        g = nnpu_risk(np.bincount(owner, w[index], len(rows)) + b, positive, times, prior)[2]
         grad = np.append(np.bincount(index, g[owner], size) + decay * w, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
@@ -92,11 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     """Vocabulary (sorted feature hashes), weights and bias.
 
     docs: doc_id, text; labels: doc_id, toxic. Rows that ``held_out`` names are
-    left out. The fit uses a bounded sample, chosen by a hash of the id: about
-    ``positives`` confirmed and ``unlabelled`` other texts (whole), and at most
-    ``words`` words that are more frequent in the confirmed ones. The prior is
-    the share of toxic rows among all labelled rows of the training side.
-    Without such rows the vocabulary is empty and every score is 0.
+    left out. The fit uses a bounded sample of whole texts: about ``positives``
+    confirmed and ``unlabelled`` other rows, chosen by hashes of the id and of
+    the row, and at most ``words`` words that are more frequent in the
+    confirmed ones. Rows equal in id and text are chosen together and come to
+    the driver as one row with their number. The prior is the share of toxic
+    rows among all labelled rows of the training side. Without such rows the
+    vocabulary is empty and every score is 0.
     """
     train = docs.where(~held_out())
     marks = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -105,11 +118,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     if not p or not total:
         return np.zeros(0, np.uint64), np.zeros(0), -np.inf
     prior = min(max(p / n, 1e-4), 0.9)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    confirmed = marks.where((F.col("toxic") == 1) & (chance < positives / p)).select("doc_id", F.lit(1).alias("role"))
-    # about ``positives`` rows of two numbers: small enough to send to every task
-    sample = train.select("doc_id", "text").join(F.broadcast(confirmed), "doc_id", "left").where(F.col("role").isNotNull() | (chance < unlabelled / total))
-    sample = sample.select("text", F.coalesce("role", F.lit(0)).alias("role"), (F.col("role").isNull() | (chance < unlabelled / total)).alias("as_unlabelled"))
+    chance = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / float(1 << 30)
+    # about ``positives`` ids: small enough to send to every task
+    confirmed = F.broadcast(marks.where((F.col("toxic") == 1) & (chance("doc_id", F.lit("sample")) < positives / p)).select("doc_id", F.lit(1).alias("role")))
+    repeats = train.select("doc_id").join(confirmed, "doc_id").count()  # rows of these ids, more than ids where ids repeat
+    taken = train.select("doc_id", "text", chance("doc_id", "text", F.lit("row")).alias("chance")).join(confirmed, "doc_id", "left")
+    as_confirmed = F.col("role").isNotNull() & (F.col("chance") < positives / max(repeats, 1))
+    as_unlabelled = F.col("chance") >= 1 - unlabelled / total
+    sample = taken.where(as_confirmed | as_unlabelled).select("text", as_confirmed.cast("int").alias("role"), as_unlabelled.alias("as_unlabelled"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.sliced(batches, 0):
@@ -136,17 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32()))], names=["role", "as_unlabelled", "at"])
 
     got = sample.mapInArrow(features, "role int, as_unlabelled boolean, at array<int>").groupBy("role", "as_unlabelled", "at").count().collect()
-    rows, positive, times = [], [], []
-    for r in got:
-        for role, on in ((True, r["role"] == 1), (False, r["as_unlabelled"])):
-            if on:
-                rows.append(np.array(r["at"], np.int64))
-                positive.append(role)
-                times.append(r["count"])
-    order = sorted(range(len(rows)), key=lambda i: (positive[i], rows[i].tolist()))
-    rows = [rows[i] for i in order for _ in range(times[i])]
-    positive = np.array([positive[i] for i in order for _ in range(times[i])], bool)
-    weights, bias = train_nnpu(rows, positive, len(vocabulary), prior)
+    seen = [(role, np.array(r["at"], np.int64), r["count"]) for r in got for role, on in ((True, r["role"] == 1), (False, r["as_unlabelled"])) if on]
+    seen.sort(key=lambda x: (x[0], x[1].tolist()))
+    positive, times = np.array([x[0] for x in seen], bool), np.array([x[2] for x in seen], float)
+    weights, bias = train_nnpu([x[1] for x in seen], positive, len(vocabulary), prior, times)
     return vocabulary, weights, bias
 
 
@@ -160,7 +169,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: t
     are not read unless ``keep`` names them.
     """
     spark = docs.sparkSession
-    modest_batches(spark)
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     vocabulary, weights, bias = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where("doc_id is not null"), **sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
