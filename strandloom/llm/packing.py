@@ -1,9 +1,9 @@
 """Order-preserving packing of documents into training sequences by dynamic programming.
 
 Documents follow each other in stored order. A window of at most ``size``
-tokens may end behind a document, behind a sentence, or, in stretches without
-either, at set distances; each kind of cut has a penalty in padding tokens.
-With positions c and windows (i, j], the least total of padding and penalties is
+tokens ends behind a document or behind a sentence; it may end elsewhere only
+where no document or sentence end lies within a whole window before. Each kind
+of cut has a penalty in padding tokens. With positions c and windows (i, j], the least total of padding and penalties is
 
     best[j] = penalty[j] + size - c[j] + min(best[i] + c[i])  over c[j] - c[i] <= size,
 
@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import kernel
-from .scratch import modest_batches
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000
+SENTENCE_END = re.compile(rb"[.!?][\"')\]]*$")
+FULL_STOPS = tuple(x.encode() for x in "。！？")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -41,31 +42,31 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of texts by a byte-level BPE file, as the tokenizers library gives them.
+    """Token ids of texts by a byte-level BPE file, as the tokenizers library gives them by default.
 
-    With ``added``, the file's added tokens in a text have their own ids, as by
-    the library's default; without, their names are ordinary text (its
-    ``encode_special_tokens``). Runs between single spaces never share a
-    pre-token, so their ids are kept by run.
+    The file's added tokens in a text have their own ids. Runs between single
+    spaces never share a pre-token, so their ids are kept by run.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec["added_tokens"] if t["special"]}
-        if added and any(t[f] for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip")):
+        if any(t[f] for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"added tokens of {path} take or need text beside them")
-        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]} if added else {}
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.names = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("from_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + 1
         self.length = np.zeros(size, np.int64)
-        self.ends = np.zeros(size + 1, bool)  # tokens that end a sentence
+        self.ends = np.zeros(size + 1, np.uint8)  # 1: ends a sentence where white space follows, 2: in any case
+        self.opens = np.zeros(size + 1, bool)  # starts with white space
         for token, i in ranks.items():
             self.length[i] = len(token)
-            self.ends[i] = token.endswith((b".", b"!", b"?")) or b"\n" in token
+            self.ends[i] = 2 if b"\n" in token or token.endswith(FULL_STOPS) else bool(SENTENCE_END.search(token))
+            self.opens[i] = token[:1].isspace()
         self.later: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
 
@@ -125,7 +126,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path, added=True)
+    return Encoder(path)
 
 
 def cuts(position: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -152,12 +153,14 @@ def cuts(position: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     return out[::-1]
 
 
-def places(ids: np.ndarray, ends: np.ndarray, doc_end: np.ndarray, gap: int, sentence: int, hard: int) -> tuple[np.ndarray, np.ndarray]:
-    """Allowed cut positions and their penalties."""
-    marks = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
+def places(ids: np.ndarray, enc: Encoder, doc_end: np.ndarray, size: int, gap: int, sentence: int, hard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Allowed cut positions and their penalties: ends of documents, of sentences, and others only where the ``size`` tokens before hold none of these."""
+    known = np.minimum(ids, len(enc.ends) - 1)
+    kind = enc.ends[known]
+    marks = np.flatnonzero((kind == 2) | (kind == 1) & np.append(enc.opens[known[1:]], False)) + 1
     at = np.union1d(np.append(marks, 0), doc_end)
-    wide = np.flatnonzero(np.diff(at) > gap)
-    more = [np.arange(at[i] + gap, at[i + 1], gap) for i in wide]
+    wide = np.flatnonzero(np.diff(at) > size)
+    more = [np.arange(at[i] + size, at[i + 1], gap) for i in wide]
     full = np.union1d(at, np.concatenate(more)) if more else at
     penalty = np.where(np.isin(full, at, assume_unique=True), sentence, hard)
     penalty[np.searchsorted(full, doc_end)] = 0
@@ -168,14 +171,15 @@ def places(ids: np.ndarray, ends: np.ndarray, doc_end: np.ndarray, gap: int, sen
 def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, gap: int = 16, sentence: int = 4, hard: int = 8, block: int = 2_000_000, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), with ids if asked for.
 
-    A document is its token ids, the file's added tokens among them, and a final id 0, so a null or empty text is
-    one token. Sequences never cross partitions of the input or, within one,
+    A document is its token ids, the file's added tokens among them, and a final
+    id 0, so a null or empty text is one token. ``sentence`` and ``hard`` are
+    the padding tokens that a cut inside a document is worth; hard cuts are
+    ``gap`` tokens apart, from a whole window behind the last end on. Sequences never cross partitions of the input or, within one,
     blocks of about ``block`` tokens; each of these ends with at most one short
     sequence. Rows that repeat are packed each; ids of any type, also null, are
     carried along. Other columns are not read. An empty table gives no rows.
     sequence_id holds the partition number in its upper bits.
     """
-    modest_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +194,7 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             ids = np.frombuffer(b"".join(parts), "<u4")
             length = np.array([len(p) for p in parts], np.int64) // 4
             doc_end = np.cumsum(length)
-            at, penalty = places(ids, enc.ends, doc_end, gap, sentence, hard)
+            at, penalty = places(ids, enc, doc_end, size, gap, sentence, hard)
             stop = at[cuts(at, penalty, size)]
             edge = np.union1d(stop, doc_end)
             begin = np.append(0, edge[:-1])
