@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .scratch import durable, modest_batches
+from .scratch import durable
 
 BANDS, ROWS = 20, 5
 HASHES = BANDS * ROWS
@@ -89,11 +89,16 @@ def profile(docs: DataFrame, text: str, k: int, keep: list[str]) -> DataFrame:
 
 
 def details(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """From rows (node, text): node, sig, bands, items, of rows whose digest is the node."""
+    """From rows (node, text): node, sig, bands, items, of rows whose digest is the node; of rows that follow each other with one node the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in kernel.sliced(batches, 1, rows=500, size=2 << 20):
             node, sig, bands, items = [], [], [], []
+            wanted = batch.column(0).to_pylist()
+            new = [x != y for x, y in zip(wanted, [last, *wanted])]
+            last = wanted[-1]
+            batch = batch.filter(pa.array(new))
             for want, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 if len(found) and digest(found) == want:
                     node.append(want)
@@ -206,6 +211,31 @@ def _cell(f: pd.DataFrame, percent: int, least: dict[int, int]) -> list[tuple[in
     return out
 
 
+def _cells(members: DataFrame) -> DataFrame:
+    """Rows (band, key, i, j, part, node, label): members (band, key, node, label, top) of open buckets, dealt to cells of two blocks.
+
+    A bucket's rows of the label ``top`` have the block numbers -1, -2 and so
+    on, the others 0, 1 and so on. Blocks of top rows never meet each other,
+    so a bucket of m rows of which r have another label makes r * m / BLOCK
+    rows and not m * m / BLOCK.
+    """
+    is_top = F.col("label") == F.col("top")
+    counts = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum((~is_top).cast("long")).alias("r"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    spread = members.join(counts, ["band", "key"]).withColumns({"rest": blocks(F.col("r")), "tops": blocks(F.col("m") - F.col("r"))})
+    part = F.pmod(F.xxhash64("node"), F.when(is_top, F.col("tops")).otherwise(F.col("rest")).cast("long")).cast("int")
+    spread = spread.withColumn("part", F.when(is_top, -1 - part).otherwise(part))
+    meets = F.sequence(F.when(is_top, F.lit(0)).otherwise(-F.col("tops")), F.col("rest") - 1)
+    return spread.withColumn("other", F.explode(meets)).select("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label")
+
+
+def _with_top(members: DataFrame) -> DataFrame:
+    """With the label that most of the bucket's rows have (the largest of several)."""
+    sizes = members.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
+    return members.join(top, ["band", "key"])
+
+
 def _leftovers(members: DataFrame, detail: DataFrame, percent: int, miss: float) -> DataFrame:
     """Links between different labels within a bucket: all pairs are decided, block by block.
 
@@ -213,12 +243,7 @@ def _leftovers(members: DataFrame, detail: DataFrame, percent: int, miss: float)
     that the two share, and returns fewer links than it has rows.
     """
     least = least_matches(percent / 100, miss)
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    spread = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    cells = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label"
-    )
-    cells = cells.join(detail, "node")
+    cells = _cells(members).join(detail, "node")
 
     def cell(f: pd.DataFrame) -> pd.DataFrame:
         nodes = f["node"].to_numpy()
@@ -240,23 +265,22 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (kept each, if theirs is the smallest id). A null id never becomes a
     component_id: such a row takes the component of its links, else null, and
     is kept only when it has none. Other columns are not read.
+
+    A class finds its text by a row key of id and text, so many rows of one id
+    cost a row each; rows equal in both come once a task.
     """
     spark = docs.sparkSession
-    modest_batches(spark)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    code = F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))).alias("code")  # finds texts without an id
-    rows = durable(profile(source.select("doc_id", code, "text"), "text", shingle, ["doc_id", "code"]))
-    classes = durable(rows.where("digest is not null").groupBy(F.col("digest").alias("node"), "bands").agg(F.min("doc_id").alias("low"), F.min("code").alias("code")))
+    row = F.unhex(F.concat(F.md5(F.col("text").cast("binary")), F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0"))).alias("row")
+    rows = durable(profile(source.select("doc_id", row, "text"), "text", shingle, ["doc_id", "row"]))
+    classes = durable(rows.where("digest is not null").groupBy(F.col("digest").alias("node"), "bands").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")))
     keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     members = durable(keys.join(shared, ["band", "key"]))
     degree = members.groupBy("node").agg(F.sum("m").alias("degree"))
 
-    active = classes.join(degree.select("node"), "node", "left_semi").select("node", F.col("low").alias("doc_id"), "code")
-    texts = source.join(active.where("doc_id is not null").drop("code"), "doc_id").select("node", "text")
-    nameless = source.where("doc_id is null").select(code, "text").dropDuplicates(["code"])
-    texts = texts.unionByName(nameless.join(active.where("doc_id is null").drop("doc_id"), "code").select("node", "text"))
-    detail = durable(details(texts, "text", shingle).dropDuplicates(["node"]))
+    active = classes.join(degree.select("node"), "node", "left_semi").select("node", "row")
+    detail = durable(details(source.select(row, "text").join(active, "row"), "text", shingle).dropDuplicates(["node"]))
 
     ranked = members.join(degree, "node")
     pivots = ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "node")).alias("p"))
@@ -265,8 +289,8 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = durable(_verify(pairs, detail, percent, miss))
     labels = components(edges)
     state = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = state.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).where("l0 <> l1")
-    found = durable(_leftovers(state.join(open_.select("band", "key", "m"), ["band", "key"]), detail, percent, miss))
+    open_ = state.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "key")
+    found = durable(_leftovers(_with_top(state.join(open_, ["band", "key"])), detail, percent, miss))
     if found.limit(1).count():
         labels = components(edges.unionByName(found))
 
