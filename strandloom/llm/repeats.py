@@ -6,16 +6,20 @@
    anchors than windows. Anchors are counted over the whole corpus.
 2. Anchors seen at least twice are marked in a bitmap of fixed size; a false
    mark costs work, never a wrong result.
-3. Stretches of text whose windows select a marked anchor go to the shard of
-   that anchor. A shard confirms on the words themselves which windows recur,
-   joins confirmed windows to passages, compiles the passages into
-   Aho-Corasick automata of bounded size and streams every stretch through
-   them, which locates each occurrence.
-4. Located spans return to the texts, and the words they cover are left out.
-
-Texts are named by their MD5, so a text that many rows repeat is handled once
-for each batch. Anchors seen very often go to shards by whole window instead
-of by anchor, so that no anchor's stretches meet in one task.
+3. Passages. Stretches of text whose windows select a marked anchor go to the
+   shard of that anchor, which confirms on the words themselves what recurs
+   and keeps the distinct recurring passages, without places.
+4. Automata. Each shard compiles its passages into Aho-Corasick automata of
+   bounded size and streams the stretches of all documents through them. What
+   an automaton finds in a stretch, and nothing else, is removed from every
+   place that the stretch has in a text.
+
+A document is sent to the shards of its own anchors only: a shard's automata
+hold all passages that a stretch can contain, and streaming every document
+through every shard would grow with the square of the corpus. Texts are named
+by their MD5, so a text that many rows repeat is handled once for each batch.
+Anchors seen very often go to shards by whole window instead of by anchor, so
+that no anchor's stretches meet in one task.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .scratch import durable, modest_batches
+from .scratch import stored
 
 MARK_BITS, HOT_BITS, HOT_COUNT = 28, 20, 20_000
 PLACE = np.uint64((1 << 30) - 1)
-AUTOMATON_WORDS = 400_000
+AUTOMATON_BYTES, POOL_BYTES = 3 << 20, 24 << 20
 
 
 def selected(w: kernel.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,54 +100,87 @@ def _marked(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 def _stretches(docs: DataFrame, marks, window: int, phrase: int) -> DataFrame:
-    """Rows (route, seg, words, text_key, start, n) of stretches with a marked anchor.
+    """Stretches with a marked anchor: rows (seg, text_key, start) for their places, and rows (seg, route, words, n) for their words.
 
-    A batch gives the words of equal stretches once, with their number n; the other rows have null words.
+    A task sends the words of equal stretches once for each POOL_BYTES of different ones, with their number n.
     """
+    names = ["seg", "text_key", "start", "route", "words", "n"]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+
+    def batch_of(*cols: list) -> pa.RecordBatch:
+        size = len(cols[0])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) if c is not None else pa.nulls(size, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, hot = marks.value
+        pool: dict[bytes, list] = {}
+        held = 0
         for batch in kernel.sliced(batches, 0):
             data, o = kernel.buffers(batch.column(0))
-            copies = Counter(hashlib.md5(data[o[i] : o[i + 1]]).digest() for i in range(len(o) - 1))
+            digests = [hashlib.md5(data[o[i] : o[i + 1]]).digest() for i in range(len(o) - 1)]
+            copies = Counter(digests)
             w = kernel.words(batch.column(0))
             anchor, first, last = selected(w, window, phrase)
             stay = _marked(mark, anchor)
             anchor, first, last = anchor[stay], first[stay], last[stay]
             often = _marked(hot, anchor)
             doc = np.searchsorted(w.first, first, "right") - 1
-            cols: list[list] = [[], [], [], [], [], []]
+            segs: list[bytes] = []
+            texts: list[bytes] = []
+            starts: list[int] = []
             seen: dict[bytes, int] = {}
-            row: dict[bytes, int] = {}
-            keys: dict[int, bytes | None] = {}
             for a, s, e, d, h in zip(anchor.view(np.int64).tolist(), first.tolist(), last.tolist(), doc.tolist(), often.tolist(), strict=True):
-                if d not in keys:
-                    key = hashlib.md5(data[o[d] : o[d + 1]]).digest()
-                    keys[d] = key if seen.setdefault(key, d) == d else None
-                if (key := keys[d]) is None:
+                key = digests[d]
+                if seen.setdefault(key, d) != d:
                     continue
                 for x, y in [(i, i) for i in range(s, e + 1)] if h else [(s, e)]:
                     text = b" ".join(w.text(x, y + window).split())
                     seg = hashlib.blake2b(text, digest_size=16).digest()
-                    if (there := row.setdefault(seg, len(cols[0]))) < len(cols[0]):  # its words go to the shard once a batch
-                        cols[5][there] += copies[key]
-                        text = None
-                    for col, value in zip(cols, (int.from_bytes(seg[:8], "little", signed=True) if h else a, seg, text, key, x - int(w.first[d]), copies[key] if text is not None else 0), strict=True):
-                        col.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["route", "seg", "words", "text_key", "start", "n"])
-
-    return docs.mapInArrow(run, "route long, seg binary, words binary, text_key binary, start long, n long")
-
-
-def _confirmed(group: dict[bytes, list], window: int) -> Iterator[tuple[bytes, list[tuple[int, int]], list[bytes]]]:
-    """Of one route's stretches: the spans of words that recurring windows cover."""
-    total = sum(n for n, _ in group.values())
-    if total < 2:
-        return
-    cut = {}
+                    if (there := pool.get(seg)) is not None:
+                        there[2] += copies[key]
+                    else:
+                        pool[seg] = [int.from_bytes(seg[:8], "little", signed=True) if h else a, text, copies[key]]
+                        held += len(text) + 200
+                    segs.append(seg)
+                    texts.append(key)
+                    starts.append(x - int(w.first[d]))
+            yield batch_of(segs, texts, starts, None, None, None)
+            if held > POOL_BYTES:
+                yield batch_of(list(pool), None, None, *map(list, zip(*pool.values())))
+                pool, held = {}, 0
+        if pool:
+            yield batch_of(list(pool), None, None, *map(list, zip(*pool.values())))
+
+    return docs.mapInArrow(run, "seg binary, text_key binary, start long, route long, words binary, n long")
+
+
+def _by_route(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows with one route (the first column), the other columns as tuples."""
+    route, rows = None, []
+    for batch in batches:
+        for r, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r != route:
+                if rows:
+                    yield route, rows
+                route, rows = r, []
+            rows.append(tuple(rest))
+    if rows:
+        yield route, rows
+
+
+def _passages(rows: list[tuple], window: int) -> tuple[set[bytes], dict[bytes, bytes]]:
+    """Of one route's rows (seg, words, n): the distinct recurring passages, and the distinct stretches in which one may be.
+
+    A passage is a longest run of recurring windows of a stretch.
+    """
+    group: dict[bytes, list] = {}
+    for seg, text, n in rows:
+        group.setdefault(seg, [text, 0])[1] += n
+    if sum(n for _, n in group.values()) < 2:
+        return set(), {}
     counts: Counter = Counter()
-    for seg, (n, text) in group.items():
+    cut = {}
+    for seg, (text, n) in group.items():
         at = [-1]
         while (k := text.find(b" ", at[-1] + 1)) >= 0:
             at.append(k)
@@ -152,33 +189,55 @@ def _confirmed(group: dict[bytes, list], window: int) -> Iterator[tuple[bytes, l
         if len(group) > 1:
             for i in range(len(at) - window):
                 counts[text[at[i] + 1 : at[i + window]]] += n
-    for seg, (n, text) in group.items():
-        at, spans = cut[seg], []
-        for i in range(len(at) - window):
-            if n > 1 or counts[text[at[i] + 1 : at[i + window]]] > 1:
-                if spans and i <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], i + window)
-                else:
-                    spans.append((i, i + window))
-        if spans:
-            yield seg, spans, text.split(b" ")
+    passages, streamed = set(), {}
+    for seg, (text, n) in group.items():
+        at, begin = cut[seg], -1
+        for i in range(len(at) - window + 1):
+            if i < len(at) - window and (n > 1 or counts[text[at[i] + 1 : at[i + window]]] > 1):
+                begin = i if begin < 0 else begin
+            elif begin >= 0:
+                passages.add(text[at[begin] + 1 : at[i - 1 + window]])
+                streamed[seg] = text
+                begin = -1
+    return passages, streamed
+
+
+def _confirmed(stretches: DataFrame, window: int) -> DataFrame:
+    """Rows (route, seg, words): the recurring passages (seg null) of each route, and the distinct stretches to be streamed."""
 
-
-def _locate(stretches: DataFrame, window: int) -> DataFrame:
-    """Rows (seg, spans): where confirmed passages occur in each distinct stretch."""
-
-    def stream(batch: list[tuple[bytes, list[tuple[int, int]], list[bytes]]]) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[], [], []]
+        size = 0
+        for route, rows in _by_route(batches):
+            passages, streamed = _passages(rows, window)
+            for seg, text in [*((None, x) for x in passages), *streamed.items()]:
+                for col, value in zip(cols, (route, seg, text), strict=True):
+                    col.append(value)
+                size += len(text)
+            if size > POOL_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["route", "seg", "words"])
+                cols, size = [[], [], []], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["route", "seg", "words"])
+
+    words = stretches.where("words is not null").select("route", "seg", "words", "n")
+    return words.repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, seg binary, words binary")
+
+
+def _located(confirmed: DataFrame) -> DataFrame:
+    """Rows (seg, lo, hi): the words of each distinct stretch at which the automata find passages."""
+
+    def streamed(passages: list[bytes], stretches: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         ids: defaultdict[bytes, int] = defaultdict(lambda: len(ids))
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        texts = [(seg, tuple(ids[x] for x in ws), spans) for seg, spans, ws in batch]
-        for _, ws, spans in texts:
-            for a, b in spans:
-                machine.add_word(ws[a:b], b - a)
+        for text in passages:
+            key = tuple(ids[x] for x in text.split(b" "))
+            machine.add_word(key, len(key))
         machine.make_automaton()
+        unknown = len(ids)
         segs, lows, highs = [], [], []
-        for seg, ws, _ in texts:
+        for seg, text in stretches:
             found: list[tuple[int, int]] = []
-            for a, b in sorted((end + 1 - n, end + 1) for end, n in machine.iter(ws)):
+            for a, b in sorted((end + 1 - n, end + 1) for end, n in machine.iter(tuple(ids.get(x, unknown) for x in text.split(b" ")))):
                 if found and a <= found[-1][1]:
                     found[-1] = (found[-1][0], max(b, found[-1][1]))
                 else:
@@ -189,25 +248,23 @@ def _locate(stretches: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["seg", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        route, group, pool, size = None, {}, [], 0
-        for batch in batches:
-            for r, seg, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != route:
-                    pool += (got := list(_confirmed(group, window)))
-                    size += sum(len(ws) for _, _, ws in got)
-                    route, group = r, {}
-                    if size >= AUTOMATON_WORDS:
-                        yield stream(pool)
-                        pool, size = [], 0
-                if seg in group:
-                    group[seg][0] += n
+        passages: list[bytes] = []
+        stretches: list[tuple[bytes, bytes]] = []
+        size = 0
+        for _, rows in _by_route(batches):
+            for seg, text in rows:
+                size += len(text)
+                if seg is None:
+                    passages.append(text)
                 else:
-                    group[seg] = [n, text]
-        pool += _confirmed(group, window)
-        if pool:
-            yield stream(pool)
+                    stretches.append((seg, text))
+            if size > AUTOMATON_BYTES and passages:
+                yield streamed(passages, stretches)
+                passages, stretches, size = [], [], 0
+        if passages:
+            yield streamed(passages, stretches)
 
-    return stretches.where("words is not null").select("route", "seg", "words", "n").repartition("route").sortWithinPartitions("route").mapInArrow(run, "seg binary, lo long, hi long")
+    return confirmed.repartition("route").sortWithinPartitions("route").mapInArrow(run, "seg binary, lo long, hi long")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, phrase: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -223,13 +280,13 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     no windows. Other columns are not read unless ``keep`` names them.
     """
     spark = docs.sparkSession
-    modest_batches(spark)
     texts = docs.select(F.col(text).alias("text"))
     marks = spark.sparkContext.broadcast(_bitmaps(_anchors(texts, window, phrase)))
-    stretches = durable(_stretches(texts, marks, window, phrase))
-    located = _locate(stretches, window)
+    stretches = stored(_stretches(texts, marks, window, phrase), "stretches")
+    located = _located(_confirmed(stretches, window))
     spans = (
-        stretches.select("seg", "text_key", "start")
+        stretches.where("start is not null")
+        .select("seg", "text_key", "start")
         .join(located, "seg")
         .select("text_key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("span"))
         .groupBy("text_key")

@@ -1,34 +1,23 @@
-"""Lineage cuts that outlive an executor."""
+"""Tables in the shared folder that outlive an executor."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..operators.lineage import durable, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new one is set only where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="strandloom-checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
+__all__ = ["durable", "shared_dir", "stored"]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Rows written once to the shared checkpoint folder and read from there.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of its own in the shared folder.
 
-    Spark deletes the files once no plan refers to them when
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    Compressed by column, so wide intermediate rows take a fraction of a
+    checkpoint's space. The folder may be removed once all results that read
+    it have been written.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def modest_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes, since rows hold from none to very many of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
