@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .scratch import modest_batches
 
 PASSAGE, RANK, SPARE, SUMS = 64, 64, 8, 16
 ITEMS = 1024
@@ -137,7 +136,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     columns are not read.
     """
     spark = docs.sparkSession
-    modest_batches(spark)
     has_answer = "answer" in benchmark.columns
     items = benchmark.select(F.col("item_id"), F.col("text"), (F.col("answer") if has_answer else F.lit(None)).cast("string").alias("answer")).where("text is not null")
     blocks = max(1, -(-items.count() // ITEMS))

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nearest, shards, warc
+from .decontam import contaminated
+from .neardup import similar_classes
+from .packing import packed
+from .quality import quality
+from .repeats import without_repeats
+from .tokencount import token_counts
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,70 +23,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .neardup import similar_classes
-
     return similar_classes(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .repeats import without_repeats
-
     done = without_repeats(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import toxicity
-
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def op8_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import quality
-
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def op4_decontamination_lsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontam import contaminated
-
     found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "common_words", "item_words")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
     return public_tokenizers.path(name)
 
 
 def op5_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import packed
-
     return packed(_table(spark, sf_dir, "documents"), vocabulary_path(), size=1024, with_ids=False)
 
 
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .shards import sharded
-
-    return sharded(_table(spark, sf_dir, "documents"), [1.0] * 16)
+    return shards.sharded(_table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import archived
-
-    return archived(_table(spark, sf_dir, "pages"))
+    return warc.archived(_table(spark, sf_dir, "pages"))
 
 
 def op6_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .nearest import nearest
-
-    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tokencount import token_counts
-
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 

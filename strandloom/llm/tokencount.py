@@ -18,7 +18,6 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from . import kernel
-from .scratch import modest_batches
 
 SPACE = "▁"
 UNKNOWN = -30.0
@@ -94,7 +93,6 @@ def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     ``long_words`` characters are counted alike but not kept in the trie. Rows
     that repeat and null ids are counted each. Other columns are not read.
     """
-    modest_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

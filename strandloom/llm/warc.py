@@ -9,15 +9,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .scratch import durable, modest_batches, shared_dir
+from .scratch import durable, shared_dir
 
 REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
+#: A payload of more rows than both HOT_ROWS and a part in HOT_SHARE of all repeats is hot, so there are at most HOT_SHARE of them.
+HOT_ROWS, HOT_SHARE = 10_000, 1_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -33,9 +35,9 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def record_of(page: str, url: str, payload: bytes, digest: str, refers: str | None) -> bytes:
-    """A response with its payload, or a revisit that names the response's record."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record_of(page: str, url: str, payload: bytes, size: int, digest: str, refers: str | None) -> bytes:
+    """A response with its payload, or a revisit that names the response's record; size and digest are those of the full payload."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload if refers is None else b"")
     fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if url:
@@ -46,107 +48,181 @@ def record_of(page: str, url: str, payload: bytes, digest: str, refers: str | No
     return _record(fields, block)
 
 
-def members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, each inflated piece by piece as its bytes come in."""
-    z, out, begun = zlib.decompressobj(31), [], False
-    rest = b""
-    while True:
-        data = rest or stream.read(CHUNK)
-        if not data:
-            break
-        begun = True
-        out.append(z.decompress(data))
-        rest = b""
+class Record:
+    """One record that is taken in piece by piece: header, Content-Length bytes of block, two line ends.
+
+    Only the header, and the payload where it is asked for, are held; the
+    digests grow with the pieces. ``finish`` verifies all of them.
+    """
+
+    def __init__(self, payload: bool = True):
+        self.head = bytearray()
+        self.fields: dict[str, str] | None = None
+        self.http: bytearray | None = bytearray()
+        self.left, self.seen = 0, 0
+        self.tail = bytearray()
+        self.block, self.body = hashlib.sha256(), hashlib.sha256()
+        self.payload = bytearray() if payload else None
+
+    def feed(self, data: bytes) -> None:
+        if self.fields is None:
+            self.head += data
+            at = self.head.find(b"\r\n\r\n")
+            if at < 0:
+                return
+            lines, data = self.head[:at].decode().split("\r\n"), bytes(self.head[at + 4 :])
+            if lines[0] != "WARC/1.1":
+                raise ValueError("not a WARC record")
+            self.fields = dict(line.split(": ", 1) for line in lines[1:])
+            self.left = int(self.fields["Content-Length"])
+        part, rest = data[: self.left], data[self.left :]
+        self.left -= len(part)
+        self.block.update(part)
+        if self.http is not None:
+            self.http += part
+            at = self.http.find(b"\r\n\r\n")
+            if at >= 0:
+                part = bytes(self.http[at + 4 :])
+                self.stated = int(dict(x.split(": ", 1) for x in self.http[:at].decode().split("\r\n")[1:])["Content-Length"])
+                self.http = None
+        if self.http is None:
+            self.body.update(part)
+            self.seen += len(part)
+            if self.payload is not None:
+                self.payload += part
+        self.tail += rest
+        if len(self.tail) > 4:
+            raise ValueError("content length does not frame the record")
+
+    def finish(self) -> dict:
+        """Fields and payload; an error if framing or a digest does not hold."""
+        if self.fields is None or self.left or self.tail != b"\r\n\r\n" or self.http is not None:
+            raise ValueError("content length does not frame the record")
+        fields = self.fields
+        if fields["WARC-Block-Digest"] != f"sha256:{self.block.hexdigest()}":
+            raise ValueError("block digest differs")
+        digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+        if fields["WARC-Type"] == "response" and (self.seen != self.stated or self.body.hexdigest() != digest):
+            raise ValueError("payload digest differs")
+        name = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else None
+        got = {"page": name("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "type": fields["WARC-Type"], "refers": name("WARC-Refers-To"), "digest": digest, "bytes": self.stated}
+        return got | ({"payload": bytes(self.payload)} if self.payload is not None else {})
+
+
+def records(stream, payload: bool = True) -> Iterator[dict]:
+    """The records of a stream of gzip members: each member is inflated CHUNK bytes at a time into its record."""
+    z, record = zlib.decompressobj(31), None
+    data = b""
+    while data or (data := stream.read(CHUNK)):
+        record = record or Record(payload)
+        record.feed(z.decompress(data, CHUNK))
         if z.eof:
-            yield b"".join(out)
-            rest, out, begun = z.unused_data, [], False
-            z = zlib.decompressobj(31)
-    if begun:
+            yield record.finish()
+            data, z, record = z.unused_data, zlib.decompressobj(31), None
+        else:
+            data = z.unconsumed_tail
+    if record:
         raise ValueError("archive ends within a record")
 
 
-def parse(raw: bytes) -> dict:
-    """Fields and payload of a record; its framing and digests are verified."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if lines[0] != "WARC/1.1":
-        raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    size = int(fields["Content-Length"])
-    block, tail = body[:size], body[size:]
-    if len(block) != size or tail != b"\r\n\r\n":
-        raise ValueError("content length does not frame the record")
-    if fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
-        raise ValueError("block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    if fields["WARC-Type"] == "response" and (len(payload) != stated or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("payload digest differs")
-    name = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else None
-    return {"page": name("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "type": fields["WARC-Type"], "refers": name("WARC-Refers-To"), "digest": digest, "bytes": stated, "payload": payload}
+def _roles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The response (low, low_url, and same: the number of rows with both) of each payload that repeats: of hot ones, at most HOT_SHARE of them, and of the others."""
+    light = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes", "page_id", "url").agg(F.count("*").alias("same"))
+    counts = light.groupBy("digest", "bytes").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "same"))).alias("r"), F.sum("same").alias("n"))
+    counts = durable(counts.where("n > 1 and r is not null").select("digest", "bytes", F.col("r.page_id").alias("low"), F.col("r.url").alias("low_url"), F.col("r.same").alias("same"), "n"))
+    least = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    return counts.where(F.col("n") > least).drop("n"), counts.where(F.col("n") <= least).drop("n")
 
 
 def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archive a table (page_id, url, html); one row (path, records) for each file.
 
     The payload is html in UTF-8; null is empty. Of the rows with equal
-    payloads of at least REVISIT_BYTES bytes, those with the smallest page_id
-    are responses and the others revisits that refer to it; smaller payloads
-    are all responses. A null page_id never is the smallest, unless all are
-    null: then all are responses. Rows that repeat the smallest id are stored
-    whole each. Each task writes a file under a name of its own and only
-    files of successful tasks are listed, so a lost executor leaves no record
-    twice. An empty table gives no files. Other columns are not read.
+    payloads of at least REVISIT_BYTES bytes, that with the smallest page_id
+    is the response and the others are revisits that refer to it; smaller
+    payloads are all responses. Of several rows with that page_id, the one
+    with the smallest url is the response, and of equal rows any one. A null
+    page_id never is the smallest: such rows refer to the smallest, or are
+    responses when all ids are null. Each task writes a file under a name of
+    its own and only files of successful tasks are listed, so a lost executor
+    leaves no record twice. An empty table gives no files. Other columns are
+    not read. The folder stays until its owner removes it.
+
+    A payload that very many rows repeat is matched by a broadcast of at most
+    HOT_SHARE rows; its rows do not meet in one task.
     """
     spark = pages.sparkSession
-    modest_batches(spark)
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col("page_id").cast("string").alias("page"), F.col("page_id").alias("page_id"), F.col("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    light = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1 and low is not null")
-    rows = rows.join(light, "digest", "left")
-    refers = F.when(F.coalesce(F.col("page_id") != F.col("low"), F.col("low").isNotNull()), F.col("low").cast("string"))
-    rows = rows.select(F.coalesce("page", F.lit("null")).alias("page"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), "payload", "digest", refers.alias("refers"))
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select("page_id", url.alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    hot, others = _roles(rows.drop("payload"))
+    rows = rows.join(F.broadcast(hot.select("digest", F.col("low").alias("h"), F.col("low_url").alias("h_url"))), "digest", "left")
+    # rows of hot payloads have keys of their own, dealt by input partition, and meet nothing
+    rows = rows.withColumn("match", F.when(F.col("h").isNull(), F.col("digest")).otherwise(F.concat_ws("#", "digest", F.spark_partition_id())))
+    rows = rows.join(others.select(F.col("digest").alias("match"), "low", "low_url"), "match", "left").withColumns({"low": F.coalesce("h", "low"), "low_url": F.coalesce("h_url", "low_url")})
+    is_low = F.coalesce((F.col("page_id") == F.col("low")) & (F.col("url") == F.col("low_url")), F.lit(False))
+    long_ = F.col("bytes") >= REVISIT_BYTES
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page")
+
+    def shaped(df: DataFrame, revisit: Column) -> DataFrame:
+        return df.select(page, "url", F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload")).alias("payload"), "bytes", "digest", F.when(revisit, F.col("low").cast("string")).alias("refers"))
+
+    records_ = shaped(rows, long_ & F.col("low").isNotNull() & ~is_low)
+    again = hot.unionByName(others).where("same > 1")
+    if again.limit(1).count():  # several rows have the response's id and url: one of them stays the response
+        keys = ["page_id", "url", "digest"]
+        same = again.select(F.col("low").alias("page_id"), F.col("low_url").alias("url"), "digest", "bytes", F.col("same").alias("n"))
+        rest = rows.join(same.select(*keys, F.lit(True).alias("repeats")), keys, "left").where(F.col("repeats").isNull())
+        one = pages.select("page_id", url.alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest")).join(same.select(*keys, "bytes"), keys).dropDuplicates(keys)
+        # the repeats of equal rows are revisits, which carry no payload: their number is enough
+        steps = same.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 2) div 100000"))))
+        steps = steps.withColumn("i", F.explode(F.sequence(F.col("c") * 100_000, F.least(F.col("n") - 1, (F.col("c") + 1) * 100_000) - 1)))
+        records_ = (
+            shaped(rest, long_ & F.col("low").isNotNull() & ~is_low)
+            .unionByName(one.select(page, "url", "payload", "bytes", "digest", F.lit(None).cast("string").alias("refers")))
+            .unionByName(steps.select(page, "url", F.lit("").cast("binary").alias("payload"), "bytes", "digest", F.col("page_id").cast("string").alias("refers")))
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
         path, n, out = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in kernel.sliced(batches, 2):
-            for page, url, body, digest, refers in zip(*batch.columns, strict=True):
+            for row in zip(*batch.columns, strict=True):
                 out = out or system.open_output_stream(path, compression=None)
-                out.write(record_of(page.as_py(), url.as_py(), body.as_py(), digest.as_py(), refers.as_py()))
+                out.write(record_of(*(x.as_py() for x in row)))
                 n += 1
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rsplit('/', 1)[1]}"]), pa.array([n])], names=["path", "records"])
 
-    return durable(rows.mapInArrow(run, "path string, records long"))
+    return durable(records_.mapInArrow(run, "path string, records long"))
 
 
-def read_warc(files: DataFrame, spark: SparkSession | None = None, payload: bool = True) -> DataFrame:
+def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
     """Records of the listed archives (column path): page, url, type, refers, digest, bytes, and payload if asked for.
 
-    Each file is read once, in order, and never held as a whole; a record that
-    is cut short, framed wrongly or fails a digest stops the read. Revisits
-    have the stated length and digest of the full payload, and no payload.
+    A task reads a file, once, in order, and holds CHUNK bytes of it and the
+    records of an output batch; a record that is cut short, framed wrongly or
+    fails a digest stops the read. Revisits have the stated length and digest
+    of the full payload, and no payload. An empty list gives no rows.
     """
     names = ["page", "url", "type", "refers", "digest", "bytes", *["payload"] * payload]
+    kinds = {"bytes": pa.int64(), "payload": pa.binary()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            kinds = {"bytes": pa.int64(), "payload": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names], names=names)
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, name = _open(path)
                 rows, size = [], 0
                 with system.open_input_stream(name, compression=None) as stream:
-                    for raw in members(stream):
-                        rows.append(parse(raw))
-                        size += len(raw)
+                    for record in records(stream, payload):
+                        rows.append(record)
+                        size += 300 + len(record.get("payload", b""))
                         if size > 4 << 20:
                             yield batch_of(rows)
                             rows, size = [], 0
@@ -154,7 +230,7 @@ def read_warc(files: DataFrame, spark: SparkSession | None = None, payload: bool
                     yield batch_of(rows)
 
     schema = "page string, url string, type string, refers string, digest string, bytes long" + ", payload binary" * payload
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, schema)  # dealt in turn: a file a task
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -166,10 +242,10 @@ def archived(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
-q as (select *, min(page_id) over (partition by payload_digest) as low from p)
+with p as (select page_id, coalesce(url, '') as url, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+q as (select *, min(page_id) over (partition by payload_digest) as low, row_number() over (partition by payload_digest order by page_id nulls last, url) as place from p)
 select page_id, payload_bytes, payload_digest,
-    case when payload_bytes >= 100 and low is not null and (page_id is null or page_id <> low) then 'revisit' else 'response' end as record_type,
-    case when payload_bytes >= 100 and low is not null and (page_id is null or page_id <> low) then low end as refers_to
+    case when payload_bytes >= 100 and low is not null and place > 1 then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= 100 and low is not null and place > 1 then low end as refers_to
 from q
 """

@@ -1,6 +1,7 @@
 """Operators with exact definitions, against brute force on rows with nulls, empty and long texts, ties and repeats."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -61,7 +62,7 @@ def sets_of(rows, k):
 
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, k, percent):
-    rows = [r for r in corpus(2) if r[0] is not None]
+    rows = corpus(2) + [(77, t) for _, t in corpus(12)[:40]]
     sets = sets_of(rows, k)
     parent = list(range(len(rows)))
 
@@ -75,12 +76,37 @@ def test_near_duplicates(spark, k, percent):
             both = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 parent[root(a)] = root(b)
-    low = {}
-    for x in range(len(rows)):
-        low[root(x)] = min(low.get(root(x), 1 << 60), rows[x][0])
-    want = sorted((rows[x][0], len(sets[x]), low[root(x)], rows[x][0] == low[root(x)]) for x in range(len(rows)))
+    ids = lambda x: [rows[y][0] for y in range(len(rows)) if root(y) == root(x) and rows[y][0] is not None]
+    low = [min(ids(x), default=None) for x in range(len(rows))]
+    want = sorted(str((rows[x][0], len(sets[x]), low[x], rows[x][0] == low[x])) for x in range(len(rows)))
     got = neardup.similar_classes(frame(spark, rows), shingle=k, percent=percent).collect()
-    assert sorted(map(tuple, got)) == want
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert neardup.similar_classes(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_near_duplicates_of_one_id_cost_a_row_each(spark, monkeypatch):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    rows = [(7, " ".join([*base[:-2], f"w{i}", f"v{i}"])) for i in range(5000)] + [(9, " ".join(base))]
+    seen = []
+    profile = neardup.details
+    monkeypatch.setattr(neardup, "details", lambda docs, *a: (seen.append(docs.count()), profile(docs, *a))[1])
+    got = neardup.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(7, 7), (9, 7)} and len(got) == 5001
+    assert seen == [5001]
+
+
+def test_near_duplicate_cells_grow_with_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    rows = [(0, 1, bytes([x % 256, x // 256]), b"t" if x < 1000 else bytes([x % 256, 9])) for x in range(1007)]
+    members = neardup._with_top(spark.createDataFrame(rows, "band int, key long, node binary, label binary"))
+    cells = neardup._cells(members).collect()
+    assert len(cells) == 1000 + 7 * 101  # each top row once; the seven others with each of 100 blocks, and with themselves
+    together = collections.defaultdict(list)
+    for r in cells:
+        together[r["i"], r["j"]].append((bytes(r["node"]), bytes(r["label"])))
+    met = {frozenset((a[0], b[0])) for rows_ in together.values() for a in rows_ for b in rows_ if a[1] != b[1]}
+    assert len(met) == 7 * 1000 + 7 * 6 // 2
 
 
 def test_near_duplicate_cells_decide_all_pairs():
@@ -126,14 +152,29 @@ def test_repeats(spark, monkeypatch):
         monkeypatch.setattr(repeats, "HOT_COUNT", hot)
         got = repeats.without_repeats(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept").collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
+    assert repeats.without_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_repeats_are_what_the_automata_find(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in corpus(3)], "doc_id long, text string")
+    whole = repeats._located
+
+    def nothing_found(confirmed):
+        return whole(confirmed.where("seg is not null"))  # streams all stretches, without the passages
+
+    assert repeats.without_repeats(rows).agg(F.sum("n_removed")).first()[0] > 0
+    monkeypatch.setattr(repeats, "_located", nothing_found)
+    assert repeats.without_repeats(rows).agg(F.sum("n_removed")).first()[0] == 0
+
+
+NAME = "<|endoftext|>"
 
 
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    rows = corpus(4)
+    rows = corpus(4) + [(2000 + i, t) for i, t in enumerate([f"a {NAME} b", NAME, NAME * 3, f" {NAME}\n{NAME} x y ", f"it's{NAME}we'll", f"<|{NAME}|>"])]
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     out = packing.packed(frame(spark, rows), vocabulary_path(), size=128).toPandas()
     ids = {}
     for i, x in rows:
@@ -148,6 +189,26 @@ def test_packing(spark):
     for _, part in out.groupby("sequence_id"):
         part = part.sort_values("offset")
         assert part["length"].sum() <= 128 and part["offset"].tolist() == [0, *part["length"].cumsum().tolist()[:-1]]
+    assert packing.packed(frame(spark, rows).limit(0), vocabulary_path()).count() == 0
+
+
+def test_packing_cuts_at_ends(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(" ".join(word() for _ in range(rng.randint(3, 12))) + "." for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    texts += [" ".join(word() for _ in range(3000)), "version 1.2.3 of x.y.z " * 30]
+    enc = packing.encoder(vocabulary_path())
+    coded = [np.frombuffer(x + b"\0\0\0\0", "<u4") for x in enc(texts)]
+    ids, doc_end = np.concatenate(coded), np.cumsum([len(x) for x in coded])
+    at, penalty = packing.places(ids, enc, doc_end, 256, 16, 4, 8)
+    stop = at[packing.cuts(at, penalty, 256)]
+    kind = penalty[np.searchsorted(at, stop)]
+    ends = set(doc_end.tolist()) | {i + 1 for i in range(len(ids) - 1) if enc.bpe.decode([int(ids[i])])[-1:] == "." and enc.bpe.decode([int(ids[i + 1])])[:1] == " "}
+    for e, k in zip(stop.tolist(), kind.tolist()):
+        assert (e in ends) == (k < 8)
+        if k == 8:
+            assert not any(x in ends for x in range(e - 256 + 1, e + 1))
+    assert set(kind.tolist()) == {0, 4, 8}
 
 
 def test_packing_cuts_are_the_best():
@@ -172,7 +233,6 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     enc = packing.Encoder(vocabulary_path())
     texts = ["", "a", " a", "a ", "a  b", "a \n b", "\n\na b\tc", "it's we'll", "é ü  x y z", "1 22 x3", "<|endoftext|> a", "日本 語", "a　 b", "\r\n x"]
     texts += [x for _, x in corpus(6) if x]
@@ -181,7 +241,7 @@ def test_encoder_equals_the_library():
 
 
 def test_shards(spark):
-    rows = corpus(7)
+    rows = corpus(7) + [(5, f"text {i}") for i in range(300)] + [(None, f"none {i % 40}") for i in range(300)]
     a = shards.sharded(frame(spark, rows), [1.0] * 16).collect()
     assert len(a) == len(rows)
     for s in {r["shard"] for r in a}:
@@ -189,34 +249,54 @@ def test_shards(spark):
     assert all(r["grown_shard"] in (r["shard"], 16) for r in a)
     want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in a) == want
+    assert len({(r["doc_id"], r["shard"]) for r in a}) == len({i for i, _ in rows})
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     share = {r["shard"]: r["count"] for r in shards.sharded(big, [1.0, 3.0]).groupBy("shard").count().collect()}
     assert abs(share[1] / 20000 - 0.75) < 0.02
+    assert shards.sharded(big.limit(0), [1.0] * 16).count() == 0
 
 
 def test_warc(spark):
-    body = "<p>" + "é" * 80
-    rows = [(5, "http://a", body), (2, "http://b", body), (9, None, None), (7, "x", "tiny"), (8, "x", "tiny"), (None, "n", body), (2, "again", body)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {(r["page_id"], r["record_type"], r["refers_to"]): (r["payload_bytes"], r["payload_digest"]) for r in warc.archived(df).collect()}
+    body, long_ = "<p>" + "é" * 80, "".join(chr(97 + i * i % 26) for i in range(300_000))
+    rows = [(5, "http://a", body), (2, "http://b", body), (9, None, None), (7, "x", "tiny"), (8, "x", "tiny"), (None, "n", body), (2, "again", body), (2, "again", body)]
+    rows += [(20, "l", long_), (21, "l", long_), (None, "m", "z" * 200), (None, "m", "z" * 200), *[(30 + i, f"u{i}", "hot" * 50) for i in range(60)]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "low": F.lit("x"), "n": F.lit(2), "match": F.lit(0)})
     full = (len(body.encode()), hashlib.sha256(body.encode()).hexdigest())
-    assert got[2, "response", None] == got[5, "revisit", 2] == got[None, "revisit", 2] == full
-    assert got[9, "response", None] == (0, hashlib.sha256(b"").hexdigest())
-    assert (7, "response", None) in got and (8, "response", None) in got
-    whole = warc.read_warc(warc.write_warc(df)).where("type = 'response' and bytes > 100").first()
-    assert bytes(whole["payload"]).decode() == body
+    for hot in (10_000, 20):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(warc, "HOT_ROWS", hot)
+            m.setattr(warc, "HOT_SHARE", 50)
+            got = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archived(df).collect())
+        assert sum(got.values()) == len(rows)
+        # of the three rows with the smallest id, one with the smallest url is the response
+        assert got[2, "response", None] == 1 and got[2, "revisit", 2] == 2 and got[5, "revisit", 2] == 1 and got[None, "revisit", 2] == 1
+        assert got[9, "response", None] == got[7, "response", None] == got[8, "response", None] == 1
+        assert got[20, "response", None] == got[21, "revisit", 20] == 1 and got[None, "response", None] == 2
+        assert got[30, "response", None] == 1 and all(got[30 + i, "revisit", 30] == 1 for i in range(1, 60))
+    sizes = {(r["page_id"], r["record_type"]): (r["payload_bytes"], r["payload_digest"]) for r in warc.archived(df).collect()}
+    assert sizes[2, "response"] == sizes[5, "revisit"] == full and sizes[9, "response"] == (0, hashlib.sha256(b"").hexdigest())
+    files = warc.write_warc(df)
+    read = warc.read_warc(files)
+    assert read.rdd.getNumPartitions() == files.count() > 1
+    texts = {(r["page"], r["url"]): bytes(r["payload"]).decode() for r in read.where("type = 'response'").collect()}
+    assert texts["2", "again"] == body and texts["20", "l"] == long_ and texts["9", None] == ""
     assert warc.archived(df.limit(0)).count() == 0
 
 
 def test_warc_reader_verifies():
     import io
 
-    good = warc.record_of("1", "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
-    assert [warc.parse(m)["payload"] for m in warc.members(io.BytesIO(good + good))] == [b"payload"] * 2
-    with pytest.raises(ValueError):
-        list(warc.members(io.BytesIO(good[:-9])))
-    with pytest.raises(ValueError):
-        warc.parse(next(warc.members(io.BytesIO(warc.record_of("1", "u", b"payload", "0" * 64, None)))))
+    payload = bytes(range(256)) * 1000
+    digest = hashlib.sha256(payload).hexdigest()
+    good = warc.record_of("1", "u", payload, len(payload), digest, None)
+    assert [r["payload"] for r in warc.records(io.BytesIO(good + good))] == [payload] * 2
+    assert [r["bytes"] for r in warc.records(io.BytesIO(good + warc.record_of("2", "", b"", len(payload), digest, "1")), payload=False)] == [len(payload)] * 2
+    raw = gzip.decompress(good)
+    bad = [good[:-9], warc.record_of("1", "u", payload, len(payload), "0" * 64, None)]
+    bad += [gzip.compress(x) for x in (raw[:-4], raw[:-9] + b"\r\n\r\n", raw[:-4] + b"x\r\n\r\n", raw.replace(b"\x05\x06", b"\x05\x07", 1), raw.replace(b"WARC/1.1", b"WARC/9.9"), b"")]
+    for data in bad:
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(data)))
 
 
 def test_nearest(spark, monkeypatch):
@@ -237,6 +317,8 @@ def test_nearest(spark, monkeypatch):
         want = sorted((-round(s[i], 12), i) for i in range(400) if i != q)[:20]
         assert got[q] == [(i, round(-x, 9)) for x, i in want]
     assert nearest.nearest(df.limit(0)).count() == 0
+    twice = nearest.nearest(df.where("vec_id < 21").unionByName(df.where("vec_id = 20")), every=20, k=20).orderBy("query_id", "rank", "score").collect()
+    assert {r["query_id"] for r in twice} == {0, 20}
 
 
 def test_token_counts(spark):
@@ -255,6 +337,7 @@ def test_token_counts(spark):
     got = tokencount.token_counts(frame(spark, rows), vocabulary_path("piece_bpe_32k.model")).collect()
     want = sorted((str(i), len((t or "").split()), sum(brute("▁" + w) for w in (t or "").split())) for i, t in rows)
     assert sorted((str(r[0]), r[1], r[2]) for r in got) == want
+    assert tokencount.token_counts(frame(spark, rows).limit(0), vocabulary_path("piece_bpe_32k.model")).count() == 0
     small = tokencount.Trie(scores, limit=5)
     assert [small.count("▁" + w) for w in ("hello", "help", "hello")] == [brute("▁hello"), brute("▁help"), brute("▁hello")]
 
