@@ -104,10 +104,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
 
     docs: doc_id, text; labels: doc_id, toxic. Rows that ``held_out`` names are
     left out. The fit uses a bounded sample of whole texts: about ``positives``
-    confirmed and ``unlabelled`` other rows, chosen by hashes of the id and of
-    the row, and at most ``words`` words that are more frequent in the
-    confirmed ones. Rows equal in id and text are chosen together and come to
-    the driver as one row with their number. The prior is the share of toxic
+    confirmed and ``unlabelled`` rows, chosen by hashes of the id and of the
+    row, and at most ``words`` words that are more frequent in the confirmed
+    ones. Of a confirmed id with many texts about as many are taken as of any
+    other, an equal one once; unlabelled rows equal in id and text are chosen
+    together and come to the driver as one row with their number. The prior is the share of toxic
     rows among all labelled rows of the training side. Without such rows the
     vocabulary is empty and every score is 0.
     """
@@ -120,12 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     prior = min(max(p / n, 1e-4), 0.9)
     chance = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / float(1 << 30)
     # about ``positives`` ids: small enough to send to every task
-    confirmed = F.broadcast(marks.where((F.col("toxic") == 1) & (chance("doc_id", F.lit("sample")) < positives / p)).select("doc_id", F.lit(1).alias("role")))
-    repeats = train.select("doc_id").join(confirmed, "doc_id").count()  # rows of these ids, more than ids where ids repeat
-    taken = train.select("doc_id", "text", chance("doc_id", "text", F.lit("row")).alias("chance")).join(confirmed, "doc_id", "left")
-    as_confirmed = F.col("role").isNotNull() & (F.col("chance") < positives / max(repeats, 1))
-    as_unlabelled = F.col("chance") >= 1 - unlabelled / total
-    sample = taken.where(as_confirmed | as_unlabelled).select("text", as_confirmed.cast("int").alias("role"), as_unlabelled.alias("as_unlabelled"))
+    ids = F.broadcast(marks.where((F.col("toxic") == 1) & (chance("doc_id", F.lit("sample")) < positives / p)).select("doc_id"))
+    texts = durable(train.join(ids, "doc_id").groupBy("doc_id").agg(F.count_distinct(F.xxhash64("text")).alias("texts")))
+    quota = positives / max(texts.count(), 1)
+    confirmed = train.join(F.broadcast(texts), "doc_id").where(chance("doc_id", "text", F.lit("row")) < F.lit(quota) / F.col("texts")).select("doc_id", "text").dropDuplicates()
+    others = train.where(chance("doc_id", "text", F.lit("other")) < unlabelled / total)
+    sample = confirmed.select("text", F.lit(1).alias("role"), F.lit(False).alias("as_unlabelled")).unionByName(others.select("text", F.lit(0).alias("role"), F.lit(True).alias("as_unlabelled")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.sliced(batches, 0):
