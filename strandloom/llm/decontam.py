@@ -1,16 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are the words of the benchmark. One pass over all passages of all
-documents sums, per partition, the terms' passage counts and A'(A W) for the
-passage-term matrix A and a random test matrix W; the weighting by inverse
-document frequency is diagonal and is applied to the sums. From these the
-Nystroem form of the randomised SVD gives the leading right singular vectors
-of the TF-IDF matrix. Windows of the texts and benchmark items are compared by
-cosine in that space; what is close enough and holds enough of an item's
-weight goes to a longest-common-subsequence check and, where the benchmark
-names answers, an answer check. So does every
-window with one of an item's rarest words, of which there are as many as a hit
-may miss and one more: no hit is without one, whatever its cosine.
+1. One pass over all passages of all documents sums, per partition, the terms'
+   passage counts and A'(A W) for the passage-term matrix A and a random test
+   matrix W. Every word of a passage is a term: words of the benchmark each,
+   others by hash in CONTEXT classes, so that the matrix is of bounded size.
+   The weighting by inverse document frequency is diagonal and is applied to
+   the sums. From these the Nystroem form of the randomised SVD gives the
+   leading right singular vectors of the TF-IDF matrix.
+2. Windows of the texts and benchmark items are sums of the latent vectors of
+   their distinct terms. A window whose cosine to an item reaches a bound is a
+   candidate for it; there is no other way to become one.
+3. Candidates are decided on the words: a longest-common-subsequence check
+   and, where the benchmark names answers, an answer check.
 """
 
 from __future__ import annotations
@@ -25,25 +26,45 @@ from pyspark.sql import functions as F
 
 from . import kernel
 
-PASSAGE, RANK, SPARE, SUMS = 64, 64, 8, 16
-ITEMS = 1024
-SPAN = 1 << 16
+PASSAGE, RANK, SPARE = 64, 96, 8
+CONTEXT, CONTEXT_WEIGHT = 4096, 0.4
+ITEMS = 16_384
+COMMON = 0.1
+UNIT, STEPS = 4, 5  # windows are STEPS times as long as their distance, which is UNIT words times a power of 2
+SPAN, PART = 1 << 16, 1 << 15
+DENSE = 1 << 26
 LEAST_WORDS = 5
 
 
 def _terms(w: kernel.Words, vocabulary: np.ndarray) -> np.ndarray:
-    """Vocabulary index of each word, -1 for others."""
-    at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == w.hash, at, -1)
+    """Term of each word: its place in the sorted vocabulary, or a class of the other words behind that."""
+    n = len(vocabulary)
+    at = np.minimum(np.searchsorted(vocabulary, w.hash), n - 1)
+    return np.where(vocabulary[at] == w.hash, at, n + (w.hash & np.uint64(CONTEXT - 1)).astype(np.int64))
 
 
 def _test_matrix(terms: int) -> np.ndarray:
     return np.random.default_rng(4).standard_normal((terms, RANK + SPARE)).astype(np.float32)
 
 
+def sums_by(rows: np.ndarray, table: np.ndarray, owner: np.ndarray, out: np.ndarray, sign: int = 1) -> None:
+    """Add table[rows[i]], or take it off, to out[owner[i]]; owner ascends. The k-th rows of all owners go in one step; of owners with many rows PART at once."""
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    size = np.diff(np.append(first, len(owner)))
+    rank = np.arange(len(owner)) - np.repeat(first, size)
+    short = np.flatnonzero(np.repeat(size <= PASSAGE, size))
+    order = short[np.argsort(rank[short].astype(np.uint8), kind="stable")]
+    for part in np.split(order, np.cumsum(np.bincount(rank[short]))[:-1]) if len(order) else ():
+        out[owner[part]] += sign * table[rows[part]]
+    for a, n in zip(first[size > PASSAGE].tolist(), size[size > PASSAGE].tolist()):
+        for b in range(a, a + n, PART):
+            out[owner[a]] += sign * table[rows[b : min(b + PART, a + n)]].sum(axis=0)
+
+
 def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per term its inverse document frequency over all passages, and its row of the singular vectors, each divided by its singular value."""
-    n = len(vocabulary)
+    n = len(vocabulary) + CONTEXT
+    width = RANK + SPARE
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = _test_matrix(n)
@@ -54,38 +75,42 @@ def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
             per_doc = -(-size // PASSAGE)
             base = np.cumsum(per_doc) - per_doc
             count += int(per_doc.sum())
-            t = _terms(w, vocabulary)
-            hit = np.flatnonzero(t >= 0)
-            if not len(hit):
+            if not len(w.hash):
                 continue
-            doc = np.searchsorted(w.first, hit, "right") - 1
-            pairs = np.unique((base[doc] + (hit - w.first[doc]) // PASSAGE) * n + t[hit])
+            place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], size)
+            pairs = np.sort((np.repeat(base, size) + place // PASSAGE) * n + _terms(w, vocabulary))
+            pairs = pairs[np.diff(pairs, prepend=-1) > 0]
             passage, term = pairs // n, pairs % n
             df += np.bincount(term, minlength=n)
-            start = np.flatnonzero(np.diff(passage, prepend=-1))
-            y = np.add.reduceat(test[term], start, axis=0)
+            y = np.zeros((int(per_doc.sum()), width), np.float32)  # a passage has PASSAGE terms at most
+            sums_by(term, test, passage, y)
             order = np.argsort(term, kind="stable")
-            row = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(term))))[order]
-            first = np.flatnonzero(np.diff(term[order], prepend=-1))
-            z[term[order][first]] += np.add.reduceat(y[row], first, axis=0)
+            sums_by(passage[order], y, term[order], z)
         if count:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[count], df, z.ravel()]).tobytes()])], names=["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(float(count), df).tobytes()]), pa.array([z.astype(np.float32).tobytes()])], names=["df", "z"])
 
     def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = None
+        df, z = np.zeros(n + 1), np.zeros(n * width)
         for f in frames:
-            for v in f["v"]:
-                out = np.frombuffer(v).copy() if out is None else out + np.frombuffer(v)
-        if out is not None:
-            yield pd.DataFrame({"v": [out.tobytes()]})
-
-    parts = texts.mapInArrow(sums, "v binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(SUMS))).repartition(SUMS, "g")
-    found = [np.frombuffer(r["v"]) for r in parts.select("v").mapInPandas(total, "v binary").toLocalIterator()]
-    if not found:
+            for a, b in zip(f["df"], f["z"]):
+                df += np.frombuffer(a)
+                z += np.frombuffer(b, np.float32)
+        if df[0]:
+            yield pd.DataFrame({"df": [df.tobytes()], "z": [z.astype(np.float32).tobytes()]})
+
+    parts = texts.mapInArrow(sums, "df binary, z binary")
+    groups = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
+    while groups:  # a tree of sums: no task takes in more than about the square root of all partitions
+        parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(groups, "g").drop("g").mapInPandas(total, "df binary, z binary")
+        groups = int(groups**0.5) if groups > 8 else 0
+    df, z = np.zeros(n + 1), np.zeros(n * width)
+    for r in parts.toLocalIterator():  # at most eight rows
+        df += np.frombuffer(r["df"])
+        z += np.frombuffer(r["z"], np.float32)
+    if not df[0]:
         return np.ones(n), np.zeros((n, 1), np.float32)
-    v = np.sum(found, axis=0)
-    count, df, z = v[0], v[1 : n + 1], v[n + 1 :].reshape(n, -1)
-    idf = np.log((1 + count) / (1 + df)) + 1e-3
+    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1e-3
+    z = z.reshape(n, width)
     core = _test_matrix(n).T.astype(float) @ z
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > max(value.max(), 0) * 1e-9
@@ -97,13 +122,86 @@ def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return idf, (u[:, :k] / size[:k]).astype(np.float32)
 
 
-def rarest(places: list[np.ndarray], idf: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Items by term (those of term t from first[t] to first[t + 1]) whose rarest words it is among: a subsequence of ``need`` words has one of them."""
-    pairs = set()
-    for i, p in enumerate(places):
-        pairs.update((t, i) for t in p[np.argsort(-idf[p], kind="stable")][: len(p) - int(need[i]) + 1].tolist())
-    term, item = np.array(sorted(pairs)).T
-    return np.searchsorted(term, np.arange(len(idf) + 1)), item
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.sqrt((v * v).sum(axis=-1, keepdims=True)), 1e-12)
+
+
+def blocks_of(first: np.ndarray, term: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of table rows over each UNIT words of each document, and where each document's blocks begin."""
+    size = np.diff(first)
+    many = -(-size // UNIT)
+    base = np.append(0, np.cumsum(many))
+    grid = np.full(int(base[-1]) * UNIT, len(table) - 1)  # the last row is zero
+    grid[np.repeat(base[:-1] * UNIT - first[:-1], size) + np.arange(len(term))] = term
+    grid = grid.reshape(-1, UNIT)
+    out = table[grid[:, 0]]
+    for k in range(1, UNIT):
+        out += table[grid[:, k]]
+    return out, base
+
+
+def repeats_of(first: np.ndarray, term: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each two successive words of a document that are one live term, by the later place."""
+    order = np.argsort(term.astype(np.int16) if len(live) < 1 << 15 else term, kind="stable")
+    t = term[order]
+    same = np.flatnonzero((t[1:] == t[:-1]) & live[t[1:]])
+    was, now = order[same], order[same + 1]
+    doc = np.searchsorted(first, np.stack([was, now]), "right")
+    keep = np.flatnonzero(doc[0] == doc[1])
+    keep = keep[np.argsort(now[keep])]
+    return was[keep], now[keep]
+
+
+def windows(first: np.ndarray, term: np.ndarray, table: np.ndarray, blocks: tuple[np.ndarray, np.ndarray], again: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of STEPS * k blocks, k blocks apart: document, place of the first word, and the sum of table rows over the window's distinct live terms.
+
+    first: where each document's terms begin in ``term``, and the end. A
+    shorter document is one window, a document without words none.
+    """
+    fine, begin = blocks
+    many = np.diff(begin)
+    slots = np.where(many > 0, np.maximum(-(-many // k), STEPS), 0)
+    base = np.cumsum(slots) - slots
+    total = int(slots.sum())
+    within = np.arange(len(fine)) - np.repeat(begin[:-1], many)
+    slot = np.repeat(base, many) + within // k
+    sums = np.zeros((total, table.shape[1]), np.float32)
+    for r in range(k):
+        part = np.flatnonzero(within % k == r) if k > 1 else slice(None)
+        sums[slot[part]] += fine[part]
+    out = sums[: total - STEPS + 1].copy()
+    for j in range(1, STEPS):
+        out += sums[j : total - STEPS + 1 + j]
+    # a term of two places counts once in the windows that hold both: the later place is taken off
+    was, now = again
+    near = np.flatnonzero(now - was < (STEPS + 1) * k * UNIT)
+    was, now = was[near], now[near]
+    doc = np.searchsorted(first, now, "right") - 1
+    low = base[doc] + np.maximum((now - first[doc]) // (UNIT * k) - STEPS + 1, 0)
+    high = base[doc] + np.minimum((was - first[doc]) // (UNIT * k), slots[doc] - STEPS)
+    times = np.maximum(high - low + 1, 0)
+    at = np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    order = np.argsort(at, kind="stable")
+    sums_by(np.repeat(term[now], times)[order], table, at[order], out, -1)
+    many = np.where(slots > 0, slots - STEPS + 1, 0)
+    doc = np.repeat(np.arange(len(slots)), many)
+    index = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    return doc, index * k * UNIT, out[base[doc] + index]
+
+
+def pieces(first: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents in groups of about SPAN words, longer ones in pieces that overlap by ``reach`` words: document, place in it, length."""
+    span = max(SPAN, 4 * reach)
+    size = np.diff(first)
+    many = np.maximum(1, -(-(size - reach) // (span - reach)))
+    doc = np.repeat(np.arange(len(size)), many)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * (span - reach)
+    length = np.minimum(size[doc] - start, span)
+    a, filled = 0, np.cumsum(length)
+    while a < len(doc):
+        b = max(a + 1, int(np.searchsorted(filled, (filled[a - 1] if a else 0) + span, "right")))
+        yield doc[a:b], start[a:b], length[a:b]
+        a = b
 
 
 def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -118,157 +216,134 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", cosine: float = 0.35, mass: float = 0.5, share: float = 0.75, answer: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", cosine: float = 0.3, share: float = 0.6, answer: float = 0.6) -> DataFrame:
     """Rows (doc_id, item_id, common_words, item_words, cosine, at): benchmark items found in documents.
 
-    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in
-    lower case. A window of the text is a candidate for an item if their
-    latent cosine is at least ``cosine`` and the window's inverse document
-    frequencies sum to ``mass`` of the item's, or if it has one of the item's
-    rarest words, without which it cannot be a hit. It is a hit
-    if a subsequence of ``share`` of the item's words is in it and, where the
-    benchmark has a column ``answer`` and the item's holds words, ``answer`` of
-    the distinct words of that. ``at`` is the
-    first word of the best window. A document has one row for each item found;
-    documents that repeat have rows each. Null and empty texts hold nothing;
-    items of fewer than LEAST_WORDS words, null or empty are never found. Items
-    are taken ITEMS at a time, so what is sent to the tasks is bounded. Other
-    columns are not read.
+    Words are runs of ASCII letters, digits and non-ASCII characters, in lower
+    case. A window of the text, 1.25 to 2.5 times as long as the item, is a
+    candidate if its latent cosine to the item is at least ``cosine``. It is a
+    hit if a subsequence of ``share`` of the item's words is in it and, where
+    the benchmark has a column ``answer`` and the item's holds words,
+    ``answer`` of the distinct words of that. ``at`` is the first word of the
+    window with the longest such subsequence (the first of several). A document
+    has one row for each item found; documents that repeat have rows each.
+    Items that repeat in all columns count once; equal ids with different
+    texts or answers are different items. Null and empty texts hold nothing;
+    items of fewer than LEAST_WORDS words, null or empty are never found. All
+    items are searched in one pass; beyond ITEMS of them, there is a pass for
+    each group of about ITEMS, so that what is sent to the tasks is bounded.
+    Other columns are not read.
     """
-    spark = docs.sparkSession
     has_answer = "answer" in benchmark.columns
-    items = benchmark.select(F.col("item_id"), F.col("text"), (F.col("answer") if has_answer else F.lit(None)).cast("string").alias("answer")).where("text is not null")
-    blocks = max(1, -(-items.count() // ITEMS))
-    kind, item_kind = (docs.schema[doc_id].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
-    schema = f"doc_id {kind}, item_id {item_kind}, common_words int, item_words int, cosine double, at long"
+    items = benchmark.select("item_id", F.col("text"), (F.col("answer") if has_answer else F.lit(None)).cast("string").alias("answer")).where("text is not null").dropDuplicates()
+    passes = max(1, -(-items.count() // ITEMS))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = _search(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), part.collect(), schema, cosine, mass, share, answer)
+    for b in range(passes):
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(passes)) == b)
+        found = _search(rows, part, cosine, share, answer)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("doc_id", doc_id)
 
 
-def _search(docs: DataFrame, items: list, schema: str, cosine: float, mass: float, share: float, answer: float) -> DataFrame:
+def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answer: float) -> DataFrame:
     spark = docs.sparkSession
+    items = part.collect()
     cut = lambda texts: (lambda w: [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))])(kernel.words(pa.array(texts, pa.string()), "alnum"))
     words = cut([r["text"] for r in items])
     use = [i for i, x in enumerate(words) if len(x) >= LEAST_WORDS]
+    names = spark.createDataFrame([(k, items[i]["item_id"]) for k, i in enumerate(use)], f"item int, item_id {part.schema['item_id'].dataType.simpleString()}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     if not use:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"doc_id {kind}, item_id {part.schema['item_id'].dataType.simpleString()}, common_words int, item_words int, cosine double, at long")
     answers = cut([r["answer"] or "" for r in items])
-    ids, words, answers = [items[i]["item_id"] for i in use], [words[i] for i in use], [answers[i] for i in use]
-    answers = [set(a.tolist()) for a in answers]
+    words, answers = [words[i] for i in use], [set(answers[i].tolist()) for i in use]
     vocabulary = np.unique(np.concatenate(words))
     idf, vectors = latent_space(docs.select("text"), vocabulary)
-    weighted = idf[:, None] * vectors
-    place = [np.searchsorted(vocabulary, w) for w in words]
-    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(axis=-1, keepdims=True)), 1e-12)
-    latent = unit(np.array([weighted[p].sum(axis=0) for p in place]))
-    weight = np.array([idf[p].sum() for p in place])
-    masks: list[dict[int, int]] = []
-    for w in words:
-        m: dict[int, int] = {}
-        for j, x in enumerate(w.tolist()):
-            m[x] = m.get(x, 0) | 1 << j
-        masks.append(m)
+    n = len(vocabulary)
+    place = [np.unique(np.searchsorted(vocabulary, w)) for w in words]
+    table = np.append(idf[:, None] * vectors, np.zeros((1, vectors.shape[1])), axis=0).astype(np.float32)
+    table[n:] *= CONTEXT_WEIGHT
+    common = np.append(idf < -np.log(COMMON), True)
+    for p in place:
+        if (~common[p]).sum() < LEAST_WORDS:  # an item of common terms alone keeps them
+            common[p] = False
+    table[common] = 0
+    latent = unit(np.array([table[p].sum(axis=0) for p in place]))
     length = np.array([len(w) for w in words])
-    level = np.maximum(np.ceil(np.log2(length)), 3).astype(int)
-    rare = rarest(place, idf, np.ceil(share * length))
-    shared = spark.sparkContext.broadcast((vocabulary, idf, weighted.astype(np.float32), latent.astype(np.float32), weight, masks, length, answers, ids, rare))
-    classes = [(int(u), np.flatnonzero(level == u)) for u in np.unique(level)]
+    level = np.maximum(np.ceil(np.log2(length)), np.log2(UNIT * (STEPS - 1))).astype(int)
+    classes = [(int((1 << u) // (UNIT * (STEPS - 1))), np.flatnonzero(level == u)) for u in np.unique(level)]
+    shared = spark.sparkContext.broadcast((vocabulary, table, latent, place, words, answers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, weighted, latent, weight, masks, length, answers, ids, (rare_first, rare_items) = shared.value
-        member = np.zeros((len(vocabulary), len(ids)), bool)
-        for i, m in enumerate(masks):
-            member[np.searchsorted(vocabulary, np.array(list(m), np.uint64)), i] = True
-        rare_n = np.diff(rare_first)
-        column = np.full(len(ids), -1)
+        vocabulary, table, latent, place, words, answers = shared.value
+        n = len(vocabulary)
+        live = (table != 0).any(axis=1)
+        holds = np.concatenate([i * n + p for i, p in enumerate(place)])  # (item, term) pairs, ascending
+        member = None
+        if n * len(place) <= DENSE:
+            member = np.zeros(n * len(place), bool)
+            member[holds] = True
+        masks: dict[int, dict[int, int]] = {}
+
+        def held(pair: np.ndarray) -> np.ndarray:
+            return member[pair] if member is not None else holds[np.minimum(np.searchsorted(holds, pair), len(holds) - 1)] == pair
+
+        def decide(best: dict, doc: np.ndarray, at: np.ndarray, begin: np.ndarray, stop: np.ndarray, item: np.ndarray, cos: np.ndarray, term: np.ndarray, h: np.ndarray) -> None:
+            """Keep of the candidates (places in term and h from begin to stop) those that are hits."""
+            size = stop - begin
+            flat = term[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
+            known = np.flatnonzero(flat < n)
+            known = known[held(np.repeat(item * n, size)[known] + flat[known])]
+            inside = np.bincount(np.searchsorted(np.cumsum(size), known, "right"), minlength=len(size))
+            enough = np.flatnonzero(inside >= share * length[item])  # no common subsequence is longer than the words that are the item's
+            for x in enough.tolist():
+                i = int(item[x])
+                if i not in masks:
+                    masks[i] = {}
+                    for j, y in enumerate(words[i].tolist()):
+                        masks[i][y] = masks[i].get(y, 0) | 1 << j
+                there = h[int(begin[x]) : int(stop[x])].tolist()
+                common = common_subsequence(masks[i], len(words[i]), there)
+                key = (int(doc[x]), i)
+                if common >= share * len(words[i]) and common > best.get(key, (0,))[0] and len(answers[i].intersection(there)) >= answer * len(answers[i]):
+                    best[key] = (common, float(cos[x]), int(at[x]))
+
         for batch in kernel.sliced(batches, 1, size=1 << 20):
             w = kernel.words(batch.column(1), "alnum")
-            t = _terms(w, vocabulary)
-            hits = np.append(0, np.cumsum(t >= 0))
-            at_word = np.flatnonzero(t >= 0)
-            h = t[at_word]
-            often = np.append(0, np.cumsum(rare_n[h]))
-            heavy = np.append(0.0, np.cumsum(idf[h]))
-            size = np.diff(w.first)
+            every = _terms(w, vocabulary)
             best: dict[tuple[int, int], tuple[int, float, int]] = {}
-            grids = []
-            for u, members in classes:
-                step, span = max(1, (1 << u) // 4), (1 << u) + max(1, (1 << u) // 4)
-                per_doc = np.where(size > 0, 1 + np.maximum(0, -(-(size - span) // step)), 0)
-                doc = np.repeat(np.arange(len(size)), per_doc)
-                start = w.first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * step
-                stop = np.minimum(start + span, w.first[doc + 1])
-                lo, hi = hits[start], hits[stop]
-                base = np.cumsum(per_doc) - per_doc
-                grids.append((members, step, span, per_doc, base, doc, start, stop, lo, hi))
-            reach = max(grid[2] for grid in grids)
-            for seg in range(0, len(t), SPAN):
-                low = int(hits[seg])
-                some = h[low : hits[min(seg + SPAN + reach, len(t))]]
-                sums = np.zeros((len(some) + 1, weighted.shape[1]))  # from here on only: long sums lose digits
-                np.cumsum(weighted[some], axis=0, dtype=np.float64, out=sums[1:])
-                for members, step, span, per_doc, base, doc, start, stop, lo, hi in grids:
-                    at, to = np.searchsorted(start, [seg, seg + SPAN]).tolist()
-                    if at == to:
-                        continue
-                    s = slice(at, to)
-                    column[:] = -1
-                    column[members] = np.arange(len(members))
-                    held = np.zeros((len(doc[s]), len(members)), bool)  # the window has one of the item's rarest words
-                    a, z = int(lo[s][0]), int(hi[s][-1])
-                    while a < z:  # few (word, item) pairs at once
-                        b = min(z, max(a + 1, int(np.searchsorted(often, often[a] + (1 << 18), "right")) - 1))
-                        n = rare_n[h[a:b]]
-                        x = np.repeat(np.arange(a, b), n)
-                        col = column[rare_items[np.arange(len(x)) + np.repeat(rare_first[h[a:b]] - (np.cumsum(n) - n), n)]]
-                        x, col = at_word[x[col >= 0]], col[col >= 0]
-                        d = np.searchsorted(w.first, x, "right") - 1
-                        last = (x - w.first[d]) // step
-                        for k in range(-(-span // step)):
-                            v = base[d] + last - k - at
-                            good = (last >= k) & (last - k < per_doc[d]) & (x - w.first[d] < (last - k) * step + span) & (v >= 0) & (v < len(held))
-                            held[v[good], col[good]] = True
-                        a = b
-                    mine = heavy[hi[s]] - heavy[lo[s]]
-                    rows = np.flatnonzero((mine >= mass * weight[members].min() - 1e-9) | held.any(axis=1))
-                    if not len(rows):
-                        continue
-                    v = (sums[hi[s][rows] - low] - sums[lo[s][rows] - low]).astype(np.float32)
-                    v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
-                    cos = v @ latent[members].T
-                    near = held[rows] | ((cos >= cosine) & (mine[rows, None] >= mass * weight[members][None, :] - 1e-9))
-                    pairs = np.argwhere(near)
-                    for few in range(0, len(pairs), 1 << 15):
-                        xs, ys = pairs[few : few + (1 << 15)].T
-                        full = at + rows[xs]
-                        a, n = lo[full], hi[full] - lo[full]  # words of the item in the window: no subsequence is longer
-                        flat = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
-                        inside = np.append(0, np.cumsum(member[h[flat], np.repeat(members[ys], n)], dtype=np.int64))
-                        enough = inside[np.cumsum(n)] - inside[np.cumsum(n) - n] >= share * length[members[ys]]
-                        for x, y in zip(xs[enough].tolist(), ys[enough].tolist(), strict=True):
-                            i, g = int(members[y]), at + int(rows[x])
-                            a, z = int(start[g]), int(stop[g])
-                            there = w.hash[a:z].tolist()
-                            common = common_subsequence(masks[i], int(length[i]), there)
-                            key = (int(doc[g]), i)
-                            if common >= share * length[i] and common > best.get(key, (0,))[0] and len(answers[i].intersection(there)) >= answer * len(answers[i]):
-                                best[key] = (common, float(cos[x, y]), a - int(w.first[key[0]]))
+            for docs_, starts, sizes in pieces(w.first, STEPS * UNIT * max(k for k, _ in classes)):
+                first = np.append(0, np.cumsum(sizes))
+                if not first[-1]:
+                    continue
+                flat = np.arange(first[-1]) + np.repeat(w.first[docs_] + starts - first[:-1], sizes)
+                term, h = every[flat], w.hash[flat]
+                blocks, again = blocks_of(first, term, table), repeats_of(first, term, live)
+                for k, members in classes:
+                    piece, at, sums = windows(first, term, table, blocks, again, k)
+                    begin = first[piece] + at
+                    stop = np.minimum(begin + STEPS * UNIT * k, first[piece + 1])
+                    few = max(1, (1 << 22) // len(members))
+                    for a in range(0, len(piece), few):
+                        cos = (unit(sums[a : a + few]) @ latent[members].T).ravel()
+                        hits = np.flatnonzero(cos >= cosine)
+                        for b in range(0, len(hits), PART):
+                            x, y = np.divmod(hits[b : b + PART], len(members))
+                            x += a
+                            decide(best, docs_[piece[x]], starts[piece[x]] + at[x], begin[x], stop[x], members[y], cos[hits[b : b + PART]], term, h)
             rows = sorted(best.items())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([d for (d, _), _ in rows], pa.int64())),
-                    pa.array([ids[i] for (_, i), _ in rows], item_type),
+                    pa.array([i for (_, i), _ in rows], pa.int32()),
                     pa.array([c for _, (c, _, _) in rows], pa.int32()),
                     pa.array([int(length[i]) for (_, i), _ in rows], pa.int32()),
                     pa.array([c for _, (_, c, _) in rows], pa.float64()),
                     pa.array([a for _, (_, _, a) in rows], pa.int64()),
                 ],
-                names=["doc_id", "item_id", "common_words", "item_words", "cosine", "at"],
+                names=["doc_id", "item", "common_words", "item_words", "cosine", "at"],
             )
 
-    item_type = pa.string() if "item_id string" in schema else pa.int32() if "item_id int," in schema else pa.int64()
-    return docs.mapInArrow(run, schema)
+    found = docs.mapInArrow(run, f"doc_id {kind}, item int, common_words int, item_words int, cosine double, at long")
+    return found.join(F.broadcast(names), "item").select("doc_id", "item_id", "common_words", "item_words", "cosine", "at")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontam, quality, toxicity
@@ -100,6 +101,70 @@ def test_contaminated(spark):
     assert decontam.contaminated(spark.createDataFrame(docs[:5], "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_pu_risk_against_a_dense_reference():
+    rng = np.random.default_rng(2)
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0)):  # the second part of the risk is positive, then negative
+        positive, times = rng.random(40) < 0.3, rng.integers(1, 5, 40).astype(float)
+        f = rng.normal(size=40) + np.where(positive, shift, -shift)
+        p, u = np.repeat(f[positive], times[positive].astype(int)), np.repeat(f[~positive], times[~positive].astype(int))
+        reward, negative, g = toxicity.nnpu_risk(f, positive, times, prior)
+        assert np.isclose(reward, prior * np.log1p(np.exp(-p)).mean())
+        assert np.isclose(negative, np.log1p(np.exp(u)).mean() - prior * np.log1p(np.exp(p)).mean())
+        assert (negative < 0) == (shift > 0)
+        for i in range(40):
+            step = np.zeros(40)
+            step[i] = 1e-5
+            (a, b, _), (c, d, _) = toxicity.nnpu_risk(f + step, positive, times, prior), toxicity.nnpu_risk(f - step, positive, times, prior)
+            slope = (a + b - c - d) / 2e-5 if negative >= 0 else -(b - d) / 2e-5
+            assert np.isclose(g[i], slope, atol=1e-6)
+
+
+def test_toxicity_of_a_repeated_id(spark, monkeypatch):
+    docs, labels, n = tables(spark)
+    hot = docs.where("doc_id = 8").select("doc_id", "text", "score")
+    many = docs.unionByName(hot.crossJoin(spark.range(3000)).drop("id")).unionByName(spark.range(3000).select(F.lit(16).cast("long").alias("doc_id"), F.concat(F.lit("vilest dreadful x"), "id").alias("text"), F.lit("c").alias("score")))
+    many = many.unionByName(spark.createDataFrame([(5000, "vilest " * 200_000, "c")], docs.schema))
+    seen = []
+    train = toxicity.train_nnpu
+    monkeypatch.setattr(toxicity, "train_nnpu", lambda rows, positive, *a: (seen.append((int(positive.sum()), len(rows))), train(rows, positive, *a))[1])
+    out = toxicity.toxicity(many, labels, positives=300, unlabelled=600).toPandas()
+    assert len(out) == n + 6001 and out["score"].between(0, 1).all()
+    assert 90 < seen[0][0] < 400 and seen[0][1] < 1100  # of 100 confirmed ids, one has 3,000 texts
+
+
+def test_quality_against_a_dense_reference(spark):
+    docs, labels, _ = tables(spark)
+    docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).collect()}
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", "text", "quality", quality.held_out().alias("h"), (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0).alias("c")).toPandas()
+    x = quality.statistics(pa.array(rows["text"].tolist(), pa.string()))
+    y, train = rows["quality"].to_numpy(float), (~rows["h"] & rows["quality"].notna()).to_numpy()
+    mean, scale = x[train].mean(0), x[train].std(0) + 1e-6
+    z = quality._design(x, mean, scale)
+    fit, cal = train & ~rows["c"].to_numpy(), train & rows["c"].to_numpy()
+    penalty = quality.RIDGE * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    raw = z @ np.linalg.solve(z[fit].T @ z[fit] + penalty, z[fit].T @ y[fit])
+    bins = ((np.clip(raw, -0.5, 1.5) + 0.5) / 2 * (quality.BINS - 1)).round().astype(int)
+    # isotonic regression as the largest mean of the left parts of the right parts
+    known = sorted(set(bins[cal].tolist()))
+    part = [y[cal][bins[cal] == b] for b in known]
+    level = [max(min(np.concatenate(part[i : j + 1]).mean() for j in range(k, len(part))) for i in range(k + 1)) for k in range(len(part))]
+    want = 0.99 * np.interp(bins, known, level) + 0.01 * bins / (quality.BINS - 1)
+    off = np.abs(np.array([got[i] for i in rows["doc_id"]]) - want)
+    assert (off < 1e-6).mean() > 0.99  # sums in another order may move a value to the next bin
+
+
+def test_quality_edge_cases(spark):
+    docs, labels, n = tables(spark)
+    one_class = quality.quality(docs, labels.withColumn("quality", F.lit(1))).toPandas()
+    assert len(one_class) == n and (one_class["score"] > 0.5).all()
+    assert quality.quality(docs.limit(0), labels).count() == 0
+    long_ = spark.createDataFrame([(9000, "word " * 400_000, "c"), (9001, None, "c"), (9002, "", "c")], docs.schema)
+    out = quality.quality(docs.unionByName(long_), labels).toPandas()
+    assert len(out) == n + 3 and out["score"].between(0, 1).all()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipe
 
@@ -150,30 +215,108 @@ def longest(a, b):
     return row[-1]
 
 
+def in_window(item, text, share):
+    """Whether a subsequence of that share of the item's words lies within a stretch of the text as long as the item."""
+    return any(longest(item, text[s : s + len(item)]) >= share * len(item) for s in range(max(1, len(text) - len(item) + 1)))
+
+
+def changed(rng, item, part, filler):
+    out = item[:]
+    for j in rng.sample(range(len(out)), int(part * len(out))):
+        out[j] = filler()
+    return out
+
+
+def recall(spark, rng, hosts, items, part, filler):
+    """The share of the changed items, each planted in a host text, that brute force finds and the operator finds too."""
+    docs = [(i, " ".join(x)) for i, x in enumerate(hosts)]
+    want = set()
+    for i, host in enumerate(hosts):
+        k = i % len(items)
+        at = rng.randrange(len(host))
+        text = host[:at] + changed(rng, items[k], part, filler) + host[at:]
+        docs[i] = (i, " ".join(text))
+        want |= {(i, k)} if in_window(items[k], text, 0.6) else set()
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 0.9 * len(hosts)
+    return len(want & found) / len(want)
+
+
+def language(rng, n=900):
+    """Words by falling frequency."""
+    known = sorted({words(rng, 1) for _ in range(n)})
+    return lambda: known[min(int(rng.paretovariate(0.7)) - 1, len(known) - 1)]
+
+
+def test_contaminated_finds_paraphrases(spark):
+    rng = random.Random(7)
+    word = language(rng)
+    items = [[word() for _ in range(n)] for n in (15, 18, 24, 30, 38, 45, 52, 59)]
+    hosts = [[word() for _ in range(rng.randint(100, 400))] for _ in range(240)]
+    for part in (0, 0.1, 0.25, 1 / 3):  # one word in three replaced leaves two thirds in order
+        assert recall(spark, rng, hosts, items, part, word) >= (1 if part == 0 else 0.9), part
+
+
 def test_contaminated_in_repetitive_texts(spark):
     rng = random.Random(4)
-    items = [words(rng, n) for n in (12, 20, 35, 60)]
-    common = [x for t in items for x in t.split()]
-    docs = [(i, words(rng, 80)) for i in range(100)]
-    for i in range(100, 220):
-        part = items[i % 4].split()
-        for j in rng.sample(range(len(part)), rng.choice([0, len(part) // 10, len(part) // 4, len(part) // 3])):
-            part[j] = "zzz"
-        echo = rng.choice([x for x in common if x not in part])
-        few = [echo] * rng.choice([1, 3]) + [rng.choice(common)]
-        host = [rng.choice(few) for _ in range(rng.randint(60, 200))]
-        at = rng.randrange(len(host))
-        docs.append((i, " ".join(host[:at] + part + host[at:])))
-    want = set()
-    for i, t in docs:
-        for k, item in enumerate(x.split() for x in items):
-            cut = t.split()
-            if any(longest(item, cut[s : s + len(item)]) >= 0.75 * len(item) for s in range(max(1, len(cut) - len(item) + 1))):
-                want.add((i, k))
-    assert len(want) > 80
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("answer", F.element_at(F.split("text", " "), 1))
-    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, answer=0.0)
-    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} >= want
+    word = language(rng)
+    items = [[word() for _ in range(n)] for n in (12, 20, 35, 60)]
+    hosts = []
+    for _ in range(160):
+        few = [word(), word(), rng.choice(items)[0]]
+        hosts.append([rng.choice(few) for _ in range(rng.randint(60, 200))])
+    for part in (0, 0.1, 0.25):
+        assert recall(spark, rng, hosts, items, part, lambda: "zzz") >= 0.97
+
+
+def test_candidates_come_from_the_latent_cosine(spark):
+    rng = random.Random(12)
+    items = [words(rng, 30) for _ in range(3)]
+    docs = spark.createDataFrame([(i, f"{words(rng, 50)} {items[i % 3]} {words(rng, 50)}") for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert decontam.contaminated(docs, bench).count() == 30
+    assert decontam.contaminated(docs, bench, cosine=1.1).count() == 0
+
+
+def test_windows_sum_distinct_terms(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 1, 7, 19, 20, 21, 400, 0, 83])
+    first = np.append(0, np.cumsum(sizes))
+    term = np.minimum(rng.zipf(1.3, int(first[-1])), 60) - 1
+    table = np.append(rng.normal(size=(60, 4)), np.zeros((1, 4)), axis=0).astype(np.float32)
+    table[[0, 5]] = 0
+    blocks, again = decontam.blocks_of(first, term, table), decontam.repeats_of(first, term, (table != 0).any(axis=1))
+    for k in (1, 2, 4, 16):
+        doc, start, sums = decontam.windows(first, term, table, blocks, again, k)
+        assert sorted(set(doc.tolist())) == np.flatnonzero(sizes).tolist()
+        for d, s, v in zip(doc.tolist(), start.tolist(), sums):
+            part = term[first[d] + s : min(first[d] + s + 20 * k, first[d + 1])]
+            assert np.allclose(v, table[np.unique(part)].sum(axis=0), atol=1e-4)
+    monkeypatch.setattr(decontam, "SPAN", 64)
+    seen = [(d, s + i) for ds, ss, ns in decontam.pieces(first, 20) for d, s, n in zip(ds.tolist(), ss.tolist(), ns.tolist()) for i in range(n)]
+    assert set(seen) == {(d, i) for d, n in enumerate(sizes.tolist()) for i in range(n)}
+
+
+def test_contaminated_items_of_any_kind(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [words(rng, 20) for _ in range(9)]
+    texts = [f"{words(rng, 40)} {t} {words(rng, 40)}" for t in items] + [words(rng, 60), " ".join([items[4], items[4], items[6]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"item": F.lit(1), "item_id": F.lit("x"), "answer": F.lit(0)})
+    docs = docs.unionByName(docs.where("doc_id = 2"))
+    rows = [*enumerate(items), (3, items[3]), (3, items[5])]  # an equal item, and an equal id with another text
+    want = sorted([(k, k) for k in range(9)] + [(2, 2), (5, 3), (10, 4), (10, 6)])
+    for most in (16_384, 2):
+        monkeypatch.setattr(decontam, "ITEMS", most)
+        for kind in ("short", "string", "decimal(10,0)", "date"):
+            name = F.col("k").cast(kind) if kind != "date" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("k"))
+            bench = spark.createDataFrame(rows, "k int, text string").select(name.alias("item_id"), "text")
+            back = F.col("item_id").cast("int") if kind != "date" else F.datediff("item_id", F.lit("2020-01-01"))
+            if most == 2 and kind != "short":
+                continue
+            found = decontam.contaminated(docs, bench)
+            assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType
+            assert sorted((r[0], r[1]) for r in found.select("doc_id", back).collect()) == want
 
 
 def test_contaminated_needs_no_answer_where_none_is_given(spark):
