@@ -1,7 +1,9 @@
 """A corpus pipeline: toxic documents go, near copies go, recurring passages go, benchmark leaks go, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-has kept. All but the last return the columns of documents.
+has kept. All but the last return the columns of documents; further columns
+are not read. Rows without text or id pass every filter and are packed; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from strandloom.llm.scratch import shared_dir
 from strandloom.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 REST = ("lang", "source", "n_chars")
 
 
@@ -38,11 +38,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id; of rows with equal id and text one. Rows without words stay."""
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id; of rows with equal id and text that with the smallest lang, source and n_chars. Rows without words stay."""
     worded = F.coalesce(F.col("text").rlike(r"[^ \x09-\x0D]"), F.lit(False))
     keyed = _keyed(docs.where(worded))
     gone = similar_classes(keyed, doc_id="key", shingle=5, percent=80).where("not kept").select("key").distinct()
-    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select(*COLUMNS).unionByName(docs.where(~worded).select(*COLUMNS))
+    kept = keyed.join(gone, "key", "left_anti").groupBy("key").agg(F.first("text").alias("text"), F.min(F.struct(*REST)).alias("rest"))
+    return kept.select("key.doc_id", "text", *(f"rest.{c}" for c in REST)).unionByName(docs.where(~worded).select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,11 +77,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written as Parquet in the shared folder and read again, and goes when the next one stands."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}_{name}")
-        docs = spark.read.parquet(f"{base}/{i}_{name}")
+        path = f"{base}/{i}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            _remove(spark, last)
+        last = path
     return docs

@@ -363,3 +363,79 @@ def test_pipeline_packs_ids(spark):
     rows = pipe.pack(spark, spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), "").collect()
     assert sorted((r["doc_id"], r["ids"]) for r in rows) == [(1, [64, 275, 0]), (2, [0])]
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import collections
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as pipe
+
+    rng = random.Random(21)
+    items = [words(rng, 25), words(rng, 40)]
+    passage = words(rng, 50)
+    rows = []
+    for i in range(150):
+        t = words(rng, rng.randint(20, 150))
+        if i % 7 == 0:
+            t += " vilest nastier dreadful"
+        if i % 11 == 0:
+            t = f"{t} {passage} {words(rng, 8)}"
+        if i % 13 == 0:
+            t = f"{words(rng, 30)} {items[i % 2]} {t}"
+        if i % 9 == 0 and rows:
+            part = rows[rng.randrange(len(rows))][1].split()
+            part[rng.randrange(len(part))] = "zz"
+            t = " ".join(part)
+        rows.append((i, t, "en", f"s{i % 3}", len(t)))
+    labels = [(i, 1, int("vilest" in t)) for i, t, *_ in rows]
+    rows += [rows[1], (1, rows[1][1], "de", "s9", 3), (1, rows[2][1], "en", "s", 1), (2, words(rng, 30), "en", "s", 1), (None, rows[3][1], "en", "s", 1)]
+    rows += [(None, words(rng, 40), "en", "s", 1)] * 2 + [(500, None, None, None, None), (501, "", "en", "s", 0), (None, None, "en", "s", 0), (502, words(rng, 20_000), "en", "s", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = {"key": F.lit(1), "kept": F.lit("x"), "label": F.lit(2), "spans": F.lit(3)}
+    spark.createDataFrame(rows, schema).withColumns(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs = [tuple(r) for r in pipe.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()]  # learned
+    assert {r[0] for r in docs} <= {r[0] for r in rows if "vilest" not in (r[1] or "")} and len(docs) > 110
+    worded = sorted({(r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest(), r[1], r[2:]) for r in docs if r[1]})
+    first = {k[:3]: k for k in reversed(worded)}
+    worded = sorted(first.values())
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (k[3].split() for k in worded)]
+    low = list(range(len(worded)))
+    for a in range(len(worded)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                low = [min(low[a], low[b]) if x in (low[a], low[b]) else x for x in low]
+    docs = [(None if k[0] else k[1], k[3], *k[4]) for x, k in enumerate(worded) if low[x] == x] + [r for r in docs if not r[1]]
+    counts = collections.Counter(tuple(w[j : j + 35]) for w in ((r[1] or "").split() for r in docs) for j in range(len(w) - 34))
+    cut = []
+    for i, t, *rest in docs:
+        w = (t or "").split()
+        gone = {x for j in range(len(w) - 34) if counts[tuple(w[j : j + 35])] > 1 for x in range(j, j + 35)}
+        cut.append((i, " ".join(x for j, x in enumerate(w) if j not in gone) if gone else t))
+    left = [(i, t) for i, t in cut if not any(in_window(x.split(), (t or "").split(), 0.6) for x in items)]
+    assert 150 > len(docs) > len(left) > 100 and cut != [(r[0], r[1]) for r in docs]
+    tokenizer = Tokenizer.from_file(pipe.vocabulary_path())
+    want = sorted((str(i), tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in left)
+
+    out = pipe.run(spark, str(tmp_path)).collect()
+    pieces, got = collections.defaultdict(list), []
+    for r in out:
+        pieces[r["sequence_id"]].append(r)
+    for r in sorted((r for r in out), key=lambda r: (r["sequence_id"], r["offset"])):
+        if r["start"] == 0:
+            got.append((str(r["doc_id"]), []))
+        got[-1][1].extend(r["ids"])
+    assert {x for x, _ in got} == {x for x, _ in want}
+    assert sorted(got) == want
+    assert all(sum(r["length"] for r in p) <= 1024 for p in pieces.values())
+
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert pipe.run(spark, str(empty)).count() == 0
