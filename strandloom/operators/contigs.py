@@ -4,24 +4,34 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import counting
 from ..functions.dna import K
 
 VOTE_ORDER = "AGCTN"
 
 
-def columns(binned: DataFrame, k: int = K) -> DataFrame:
-    """signature, col, base: bases of each bin with signatures in one column (col 0)."""
-    rows = binned.where(F.col("signature") != 4**k)
-    cells = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.struct((i - F.col("minim_pos")).alias("col"), F.substr("seq", i + 1, F.lit(1)).alias("base")))
-    return rows.select("signature", F.explode(cells).alias("c")).select("signature", "c.*")
+def column_counts(binned: DataFrame, k: int = K) -> DataFrame:
+    """signature, col, base, cnt: bases of each bin with signatures in one column (col 0)."""
+    half = 1 << 23
 
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        data, o = counting.letters(batch.column(2))
+        size = np.diff(o)
+        sig, pos = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64), size) for i in (0, 1))
+        return (sig << 32) + (counting.places(o) - pos + half << 8) + data
 
-def column_counts(binned: DataFrame, k: int = K) -> DataFrame:
-    return columns(binned, k).groupBy("signature", "col", "base").agg(F.count("*").alias("cnt"))
+    def named(x: np.ndarray) -> dict:
+        return {"signature": (x >> 32).astype(np.int32), "col": ((x >> 8 & 2 * half - 1) - half).astype(np.int32), "base": (x & 255).astype(np.int32)}
+
+    rows = binned.where(F.col("signature") != 4**k).select("signature", "minim_pos", "seq")
+    parts = rows.mapInArrow(lambda batches: counting.tallied(batches, keys, named), "signature int, col int, base int, n long")
+    return parts.groupBy("signature", "col", F.char("base").alias("base")).agg(F.sum("n").alias("cnt"))
 
 
 def votes(binned: DataFrame, k: int = K) -> DataFrame:

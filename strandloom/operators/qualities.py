@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import counting
+
 
 def base_freq(reads: DataFrame) -> DataFrame:
     """base, cnt: five sums in one pass, no row for each base."""
@@ -13,19 +17,29 @@ def base_freq(reads: DataFrame) -> DataFrame:
 
 
 def symbols(reads: DataFrame, offset: int = 33) -> DataFrame:
-    """col, prev (-1 in column 0), cur for each quality of each read, inside one generator."""
-    at = lambda i: F.ascii(F.substr("qua", i, F.lit(1))) - offset
-    cells = F.transform(F.sequence(F.lit(1), F.length("qua")), lambda i: F.struct((i - 1).alias("col"), F.when(i > 1, at(i - 1)).otherwise(-1).alias("prev"), at(i).alias("cur")))
-    return reads.where("length(qua) > 0").select(F.explode(cells).alias("x")).select("x.*")
+    """col, prev (-1 in column 0), cur, n: partial counts of each quality after that of the column before, one row a task and value."""
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        data, o = counting.letters(batch.column(0))
+        col = counting.places(o)
+        prev = np.append(0, data[:-1]).astype(np.int64) + 1
+        prev[col == 0] = 0
+        return (col << 17) + (prev << 8) + data
+
+    def named(k: np.ndarray) -> dict:
+        prev = (k >> 8 & 511) - 1
+        return {"col": (k >> 17).astype(np.int32), "prev": np.where(prev < 0, -1, prev - offset).astype(np.int32), "cur": ((k & 255) - offset).astype(np.int32)}
+
+    return reads.select("qua").mapInArrow(lambda batches: counting.tallied(batches, keys, named), "col int, prev int, cur int, n long")
 
 
 def qual_freq(reads: DataFrame, offset: int = 33) -> DataFrame:
-    return symbols(reads, offset).groupBy(F.col("cur").alias("q")).agg(F.count("*").alias("cnt"))
+    return symbols(reads, offset).groupBy(F.col("cur").alias("q")).agg(F.sum("n").alias("cnt"))
 
 
 def cond_counts(reads: DataFrame, offset: int = 33) -> DataFrame:
     """count of quality cur in a column after quality prev in the column before."""
-    return symbols(reads, offset).groupBy("col", "prev", "cur").agg(F.count("*").alias("cnt"))
+    return symbols(reads, offset).groupBy("col", "prev", "cur").agg(F.sum("n").alias("cnt"))
 
 
 def marginals(counts: DataFrame) -> DataFrame:
@@ -51,7 +65,12 @@ def divergences(counts: DataFrame) -> DataFrame:
 
 def mean_distortion(reads: DataFrame, mapped: Column, offset: int = 33) -> DataFrame:
     """Mean L1, squared and Lorentz distortion of a quality map."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("qua")), lambda i: (F.ascii(F.substr("qua", i, F.lit(1))) - F.ascii(F.substr("_m", i, F.lit(1)))).cast("double"))
-    d = reads.withColumn("_m", mapped).select(F.explode(pairs).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return counting.letters(batch.column(0))[0].astype(np.int64) - counting.letters(batch.column(1))[0] + 256
+
+    both = reads.select("qua", mapped.alias("m")).where(F.octet_length("qua") == F.octet_length("m"))
+    d = both.mapInArrow(lambda batches: counting.tallied(batches, keys, lambda k: {"d": (k - 256).astype(float)}), "d double, n long")
+    d = d.groupBy("d").agg(F.sum("n").alias("n"))
     mean = lambda x: F.sum(x * F.col("n")) / F.sum("n")
     return d.agg(mean(F.abs("d")).alias("l1"), mean(F.col("d") * F.col("d")).alias("mse"), mean(F.log2(1 + F.abs("d"))).alias("lorentz"))
