@@ -45,14 +45,13 @@ def rle_flags(data: bytes, n: int) -> list[bool]:
 
 
 def rle0_bytes(symbols: Iterable[int]) -> bytes:
-    """Zero runs in bijective binary with bytes 0 and 1, lowest digit first; s > 0 as s + 1 in 8 bits, or 254 and 16, or 255 and 32 bits."""
+    """A byte 0 for each two zeros of a run and a byte 1 for an odd one; s > 0 as s + 1 in 8 bits, or 254 and 16, or 255 and 32 bits."""
     out, zeros = bytearray(), 0
 
     def flush() -> None:
         nonlocal zeros
-        while zeros:
-            out.append((zeros + 1) % 2)
-            zeros = (zeros - 1) // 2
+        out.extend(bytes(zeros // 2) + b"\1" * (zeros % 2))
+        zeros = 0
 
     for s in symbols:
         if s == 0:
@@ -67,15 +66,13 @@ def rle0_bytes(symbols: Iterable[int]) -> bytes:
 
 def rle0_symbols(data: bytes) -> list[int]:
     out: list[int] = []
-    i, weight = 0, 1
+    i = 0
     while i < len(data):
         b = data[i]
         if b < 2:
-            out += [0] * (weight * (b + 1))
-            weight *= 2
+            out += [0] * (2 - b)
             i += 1
             continue
-        weight = 1
         wide = {254: 2, 255: 4}.get(b, 0)
         out.append((int.from_bytes(data[i + 1 : i + 1 + wide], "big") if wide else b) - 1)
         i += 1 + wide

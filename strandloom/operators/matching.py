@@ -124,7 +124,12 @@ def histogram(nodes: DataFrame, column: str) -> DataFrame:
     return nodes.where("node_type = 'LZ'").groupBy(F.col(column).alias("key")).agg(F.count("*").alias("cnt"))
 
 
+def mismatches() -> Column:
+    """Mismatches of an LZ node, from its cost."""
+    return ((F.col("cost") - F.abs("shift") * SHIFT_COST) / MISMATCH_COST).cast("int")
+
+
 def expensive(nodes: DataFrame, most: int = 4) -> DataFrame:
     """read_id, mismatches, is_expensive: more mismatches than a cheap match may have."""
-    m = ((F.col("cost") - F.abs("shift") * SHIFT_COST) / MISMATCH_COST).cast("int")
+    m = mismatches()
     return nodes.where("node_type = 'LZ'").select("read_id", m.alias("mismatches"), (m > most).alias("is_expensive"))

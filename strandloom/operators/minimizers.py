@@ -23,7 +23,7 @@ def valid_codes(k: int) -> np.ndarray:
     return ~bad
 
 
-def scan(seqs: pd.Series, k: int, skip: int, divisor: int = 1, other: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def scan(seqs: pd.Series, k: int, skip: int, divisor: int = 1, other: np.ndarray | None = None, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Codes and positions of the smallest signatures of sequences and of their reverse complements; 4^k and 0 for none."""
     size = seqs.str.len().to_numpy(np.int64)
     wide = max(int(size.max(initial=0)), k)
@@ -34,6 +34,8 @@ def scan(seqs: pd.Series, k: int, skip: int, divisor: int = 1, other: np.ndarray
     heavy = (wall == ord("N")).sum(axis=1) >= size // 3
     starts = wide - k + 1
     good = valid_codes(k) & (np.arange(4**k) % divisor == 0)
+    if allowed is not None:
+        good &= allowed
     at = np.arange(starts)
     stop = np.where(heavy, 0, size - k - skip)
     out = []
@@ -56,18 +58,19 @@ def scan(seqs: pd.Series, k: int, skip: int, divisor: int = 1, other: np.ndarray
 FOUND = "f_code int, f_pos int, r_code int, r_pos int"
 
 
-def smallest(seq: Column, k: int = K, skip: int = 0, divisor: int = 1, other: Column | None = None) -> Column:
+def smallest(seq: Column, k: int = K, skip: int = 0, divisor: int = 1, other: Column | None = None, allowed: np.ndarray | None = None) -> Column:
     """struct(f_code, f_pos, r_code, r_pos): the smallest valid k-mer of a read and of its reverse complement.
 
     Starts 0 <= i < length - k - skip are tried: the last possible start is not;
     the leftmost wins ties; 4^k stands for none, as for reads rich in N.
-    ``divisor`` keeps codes that it divides, ``other`` leaves out one code.
+    ``divisor`` keeps codes that it divides, ``other`` leaves out one code,
+    ``allowed`` (4^k booleans) all that it does not name.
     One NumPy pass over an Arrow batch, many times as fast as array lambdas.
     """
 
     @F.pandas_udf(FOUND)
     def run(s: pd.Series, o: pd.Series) -> pd.DataFrame:
-        found = scan(s.fillna(""), k, skip, divisor, o.to_numpy(np.int64))
+        found = scan(s.fillna(""), k, skip, divisor, o.to_numpy(np.int64), allowed)
         return pd.DataFrame(dict(zip(("f_code", "f_pos", "r_code", "r_pos"), (x.astype(np.int32) for x in found), strict=True)))
 
     return run(seq, F.lit(-1) if other is None else other)

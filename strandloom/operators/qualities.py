@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,3 +77,27 @@ def mean_distortion(reads: DataFrame, mapped: Column, offset: int = 33) -> DataF
     d = d.groupBy("d").agg(F.sum("n").alias("n"))
     mean = lambda x: F.sum(x * F.col("n")) / F.sum("n")
     return d.agg(mean(F.abs("d")).alias("l1"), mean(F.col("d") * F.col("d")).alias("mse"), mean(F.log2(1 + F.abs("d"))).alias("lorentz"))
+
+
+def adaptive_bits(counts: DataFrame, context: list[str], symbol: str, alphabet: int) -> DataFrame:
+    """context, n, bits: the size of the symbols under an adaptive model for each context.
+
+    The model gives symbol s the share (times seen + 1/2) / (all seen +
+    alphabet / 2); its code length hangs on the final counts alone:
+    log2 of G(n + A/2) / G(A/2) * prod G(1/2) / G(c + 1/2). counts: context
+    columns, symbol and cnt; a row of a context and symbol once.
+    """
+
+    @F.pandas_udf("double")
+    def log_gamma(x: pd.Series) -> pd.Series:
+        return x.map(math.lgamma)
+
+    rows = counts.groupBy(*context, symbol).agg(F.sum("cnt").alias("cnt"))
+    each = rows.withColumn("g", log_gamma(F.col("cnt") + 0.5) - math.lgamma(0.5))
+    whole = each.groupBy(*context).agg(F.sum("cnt").alias("n"), F.sum("g").alias("g"))
+    return whole.select(*context, "n", ((log_gamma(F.col("n") + alphabet / 2) - math.lgamma(alphabet / 2) - F.col("g")) / math.log(2)).alias("bits"))
+
+
+def positioned(counts: DataFrame, length: int, parts: int = 8) -> DataFrame:
+    """Conditional counts with the part of the read, 0 to parts - 1, that a column lies in."""
+    return counts.withColumn("part", F.least(F.lit(parts - 1), F.floor(F.col("col") * parts / length)).cast("int"))

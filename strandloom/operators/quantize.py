@@ -15,6 +15,9 @@ SYMBOLS = 72
 
 
 def distortion(kind: str = "mse") -> np.ndarray:
+    """Matrix of a named measure (l1, mse, lorentz), or of the file that ``kind`` names."""
+    if kind not in ("l1", "mse", "lorentz"):
+        return custom_distortion(kind)
     d = np.abs(np.arange(SYMBOLS)[:, None] - np.arange(SYMBOLS)[None, :]).astype(float)
     return {"l1": d, "mse": d * d, "lorentz": np.log2(1 + d)}[kind]
 
@@ -105,7 +108,10 @@ def codebook(counts: list, length: int, target: float = 1.0, kind: str = "mse")
 
 
 def train(reads: DataFrame, target: float = 1.0, kind: str = "mse", offset: int = 33) -> dict:
-    """Codebook from all reads: their conditional counts are the only thing that is collected."""
+    """Codebook from all reads: their conditional counts, at most SYMBOLS^2 a column, are the only thing that is collected.
+
+    kind: a named distortion or the path of a matrix (``distortion``).
+    """
     length = reads.agg(F.max(F.length("qua"))).first()[0] or 0
     return codebook(cond_counts(reads, offset).collect(), length, target, kind)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +17,22 @@ def is_eligible(signature: Column, p: int, k: int = K) -> Column:
     return (signature != 4**k) & (signature % p != 0) & (signature % (p // 2) == 0)
 
 
-def single_targets(binned: DataFrame, p: int, k: int = K) -> DataFrame:
+def allowed_targets(binned: DataFrame, least: int, k: int = K) -> np.ndarray:
+    """4^k booleans: the bins with at least ``least`` reads. At most 4^k rows of their counts are collected."""
+    out = np.zeros(4**k, bool)
+    sizes = binned.where(F.col("signature") != 4**k).groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    out[[r["signature"] for r in sizes.select("signature").collect()]] = True
+    return out
+
+
+def single_targets(binned: DataFrame, p: int, k: int = K, allowed: np.ndarray | None = None) -> DataFrame:
     """Reads of eligible bins with new_signature, new_pos, flips.
 
     The target is the smallest valid code that p divides, other than the
-    present one; the read as stored wins ties; null: the read stays.
+    present one and among the ``allowed`` ones; the read as stored wins ties;
+    null: the read stays.
     """
-    rows = binned.where(is_eligible(F.col("signature"), p, k)).withColumn("_m", smallest(F.col("seq"), k, 0, p, F.col("signature")))
+    rows = binned.where(is_eligible(F.col("signature"), p, k)).withColumn("_m", smallest(F.col("seq"), k, 0, p, F.col("signature"), allowed))
     flips = F.col("_m.r_code") < F.col("_m.f_code")
     new = F.least("_m.f_code", "_m.r_code")
     pos = F.when(flips, F.col("_m.r_pos")).otherwise(F.col("_m.f_pos"))

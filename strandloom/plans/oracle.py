@@ -70,7 +70,7 @@ put("header_trim", READS, "select read_id, split_part(head, ' ', 1) as head from
 put("revcomp_se", READS, f"select read_id, {rc('seq')} as seq, reverse(qua) as qua from reads")
 put("revcomp_pe", READS, f"select read_id, {rc('mate_seq')} as seq, reverse(mate_qua) as qua, {rc('seq')} as mate_seq, reverse(qua) as mate_qua from pairs")
 put("mate_swap", READS, "select read_id, mate_seq as seq, mate_qua as qua, seq as mate_seq, qua as mate_qua from pairs")
-KM = f"{READS}, km as (select distinct substr(seq, 1, 8) as kmer from reads), coded as (select kmer, {code('kmer')} as code from km)"
+KM = f"{READS}, km as (select distinct substr(seq, p + 1, 8) as kmer from reads, range(0, 93) t(p)), coded as (select kmer, {code('kmer')} as code from km)"
 put("kmer_codes", KM, "select kmer, code from coded")
 put("signature_text", KM, "select code, case when code = 65536 then 'NNNNNNNN' else min(kmer) end as text from coded group by code")
 put("signature_revcomp", KM, f"select distinct code, case when code = 65536 then 65536 else {code(rc('kmer'))} end::int as rc_code from coded")
@@ -151,6 +151,7 @@ put("lz_match_w255", N.replace("a.rank - 7 and", "a.rank - 254 and"), NODE)
 put("lz_cost_hist", N, "select cost as key, count(*) as cnt from nodes where node_type = 'LZ' group by 1")
 put("lz_shift_hist", N, "select shift as key, count(*) as cnt from nodes where node_type = 'LZ' group by 1")
 put("lz_parent_distance", N, "select a.read_id, (a.rank - b.rank - 1)::int as lz_id from nodes a join nodes b on a.parent_id = b.read_id and a.signature = b.signature")
+put("lz_mismatch_hist", N, "select ((cost - abs(shift)) // 2)::int as key, count(*) as cnt from nodes where node_type = 'LZ' group by 1")
 put("lz_expensive", N, "select read_id, ((cost - abs(shift)) // 2)::int as mismatches, (cost - abs(shift)) // 2 > 4 as is_expensive from nodes where node_type = 'LZ'")
 TREE = f"{N}, walk as (select read_id, read_id as root_id, 0 as depth from nodes where node_type = 'HARD' union all select n.read_id, w.root_id, w.depth + 1 from nodes n join walk w on n.parent_id = w.read_id)"
 put("forest_depth", TREE, "select read_id, root_id, depth from walk", True)
@@ -201,3 +202,19 @@ put("records_head", READS, "select * from reads order by read_id limit 100")
 put("records_shuffled", READS, "select * from reads")
 put("position_steps", B, "select read_id, minim_pos - lag(minim_pos, 1, 0) over (partition by signature order by minim_pos, read_id) as step from binned")
 put("bins_allowed", B, "select read_id, signature from binned where signature in (select signature from binned group by signature having count(*) >= 8)")
+put(
+    "rebin_target_allowed",
+    TARGET.replace("kmer <> sig_text", f"kmer <> sig_text and {code('kmer')} in (select signature from binned group by signature having count(*) >= 40)"),
+    "select read_id, signature, new_signature, new_pos, flips from goes",
+)
+BITS = "round((lgamma(sum(c) + 32.0) - lgamma(32.0) - sum(lgamma(c + 0.5) - lgamma(0.5))) / ln(2), 2)::double as bits"
+put("qual_adaptive_bits", f"{SYM}, cc as (select prev::int as prev, cur, count(*) as c from sym group by prev, cur)", f"select prev, sum(c)::bigint as n, {BITS} from cc group by prev")
+put("qual_position_bits", f"{SYM}, cc as (select (col * 8 // 100)::int as part, prev::int as prev, cur, count(*) as c from sym group by all)", f"select part, prev, sum(c)::bigint as n, {BITS} from cc group by part, prev")
+put(
+    "rle0",
+    f"""{N}, dist as (select a.signature, a.rank, (a.rank - b.rank - 1)::int as s from nodes a join nodes b on a.parent_id = b.read_id and a.signature = b.signature),
+runs as (select *, row_number() over (partition by signature order by rank) - row_number() over (partition by signature, s = 0 order by rank) as g from dist),
+coded as (select signature, min(rank) as rank, count(*) as n, repeat('00', (count(*) // 2)::int) || case when count(*) % 2 = 1 then '01' else '' end as x from runs where s = 0 group by signature, g
+    union all select signature, rank, 1, printf('%02X', s + 1) from runs where s > 0)""",
+    "select signature, sum(n)::bigint as n_symbols, string_agg(x, '' order by rank) as stream from coded group by signature",
+)

@@ -26,8 +26,9 @@ def _binned(spark: SparkSession, sf_dir: str, skip: int = 0) -> DataFrame:
 
 
 def _kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First k-mer of each read, distinct."""
-    return derived_reads(spark, sf_dir).select(F.substring("seq", 1, 8).alias("kmer")).distinct()
+    """Distinct k-mers of all places of all reads."""
+    starts = F.sequence(F.lit(1), F.length("seq") - 7)
+    return derived_reads(spark, sf_dir).select(F.explode(F.transform(starts, lambda i: F.substr("seq", i, F.lit(8)))).alias("kmer")).distinct()
 
 
 def _nodes(spark: SparkSession, sf_dir: str, window: int = 8) -> DataFrame:
@@ -192,6 +193,18 @@ def qual_divergence(spark, sf_dir):
     return rows.select("col", F.round("kl", 6).alias("kl"))
 
 
+@query
+def qual_adaptive_bits(spark, sf_dir):
+    rows = qualities.adaptive_bits(qualities.cond_counts(derived_reads(spark, sf_dir)), ["prev"], "cur", 64)
+    return rows.select("prev", "n", F.round("bits", 2).alias("bits"))
+
+
+@query
+def qual_position_bits(spark, sf_dir):
+    counts = qualities.positioned(qualities.cond_counts(derived_reads(spark, sf_dir)), 100)
+    return qualities.adaptive_bits(counts, ["part", "prev"], "cur", 64).select("part", "prev", "n", F.round("bits", 2).alias("bits"))
+
+
 @query
 def whole_logs(spark, sf_dir):
     x = F.col("read_id")
@@ -327,6 +340,12 @@ def lz_shift_hist(spark, sf_dir):
     return matching.histogram(_nodes(spark, sf_dir), "shift")
 
 
+@query
+def lz_mismatch_hist(spark, sf_dir):
+    rows = matching.expensive(_nodes(spark, sf_dir))
+    return rows.groupBy(F.col("mismatches").alias("key")).agg(F.count("*").alias("cnt"))
+
+
 @query
 def lz_parent_distance(spark, sf_dir):
     return matching.parent_distance(_nodes(spark, sf_dir))
@@ -363,6 +382,13 @@ def rebin_target_single(spark, sf_dir):
     return rebin.single_targets(_binned(spark, sf_dir), 2).select("read_id", "signature", "new_signature", "new_pos", "flips")
 
 
+@query
+def rebin_target_allowed(spark, sf_dir):
+    binned = _binned(spark, sf_dir)
+    rows = rebin.single_targets(binned, 2, allowed=rebin.allowed_targets(binned, 40))
+    return rows.select("read_id", "signature", "new_signature", "new_pos", "flips")
+
+
 @query
 def rebin_diff(spark, sf_dir):
     rows = rebin.single_targets(_binned(spark, sf_dir), 2)
@@ -434,7 +460,7 @@ def match_rle(spark, sf_dir):
 def rle0(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     rows = matching.parent_distance(nodes).join(nodes.select("read_id", "signature", "rank"), "read_id")
-    return codecs.rle0_streams(rows)
+    return codecs.rle0_streams(rows).select("signature", "n_symbols", F.hex("stream").alias("stream"))
 
 
 @query
