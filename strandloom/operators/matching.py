@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +32,23 @@ def duplicates(binned: DataFrame) -> DataFrame:
     return binned.groupBy("signature", "seq", "minim_pos").agg(F.min("read_id").alias("read_id"), F.count("*").alias("n_copies"))
 
 
+def laid_out(seqs: list[str], pos: np.ndarray) -> np.ndarray:
+    """Letters of the sequences, a row each, with all signatures in one column; 0 where a sequence has none."""
+    size = np.array([len(s) for s in seqs])
+    left, right = int(pos.max(initial=0)), int((size - pos).max(initial=0))
+    wall = np.zeros((len(seqs), left + right), np.uint8)
+    for i, s in enumerate(seqs):
+        wall[i, left - pos[i] : left - pos[i] + size[i]] = np.frombuffer(s.encode(), np.uint8)
+    return wall
+
+
 def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each distance d = 1..back: d, shifts and costs of every row against the row d before, in its group.
 
     Rows are laid out so that signatures meet in one column; a mismatch is a
     column that both rows fill with different bases.
     """
-    size = np.array([len(s) for s in seqs])
-    left, right = int(pos.max(initial=0)), int((size - pos).max(initial=0))
-    wall = np.zeros((len(seqs), left + right), np.uint8)
-    for i, s in enumerate(seqs):
-        wall[i, left - pos[i] : left - pos[i] + size[i]] = np.frombuffer(s.encode(), np.uint8)
+    wall = laid_out(seqs, pos)
     group = np.zeros(len(seqs), np.int64) if group is None else group
     most = int(np.unique(group, return_counts=True)[1].max(initial=0)) - 1
     for d in range(1, min(back, most) + 1):
@@ -65,6 +72,20 @@ def best_before(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray |
     return dist, shift, best
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of a sorted partition, cut only between groups: the last group of a batch may go on in the next one."""
+    rest = None
+    for f in frames:
+        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+        if len(f):
+            last = (f[keys] == f[keys].iloc[-1]).all(axis=1)
+            rest, f = f[last], f[~last]
+            if len(f):
+                yield f
+    if rest is not None and len(rest):
+        yield rest
+
+
 def lz_nodes(binned: DataFrame, window: int = 255, threshold: int | None = None, k: int = K) -> DataFrame:
     """signature, read_id, rank, node_type, parent_id, shift, cost, no_mismatch, n_copies of distinct reads.
 
@@ -99,16 +120,7 @@ def lz_nodes(binned: DataFrame, window: int = 255, threshold: int | None = None,
         return out[f["own"] == f["block"]][names]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for f in frames:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            if len(f):
-                last = (f["signature"] == f["signature"].iat[-1]) & (f["block"] == f["block"].iat[-1])
-                rest, f = f[last], f[~last]  # the last group may go on in the next batch
-                if len(f):
-                    yield match(f)
-        if rest is not None and len(rest):
-            yield match(rest)
+        yield from map(match, whole_groups(frames, ["signature", "block"]))
 
     schema = "signature int, read_id long, rank int, node_type string, parent_id long, shift int, cost int, no_mismatch boolean, n_copies long"
     return cells.repartition("signature", "block").sortWithinPartitions("signature", "block", "rank").mapInPandas(run, schema)
@@ -124,6 +136,73 @@ def histogram(nodes: DataFrame, column: str) -> DataFrame:
     return nodes.where("node_type = 'LZ'").groupBy(F.col(column).alias("key")).agg(F.count("*").alias("cnt"))
 
 
+LEAST_POS, HISTORY = 8, 65_536
+
+
+def by_prefix(nodes: DataFrame, binned: DataFrame, window: int = 255, threshold: int | None = None, history: int = HISTORY) -> DataFrame:
+    """Nodes of ``lz_nodes`` whose HARD reads have also been looked up by the bases in front of their signature.
+
+    Reads with at least LEAST_POS bases there are kept in order of these bases,
+    read backwards (of equal ones the longer first, then by rank), in one list
+    for each bin and pair of bases next to the signature. A HARD read is
+    compared with the window // 2 + 1 next entries on either side, among the
+    reads before it by rank (in its own or the preceding block of ``history``
+    ranks, so a task holds two blocks at most). The cheapest one becomes its
+    parent if its cost is under the threshold; nearest first, the lower side on
+    ties.
+    """
+    pos = F.col("minim_pos")
+    rows = nodes.select("signature", "read_id", "rank", "node_type").join(binned.select("read_id", "seq", "minim_pos"), "read_id").where(pos >= LEAST_POS)
+    rows = rows.withColumns({"pair": F.substr("seq", pos - 1, F.lit(2)), "prefix": F.concat(F.reverse(F.substr("seq", F.lit(1), pos - 1)), F.lit("~"))})
+    own = F.expr(f"cast((rank - 1) div {history} as int)")
+    rows = rows.withColumn("own", own).withColumn("block", F.explode(F.array("own", F.col("own") + 1)))
+    side = window // 2 + 1
+
+    keys = ["signature", "pair", "block"]
+
+    def look(f: pd.DataFrame) -> list[tuple]:
+        """read_id, parent, shift and cost for one list, in order of rank."""
+        seqs, at, ids = f["seq"].tolist(), f["minim_pos"].to_numpy(np.int64), f["read_id"].to_numpy()
+        hard = ((f["node_type"] == "HARD") & (f["own"] == f["block"])).to_numpy()
+        if len(f) < 2 or not hard.any():
+            return []
+        size = np.array([len(x) for x in seqs])
+        wall = laid_out(seqs, at)
+        kept: list[tuple[str, int]] = []
+        out = []
+        for i, prefix in enumerate(f["prefix"].tolist()):
+            here = bisect.bisect_left(kept, (prefix, -1))
+            if hard[i] and kept:
+                limit = int(size[i]) // 2 if threshold is None else threshold
+                best = (limit, 0, 0)
+                for found in ([x for _, x in kept[max(0, here - side) : here]][::-1], [x for _, x in kept[here : here + side]]):
+                    if found:
+                        y = np.array(found)
+                        shift = at[y] - at[i]
+                        differ = ((wall[y] != wall[i]) & (wall[y] != 0) & (wall[i] != 0)).sum(axis=1)
+                        cost = np.where(np.abs(shift) > MAX_SHIFT, np.iinfo(np.int32).max, np.abs(shift) * SHIFT_COST + differ * MISMATCH_COST)
+                        j = int(np.argmin(cost))
+                        if cost[j] < best[0]:
+                            best = (int(cost[j]), int(ids[y[j]]), int(shift[j]))
+                if best[0] < limit:
+                    out.append((ids[i], best[1], best[2], best[0]))
+            bisect.insort(kept, (prefix, i))
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in whole_groups(frames, keys):
+            new = (f[keys] != f[keys].shift()).any(axis=1).to_numpy()
+            out = [x for part in np.split(np.arange(len(f)), np.flatnonzero(new)[1:]) for x in look(f.iloc[part])]
+            yield pd.DataFrame(out, columns=["read_id", "p", "s", "c"]).astype({"read_id": "int64", "p": "int64", "s": "int32", "c": "int32"})
+
+    rows = rows.select(*keys, "rank", "own", "read_id", "node_type", "seq", "minim_pos", "prefix")
+    found = rows.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInPandas(run, "read_id long, p long, s int, c int")
+    better = F.col("p").isNotNull()
+    pick = {"node_type": F.when(better, F.lit("LZ")).otherwise(F.col("node_type")), "no_mismatch": F.when(better, F.col("c") == F.abs("s")).otherwise(F.col("no_mismatch"))}
+    pick |= {x: F.coalesce(y, x) for x, y in (("parent_id", "p"), ("shift", "s"), ("cost", "c"))}
+    return nodes.join(found, "read_id", "left").withColumns(pick).drop("p", "s", "c")
+
+
 def mismatches() -> Column:
     """Mismatches of an LZ node, from its cost."""
     return ((F.col("cost") - F.abs("shift") * SHIFT_COST) / MISMATCH_COST).cast("int")

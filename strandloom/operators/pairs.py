@@ -19,6 +19,28 @@ def zip_mates(first: DataFrame, second: DataFrame, on: str = "read_id") -> DataF
     return first.join(mate, on)
 
 
+SEPARATORS = " ._,=:/#-"
+
+
+def read_number(head: Column) -> Column:
+    """The number between the first and the second separator of a name; null if there is none."""
+    between = F.regexp_extract(head, f"^[^{SEPARATORS}]*[{SEPARATORS}]([0-9]{{1,18}})(?:[{SEPARATORS}]|$)", 1)
+    return F.when(between != "", between.cast("long"))
+
+
+def by_number(first: DataFrame, second: DataFrame) -> DataFrame:
+    """number, head, seq, qua, mate_seq, mate_qua, bad: pairs of two files that lack some records each, by the number in the names.
+
+    Names of one file have different numbers. A record without a mate, or
+    without a number, has bad set. Both files may be read in splits.
+    """
+    a = first.select(read_number(F.col("head")).alias("number"), "head", "seq", "qua")
+    b = second.select(read_number(F.col("head")).alias("number"), F.col("head").alias("mate_head"), F.col("seq").alias("mate_seq"), F.col("qua").alias("mate_qua"))
+    both = a.join(b, "number", "full_outer")
+    bad = F.when(F.col("seq").isNull(), F.lit("no mate 1")).when(F.col("mate_seq").isNull(), F.lit("no mate 2"))
+    return both.select("number", F.coalesce("head", "mate_head").alias("head"), "seq", "qua", "mate_seq", "mate_qua", bad.alias("bad"))
+
+
 def replace_qualities(reads: DataFrame, qualities: DataFrame, on: str = "read_id") -> DataFrame:
     """Reads with the qualities of the record of the same ordinal; lengths must agree."""
     both = reads.join(qualities.select(on, F.col("qua").alias("_q")), on)

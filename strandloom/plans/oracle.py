@@ -218,3 +218,21 @@ coded as (select signature, min(rank) as rank, count(*) as n, repeat('00', (coun
     union all select signature, rank, 1, printf('%02X', s + 1) from runs where s > 0)""",
     "select signature, sum(n)::bigint as n_symbols, string_agg(x, '' order by rank) as stream from coded group by signature",
 )
+put(
+    "lz_prefix_search",
+    f"""{N.replace("a.rank - 7 and", "a.rank - 2 and")},
+pre as (select signature, read_id, rank, seq, minim_pos, substr(seq, minim_pos - 1, 2) as pair, reverse(substr(seq, 1, minim_pos - 1)) || '~' as prefix from srt where minim_pos >= 8),
+near as (select x.read_id, y.read_id as other, y.prefix >= x.prefix as up, y.minim_pos - x.minim_pos as shift, length(x.seq) // 2 as most,
+    row_number() over (partition by x.read_id, y.prefix >= x.prefix order by case when y.prefix >= x.prefix then y.prefix end, case when y.prefix >= x.prefix then y.rank end, y.prefix desc, y.rank desc) as far,
+    greatest(x.minim_pos - y.minim_pos, 0) as ao, greatest(y.minim_pos - x.minim_pos, 0) as bo, x.seq as aseq, y.seq as bseq
+    from pre x join nodes n on n.read_id = x.read_id and n.node_type = 'HARD' join pre y on y.signature = x.signature and y.pair = x.pair and y.rank < x.rank),
+priced as (select *, abs(shift) + 2 * hamming(substr(aseq, ao + 1, least(length(aseq) - ao, length(bseq) - bo)), substr(bseq, bo + 1, least(length(aseq) - ao, length(bseq) - bo))) as price from near where far <= 5),
+won as (select * from (select *, row_number() over (partition by read_id order by price, up, far) as n from priced where abs(shift) <= 127) z where n = 1 and price < most)""",
+    "select n.read_id, signature, rank, case when w.read_id is null then node_type else 'LZ' end as node_type, coalesce(w.other, parent_id) as parent_id, coalesce(w.shift, n.shift)::int as shift, coalesce(w.price, cost)::int as cost, case when w.read_id is null then no_mismatch else w.price = abs(w.shift) end as no_mismatch from nodes n left join won w using (read_id)",
+)
+put(
+    "mate_number_join",
+    READS,
+    """select coalesce(a.read_id, b.read_id) + 1 as number, coalesce(a.head, b.mate_head) as head, a.seq, a.qua, b.mate_seq, b.mate_qua, case when a.seq is null then 'no mate 1' when b.mate_seq is null then 'no mate 2' end as bad
+    from (select * from pairs where read_id % 13 <> 5) a full join (select * from pairs where read_id % 11 <> 3) b on a.read_id = b.read_id""",
+)

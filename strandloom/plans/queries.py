@@ -330,6 +330,20 @@ def lz_match_w255(spark, sf_dir):
     return _nodes(spark, sf_dir, 255).select("read_id", "signature", "rank", "node_type", "parent_id", "shift", "cost", "no_mismatch")
 
 
+@query
+def lz_prefix_search(spark, sf_dir):
+    binned = _binned(spark, sf_dir)
+    rows = matching.by_prefix(matching.lz_nodes(binned, 3), binned, 8)
+    return rows.select("read_id", "signature", "rank", "node_type", "parent_id", "shift", "cost", "no_mismatch")
+
+
+@query
+def mate_number_join(spark, sf_dir):
+    rows = derived_reads(spark, sf_dir, True)
+    second = rows.where("read_id % 11 <> 3").select("read_id", F.col("mate_head").alias("head"), F.col("mate_seq").alias("seq"), F.col("mate_qua").alias("qua"))
+    return pairs.by_number(rows.where("read_id % 13 <> 5").select("read_id", "head", "seq", "qua"), second)
+
+
 @query
 def lz_cost_hist(spark, sf_dir):
     return matching.histogram(_nodes(spark, sf_dir), "cost")

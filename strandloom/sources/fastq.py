@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
-from itertools import zip_longest
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 64 << 20
+NUMBER = re.compile(r"[^ ._,=:/#-]*[ ._,=:/#-]([0-9]{1,18})(?:[ ._,=:/#-]|$)")
 FILE_SHIFT = 44
 
 
@@ -58,6 +59,31 @@ def records(stream, stop: int | None, position: int, strict: bool, trim: bool) -
         yield (at, head, seq, qua, None) if good else (at, head, None, None, "\n".join((head, seq, plus, qua)))
 
 
+def number_of(head: str) -> int | None:
+    """The number between the first and the second separator of a name."""
+    found = NUMBER.match(head)
+    return int(found[1]) if found else None
+
+
+def in_step(first: Iterator[tuple], second: Iterator[tuple]) -> Iterator[tuple[tuple | None, tuple | None]]:
+    """Records of two mate files in pairs. Where the numbers in the names differ, the smaller one is given without a mate; so is the rest of the longer file."""
+    a, b = next(first, None), next(second, None)
+    while a is not None or b is not None:
+        x, y = number_of(a[1]) if a else None, number_of(b[1]) if b else None
+        if a is None or b is None:
+            yield a, b
+            a, b = next(first, None), next(second, None)
+        elif x is None or y is None or x == y:
+            yield a, b
+            a, b = next(first, None), next(second, None)
+        elif x < y:
+            yield a, None
+            a = next(first, None)
+        else:
+            yield None, b
+            b = next(second, None)
+
+
 class _Piece(InputPartition):
     def __init__(self, index: int, path: str, mate: str | None, start: int, stop: int | None):
         super().__init__((index, start))
@@ -75,7 +101,10 @@ class FastqReader(DataSourceReader):
             raise ValueError("as many mate files as files are needed")
 
     def partitions(self):
-        """Plain single-end files are split by bytes; gzip files and pairs of files are a task each."""
+        """Plain single-end files are split by bytes; gzip files and pairs of files are a task each.
+
+        Large plain mate files are better read as two single-end tables and put together by ``pairs.by_number``.
+        """
         out = []
         for i, p in enumerate(self.paths):
             mate = self.mates[i] if self.mates else None
@@ -98,12 +127,14 @@ class FastqReader(DataSourceReader):
     def read(self, piece):
         base = piece.index << FILE_SHIFT
         if piece.mate:
-            both = (records(self._stream(p, 0), None, 0, self.strict, self.trim) for p in (piece.path, piece.mate))
-            for n, (a, b) in enumerate(zip_longest(*both)):
+            first, second = (records(self._stream(p, 0), None, 0, self.strict, self.trim) for p in (piece.path, piece.mate))
+            for n, (a, b) in enumerate(in_step(first, second)):
                 if a is None or b is None:
                     if self.strict:
-                        raise ValueError("mate files differ in length")
-                    return
+                        raise ValueError("mate files hold different records")
+                    alone = a or b
+                    yield base | n, alone[1], *((alone[2], alone[3], None, None) if a else (None, None, alone[2], alone[3])), alone[4] or f"no mate {2 if a else 1}"
+                    continue
                 bad = a[4] or b[4]
                 yield (base | n, a[1], *(x if not bad else None for x in (a[2], a[3], b[2], b[3])), bad)
             return
