@@ -36,11 +36,29 @@ DENSE = 1 << 26
 LEAST_WORDS = 5
 
 
-def _terms(w: kernel.Words, vocabulary: np.ndarray) -> np.ndarray:
+class Terms:
     """Term of each word: its place in the sorted vocabulary, or a class of the other words behind that."""
-    n = len(vocabulary)
-    at = np.minimum(np.searchsorted(vocabulary, w.hash), n - 1)
-    return np.where(vocabulary[at] == w.hash, at, n + (w.hash & np.uint64(CONTEXT - 1)).astype(np.int64))
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.cells = np.uint64((1 << max(16, int(len(vocabulary)).bit_length() + 4)) - 1)
+        cell = (vocabulary & self.cells).astype(np.int64)
+        self.first = np.zeros(int(self.cells) + 1, np.int32)
+        self.first[cell[::-1]] = np.arange(len(vocabulary))[::-1]
+        self.shared = np.zeros(int(self.cells) + 1, bool)  # cells of several words of the vocabulary
+        self.shared[cell[self.first[cell] != np.arange(len(vocabulary))]] = True
+
+    def __call__(self, w: kernel.Words) -> np.ndarray:
+        n = len(self.vocabulary)
+        cell = (w.hash & self.cells).astype(np.int64)
+        at = self.first[cell].astype(np.int64)
+        out = np.where(self.vocabulary[at] == w.hash, at, n + (w.hash & np.uint64(CONTEXT - 1)).astype(np.int64))
+        many = np.flatnonzero(self.shared[cell])
+        if len(many):
+            h = w.hash[many]
+            at = np.minimum(np.searchsorted(self.vocabulary, h), n - 1)
+            out[many] = np.where(self.vocabulary[at] == h, at, out[many])
+        return out
 
 
 def _test_matrix(terms: int) -> np.ndarray:
@@ -67,8 +85,8 @@ def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
     width = RANK + SPARE
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = _test_matrix(n)
-        count, df, z = 0, np.zeros(n), np.zeros(test.shape)
+        test, terms = np.append(_test_matrix(n), np.zeros((1, width), np.float32), axis=0), Terms(vocabulary)
+        count, df, z = 0, np.zeros(n), np.zeros((n, width))
         for batch in kernel.sliced(batches, 0, size=1 << 20):
             w = kernel.words(batch.column(0), "alnum")
             size = np.diff(w.first)
@@ -78,14 +96,20 @@ def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
             if not len(w.hash):
                 continue
             place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], size)
-            pairs = np.sort((np.repeat(base, size) + place // PASSAGE) * n + _terms(w, vocabulary))
+            pairs = np.sort((np.repeat(base, size) + place // PASSAGE) * n + terms(w))
             pairs = pairs[np.diff(pairs, prepend=-1) > 0]
             passage, term = pairs // n, pairs % n
             df += np.bincount(term, minlength=n)
-            y = np.zeros((int(per_doc.sum()), width), np.float32)  # a passage has PASSAGE terms at most
-            sums_by(term, test, passage, y)
+            many = np.bincount(passage, minlength=int(per_doc.sum()))
+            grid = np.full((len(many), int(many.max())), n)  # distinct terms of each passage, PASSAGE at most
+            grid[passage, np.arange(len(pairs)) - np.repeat(np.cumsum(many) - many, many)] = term
+            y = test[grid[:, 0]]
+            for k in range(1, grid.shape[1]):
+                y += test[grid[:, k]]
             order = np.argsort(term, kind="stable")
-            sums_by(passage[order], y, term[order], z)
+            part = np.zeros((n, width), np.float32)
+            sums_by(passage[order], y, term[order], part)
+            z += part
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([np.append(float(count), df).tobytes()]), pa.array([z.astype(np.float32).tobytes()])], names=["df", "z"])
 
@@ -168,7 +192,10 @@ def windows(first: np.ndarray, term: np.ndarray, table: np.ndarray, blocks: tupl
     sums = np.zeros((total, table.shape[1]), np.float32)
     for r in range(k):
         part = np.flatnonzero(within % k == r) if k > 1 else slice(None)
-        sums[slot[part]] += fine[part]
+        if r:
+            sums[slot[part]] += fine[part]
+        else:
+            sums[slot[part]] = fine[part]
     out = sums[: total - STEPS + 1].copy()
     for j in range(1, STEPS):
         out += sums[j : total - STEPS + 1 + j]
@@ -285,6 +312,8 @@ def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answe
             member = np.zeros(n * len(place), bool)
             member[holds] = True
         masks: dict[int, dict[int, int]] = {}
+        distinct = [set(x.tolist()) for x in words]
+        terms = Terms(vocabulary)
 
         def held(pair: np.ndarray) -> np.ndarray:
             return member[pair] if member is not None else holds[np.minimum(np.searchsorted(holds, pair), len(holds) - 1)] == pair
@@ -295,23 +324,25 @@ def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answe
             flat = term[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
             known = np.flatnonzero(flat < n)
             known = known[held(np.repeat(item * n, size)[known] + flat[known])]
-            inside = np.bincount(np.searchsorted(np.cumsum(size), known, "right"), minlength=len(size))
+            inside = np.bincount(np.repeat(np.arange(len(size)), size)[known], minlength=len(size))
             enough = np.flatnonzero(inside >= share * length[item])  # no common subsequence is longer than the words that are the item's
             for x in enough.tolist():
-                i = int(item[x])
+                i, key = int(item[x]), (int(doc[x]), int(item[x]))
+                there = h[int(begin[x]) : int(stop[x])].tolist()
+                most = min(int(inside[x]), len(distinct[i].intersection(there)) + len(words[i]) - len(distinct[i]))
+                if most < share * len(words[i]) or most <= best.get(key, (0,))[0]:
+                    continue
                 if i not in masks:
                     masks[i] = {}
                     for j, y in enumerate(words[i].tolist()):
                         masks[i][y] = masks[i].get(y, 0) | 1 << j
-                there = h[int(begin[x]) : int(stop[x])].tolist()
                 common = common_subsequence(masks[i], len(words[i]), there)
-                key = (int(doc[x]), i)
                 if common >= share * len(words[i]) and common > best.get(key, (0,))[0] and len(answers[i].intersection(there)) >= answer * len(answers[i]):
                     best[key] = (common, float(cos[x]), int(at[x]))
 
         for batch in kernel.sliced(batches, 1, size=1 << 20):
             w = kernel.words(batch.column(1), "alnum")
-            every = _terms(w, vocabulary)
+            every = terms(w)
             best: dict[tuple[int, int], tuple[int, float, int]] = {}
             for docs_, starts, sizes in pieces(w.first, STEPS * UNIT * max(k for k, _ in classes)):
                 first = np.append(0, np.cumsum(sizes))
