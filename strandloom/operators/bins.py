@@ -34,12 +34,13 @@ def large_bins(binned: DataFrame, least: int, k: int = K) -> DataFrame:
     return with_size(binned).where((F.col("bin_size") >= least) & (F.col("signature") != 4**k))
 
 
-def small_to_n(binned: DataFrame, least: int = 8, k: int = K) -> DataFrame:
+def small_to_n(binned: DataFrame, least: int = 8, k: int = K, paired: bool = False) -> DataFrame:
     """Reads of bins under ``least`` go to the N bin: orientation undone, position 0."""
     sized = with_size(binned)
     small = (F.col("bin_size") < least) & (F.col("signature") != 4**k)
     keep = sized.where(~small).drop("bin_size")
-    moved = restored(sized.where(small).drop("bin_size")).withColumns({"is_rev": F.lit(False), "signature": F.lit(4**k), "sig_text": F.lit("N" * k), "minim_pos": F.lit(0)})
+    undone = {"is_swapped": F.lit(False)} if paired else {}
+    moved = restored(sized.where(small).drop("bin_size"), paired).withColumns(undone | {"is_rev": F.lit(False), "signature": F.lit(4**k), "sig_text": F.lit("N" * k), "minim_pos": F.lit(0)})
     return keep.unionByName(moved)
 
 

@@ -125,7 +125,9 @@ def grow(reads: list[dict], least: int, cut: int = 2, most_new: int = 1, most_ha
 
 
 def contigs(nodes: DataFrame, depth: DataFrame, binned: DataFrame, least: int = 10) -> DataFrame:
-    """signature, contig_id (its seed), root_id, consensus, variant_cols, members.
+    """signature, contig_id (its seed), root_id, start, consensus, variant_cols, members.
+
+    ``start`` is the column of the consensus' first base, 0 that of the signature.
 
     Trees are grown one at a time, roots left out: first reads that agree with
     what is there, then reads with at most one new variant that are cheaper in
@@ -143,7 +145,7 @@ def contigs(nodes: DataFrame, depth: DataFrame, binned: DataFrame, least: int =
         out = []
         for c in grow(reads, least):
             cols = sorted(x for x, n in c.counts.items() if n)
-            out.append((f["signature"].iat[0], c.members[0]["read_id"], c.members[0]["root"], "".join(c.base(x) for x in cols), [x for x in cols if len(c.counts[x]) > 1], [r["read_id"] for r in c.members]))
-        return pd.DataFrame(out, columns=["signature", "contig_id", "root_id", "consensus", "variant_cols", "members"])
+            out.append((f["signature"].iat[0], c.members[0]["read_id"], c.members[0]["root"], cols[0], "".join(c.base(x) for x in cols), [x for x in cols if len(c.counts[x]) > 1], [r["read_id"] for r in c.members]))
+        return pd.DataFrame(out, columns=["signature", "contig_id", "root_id", "start", "consensus", "variant_cols", "members"])
 
-    return rows.groupBy("signature", "root_id").applyInPandas(build, "signature int, contig_id long, root_id long, consensus string, variant_cols array<int>, members array<long>")
+    return rows.groupBy("signature", "root_id").applyInPandas(build, "signature int, contig_id long, root_id long, start int, consensus string, variant_cols array<int>, members array<long>")

@@ -65,7 +65,7 @@ def alphabet_union(pairs: DataFrame) -> DataFrame:
 
 
 def pair_matches(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int = K) -> DataFrame:
-    """signature, read_id, flag, parent_id, shift, cost of second mates.
+    """signature, rank, read_id, flag, parent_id, shift, cost of second mates.
 
     In the order of the bin each mate 2 offers its ``per_read`` smallest valid
     k-mers; earlier mates of the bin within ``window`` ranks that offered one
@@ -100,9 +100,9 @@ def pair_matches(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int
                         best = (cost, other, shift, m)
             cost, other, shift, m = best
             flag = "Difficult" if other is None else "Identical" if cost == 0 else "ShiftOnly" if m == 0 else "FullExpensive" if m > 4 else "FullEncode"
-            out.append((f["signature"].iat[0], rid, flag, other, shift if other is not None else None, cost if other is not None else None))
+            out.append((f["signature"].iat[0], rank, rid, flag, other, shift if other is not None else None, cost if other is not None else None))
             for e in sigs:
                 held[e["s"]].append((rank, rid, x, e["p"]))
-        return pd.DataFrame(out, columns=["signature", "read_id", "flag", "parent_id", "shift", "cost"]).astype({"parent_id": "Int64", "shift": "Int32", "cost": "Int32"})
+        return pd.DataFrame(out, columns=["signature", "rank", "read_id", "flag", "parent_id", "shift", "cost"]).astype({"parent_id": "Int64", "shift": "Int32", "cost": "Int32"})
 
-    return rows.groupBy("signature").applyInPandas(match, "signature int, read_id long, flag string, parent_id long, shift int, cost int")
+    return rows.groupBy("signature").applyInPandas(match, "signature int, rank int, read_id long, flag string, parent_id long, shift int, cost int")

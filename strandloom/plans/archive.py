@@ -1,33 +1,49 @@
-"""The archive: reads as differences from earlier reads of their bin, and back."""
+"""The archive: reads as differences from other reads of their bin, stored as Parquet tables, and back.
+
+Distinct sequences are nodes: roots with their bases, children as differences
+from a parent, members of contigs as letters at the contig's variant columns.
+Reads refer to nodes; second mates are differences from earlier second mates.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phred
-from ..functions.dna import K
+from ..functions.dna import K, code_text, revcomp
 from ..operators.bins import small_to_n
-from ..operators.lineage import durable
+from ..operators.contigs import contigs
+from ..operators.forest import depths_by_bin
 from ..operators.headers import trimmed
-from ..operators.matching import lz_nodes
-from ..operators.minimizers import minimizer_se, restored
+from ..operators.lineage import durable
+from ..operators.matching import by_prefix, duplicates, lz_nodes, whole_groups
+from ..operators.minimizers import minimizer_pe, minimizer_se, restored
+from ..operators.pairs import pair_matches
 from ..operators.quantize import apply_codebook, train
+from ..operators.rebin import chain
+
+Tables = dict[str, DataFrame]
+BUCKETS = 256
 
 
 @dataclass(frozen=True)
 class Profile:
-    """What is kept: quality mode (lossless, illumina8, qvz, binary), names (all, trimmed, none), search effort."""
+    """What is kept: quality mode (lossless, illumina8, qvz, binary), names (all, trimmed, none), and search effort."""
 
     quality: str
     names: str
     skip: int = 0
     window: int = 256
     least_bin: int = 8
+    rounds: tuple[int, ...] = ()
+    prefix: bool = False
+    least_contig: int = 0
 
 
 PROFILES = {
@@ -39,7 +55,12 @@ PROFILES = {
 
 
 def fast(p: Profile) -> Profile:
-    return Profile(p.quality, p.names, skip=10, window=256, least_bin=p.least_bin)
+    return replace(p, skip=10, window=256)
+
+
+def thorough(p: Profile, window: int = 1024) -> Profile:
+    """With re-binning rounds 2, 4 and 8, the search by prefixes, and contigs."""
+    return replace(p, window=window, rounds=(2, 4, 8), prefix=True, least_contig=10)
 
 
 def lossy(reads: DataFrame, p: Profile) -> DataFrame:
@@ -48,75 +69,221 @@ def lossy(reads: DataFrame, p: Profile) -> DataFrame:
         reads = reads.withColumn("head", trimmed(F.col("head")))
     elif p.names == "none":
         reads = reads.withColumn("head", F.lit("@"))
-    if p.quality == "illumina8":
-        reads = reads.withColumn("qua", phred.n_masked(F.col("seq"), phred.illumina_8(F.col("qua")), 0))
-    elif p.quality == "binary":
-        reads = reads.withColumn("qua", phred.n_masked(F.col("seq"), phred.binary(F.col("qua")), 6))
-    elif p.quality == "qvz":
-        reads = reads.drop("qua").join(apply_codebook(reads, train(reads)), "read_id")
+    for seq, qua in (("seq", "qua"), ("mate_seq", "mate_qua")):
+        if qua not in reads.columns:
+            continue
+        if p.quality == "illumina8":
+            reads = reads.withColumn(qua, phred.n_masked(F.col(seq), phred.illumina_8(F.col(qua)), 0))
+        elif p.quality == "binary":
+            reads = reads.withColumn(qua, phred.n_masked(F.col(seq), phred.binary(F.col(qua)), 6))
+        elif p.quality == "qvz":
+            own = reads.select("read_id", F.col(qua).alias("qua"))
+            reads = reads.drop(qua).join(apply_codebook(own, train(own)).withColumnRenamed("qua", qua), "read_id")
     return reads
 
 
-def pack(reads: DataFrame, p: Profile, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, members, raw): distinct sequences as payloads, the reads of each, and the N bin as it is.
+def differences(seq: Column, parent: Column, shift: Column) -> dict[str, Column]:
+    """before, after: bases outside the overlap with the parent; overlap: its length; diffs: differing letters by place."""
+    off, lz = F.greatest(-shift, F.lit(0)), F.greatest(shift, F.lit(0))
+    n = F.greatest(F.least(F.length(seq) - off, F.length(parent) - lz), F.lit(0))
+    cells = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.cast("int").alias("at"), F.substr(seq, off + i, F.lit(1)).alias("base"), F.substr(parent, lz + i, F.lit(1)).alias("was")))
+    diffs = F.filter(cells, lambda x: (x["at"] > 0) & (x["base"] != x["was"]))
+    return {
+        "before": F.substr(seq, F.lit(1), off),
+        "after": F.substr(seq, off + n + 1),
+        "overlap": n.cast("int"),
+        "diffs": F.transform(diffs, lambda x: F.struct(x["at"].alias("at"), x["base"].alias("base"))),
+    }
 
-    A root's payload is its bases with the signature as a dot; an LZ node's is
-    the bases outside the overlap and the differing letters by place.
-    """
-    binned = durable(small_to_n(minimizer_se(lossy(reads, p), k, p.skip), p.least_bin, k))  # read five times below
-    std, raw = binned.where(F.col("signature") != 4**k), binned.where(F.col("signature") == 4**k)
-    nodes = lz_nodes(std, p.window, k=k)
-    own = std.select("read_id", "seq", "minim_pos", "sig_text")
-    up = std.select(F.col("read_id").alias("parent_id"), F.col("seq").alias("parent_seq"))
-    rows = nodes.join(own, "read_id").join(up, "parent_id", "left")
-    off, lz = F.greatest(-F.col("shift"), F.lit(0)), F.greatest(F.col("shift"), F.lit(0))
-    n = F.least(F.length("seq") - off, F.length("parent_seq") - lz)
-    at = F.sequence(F.lit(1), n)
-    diffs = F.filter(F.transform(at, lambda i: F.struct(i.cast("int").alias("at"), F.substr("seq", off + i, F.lit(1)).alias("base"), F.substr("parent_seq", lz + i, F.lit(1)).alias("was"))), lambda x: x["base"] != x["was"])
+
+def _rebuilt(parent: str, shift, before: str, after: str, overlap, diffs) -> str:
+    lz = max(int(shift), 0)
+    middle = list(parent[lz : lz + int(overlap)])
+    for d in diffs:
+        middle[d["at"] - 1] = d["base"]
+    return before + "".join(middle) + after
+
+
+def _nodes(firsts: DataFrame, p: Profile, k: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, contig rows) of distinct reads: signature, read_id, depth, kind, parent_id, shift, minim_pos, turned and the payload."""
+    heads, links = chain(firsts, p.rounds, p.window, k=k)
+    found = lz_nodes(heads, p.window, k=k)
+    if p.prefix:
+        found = by_prefix(found, heads, p.window)
+    found = durable(found)
+    spark, same = firsts.sparkSession, ["signature", "seq", "minim_pos"]
+    first = duplicates(heads).where("n_copies > 1").select(*same, F.col("read_id").alias("parent_id"))
+    again = heads.join(first, same).where("read_id <> parent_id").select("signature", "read_id", "parent_id", F.lit(0).alias("shift"), F.lit("LZ").alias("kind"))
+    made = None
+    forest = found.select("signature", "read_id", "parent_id", "shift", F.col("node_type").alias("kind")).unionByName(again)
+    if p.least_contig:
+        made = durable(contigs(found, depths_by_bin(found), heads, p.least_contig))
+        inside = made.select("contig_id", "start", "variant_cols", F.explode("members").alias("read_id"))
+        forest = forest.join(inside.select("read_id", "contig_id"), "read_id", "left").select(
+            "signature", "read_id", F.coalesce("contig_id", "parent_id").alias("parent_id"), F.when(F.col("contig_id").isNull(), F.col("shift")).alias("shift"), F.when(F.col("contig_id").isNotNull(), F.lit("CONTIG")).otherwise(F.col("kind")).alias("kind")
+        )
+    hung = links.join(heads.select(F.col("read_id").alias("anchor_id"), "signature"), "anchor_id").select("signature", "read_id", "parent_id", "shift", F.lit("TREE").alias("kind"))
+    forest = durable(forest.unionByName(hung))
+    free = forest.withColumn("parent_id", F.when(F.col("kind") != "CONTIG", F.col("parent_id")))
+    base = firsts.select("read_id", "seq", "minim_pos")
+    turned = links.join(base, "read_id").select("read_id", F.when(F.col("turned"), revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.lit(0).alias("minim_pos"), "turned")
+    own = durable(heads.select("read_id", "seq", "minim_pos", "turned").unionByName(turned))
+    rows = forest.join(depths_by_bin(free).select("read_id", "depth"), "read_id").join(own, "read_id")
+    rows = rows.join(own.select(F.col("read_id").alias("parent_id"), F.col("seq").alias("parent_seq")), "parent_id", "left")
     root = F.concat(F.substr("seq", F.lit(1), F.col("minim_pos")), F.lit("."), F.substr("seq", F.col("minim_pos") + k + 1))
-    hard = F.col("node_type") == "HARD"
+    payload = differences(F.col("seq"), F.col("parent_seq"), F.col("shift"))
+    if made is not None:
+        rows = rows.join(inside.select("read_id", "variant_cols"), "read_id", "left")
+        held = F.filter("variant_cols", lambda c: (c >= -F.col("minim_pos")) & (c < F.length("seq") - F.col("minim_pos")))
+        letters = F.array_join(F.transform(held, lambda c: F.substr("seq", c + F.col("minim_pos") + 1, F.lit(1))), "")
+    else:
+        letters = F.lit("")
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
     nodes = rows.select(
-        "signature", "sig_text", "read_id", "rank", "node_type", "parent_id", "shift", "minim_pos",
-        F.when(hard, root).otherwise(F.substr("seq", F.lit(1), off)).alias("before"),
-        F.when(~hard, F.substr("seq", off + n + 1)).alias("after"),
-        F.when(~hard, n).alias("overlap"),
-        F.when(~hard, F.transform(diffs, lambda x: F.struct(x["at"].alias("at"), x["base"].alias("base")))).alias("diffs"),
+        "signature", "read_id", "depth", "kind", "parent_id", "shift", "minim_pos", "turned",
+        F.when(is_("HARD"), root).when(is_("CONTIG"), letters).otherwise(payload["before"]).alias("before"),
+        F.when(is_("LZ", "TREE"), payload["after"]).alias("after"),
+        F.when(is_("CONTIG"), F.length("seq")).when(is_("LZ", "TREE"), payload["overlap"]).alias("overlap"),
+        F.when(is_("LZ", "TREE"), payload["diffs"]).alias("diffs"),
     )
-    first = std.groupBy("signature", "seq", "minim_pos").agg(F.min("read_id").alias("node_id"))
-    members = std.join(first, ["signature", "seq", "minim_pos"]).select("node_id", "read_id", "is_rev", "head", "qua")
-    return nodes, members, raw.select("read_id", "head", "seq", "qua")
-
-
-def unpack(nodes: DataFrame, members: DataFrame, raw: DataFrame) -> DataFrame:
-    """read_id, head, seq, qua of all reads. A bin is rebuilt in one task, parents first."""
-
-    def rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bin_, seqs = None, {}
-        for f in frames:
-            made = []
-            for sig, text, i, kind, parent, shift, before, after, overlap, diffs in zip(
-                f["signature"], f["sig_text"], f["read_id"], f["node_type"], f["parent_id"], f["shift"], f["before"], f["after"], f["overlap"], f["diffs"], strict=True
-            ):
-                if sig != bin_:
-                    bin_, seqs = sig, {}
-                if kind == "HARD":
-                    seqs[i] = before.replace(".", text, 1)
-                else:
-                    lz = max(int(shift), 0)
-                    middle = list(seqs[int(parent)][lz : lz + int(overlap)])
-                    for d in diffs:
-                        middle[d["at"] - 1] = d["base"]
-                    seqs[i] = before + "".join(middle) + after
-                made.append((i, seqs[i]))
-            yield pd.DataFrame(made, columns=["node_id", "seq"])
-
-    rebuilt = nodes.repartition("signature").sortWithinPartitions("signature", "rank").mapInPandas(rebuild, "node_id long, seq string")
-    rows = restored(members.join(rebuilt, "node_id")).select("read_id", "head", "seq", "qua")
-    return rows.unionByName(raw)
-
-
-def stream_sizes(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Bytes of each stream before general compression, for reports."""
-    a = nodes.agg(F.sum(F.length("before") + F.coalesce(F.length("after"), F.lit(0))).alias("bases"), F.sum(F.coalesce(F.size("diffs"), F.lit(0))).alias("mismatches"), F.count("*").alias("nodes"))
-    b = members.agg(F.sum(F.length("qua")).alias("qualities"), F.sum(F.length("head")).alias("names"), F.count("*").alias("reads"))
-    return a.join(b)  # one row each
+    if made is None:
+        return nodes, spark.createDataFrame([], "signature int, contig_id long, start int, consensus string, variant_cols array<int>")
+    return nodes, made.select("signature", "contig_id", "start", "consensus", "variant_cols")
+
+
+def pack(reads: DataFrame, p: Profile, k: int = K) -> Tables:
+    """Tables nodes, contigs, members and raw (the N bin as it is) of single-end reads, or of pairs where there is a column mate_seq."""
+    paired = "mate_seq" in reads.columns
+    kept = lossy(reads, p)
+    binned = minimizer_pe(kept, k, p.skip) if paired else minimizer_se(kept, k, p.skip)
+    binned = durable(small_to_n(binned, p.least_bin, k, paired))  # read several times below
+    std, raw = binned.where(F.col("signature") != 4**k), binned.where(F.col("signature") == 4**k)
+    firsts = durable(duplicates(std).drop("n_copies"))
+    nodes, contig_rows = _nodes(firsts, p, k)
+    nodes = durable(nodes)
+    same = ["signature", "seq", "minim_pos"]
+    members = std.join(firsts.select(*same, F.col("read_id").alias("node_id")), same).join(nodes.select(F.col("read_id").alias("node_id"), F.col("signature").alias("bin")), "node_id")
+    columns = ["bin", "node_id", "read_id", "is_rev", "head", "qua"]
+    if paired:
+        found = durable(pair_matches(std, k=k).select("read_id", F.col("rank").alias("mate_rank"), "flag", F.col("parent_id").alias("mate_parent"), F.col("shift").alias("mate_shift")))
+        up = std.select(F.col("read_id").alias("mate_parent"), F.col("mate_seq").alias("parent_mate"))
+        members = members.join(found, "read_id").join(up, "mate_parent", "left")
+        payload = differences(F.col("mate_seq"), F.col("parent_mate"), F.col("mate_shift"))
+        alone = F.col("mate_parent").isNull()
+        members = members.withColumns({f"mate_{c}": F.when(~alone, x) for c, x in payload.items()} | {"mate_bin": F.col("signature")})
+        members = members.withColumn("mate_before", F.when(alone, F.col("mate_seq")).otherwise(F.col("mate_before")))
+        columns += ["is_swapped", "mate_qua", "mate_bin", "mate_rank", "flag", "mate_parent", "mate_shift", "mate_before", "mate_after", "mate_overlap", "mate_diffs"]
+    whole = ["read_id", "head", "seq", "qua", *["mate_seq", "mate_qua"] * paired]
+    return {"nodes": nodes, "contigs": contig_rows, "members": members.select(*columns), "raw": raw.select(*whole)}
+
+
+def _decode_nodes(f: pd.DataFrame) -> pd.DataFrame:
+    """Sequences of whole bins, contigs first, then parents before children."""
+    bin_, seqs, held, made = None, {}, {}, []
+    cols = (f[c] for c in ("signature", "sig_text", "read_id", "kind", "parent_id", "shift", "minim_pos", "turned", "before", "after", "overlap", "diffs", "cols"))
+    for sig, text, i, kind, parent, shift, pos, turned, before, after, overlap, diffs, variant in zip(*cols, strict=True):
+        if sig != bin_:
+            bin_, seqs, held = sig, {}, {}
+        if kind == "":
+            held[i] = (before, int(shift), list(variant))
+            continue
+        if kind == "HARD":
+            seqs[i] = before.replace(".", text, 1)
+        elif kind == "CONTIG":
+            consensus, start, places = held[int(parent)]
+            at = -int(pos) - start
+            letters = list(consensus[at : at + int(overlap)])
+            for base, c in zip(before, (c for c in places if 0 <= c + int(pos) < int(overlap))):
+                letters[c + int(pos)] = base
+            seqs[i] = "".join(letters)
+        else:
+            seqs[i] = _rebuilt(seqs[int(parent)], shift, before, after, overlap, diffs)
+        made.append((i, seqs[i], turned))
+    return pd.DataFrame(made, columns=["node_id", "seq", "turned"])
+
+
+def _decode_mates(f: pd.DataFrame) -> pd.DataFrame:
+    bin_, seqs, made = None, {}, []
+    for sig, i, parent, shift, before, after, overlap, diffs in zip(*(f[c] for c in ("mate_bin", "read_id", "mate_parent", "mate_shift", "mate_before", "mate_after", "mate_overlap", "mate_diffs")), strict=True):
+        if sig != bin_:
+            bin_, seqs = sig, {}
+        seqs[i] = before if pd.isna(parent) else _rebuilt(seqs[int(parent)], shift, before, after, overlap, diffs)
+        made.append((i, seqs[i]))
+    return pd.DataFrame(made, columns=["read_id", "mate_seq"])
+
+
+def unpack(tables: Tables, k: int = K) -> DataFrame:
+    """read_id, head, seq, qua (and mate_seq, mate_qua) of all reads. A bin is rebuilt in one task, by depth; mates by rank."""
+    nodes, members = tables["nodes"], tables["members"]
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = tables["contigs"].select(
+        "signature", F.col("contig_id").alias("read_id"), F.lit(-1).alias("depth"), F.lit("").alias("kind"), none("long").alias("parent_id"), F.col("start").alias("shift"), F.lit(0).alias("minim_pos"), F.lit(False).alias("turned"),
+        F.col("consensus").alias("before"), none("string").alias("after"), none("int").alias("overlap"), none(nodes.schema["diffs"].dataType).alias("diffs"), F.col("variant_cols").alias("cols"),
+    )
+    stream = nodes.withColumn("cols", none("array<int>")).unionByName(heads).withColumn("sig_text", code_text(F.col("signature"), k))
+
+    def over(decode, key: str):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from map(decode, whole_groups(frames, [key]))
+
+        return run
+
+    seqs = stream.repartition("signature").sortWithinPartitions("signature", "depth").mapInPandas(over(_decode_nodes, "signature"), "node_id long, seq string, turned boolean")
+    seqs = seqs.select("node_id", F.when(F.col("turned"), revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    paired = "mate_rank" in members.columns
+    rows = members.join(seqs, "node_id")
+    if paired:
+        wanted = members.select("mate_bin", "mate_rank", "read_id", "mate_parent", "mate_shift", "mate_before", "mate_after", "mate_overlap", "mate_diffs")
+        mates = wanted.repartition("mate_bin").sortWithinPartitions("mate_bin", "mate_rank").mapInPandas(over(_decode_mates, "mate_bin"), "read_id long, mate_seq string")
+        rows = rows.join(mates, "read_id")
+    return restored(rows, paired).select(*tables["raw"].columns).unionByName(tables["raw"])
+
+
+def store(tables: Tables, path: str, p: Profile) -> None:
+    """Write the tables; nodes, contigs and members by ranges of signatures, with counts for each bin and the profile."""
+    bucket = lambda c: F.floor(F.col(c) / BUCKETS).cast("int").alias("bucket")
+    for name, key in (("nodes", "signature"), ("contigs", "signature"), ("members", "bin")):
+        tables[name].select("*", bucket(key)).repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{path}/{name}")
+    tables["raw"].write.parquet(f"{path}/raw")
+    reads = tables["members"].groupBy(F.col("bin").alias("signature")).agg(F.count("*").alias("n_reads"))
+    counts = tables["nodes"].groupBy("signature").agg(F.count("*").alias("n_nodes"), F.sum((F.col("kind") == "HARD").cast("long")).alias("n_roots"), F.sum((F.col("kind") == "CONTIG").cast("long")).alias("n_in_contigs"))
+    counts.join(reads, "signature").write.parquet(f"{path}/stats")
+    spark = tables["raw"].sparkSession
+    spark.createDataFrame([(json.dumps(asdict(p)),)], "profile string").write.parquet(f"{path}/config")
+
+
+def profile_of(spark: SparkSession, path: str) -> Profile:
+    held = json.loads(spark.read.parquet(f"{path}/config").first()["profile"])
+    return Profile(**(held | {"rounds": tuple(held["rounds"])}))
+
+
+def load(spark: SparkSession, path: str, signatures: tuple[int, int] | None = None) -> Tables:
+    """The tables of a stored archive; of bins from signatures[0] up to signatures[1] alone if given (others are not read, nor is raw)."""
+    out = {}
+    for name, key in (("nodes", "signature"), ("contigs", "signature"), ("members", "bin")):
+        t = spark.read.parquet(f"{path}/{name}")
+        if signatures:
+            a, b = signatures
+            t = t.where(F.col("bucket").between(a // BUCKETS, (b - 1) // BUCKETS) & (F.col(key) >= a) & (F.col(key) < b))
+        out[name] = t.drop("bucket")
+    raw = spark.read.parquet(f"{path}/raw")
+    return out | {"raw": raw.limit(0) if signatures else raw}
+
+
+def stream_sizes(tables: Tables) -> DataFrame:
+    """stream, symbols: letters, numbers or flags of each stream before general compression."""
+    nodes, members = tables["nodes"], tables["members"]
+    parts = [
+        nodes.where("kind = 'HARD'").select(F.lit("root bases").alias("stream"), F.length("before").alias("n")),
+        nodes.where("kind in ('LZ', 'TREE')").select(F.lit("child bases"), F.length("before") + F.length("after")),
+        nodes.where("kind in ('LZ', 'TREE')").select(F.lit("child mismatches"), F.size("diffs")),
+        nodes.where("kind = 'CONTIG'").select(F.lit("contig letters"), F.length("before")),
+        tables["contigs"].select(F.lit("consensus bases"), F.length("consensus")),
+        members.select(F.lit("names"), F.length("head")),
+        members.select(F.lit("qualities"), F.length("qua")),
+        tables["raw"].select(F.lit("raw bases"), F.length("seq")),
+    ]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.union(x)
+    return rows.groupBy("stream").agg(F.sum("n").cast("long").alias("symbols"))

@@ -236,3 +236,12 @@ put(
     """select coalesce(a.read_id, b.read_id) + 1 as number, coalesce(a.head, b.mate_head) as head, a.seq, a.qua, b.mate_seq, b.mate_qua, case when a.seq is null then 'no mate 1' when b.mate_seq is null then 'no mate 2' end as bad
     from (select * from pairs where read_id % 13 <> 5) a full join (select * from pairs where read_id % 11 <> 3) b on a.read_id = b.read_id""",
 )
+MATE_EIGHT = EIGHT.replace("qua", "mate_qua").replace("seq", "mate_seq")
+BINARY = "list_aggregate(list_transform(range(1, length(seq) + 1), lambda i: case when substr(seq, i::int, 1) = 'N' then '\'\'' when ascii(substr(qua, i::int, 1)) >= 53 then 'I' else '\'\'' end), 'string_agg', '')"
+MATE_BINARY = BINARY.replace("qua", "mate_qua").replace("seq", "mate_seq")
+for _name in ("lossless", "reduced", "max"):
+    ORACLE[f"archive_stored_se_{_name}"] = ORACLE[f"archive_roundtrip_{_name}"]
+put("archive_stored_pe_lossless", READS, "select read_id, head, seq, qua, mate_seq, mate_qua from pairs")
+put("archive_stored_pe_thorough", READS, "select read_id, head, seq, qua, mate_seq, mate_qua from pairs")
+put("archive_stored_pe_reduced", READS, f"select read_id, split_part(head, ' ', 1) as head, seq, {EIGHT} as qua, mate_seq, {MATE_EIGHT} as mate_qua from pairs")
+put("archive_stored_pe_max", READS, f"select read_id, '@' as head, seq, {BINARY} as qua, mate_seq, {MATE_BINARY} as mate_qua from pairs")

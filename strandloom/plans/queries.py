@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -489,17 +490,22 @@ def qvz_apply(spark, sf_dir):
     return quantize.apply_codebook(rows, quantize.train(rows))
 
 
-def _roundtrip(name: str) -> Query:
+def _roundtrip(p: archive.Profile, paired: bool = False, stored: bool = False) -> Query:
     def run(spark, sf_dir):
-        return archive.unpack(*archive.pack(derived_reads(spark, sf_dir), archive.PROFILES[name]))
+        reads = derived_reads(spark, sf_dir, paired)
+        tables = archive.pack(reads.drop("mate_head"), p)
+        if stored:
+            path = f"{lineage.shared_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+            archive.store(tables, path, p)
+            tables = archive.load(spark, path)
+        return archive.unpack(tables)
 
     return run
 
 
-for _name in archive.PROFILES:
-    QUERIES[f"archive_roundtrip_{_name}"] = _roundtrip(_name)
-
-
-@query
-def archive_roundtrip_fast(spark, sf_dir):
-    return archive.unpack(*archive.pack(derived_reads(spark, sf_dir), archive.fast(archive.PROFILES["lossless"])))
+for _name, _p in archive.PROFILES.items():
+    QUERIES[f"archive_roundtrip_{_name}"] = _roundtrip(_p)
+    QUERIES[f"archive_stored_se_{_name}"] = _roundtrip(archive.thorough(_p, 64), stored=True)
+    QUERIES[f"archive_stored_pe_{_name}"] = _roundtrip(_p, paired=True, stored=True)
+QUERIES["archive_roundtrip_fast"] = _roundtrip(archive.fast(archive.PROFILES["lossless"]))
+QUERIES["archive_stored_pe_thorough"] = _roundtrip(archive.thorough(archive.PROFILES["lossless"], 64), paired=True, stored=True)
