@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import phred
 from ..functions.dna import K, code_text, revcomp
@@ -249,7 +250,8 @@ def store(tables: Tables, path: str, p: Profile) -> None:
     counts = tables["nodes"].groupBy("signature").agg(F.count("*").alias("n_nodes"), F.sum((F.col("kind") == "HARD").cast("long")).alias("n_roots"), F.sum((F.col("kind") == "CONTIG").cast("long")).alias("n_in_contigs"))
     counts.join(reads, "signature").write.parquet(f"{path}/stats")
     spark = tables["raw"].sparkSession
-    spark.createDataFrame([(json.dumps(asdict(p)),)], "profile string").write.parquet(f"{path}/config")
+    schemas = json.dumps({name: t.schema.jsonValue() for name, t in tables.items()})  # a table without rows has no file to tell it
+    spark.createDataFrame([(json.dumps(asdict(p)), schemas)], "profile string, schemas string").write.parquet(f"{path}/config")
 
 
 def profile_of(spark: SparkSession, path: str) -> Profile:
@@ -259,14 +261,15 @@ def profile_of(spark: SparkSession, path: str) -> Profile:
 
 def load(spark: SparkSession, path: str, signatures: tuple[int, int] | None = None) -> Tables:
     """The tables of a stored archive; of bins from signatures[0] up to signatures[1] alone if given (others are not read, nor is raw)."""
+    schemas = {k: StructType.fromJson(v) for k, v in json.loads(spark.read.parquet(f"{path}/config").first()["schemas"]).items()}
     out = {}
     for name, key in (("nodes", "signature"), ("contigs", "signature"), ("members", "bin")):
-        t = spark.read.parquet(f"{path}/{name}")
+        t = spark.read.schema(StructType([*schemas[name].fields, StructField("bucket", IntegerType())])).parquet(f"{path}/{name}")
         if signatures:
             a, b = signatures
             t = t.where(F.col("bucket").between(a // BUCKETS, (b - 1) // BUCKETS) & (F.col(key) >= a) & (F.col(key) < b))
         out[name] = t.drop("bucket")
-    raw = spark.read.parquet(f"{path}/raw")
+    raw = spark.read.schema(schemas["raw"]).parquet(f"{path}/raw")
     return out | {"raw": raw.limit(0) if signatures else raw}
 
 
