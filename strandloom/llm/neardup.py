@@ -214,15 +214,16 @@ def _cell(f: pd.DataFrame, percent: int, least: dict[int, int]) -> list[tuple[in
 def _cells(members: DataFrame) -> DataFrame:
     """Rows (band, key, i, j, part, node, label): members (band, key, node, label, top) of open buckets, dealt to cells of two blocks.
 
-    A bucket's rows of the label ``top`` have the block numbers -1, -2 and so
-    on, the others 0, 1 and so on. Blocks of top rows never meet each other,
-    so a bucket of m rows of which r have another label makes r * m / BLOCK
-    rows and not m * m / BLOCK.
+    A bucket of up to BLOCK rows is one cell. In a larger one, rows of the
+    label ``top`` have the block numbers -1, -2 and so on, the others 0, 1 and
+    so on. Blocks of top rows never meet each other, so a bucket of m rows of
+    which r have another label makes r * m / BLOCK rows and not m * m / BLOCK.
     """
-    is_top = F.col("label") == F.col("top")
-    counts = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum((~is_top).cast("long")).alias("r"))
+    in_top = F.col("label") == F.col("top")
+    counts = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum((~in_top).cast("long")).alias("r"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    spread = members.join(counts, ["band", "key"]).withColumns({"rest": blocks(F.col("r")), "tops": blocks(F.col("m") - F.col("r"))})
+    is_top = in_top & (F.col("m") > BLOCK)
+    spread = members.join(counts, ["band", "key"]).withColumns({"rest": F.when(F.col("m") > BLOCK, blocks(F.col("r"))).otherwise(1), "tops": blocks(F.col("m") - F.col("r"))})
     part = F.pmod(F.xxhash64("node"), F.when(is_top, F.col("tops")).otherwise(F.col("rest")).cast("long")).cast("int")
     spread = spread.withColumn("part", F.when(is_top, -1 - part).otherwise(part))
     meets = F.sequence(F.when(is_top, F.lit(0)).otherwise(-F.col("tops")), F.col("rest") - 1)
