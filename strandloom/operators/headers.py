@@ -45,18 +45,31 @@ def pair_field(reads: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.max("field"), F.lit(0)).alias("pe_field"))
 
 
+PREFIX = 4
+
+
+def _everywhere(rows: DataFrame, fields: DataFrame, reads: DataFrame) -> DataFrame:
+    """Constant fields that every read has: their codes need not be kept. A row a field."""
+    present = rows.groupBy("field").agg(F.count("*").alias("n"))
+    return fields.where("is_const").join(present.where(F.col("n") == reads.count()), "field", "left_semi").select("field")
+
+
 def encoded(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(codes, fields, dictionary): read_id, field, code for fields that vary.
+    """(codes, fields, dictionary): read_id, field, code for fields that vary or that some reads lack.
 
     Numbers lose their minimum; tokens become their place in the sorted value
-    set. Fields and, within DICTIONARY values, dictionaries are small tables.
+    set, counted in parts of one prefix each. Fields and, within DICTIONARY
+    values, dictionaries are small tables.
     """
     rows, fields = tokens(reads), profile(reads)
-    varying = fields.where("not is_const")
+    varying = fields.join(F.broadcast(_everywhere(rows, fields, reads)), "field", "left_anti")
     words = varying.where("not is_numeric")
     small = (words.agg(F.sum("n_values")).first()[0] or 0) <= DICTIONARY
-    held = rows.join(F.broadcast(words.select("field")), "field").select("field", "token").distinct()
-    dictionary = held.select("field", "token", (F.expr("dense_rank() over (partition by field order by token)") - 1).cast("long").alias("place"))
+    held = rows.join(F.broadcast(words.select("field")), "field").select("field", "token", F.substring("token", 1, PREFIX).alias("part")).distinct()
+    sizes = held.groupBy("field", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.expr("sum(n) over (partition by field order by part rows between unbounded preceding and 1 preceding)"), F.lit(0))
+    within = F.expr("row_number() over (partition by field, part order by token)") - 1
+    dictionary = held.withColumn("within", within).join(sizes.select("field", "part", before.alias("base")), ["field", "part"]).select("field", "token", (F.col("base") + F.col("within")).cast("long").alias("place"))
     info = F.broadcast(varying.select("field", "is_numeric", "min_val"))  # a row a field
     coded = rows.select("read_id", "field", "token").join(info, "field").join(F.broadcast(dictionary) if small else dictionary, ["field", "token"], "left")
     code = F.when(F.col("is_numeric"), F.expr("try_cast(token as bigint)") - F.col("min_val")).otherwise(F.col("place"))
@@ -64,20 +77,22 @@ def encoded(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def decoded(codes: DataFrame, fields: DataFrame, dictionary: DataFrame, reads: DataFrame, constants: DataFrame) -> DataFrame:
-    """read_id, head from codes; constants: field, token of the fields that do not vary."""
-    info = F.broadcast(fields.select("field", "is_numeric", "min_val", "separator", "is_const"))
+    """read_id, head from codes; constants: field, token of the fields that every read has alike (a row a field, put into the plan)."""
+    info = F.broadcast(fields.select("field", "is_numeric", "min_val", "separator"))
     text = F.when(F.col("is_numeric"), (F.col("code") + F.col("min_val")).cast("string")).otherwise(F.col("token"))
-    moving = codes.join(info.drop("is_const"), "field").join(dictionary.withColumnRenamed("place", "code"), ["field", "code"], "left")
-    parts = moving.select("read_id", "field", F.concat(text, F.col("separator")).alias("part"))
-    fixed = constants.join(info, "field").select("field", F.concat("token", "separator").alias("part"))
-    still = reads.select("read_id").join(F.broadcast(fixed))  # one row a constant field, at most some tens
-    whole = parts.unionByName(still.select("read_id", "field", "part")).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("field", "part"))).alias("p"))
+    moving = codes.join(info, "field").join(dictionary.withColumnRenamed("place", "code"), ["field", "code"], "left")
+    parts = moving.select("read_id", F.struct("field", F.concat(text, F.col("separator")).alias("part")).alias("x")).groupBy("read_id").agg(F.collect_list("x").alias("p"))
+    fixed = constants.join(info, "field").select("field", F.concat("token", "separator").alias("part")).collect()
+    still = F.array(*(F.struct(F.lit(r["field"]).alias("field"), F.lit(r["part"]).alias("part")) for r in fixed)).cast("array<struct<field:int,part:string>>")
+    moved = F.coalesce("p", F.array().cast("array<struct<field:int,part:string>>"))
+    whole = reads.select("read_id").join(parts, "read_id", "left").withColumn("p", F.array_sort(F.concat(moved, still)))
     return whole.select("read_id", F.array_join(F.col("p.part"), "").alias("head"))
 
 
 def roundtrip(reads: DataFrame) -> DataFrame:
     codes, fields, dictionary = encoded(reads)
-    constants = tokens(reads).join(F.broadcast(fields.where("is_const").select("field")), "field").select("field", "token").distinct()
+    rows = tokens(reads)
+    constants = rows.join(F.broadcast(_everywhere(rows, fields, reads)), "field").select("field", "token").distinct()
     return decoded(codes, fields, dictionary, reads, constants)
 
 

@@ -55,6 +55,9 @@ def test_header_typing(spark):
     assert p[0]["is_const"] and not p[1]["is_numeric"] and p[2]["is_numeric"] and not p[3]["is_numeric"]
     assert headers.pair_field(df).first()[0] == 4
     assert {(r[0], r[1]) for r in headers.roundtrip(df).collect()} == {(r[0], r[1]) for r in df.collect()}
+    ragged = spark.createDataFrame([(0, "@a.1"), (1, "@a.1.only"), (2, "@a"), (3, "@a.1")], "read_id long, head string")
+    assert headers.roundtrip(ragged.limit(0)).count() == 0
+    assert {r[0] for r in headers.roundtrip(ragged).collect()} == {0, 1, 2, 3}
 
 
 def test_codecs():
