@@ -270,7 +270,6 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A class finds its text by a row key of id and text, so many rows of one id
     cost a row each; rows equal in both come once a task.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     row = F.unhex(F.concat(F.md5(F.col("text").cast("binary")), F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0"))).alias("row")
     rows = durable(profile(source.select("doc_id", row, "text"), "text", shingle, ["doc_id", "row"]))

@@ -78,7 +78,6 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, every: int = 2
     is a candidate each time, and a query each time. Tables with fewer
     candidates give all of them. Other columns are not read.
     """
-    spark = vectors.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))

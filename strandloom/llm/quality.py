@@ -99,7 +99,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
     never labelled. Without labelled rows every score is 0.5. Other columns
     are not read.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: t
     labelled. Of several labels of an id, any toxic one counts. Other columns
     are not read unless ``keep`` names them.
     """
-    spark = docs.sparkSession
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     vocabulary, weights, bias = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where("doc_id is not null"), **sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
