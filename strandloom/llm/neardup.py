@@ -211,32 +211,30 @@ def _cell(f: pd.DataFrame, percent: int, least: dict[int, int]) -> list[tuple[in
     return out
 
 
+def _open(state: DataFrame) -> DataFrame:
+    """Of rows (band, key, node, label) those in buckets of several labels, with the label ``top`` that most rows have (the largest of several), the bucket's rows m, and r, those with another label."""
+    sizes = state.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("t"), F.sum("n").alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    return state.join(buckets.select("band", "key", F.col("t.label").alias("top"), "m", (F.col("m") - F.col("t.n")).alias("r")), ["band", "key"])
+
+
 def _cells(members: DataFrame) -> DataFrame:
-    """Rows (band, key, i, j, part, node, label): members (band, key, node, label, top) of open buckets, dealt to cells of two blocks.
+    """Rows (band, key, i, j, part, node, label): members of open buckets (``_open``), dealt to cells of two blocks.
 
     A bucket of up to BLOCK rows is one cell. In a larger one, rows of the
     label ``top`` have the block numbers -1, -2 and so on, the others 0, 1 and
     so on. Blocks of top rows never meet each other, so a bucket of m rows of
     which r have another label makes r * m / BLOCK rows and not m * m / BLOCK.
     """
-    in_top = F.col("label") == F.col("top")
-    counts = members.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum((~in_top).cast("long")).alias("r"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    is_top = in_top & (F.col("m") > BLOCK)
-    spread = members.join(counts, ["band", "key"]).withColumns({"rest": F.when(F.col("m") > BLOCK, blocks(F.col("r"))).otherwise(1), "tops": blocks(F.col("m") - F.col("r"))})
+    is_top = (F.col("label") == F.col("top")) & (F.col("m") > BLOCK)
+    spread = members.withColumns({"rest": F.when(F.col("m") > BLOCK, blocks(F.col("r"))).otherwise(1), "tops": blocks(F.col("m") - F.col("r"))})
     part = F.pmod(F.xxhash64("node"), F.when(is_top, F.col("tops")).otherwise(F.col("rest")).cast("long")).cast("int")
     spread = spread.withColumn("part", F.when(is_top, -1 - part).otherwise(part))
-    meets = F.sequence(F.when(is_top, F.lit(0)).otherwise(-F.col("tops")), F.col("rest") - 1)
+    meets = F.sequence(F.when(is_top, F.lit(0)).otherwise(F.when(F.col("m") > BLOCK, -F.col("tops")).otherwise(0)), F.col("rest") - 1)
     return spread.withColumn("other", F.explode(meets)).select("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label")
 
 
-def _with_top(members: DataFrame) -> DataFrame:
-    """With the label that most of the bucket's rows have (the largest of several)."""
-    sizes = members.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label"))["label"].alias("top"))
-    return members.join(top, ["band", "key"])
-
-
 def _leftovers(members: DataFrame, detail: DataFrame, percent: int, miss: float) -> DataFrame:
     """Links between different labels within a bucket: all pairs are decided, block by block.
 
@@ -289,8 +287,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = durable(_verify(pairs, detail, percent, miss))
     labels = components(edges)
     state = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = state.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band", "key")
-    found = durable(_leftovers(_with_top(state.join(open_, ["band", "key"])), detail, percent, miss))
+    found = durable(_leftovers(_open(state), detail, percent, miss))
     if found.limit(1).count():
         labels = components(edges.unionByName(found))
 

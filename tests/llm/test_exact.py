@@ -99,7 +99,7 @@ def test_near_duplicates_of_one_id_cost_a_row_each(spark, monkeypatch):
 def test_near_duplicate_cells_grow_with_their_rows(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 10)
     rows = [(0, 1, bytes([x % 256, x // 256]), b"t" if x < 1000 else bytes([x % 256, 9])) for x in range(1007)]
-    members = neardup._with_top(spark.createDataFrame(rows, "band int, key long, node binary, label binary"))
+    members = neardup._open(spark.createDataFrame(rows, "band int, key long, node binary, label binary"))
     cells = neardup._cells(members).collect()
     assert len(cells) == 1000 + 7 * 101  # each top row once; the seven others with each of 100 blocks, and with themselves
     together = collections.defaultdict(list)
