@@ -122,8 +122,8 @@ def chain(binned: DataFrame, rounds: tuple[int, ...] = (2, 4, 8), window: int =
     under the head anchor_id; they go, and turn, wherever it goes.
     """
     size = binned.select("read_id", F.length("seq").alias("size"))
-    heads = durable(binned.select("read_id", "seq", "minim_pos", "signature", F.lit(False).alias("turned")))
-    links = None
+    heads = binned.select("read_id", "seq", "minim_pos", "signature", F.lit(False).alias("turned"))
+    heads, links = durable(heads) if rounds else heads, None
     for p in rounds:
         allowed = allowed_targets(heads, least_target, k) if least_target else None
         choice = durable(tree_choices(heads, p, window, min_tree, k, allowed).where("new_signature is not null"))
