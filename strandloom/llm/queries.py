@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import nearest, shards, warc
 from .decontam import contaminated
+from .language import languages
 from .neardup import similar_classes
 from .packing import packed
 from .quality import quality
@@ -68,6 +69,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op11_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_shards": op1_rendezvous_shards,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_string_kernel_language": op11_string_kernel_language,
 }
 
 ORACLE: dict[str, str] = {
