@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nearest, shards, warc
+from . import nearest, shards, spelling, sql, warc
 from .decontam import contaminated
 from .language import languages
 from .neardup import similar_classes
@@ -73,6 +73,10 @@ def op11_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_shards": op1_rendezvous_shards,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
@@ -85,10 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_dedup": op7_minhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_string_kernel_language": op11_string_kernel_language,
+    "op12_spelling_halves": op12_spelling_halves,
 }
 
 ORACLE: dict[str, str] = {
     "op1_rendezvous_shards": shards.oracle(16),
     "op3_warc": warc.ORACLE,
     "op6_block_matrix_ann": nearest.ORACLE,
+    "op12_spelling_halves": spelling.oracle(sql.CRC_TABLES, sql.CRC),
 }
