@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nearest, shards, spelling, sql, warc
+from . import nearest, shards, spelling, sql, tandem, warc
 from .decontam import contaminated
 from .language import languages
 from .neardup import similar_classes
@@ -77,6 +77,10 @@ def op12_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.periodic_runs(_table(spark, sf_dir, "documents")).drop("runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_shards": op1_rendezvous_shards,
     "op2_toxicity_nnpu": op2_toxicity_nnpu,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_string_kernel_language": op11_string_kernel_language,
     "op12_spelling_halves": op12_spelling_halves,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -97,4 +102,5 @@ ORACLE: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op6_block_matrix_ann": nearest.ORACLE,
     "op12_spelling_halves": spelling.oracle(sql.CRC_TABLES, sql.CRC),
+    "op13_periodic_runs": tandem.oracle(sql.CRC_TABLES, sql.CRC),
 }
