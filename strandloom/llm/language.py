@@ -39,29 +39,29 @@ def presence(column: pa.Array) -> np.ndarray:
     data, o = kernel.buffers(pc.utf8_lower(column))
     out = np.zeros((len(o) - 1, CELLS), np.uint8)
     flat = out.reshape(-1)
-    for a, b in _parts(o):
+    tail = np.zeros(0, np.uint8)  # the last bytes of a text that goes on in the next part
+    for a in range(0, len(data), CHUNK):
+        b = min(len(data), a + CHUNK)
         rows = np.arange(np.searchsorted(o, a, "right") - 1, np.searchsorted(o, b))  # texts of this part
-        lo, hi = np.clip(o[rows], a, b), np.clip(o[rows + 1], a, b)
-        size = hi - lo + 2
+        rows = rows[o[rows] < o[rows + 1]]
+        begun, goes_on = a > o[rows[0]], b < o[rows[-1] + 1]
+        size = np.minimum(o[rows + 1], b) - np.maximum(o[rows], a) + 2
         row = np.repeat(rows, size)
-        text = np.full(int(size.sum()), 32, np.uint8)
+        text = np.full(len(row), 32, np.uint8)
         at = np.cumsum(size) - size
         inner = np.ones(len(text), bool)
         inner[at] = inner[at + size - 1] = False
         text[inner] = _BYTE[data[a:b]]
-        # a part that starts or ends within a text has no space of its own there
+        cut = slice(int(begun), len(text) - int(goes_on))
+        text, row = np.append(tail, text[cut]), np.append(np.full(len(tail), rows[0]), row[cut])
         keep = np.ones(len(text), bool)
         keep[1:] = (text[1:] != 32) | (text[:-1] != 32) | (row[1:] != row[:-1])
-        if len(rows) and a > o[rows[0]]:
-            keep[0] = False
-        if len(rows) and b < o[rows[-1] + 1]:
-            keep[-1] = False
-        text, row = text[keep].astype(np.uint32), row[keep] * CELLS
+        text, row = text[keep], row[keep]
+        tail = text[1 - SPECTRUM :][row[1 - SPECTRUM :] == row[-1]] if goes_on else text[:0]
+        text, row = text.astype(np.uint32), row * CELLS
         code = np.zeros(len(text), np.uint32)
-        for n in range(SPECTRUM):
+        for n in range(min(SPECTRUM, len(text))):
             m = len(text) - n
-            if m <= 0:
-                break
             code = code[:m] | (text[n:] << np.uint32(8 * n))
             within = row[:m] == row[n:]
             cell = (code * np.uint32(2654435761)) >> np.uint32(16)
@@ -69,18 +69,6 @@ def presence(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _parts(o: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges over all texts, of CHUNK bytes; the parts of a text overlap by SPECTRUM - 1 bytes."""
-    a, n = 0, int(o[-1])
-    while a < n:
-        b = min(n, a + CHUNK)
-        yield a, b
-        if b == n:
-            break
-        inside = o[np.searchsorted(o, b)] != b
-        a = b - (SPECTRUM - 1 if inside else 0)
-
-
 def _sample(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """Rows (lang, place, bits) of up to SAMPLE different texts of each language, those with the smallest hashes."""
     known = docs.where(~held_out() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))

@@ -267,7 +267,7 @@ def _found(words: DataFrame) -> DataFrame:
         for batch in batches:
             for tail, key, part, scan, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (tail, key, part) != group:
-                    if len(held) >= HELD:
+                    if len(held) >= HELD or (tail, key) == (group or ())[:2]:  # parts of one key are automata of their own
                         yield from answers()
                         held, scans, shard = [], [], None
                     group, kept = (tail, key, part), len(held)
