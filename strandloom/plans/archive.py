@@ -11,15 +11,17 @@ import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions import phred
+from ..functions import counting, phred
 from ..functions.dna import K, code_text, revcomp
 from ..operators.bins import small_to_n
-from ..operators.contigs import contigs
+from ..operators.contigs import CUT, contigs
 from ..operators.forest import depths_by_bin
 from ..operators.headers import trimmed
 from ..operators.lineage import durable
@@ -31,6 +33,8 @@ from ..operators.rebin import chain
 
 Tables = dict[str, DataFrame]
 BUCKETS = 256
+#: Most rows of a bin that are put together in one piece.
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -119,7 +123,7 @@ def _nodes(firsts: DataFrame, p: Profile, k: int) -> tuple[DataFrame, DataFrame]
     forest = found.select("signature", "read_id", "parent_id", "shift", F.col("node_type").alias("kind")).unionByName(again)
     if p.least_contig:
         made = durable(contigs(found, depths_by_bin(found), heads, p.least_contig))
-        inside = made.select("contig_id", "start", "variant_cols", F.explode("members").alias("read_id"))
+        inside = made.select("contig_id", "main_id", "start", "variant_cols", F.explode("members").alias("read_id")).where("read_id <> main_id")
         forest = forest.join(inside.select("read_id", "contig_id"), "read_id", "left").select(
             "signature", "read_id", F.coalesce("contig_id", "parent_id").alias("parent_id"), F.when(F.col("contig_id").isNull(), F.col("shift")).alias("shift"), F.when(F.col("contig_id").isNotNull(), F.lit("CONTIG")).otherwise(F.col("kind")).alias("kind")
         )
@@ -135,8 +139,10 @@ def _nodes(firsts: DataFrame, p: Profile, k: int) -> tuple[DataFrame, DataFrame]
     payload = differences(F.col("seq"), F.col("parent_seq"), F.col("shift"))
     if made is not None:
         rows = rows.join(inside.select("read_id", "variant_cols"), "read_id", "left")
-        held = F.filter("variant_cols", lambda c: (c >= -F.col("minim_pos")) & (c < F.length("seq") - F.col("minim_pos")))
+        # the ends that contigs do not cover, and the letters at variant columns between them
+        held = F.filter("variant_cols", lambda c: (c >= CUT - F.col("minim_pos")) & (c < F.length("seq") - CUT - F.col("minim_pos")))
         letters = F.array_join(F.transform(held, lambda c: F.substr("seq", c + F.col("minim_pos") + 1, F.lit(1))), "")
+        letters = F.concat(F.substr("seq", F.lit(1), F.lit(CUT)), letters, F.substr("seq", F.greatest(F.lit(CUT), F.length("seq") - CUT) + 1))
     else:
         letters = F.lit("")
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
@@ -178,66 +184,107 @@ def pack(reads: DataFrame, p: Profile, k: int = K) -> Tables:
     return {"nodes": nodes, "contigs": contig_rows, "members": members.select(*columns), "raw": raw.select(*whole)}
 
 
-def _decode_nodes(f: pd.DataFrame) -> pd.DataFrame:
-    """Sequences of whole bins, contigs first, then parents before children."""
-    bin_, seqs, held, made = None, {}, {}, []
-    cols = (f[c] for c in ("signature", "sig_text", "read_id", "kind", "parent_id", "shift", "minim_pos", "turned", "before", "after", "overlap", "diffs", "cols"))
-    for sig, text, i, kind, parent, shift, pos, turned, before, after, overlap, diffs, variant in zip(*cols, strict=True):
-        if sig != bin_:
-            bin_, seqs, held = sig, {}, {}
-        if kind == "":
-            held[i] = (before, int(shift), list(variant))
-            continue
-        if kind == "HARD":
-            seqs[i] = before.replace(".", text, 1)
-        elif kind == "CONTIG":
-            consensus, start, places = held[int(parent)]
-            at = -int(pos) - start
-            letters = list(consensus[at : at + int(overlap)])
-            for base, c in zip(before, (c for c in places if 0 <= c + int(pos) < int(overlap))):
-                letters[c + int(pos)] = base
-            seqs[i] = "".join(letters)
-        else:
-            seqs[i] = _rebuilt(seqs[int(parent)], shift, before, after, overlap, diffs)
-        made.append((i, seqs[i], turned))
-    return pd.DataFrame(made, columns=["node_id", "seq", "turned"])
-
-
-def _decode_mates(f: pd.DataFrame) -> pd.DataFrame:
-    bin_, seqs, made = None, {}, []
-    for sig, i, parent, shift, before, after, overlap, diffs in zip(*(f[c] for c in ("mate_bin", "read_id", "mate_parent", "mate_shift", "mate_before", "mate_after", "mate_overlap", "mate_diffs")), strict=True):
-        if sig != bin_:
-            bin_, seqs = sig, {}
-        seqs[i] = before if pd.isna(parent) else _rebuilt(seqs[int(parent)], shift, before, after, overlap, diffs)
-        made.append((i, seqs[i]))
-    return pd.DataFrame(made, columns=["read_id", "mate_seq"])
+def _unlike_root(t: pd.DataFrame) -> tuple[list[int], list[int | None], list[int], list[str]]:
+    """id, ancestor, shift and letters of rows in order, parents first: letters that come from an ancestor that is not among the rows are dots.
 
+    Composing differences keeps their form, so a row's letters are those of
+    its last ancestor here with all changes on the way applied.
+    """
+    known: dict[int, tuple[int | None, int, str]] = {}
+    for i, parent, shift, before, after, overlap, diffs in zip(*(t[c] for c in ("id", "parent", "shift", "before", "after", "overlap", "diffs")), strict=True):
+        if pd.isna(parent):
+            known[i] = (None, 0, before)
+            continue
+        parent, shift = int(parent), int(shift)
+        up, moved, letters = known.get(parent) or (parent, 0, "." * (max(shift, 0) + int(overlap)))
+        known[i] = (up, moved + shift if up is not None else 0, _rebuilt(letters, shift, before, after, overlap, diffs))
+    return list(known), *map(list, zip(*known.values(), strict=True))
 
-def unpack(tables: Tables, k: int = K) -> DataFrame:
-    """read_id, head, seq, qua (and mate_seq, mate_qua) of all reads. A bin is rebuilt in one task, by depth; mates by rank."""
-    nodes, members = tables["nodes"], tables["members"]
-    none = lambda kind: F.lit(None).cast(kind)
-    heads = tables["contigs"].select(
-        "signature", F.col("contig_id").alias("read_id"), F.lit(-1).alias("depth"), F.lit("").alias("kind"), none("long").alias("parent_id"), F.col("start").alias("shift"), F.lit(0).alias("minim_pos"), F.lit(False).alias("turned"),
-        F.col("consensus").alias("before"), none("string").alias("after"), none("int").alias("overlap"), none(nodes.schema["diffs"].dataType).alias("diffs"), F.col("variant_cols").alias("cols"),
-    )
-    stream = nodes.withColumn("cols", none("array<int>")).unionByName(heads).withColumn("sig_text", code_text(F.col("signature"), k))
 
-    def over(decode, key: str):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield from map(decode, whole_groups(frames, [key]))
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From id, shift, letters and those of the ancestor (up, further, above): dots of the letters filled from above, one ancestor on."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, o = counting.letters(batch.column(2))
+        above, start = counting.letters(batch.column(5))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(o))
+        shift = batch.column(1).to_numpy().astype(np.int64)
+        dot = np.flatnonzero(data == ord("."))
+        out = data.copy()
+        out[dot] = above[start[:-1][row[dot]] + counting.places(o)[dot] + shift[row[dot]]]
+        letters = pa.StringArray.from_buffers(batch.num_rows, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(out))
+        moved = pa.array(shift + batch.column(4).to_numpy().astype(np.int64), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), moved, letters], names=["id", "up", "shift", "letters"])
+
+
+def resolved(rows: DataFrame) -> DataFrame:
+    """id, letters from id, bin, place, parent, shift, before, after, overlap, diffs (the differences from a parent; without parent ``before`` is all).
+
+    A bin's rows are put together in order of place, parents before children.
+    Bins of over BLOCK rows are cut by place, each part is composed alone
+    down to ancestors in earlier parts, and these are then followed by pointer
+    doubling; so no task holds a large bin.
+    """
+    counts = durable(rows.groupBy("bin").count().where(F.col("count") > BLOCK).select("bin", F.lit(True).alias("large")))
+    some_large = counts.limit(1).count() > 0
+    if some_large:
+        rows = rows.join(counts, "bin", "left")
+        part = F.expr(f"cast((row_number() over (partition by bin order by place, id) - 1) div {BLOCK} as int)")
+        rows = rows.where("large is null").withColumn("part", F.lit(0)).unionByName(rows.where("large").withColumn("part", part))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in whole_groups(frames, ["bin", "part"]):
+            for _, t in f.groupby(["bin", "part"], sort=False):
+                ids, up, shift, letters = _unlike_root(t)
+                yield pd.DataFrame({"id": ids, "up": pd.array(up, "Int64"), "shift": pd.array(shift, "Int32"), "letters": letters})
+
+    ordered = rows.repartition("bin", "part").sortWithinPartitions("bin", "part", "place").select("bin", "part", "id", "parent", "shift", "before", "after", "overlap", "diffs")
+    done = ordered.mapInPandas(run, "id long, up long, shift int, letters string")
+    if some_large:
+        done = durable(done)
+        open_ = done.where("up is not null")
+        while open_.limit(1).count():
+            above = done.select(F.col("id").alias("up"), F.col("up").alias("next"), F.coalesce("shift", F.lit(0)).alias("further"), F.col("letters").alias("above"))
+            step = open_.join(above, "up").select("id", "shift", "letters", "next", "further", "above").mapInArrow(_filled, "id long, up long, shift int, letters string")
+            done = durable(done.where("up is null").unionByName(step))
+            open_ = done.where("up is not null")
+    return done.select("id", "letters")
 
-        return run
 
-    seqs = stream.repartition("signature").sortWithinPartitions("signature", "depth").mapInPandas(over(_decode_nodes, "signature"), "node_id long, seq string, turned boolean")
-    seqs = seqs.select("node_id", F.when(F.col("turned"), revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+def unpack(tables: Tables, k: int = K) -> DataFrame:
+    """read_id, head, seq, qua (and mate_seq, mate_qua) of all reads; sequences by depth, second mates by rank (``resolved``)."""
+    nodes, members = tables["nodes"], tables["members"]
+    heads = tables["contigs"].select(F.col("contig_id").alias("parent_id"), "start", "consensus", "variant_cols")
+    inside = nodes.where("kind = 'CONTIG'").join(heads, "parent_id")
+    size, at = F.col("overlap"), -F.col("minim_pos") - F.col("start")
+    held = F.filter("variant_cols", lambda c: (c >= CUT - F.col("minim_pos")) & (c < size - CUT - F.col("minim_pos")))
+    # stretches of consensus from each variant column (and the read's uncovered start) to the next, and the letters kept for these
+    ends = F.array_append(F.transform(held, lambda c: c + F.col("minim_pos")), F.greatest(size - CUT, F.lit(CUT)))
+    pieces = F.transform(ends, lambda e, i: F.concat(F.when(i == 0, F.lit("")).otherwise(F.substr("before", CUT + i, F.lit(1))), F.coalesce(_between(F.col("consensus"), at, F.when(i == 0, F.lit(CUT)).otherwise(F.get(ends, i - 1) + 1), e), F.lit(""))))
+    whole = F.concat(F.substr("before", F.lit(1), F.lit(CUT)), F.array_join(pieces, ""), F.substr("before", CUT + F.size(held) + 1))
+    row = ["read_id", "signature", "depth", "turned"]
+    rows = nodes.where("kind <> 'CONTIG'").withColumn("before", F.when(F.col("kind") == "HARD", F.regexp_replace("before", r"\.", code_text(F.col("signature"), k))).otherwise(F.col("before")))
+    rows = rows.select(*row, "parent_id", "shift", "before", "after", "overlap", "diffs")
+    none = lambda name: F.lit(None).cast(nodes.schema[name].dataType).alias(name)
+    rows = rows.unionByName(inside.select(*row, none("parent_id"), none("shift"), whole.alias("before"), none("after"), none("overlap"), none("diffs")))
+    turned = nodes.select(F.col("read_id").alias("node_id"), "turned")
+    seqs = resolved(rows.select(F.col("read_id").alias("id"), F.col("signature").alias("bin"), F.col("depth").alias("place"), F.col("parent_id").alias("parent"), "shift", "before", "after", "overlap", "diffs"))
+    seqs = seqs.withColumnRenamed("id", "node_id").join(turned.where("turned"), "node_id", "left").select("node_id", F.when(F.col("turned"), revcomp(F.col("letters"))).otherwise(F.col("letters")).alias("seq"))
     paired = "mate_rank" in members.columns
-    rows = members.join(seqs, "node_id")
+    joined = members.join(seqs, "node_id")
     if paired:
-        wanted = members.select("mate_bin", "mate_rank", "read_id", "mate_parent", "mate_shift", "mate_before", "mate_after", "mate_overlap", "mate_diffs")
-        mates = wanted.repartition("mate_bin").sortWithinPartitions("mate_bin", "mate_rank").mapInPandas(over(_decode_mates, "mate_bin"), "read_id long, mate_seq string")
-        rows = rows.join(mates, "read_id")
-    return restored(rows, paired).select(*tables["raw"].columns).unionByName(tables["raw"])
+        own = [F.col("mate_bin").alias("bin"), F.col("mate_rank").alias("place"), F.col("mate_parent").alias("parent"), *(F.col(f"mate_{c}").alias(c) for c in ("shift", "before", "after", "overlap", "diffs"))]
+        mates = resolved(members.select(F.col("read_id").alias("id"), *own))
+        joined = joined.join(mates.select(F.col("id").alias("read_id"), F.col("letters").alias("mate_seq")), "read_id")
+    return restored(joined, paired).select(*tables["raw"].columns).unionByName(tables["raw"])
+
+
+def _between(consensus: Column, at: Column, lo: Column, hi: Column) -> Column:
+    """Letters of the consensus at a read's places lo to hi; ``at`` is the place of the consensus at which the read starts."""
+    return F.substr(consensus, at + lo + 1, F.greatest(hi - lo, F.lit(0)))
 
 
 def store(tables: Tables, path: str, p: Profile) -> None:
