@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import K
 from ..operators.minimizers import minimizer_se
+from ..sources.fastq import FastqSource
 
 
 def follow_reads(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
     """Streaming reads from files of tab-separated records (read_id, head, seq, qua), as ``tabbed`` writes them.
 
-    FASTQ records span lines and files arrive whole, so a stream takes one
-    record a line; each micro-batch is stateless and can be redone.
+    Files arrive whole, a record a line; each micro-batch is stateless and can
+    be redone. ``follow_fastq`` reads FASTQ itself, from files that may grow.
     """
     return spark.readStream.schema("read_id long, head string, seq string, qua string").option("sep", "\t").option("quote", "").option("maxFilesPerTrigger", files_per_trigger).csv(folder)
 
 
+def follow_fastq(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Streaming reads from FASTQ files in a folder, which may grow and be joined by others: read_id, head, seq, qua, bad."""
+    spark.dataSource.register(FastqSource)
+    stream = spark.readStream.format("fastq").option("folder", folder)
+    for k, v in options.items():
+        stream = stream.option(k, str(v))
+    return stream.load().drop("mate_seq", "mate_qua")
+
+
 def tabbed(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat_ws("\t", "read_id", "head", "seq", "qua").alias("value"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import dna, phred
 from strandloom.operators import codecs, contigs, headers, matching, minimizers, pairs, quantize
-from strandloom.sources.fastq import next_record, read_fastq, write_fastq
+from strandloom.sources.fastq import read_fastq, write_fastq
 
 
 def reads_of(spark, *seqs):
@@ -138,11 +138,6 @@ def test_fastq_splits_and_pairs(spark, tmp_path):
     assert two.count() == 200 and two.where("seq <> mate_seq").count() == 0
 
 
-def test_record_start():
-    assert next_record([b"@II\n", b"@a\n", b"AC\n"], False) == 1
-    assert next_record([b"AC\n", b"+\n", b"II\n", b"@a\n", b"AC\n"], False) == 3
-
-
 def test_empty_tables(spark):
     empty = reads_of(spark).limit(0)
     assert minimizers.minimizer_se(empty).count() == 0
