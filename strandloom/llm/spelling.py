@@ -27,6 +27,8 @@ from .scratch import durable
 LEAST_LENGTH, LEAST_COUNT, EVERY = 5, 3, 97
 #: Code points that name a shard; held words of an automaton; words scanned and candidates verified at once.
 ROUTE, HELD, SCANNED, PAIRS, WIDTH = 4, 8192, 1 << 16, 1 << 19, 48
+#: Most rows of a table of large shards that is sent to all tasks.
+SMALL = 50_000
 SLICE, LONG_RUN = 4 << 20, 64
 
 
@@ -130,8 +132,8 @@ def _routed(words: DataFrame) -> DataFrame:
         scan = words.selectExpr("word", "n", "true as scan", f"explode(array_distinct(transform({near}, x -> {depth('x')}))) as depth")
         rows.append(held.unionByName(scan).selectExpr(f"{str(tail).lower()} as tail", f"{key} as key", "scan", "word", "n"))
     both = rows[0].unionByName(rows[1])
-    large = both.where("not scan").groupBy("tail", "key").agg(F.ceil(F.count("*") / HELD).cast("int").alias("parts")).where("parts > 1")
-    both = both.join(large, ["tail", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = durable(both.where("not scan").groupBy("tail", "key").agg(F.ceil(F.count("*") / HELD).cast("int").alias("parts")).where("parts > 1"))
+    both = both.join(F.broadcast(large) if large.count() <= SMALL else large, ["tail", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.when(F.col("scan"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")))
     return both.select("tail", "key", F.explode(part).alias("part"), "scan", "word", "n")
 
