@@ -42,8 +42,8 @@ def laid_out(seqs: list[str], pos: np.ndarray) -> np.ndarray:
     return wall
 
 
-def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each distance d = 1..back: d, shifts and costs of every row against the row d before, in its group.
+def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None, rank: np.ndarray | None = None, reach: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each distance d = 1..back: d, shifts and costs of every row against the row d before, in its group (and at most ``reach`` ranks before, if ranks are given).
 
     Rows are laid out so that signatures meet in one column; a mismatch is a
     column that both rows fill with different bases.
@@ -54,7 +54,8 @@ def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None
     for d in range(1, min(back, most) + 1):
         shift = pos[:-d] - pos[d:]
         cost = np.full(len(shift), np.iinfo(np.int32).max, np.int64)
-        pair = np.flatnonzero((group[d:] == group[:-d]) & (np.abs(shift) <= MAX_SHIFT))
+        near = (group[d:] == group[:-d]) & (np.abs(shift) <= MAX_SHIFT)
+        pair = np.flatnonzero(near if rank is None else near & (rank[d:] - rank[:-d] <= reach))
         for at in range(0, len(pair), 8192):
             x = pair[at : at + 8192]
             a, b = wall[x + d], wall[x]
@@ -62,11 +63,11 @@ def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None
         yield d, shift, cost
 
 
-def best_before(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_before(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None, rank: np.ndarray | None = None, reach: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row the distance of the cheapest of the ``back`` rows before (0: none), its shift and cost; the nearest wins ties."""
     best = np.full(len(seqs), np.iinfo(np.int32).max, np.int64)
     dist, shift = np.zeros(len(seqs), np.int64), np.zeros(len(seqs), np.int64)
-    for d, s, c in costs(seqs, pos, back, group):
+    for d, s, c in costs(seqs, pos, back, group, rank, reach):
         better = np.flatnonzero(c < best[d:]) + d
         best[better], dist[better], shift[better] = c[better - d], d, s[better - d]
     return dist, shift, best
@@ -74,16 +75,21 @@ def best_before(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray |
 
 def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The rows of a sorted partition, cut only between groups: the last group of a batch may go on in the next one."""
-    rest = None
+    held: list[pd.DataFrame] = []  # pieces of one group, put together once
     for f in frames:
-        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-        if len(f):
-            last = (f[keys] == f[keys].iloc[-1]).all(axis=1)
-            rest, f = f[last], f[~last]
-            if len(f):
-                yield f
-    if rest is not None and len(rest):
-        yield rest
+        if not len(f):
+            continue
+        if held and not (held[0][keys].iloc[0] == f[keys].iloc[0]).all():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        last = (f[keys] == f[keys].iloc[-1]).all(axis=1).to_numpy()
+        if last.all():
+            held.append(f)
+            continue
+        yield pd.concat([*held, f[~last]], ignore_index=True)
+        held = [f[last]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def lz_nodes(binned: DataFrame, window: int = 255, threshold: int | None = None, k: int = K) -> DataFrame:

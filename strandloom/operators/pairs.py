@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import K, is_valid_signature
-from .matching import MAX_SHIFT, MISMATCH_COST, SHIFT_COST, ranked
+from .lineage import durable
+from .matching import MISMATCH_COST, SHIFT_COST, best_before, ranked, whole_groups
 
 
 def zip_mates(first: DataFrame, second: DataFrame, on: str = "read_id") -> DataFrame:
@@ -69,40 +70,33 @@ def pair_matches(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int
 
     In the order of the bin each mate 2 offers its ``per_read`` smallest valid
     k-mers; earlier mates of the bin within ``window`` ranks that offered one
-    of them are candidates, costed with that k-mer aligned. Up to two thirds
-    of the length: Identical, ShiftOnly, FullEncode or FullExpensive (over 4
-    mismatches); otherwise Difficult. Sequential, one bin a task.
+    of them are candidates, costed with that k-mer aligned (on equal costs the
+    smaller k-mer, then the nearer mate). Up to two thirds of the length:
+    Identical, ShiftOnly, FullEncode or FullExpensive (over 4 mismatches);
+    otherwise Difficult. Mates meet by (signature, k-mer, block of ``window``
+    ranks) with the block before in front, so a task holds a part of a bin.
     """
-    rows = ranked(pairs.where(F.col("signature") != 4**k), mate=True)
-    found = F.transform(F.slice(signatures(F.col("mate_seq"), k), 1, per_read), lambda s: F.struct(s.alias("s"), (F.instr(F.col("mate_seq"), s) - 1).alias("p")))
-    rows = rows.select("signature", "rank", "read_id", "mate_seq", found.alias("sigs"))
+    ranked_ = ranked(pairs.where(F.col("signature") != 4**k), mate=True)
+    found = F.transform(F.slice(signatures(F.col("mate_seq"), k), 1, per_read), lambda s: F.struct(s.alias("kmer"), (F.instr(F.col("mate_seq"), s) - 1).alias("p")))
+    rows = durable(ranked_.select("signature", "rank", "read_id", "mate_seq", found.alias("sigs")))
+    index = rows.select("signature", "rank", "read_id", "mate_seq", F.posexplode("sigs").alias("nth", "sig"))
+    own = F.expr(f"cast((rank - 1) div {window} as int)")
+    index = index.select("signature", "sig.kmer", "sig.p", "rank", "read_id", "mate_seq", "nth", own.alias("own")).withColumn("block", F.explode(F.array("own", F.col("own") + 1)))
+    keys = ["signature", "kmer", "block"]
 
     def match(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank", kind="stable")
-        held: defaultdict[str, deque] = defaultdict(deque)
-        out = []
-        for rank, rid, seq, sigs in zip(f["rank"], f["read_id"], f["mate_seq"], f["sigs"], strict=True):
-            x = np.frombuffer(seq.encode(), np.uint8)
-            best: tuple = (int(len(x) / 1.5) + 1, None, 0, 0)
-            for e in sigs:
-                q = held[e["s"]]
-                while q and q[0][0] < rank - window:
-                    q.popleft()
-                for _, other, y, p in reversed(q):
-                    shift = p - e["p"]
-                    if abs(shift) > MAX_SHIFT:
-                        continue
-                    a, b = x[max(-shift, 0) :], y[max(shift, 0) :]
-                    n = min(len(a), len(b))
-                    m = int((a[:n] != b[:n]).sum())
-                    cost = abs(shift) * SHIFT_COST + m * MISMATCH_COST
-                    if cost < best[0]:
-                        best = (cost, other, shift, m)
-            cost, other, shift, m = best
-            flag = "Difficult" if other is None else "Identical" if cost == 0 else "ShiftOnly" if m == 0 else "FullExpensive" if m > 4 else "FullEncode"
-            out.append((f["signature"].iat[0], rank, rid, flag, other, shift if other is not None else None, cost if other is not None else None))
-            for e in sigs:
-                held[e["s"]].append((rank, rid, x, e["p"]))
-        return pd.DataFrame(out, columns=["signature", "rank", "read_id", "flag", "parent_id", "shift", "cost"]).astype({"parent_id": "Int64", "shift": "Int32", "cost": "Int32"})
-
-    return rows.groupBy("signature").applyInPandas(match, "signature int, rank int, read_id long, flag string, parent_id long, shift int, cost int")
+        group = f.groupby(keys, sort=False).ngroup().to_numpy(np.int64)
+        seqs, rank, ids = f["mate_seq"].tolist(), f["rank"].to_numpy(np.int64), f["read_id"].to_numpy()
+        dist, shift, cost = best_before(seqs, f["p"].to_numpy(np.int64), len(f), group, rank, window)
+        limit = np.array([int(len(s) / 1.5) for s in seqs], np.int64)
+        x = np.flatnonzero((f["own"] == f["block"]).to_numpy() & (dist > 0) & (cost <= limit))
+        return pd.DataFrame({"read_id": ids[x], "cost": cost[x].astype(np.int32), "nth": f["nth"].to_numpy()[x], "back": (rank[x] - rank[x - dist[x]]).astype(np.int32), "parent_id": ids[x - dist[x]], "shift": shift[x].astype(np.int32)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(match, whole_groups(frames, keys))
+
+    offers = index.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInPandas(run, "read_id long, cost int, nth int, back int, parent_id long, shift int")
+    best = offers.groupBy("read_id").agg(F.min(F.struct("cost", "nth", "back", "parent_id", "shift")).alias("b")).select("read_id", "b.parent_id", "b.shift", "b.cost")
+    wrong = (F.col("cost") - F.abs("shift") * SHIFT_COST) / MISMATCH_COST
+    flag = F.when(F.col("cost").isNull(), "Difficult").when(F.col("cost") == 0, "Identical").when(wrong == 0, "ShiftOnly").when(wrong > 4, "FullExpensive").otherwise("FullEncode")
+    return rows.join(best, "read_id", "left").select("signature", "rank", "read_id", flag.alias("flag"), "parent_id", "shift", "cost")

@@ -110,13 +110,17 @@ def _rebuilt(parent: str, shift, before: str, after: str, overlap, diffs) -> str
 
 
 def _nodes(firsts: DataFrame, p: Profile, k: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, contig rows) of distinct reads: signature, read_id, depth, kind, parent_id, shift, minim_pos, turned and the payload."""
+    """(nodes, contig rows) of distinct reads: signature, read_id, depth (any number that puts parents before children), kind, parent_id, shift, minim_pos, turned and the payload."""
     heads, links = chain(firsts, p.rounds, p.window, k=k)
     found = lz_nodes(heads, p.window, k=k)
     if p.prefix:
         found = by_prefix(found, heads, p.window)
     found = durable(found)
     spark, same = firsts.sparkSession, ["signature", "seq", "minim_pos"]
+    if not p.rounds and not p.least_contig:  # nothing has moved: first reads are distinct, and parents stand before children
+        own = heads.select("read_id", "seq", "minim_pos", "turned")
+        rows = found.select("signature", "read_id", "parent_id", "shift", F.col("node_type").alias("kind"), F.col("rank").alias("depth")).join(own, "read_id")
+        return _payload(rows, own, None, k), spark.createDataFrame([], "signature int, contig_id long, start int, consensus string, variant_cols array<int>")
     first = duplicates(heads).where("n_copies > 1").select(*same, F.col("read_id").alias("parent_id"))
     again = heads.join(first, same).where("read_id <> parent_id").select("signature", "read_id", "parent_id", F.lit(0).alias("shift"), F.lit("LZ").alias("kind"))
     made = None
@@ -134,11 +138,19 @@ def _nodes(firsts: DataFrame, p: Profile, k: int) -> tuple[DataFrame, DataFrame]
     turned = links.join(base, "read_id").select("read_id", F.when(F.col("turned"), revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.lit(0).alias("minim_pos"), "turned")
     own = durable(heads.select("read_id", "seq", "minim_pos", "turned").unionByName(turned))
     rows = forest.join(depths_by_bin(free).select("read_id", "depth"), "read_id").join(own, "read_id")
+    nodes = _payload(rows, own, inside.select("read_id", "variant_cols") if made is not None else None, k)
+    if made is None:
+        return nodes, spark.createDataFrame([], "signature int, contig_id long, start int, consensus string, variant_cols array<int>")
+    return nodes, made.select("signature", "contig_id", "start", "consensus", "variant_cols")
+
+
+def _payload(rows: DataFrame, own: DataFrame, inside: DataFrame | None, k: int) -> DataFrame:
+    """Nodes with what is kept of each: roots their bases, children their differences, contig members their letters."""
     rows = rows.join(own.select(F.col("read_id").alias("parent_id"), F.col("seq").alias("parent_seq")), "parent_id", "left")
     root = F.concat(F.substr("seq", F.lit(1), F.col("minim_pos")), F.lit("."), F.substr("seq", F.col("minim_pos") + k + 1))
     payload = differences(F.col("seq"), F.col("parent_seq"), F.col("shift"))
-    if made is not None:
-        rows = rows.join(inside.select("read_id", "variant_cols"), "read_id", "left")
+    if inside is not None:
+        rows = rows.join(inside, "read_id", "left")
         # the ends that contigs do not cover, and the letters at variant columns between them
         held = F.filter("variant_cols", lambda c: (c >= CUT - F.col("minim_pos")) & (c < F.length("seq") - CUT - F.col("minim_pos")))
         letters = F.array_join(F.transform(held, lambda c: F.substr("seq", c + F.col("minim_pos") + 1, F.lit(1))), "")
@@ -146,24 +158,21 @@ def _nodes(firsts: DataFrame, p: Profile, k: int) -> tuple[DataFrame, DataFrame]
     else:
         letters = F.lit("")
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
-    nodes = rows.select(
+    return rows.select(
         "signature", "read_id", "depth", "kind", "parent_id", "shift", "minim_pos", "turned",
         F.when(is_("HARD"), root).when(is_("CONTIG"), letters).otherwise(payload["before"]).alias("before"),
         F.when(is_("LZ", "TREE"), payload["after"]).alias("after"),
         F.when(is_("CONTIG"), F.length("seq")).when(is_("LZ", "TREE"), payload["overlap"]).alias("overlap"),
         F.when(is_("LZ", "TREE"), payload["diffs"]).alias("diffs"),
     )
-    if made is None:
-        return nodes, spark.createDataFrame([], "signature int, contig_id long, start int, consensus string, variant_cols array<int>")
-    return nodes, made.select("signature", "contig_id", "start", "consensus", "variant_cols")
 
 
 def pack(reads: DataFrame, p: Profile, k: int = K) -> Tables:
     """Tables nodes, contigs, members and raw (the N bin as it is) of single-end reads, or of pairs where there is a column mate_seq."""
     paired = "mate_seq" in reads.columns
     kept = lossy(reads, p)
-    binned = minimizer_pe(kept, k, p.skip) if paired else minimizer_se(kept, k, p.skip)
-    binned = durable(small_to_n(binned, p.least_bin, k, paired))  # read several times below
+    binned = durable(minimizer_pe(kept, k, p.skip) if paired else minimizer_se(kept, k, p.skip))  # read several times below
+    binned = small_to_n(binned, p.least_bin, k, paired)
     std, raw = binned.where(F.col("signature") != 4**k), binned.where(F.col("signature") == 4**k)
     firsts = durable(duplicates(std).drop("n_copies"))
     nodes, contig_rows = _nodes(firsts, p, k)
