@@ -151,58 +151,107 @@ def by_prefix(nodes: DataFrame, binned: DataFrame, window: int = 255, threshold:
     Reads with at least LEAST_POS bases there are kept in order of these bases,
     read backwards (of equal ones the longer first, then by rank), in one list
     for each bin and pair of bases next to the signature. A HARD read is
-    compared with the window // 2 + 1 next entries on either side, among the
-    reads before it by rank (in its own or the preceding block of ``history``
-    ranks, so a task holds two blocks at most). The cheapest one becomes its
-    parent if its cost is under the threshold; nearest first, the lower side on
-    ties.
+    compared with the window // 2 + 1 next entries on either side, among all
+    reads before it by rank. The cheapest one becomes its parent if its cost is
+    under the threshold; nearest first, the lower side on ties.
+
+    A list is cut into blocks of ``history`` ranks. A HARD read is sent to its
+    own block and to those before; each gives its next entries there, and the
+    next ones of all are chosen from these by their places in the list. So a
+    task holds one block, and the result does not depend on ``history``.
     """
     pos = F.col("minim_pos")
     rows = nodes.select("signature", "read_id", "rank", "node_type").join(binned.select("read_id", "seq", "minim_pos"), "read_id").where(pos >= LEAST_POS)
     rows = rows.withColumns({"pair": F.substr("seq", pos - 1, F.lit(2)), "prefix": F.concat(F.reverse(F.substr("seq", F.lit(1), pos - 1)), F.lit("~"))})
-    own = F.expr(f"cast((rank - 1) div {history} as int)")
-    rows = rows.withColumn("own", own).withColumn("block", F.explode(F.array("own", F.col("own") + 1)))
-    side = window // 2 + 1
-
-    keys = ["signature", "pair", "block"]
-
-    def look(f: pd.DataFrame) -> list[tuple]:
-        """read_id, parent, shift and cost for one list, in order of rank."""
-        seqs, at, ids = f["seq"].tolist(), f["minim_pos"].to_numpy(np.int64), f["read_id"].to_numpy()
-        hard = ((f["node_type"] == "HARD") & (f["own"] == f["block"])).to_numpy()
-        if len(f) < 2 or not hard.any():
-            return []
-        size = np.array([len(x) for x in seqs])
-        wall = laid_out(seqs, at)
-        kept: list[tuple[str, int]] = []
-        out = []
-        for i, prefix in enumerate(f["prefix"].tolist()):
-            here = bisect.bisect_left(kept, (prefix, -1))
+    listed = Window.partitionBy("signature", "pair").orderBy("prefix", "rank")
+    ahead = F.rank().over(Window.partitionBy("signature", "pair").orderBy("prefix"))  # a read's place before its equals
+    rows = rows.withColumns({"spot": F.row_number().over(listed), "ahead": ahead, "own": F.expr(f"cast((rank - 1) div {history} as int)")}).drop("prefix")
+    held = rows.withColumn("block", F.col("own")).withColumn("asks", F.lit(False))
+    asked = rows.where((F.col("node_type") == "HARD") & (F.col("own") > 0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).withColumn("asks", F.lit(True))
+    side, keys = window // 2 + 1, ["signature", "pair", "block"]
+
+    def limit_of(size: np.ndarray) -> np.ndarray:
+        return size // 2 if threshold is None else np.full(len(size), threshold)
+
+    class Block:
+        """Reads of one block by spot, and their next entries."""
+
+        def __init__(self, f: pd.DataFrame):
+            self.seqs, self.at, self.ids, self.spot = f["seq"].tolist(), f["minim_pos"].to_numpy(np.int64), f["read_id"].to_numpy(), f["spot"].to_numpy(np.int64)
+
+        def priced(self, wall: np.ndarray, at: np.ndarray, i: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            shift = at[y] - at[i]
+            differ = ((wall[y] != wall[i]) & (wall[y] != 0) & (wall[i] != 0)).sum(axis=1)
+            return shift, np.where(np.abs(shift) > MAX_SHIFT, np.iinfo(np.int32).max, np.abs(shift) * SHIFT_COST + differ * MISMATCH_COST)
+
+    def answer(read: int, block: Block, y: np.ndarray, up: np.ndarray, shift: np.ndarray, cost: np.ndarray, limit: int, last: bool) -> tuple | None:
+        """What a read learns in a block: the best entry if there is no other block, else its next entries."""
+        if last:
+            j = int(np.argmin(cost)) if len(cost) else 0
+            return (read, int(block.ids[y[j]]), int(shift[j]), int(cost[j]), None) if len(cost) and cost[j] < limit else None
+        return (read, None, None, None, [{"up": bool(u), "spot": int(block.spot[k]), "c": int(min(c, 1 << 30)), "p": int(block.ids[k]), "s": int(s)} for k, u, s, c in zip(y, up, shift, cost, strict=True)])
+
+    def own_block(f: pd.DataFrame) -> list[tuple]:
+        """Reads of a block in order of rank, each HARD one against those before it."""
+        block, out = Block(f), []
+        hard, first, ahead_, limit = (f["node_type"] == "HARD").to_numpy(), (f["own"] == 0).to_numpy(), f["ahead"].to_numpy(), limit_of(np.array([len(x) for x in block.seqs]))
+        if not hard.any():
+            return out
+        wall = laid_out(block.seqs, block.at)
+        kept: list[int] = []
+        place = dict(zip(block.spot.tolist(), range(len(f)), strict=True))
+        for i in range(len(f)):
             if hard[i] and kept:
-                limit = int(size[i]) // 2 if threshold is None else threshold
-                best = (limit, 0, 0)
-                for found in ([x for _, x in kept[max(0, here - side) : here]][::-1], [x for _, x in kept[here : here + side]]):
-                    if found:
-                        y = np.array(found)
-                        shift = at[y] - at[i]
-                        differ = ((wall[y] != wall[i]) & (wall[y] != 0) & (wall[i] != 0)).sum(axis=1)
-                        cost = np.where(np.abs(shift) > MAX_SHIFT, np.iinfo(np.int32).max, np.abs(shift) * SHIFT_COST + differ * MISMATCH_COST)
-                        j = int(np.argmin(cost))
-                        if cost[j] < best[0]:
-                            best = (int(cost[j]), int(ids[y[j]]), int(shift[j]))
-                if best[0] < limit:
-                    out.append((ids[i], best[1], best[2], best[0]))
-            bisect.insort(kept, (prefix, i))
+                here = bisect.bisect_left(kept, int(ahead_[i]))
+                lower, upper = kept[max(0, here - side) : here][::-1], kept[here : here + side]
+                y = np.array([place[x] for x in lower + upper])
+                shift, cost = block.priced(wall, block.at, i, y)
+                out.append(answer(int(block.ids[i]), block, y, np.arange(len(y)) >= len(lower), shift, cost, int(limit[i]), bool(first[i])))
+            bisect.insort(kept, int(block.spot[i]))
+        return [x for x in out if x]
+
+    def later(f: pd.DataFrame, q: pd.DataFrame) -> list[tuple]:
+        """HARD reads of later blocks against all of this one."""
+        f = f.sort_values("spot")
+        block = Block(f)
+        at = np.concatenate([block.at, q["minim_pos"].to_numpy(np.int64)])
+        wall = laid_out(block.seqs + q["seq"].tolist(), at)
+        out = []
+        for n, (read, ahead_) in enumerate(zip(q["read_id"].tolist(), q["ahead"].tolist(), strict=True)):
+            here = int(np.searchsorted(block.spot, ahead_))
+            lower, upper = np.arange(max(0, here - side), here)[::-1], np.arange(here, min(len(f), here + side))
+            y = np.concatenate([lower, upper])
+            shift, cost = block.priced(wall, at, len(f) + n, y)
+            out.append(answer(read, block, y, np.arange(len(y)) >= len(lower), shift, cost, 0, False))
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in whole_groups(frames, keys):
-            new = (f[keys] != f[keys].shift()).any(axis=1).to_numpy()
-            out = [x for part in np.split(np.arange(len(f)), np.flatnonzero(new)[1:]) for x in look(f.iloc[part])]
-            yield pd.DataFrame(out, columns=["read_id", "p", "s", "c"]).astype({"read_id": "int64", "p": "int64", "s": "int32", "c": "int32"})
-
-    rows = rows.select(*keys, "rank", "own", "read_id", "node_type", "seq", "minim_pos", "prefix")
-    found = rows.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInPandas(run, "read_id long, p long, s int, c int")
+        names = ["read_id", "p", "s", "c", "next"]
+        table = lambda rows: pd.DataFrame(rows, columns=names).astype({"read_id": "int64", "p": "Int64", "s": "Int32", "c": "Int32"})
+        now, reads = None, None
+        for f in whole_groups(frames, [*keys, "asks"]):  # asking reads come behind their block
+            for key, part in f.groupby([*keys, "asks"], sort=False):
+                if not key[3]:
+                    now, reads = key[:3], part
+                    if out := own_block(part):
+                        yield table(out)
+                elif now == key[:3]:
+                    for a in range(0, len(part), 4096):
+                        yield table(later(reads, part.iloc[a : a + 4096]))
+
+    columns = [*keys, "asks", "rank", "own", "read_id", "node_type", "seq", "minim_pos", "spot", "ahead"]
+    both = held.select(*columns).unionByName(asked.select(*columns))
+    entry = "struct<up:boolean,spot:int,c:int,p:long,s:int>"
+    found = both.repartition(*keys).sortWithinPartitions(*keys, "asks", "rank").mapInPandas(run, f"read_id long, p long, s int, c int, next array<{entry}>")
+    limit = F.expr("length(seq) div 2" if threshold is None else str(threshold))
+    # of reads with several blocks: the next entries of all of them
+    merged = found.where("next is not null").groupBy("read_id").agg(F.flatten(F.collect_list("next")).alias("next"))
+    lower = F.slice(F.reverse(F.array_sort(F.transform(F.filter("next", lambda x: ~x["up"]), lambda x: F.struct(x["spot"], x["c"], x["p"], x["s"])))), 1, side)
+    upper = F.slice(F.array_sort(F.transform(F.filter("next", lambda x: x["up"]), lambda x: F.struct(x["spot"], x["c"], x["p"], x["s"]))), 1, side)
+    ordered = lambda x, up: F.transform(x, lambda e, i: F.struct(e["c"].alias("c"), F.lit(up).alias("up"), i.alias("far"), e["p"].alias("p"), e["s"].alias("s")))
+    best = F.array_min(F.concat(ordered(lower, 0), ordered(upper, 1)))
+    merged = merged.join(binned.select("read_id", limit.alias("most")), "read_id").select("read_id", best.alias("b"), "most").where("b.c < most").select("read_id", "b.p", "b.s", "b.c")
+    found = found.where("next is null").select("read_id", "p", "s", "c").unionByName(merged)
     better = F.col("p").isNotNull()
     pick = {"node_type": F.when(better, F.lit("LZ")).otherwise(F.col("node_type")), "no_mismatch": F.when(better, F.col("c") == F.abs("s")).otherwise(F.col("no_mismatch"))}
     pick |= {x: F.coalesce(y, x) for x, y in (("parent_id", "p"), ("shift", "s"), ("cost", "c"))}

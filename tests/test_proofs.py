@@ -127,6 +127,30 @@ def test_rebin_chain_keeps_alignments(binned):
         assert cost <= len(seq[i]) // 2
 
 
+@pytest.mark.parametrize("window,history", [(8, 65_536), (8, 7), (32, 5)])
+def test_prefix_search_sees_all_reads_before(binned, window, history):
+    nodes = lineage.durable(matching.lz_nodes(binned, window, threshold=3))
+    rows = {r["read_id"]: r for r in nodes.join(binned.select("read_id", "seq", "minim_pos"), "read_id").collect()}
+    got = {r["read_id"]: (r["node_type"], r["parent_id"], r["shift"], r["cost"]) for r in matching.by_prefix(nodes, binned, window, history=history).collect()}
+    changed = 0
+    for i, r in rows.items():
+        want = (r["node_type"], r["parent_id"], r["shift"], r["cost"])
+        if r["node_type"] == "HARD" and r["minim_pos"] >= 8:
+            pair = lambda x: (x["signature"], x["seq"][x["minim_pos"] - 2 : x["minim_pos"]])
+            prefix = lambda x: x["seq"][: x["minim_pos"] - 2][::-1] + "~"
+            before = sorted((prefix(x), x["rank"], x["read_id"]) for x in rows.values() if x["minim_pos"] >= 8 and pair(x) == pair(r) and x["rank"] < r["rank"])
+            lower, upper = [x for x in before if x[0] < prefix(r)][::-1], [x for x in before if x[0] >= prefix(r)]
+            side, best = window // 2 + 1, (len(r["seq"]) // 2,)
+            for _, _, j in lower[:side] + upper[:side]:
+                cost, shift = cost_of(r["seq"], r["minim_pos"], rows[j]["seq"], rows[j]["minim_pos"])
+                if abs(shift) <= 127 and cost < best[0]:
+                    best = (cost, j, shift)
+            if len(best) > 1:
+                want, changed = ("LZ", best[1], best[2], best[0]), changed + 1
+        assert got[i] == want
+    assert changed > 20 and len(got) == len(rows)
+
+
 def test_depths_by_bin(binned):
     nodes = lineage.durable(matching.lz_nodes(binned, 32))
     rows = lambda df: sorted((r["read_id"], r["root_id"], r["depth"]) for r in df.collect())
