@@ -282,6 +282,16 @@ def relinked(nodes: DataFrame, made: DataFrame) -> DataFrame:
     return rows.withColumn("tree_parent_id", F.when(main, F.col("main_id")).otherwise(F.coalesce("from_main", "parent_id"))).drop("main_id", "from_main")
 
 
+def member_cells(made: DataFrame, binned: DataFrame) -> DataFrame:
+    """contig_id, read_id, col, base, consensus, is_variant: each base of members but the CUT ones at their ends."""
+    inside = made.select("contig_id", "start", "consensus", "variant_cols", F.explode("members").alias("read_id")).join(binned.select("read_id", "seq", "minim_pos"), "read_id")
+    inside = inside.where(F.length("seq") > 2 * CUT).withColumn("at", F.explode(F.sequence(F.lit(CUT), F.length("seq") - CUT - 1)))
+    col = F.col("at") - F.col("minim_pos")
+    return inside.select(
+        "contig_id", "read_id", col.alias("col"), F.substr("seq", F.col("at") + 1, F.lit(1)).alias("base"), F.substr("consensus", col - F.col("start") + 1, F.lit(1)).alias("consensus"), F.array_contains("variant_cols", col).alias("is_variant")
+    )
+
+
 def position_steps(made: DataFrame, binned: DataFrame) -> DataFrame:
     """contig_id, read_id, minim_pos, step: members but the main one by signature position, and the step from the one before (the first: its position)."""
     inside = made.select("contig_id", "main_id", F.explode("members").alias("read_id")).where("read_id <> main_id").join(binned.select("read_id", "minim_pos"), "read_id")

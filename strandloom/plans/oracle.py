@@ -142,6 +142,27 @@ put("header_roundtrip", READS, "select read_id, head from reads")
 put("header_auto", B, "select read_id, '@' || sig_text || '.' || row_number() over (partition by signature order by read_id) as head from binned")
 put("header_mate", READS, "select read_id, mate_head as head from pairs")
 put("fastq_lines", READS, "select head || chr(10) || seq || chr(10) || '+' || chr(10) || qua as value from reads")
+for _name in ("fastq_files", "fastq_stream"):
+    put(_name, READS, "select head, seq, qua from reads")
+put("fastq_pair_files", READS, "select head, seq, qua, mate_seq, mate_qua from pairs")
+put(
+    "fastq_damaged",
+    READS,
+    """select unnest(case when read_id % 97 <> 0 then [head] else [head, seq, qua] end) as head, case when read_id % 97 <> 0 then seq end as seq, case when read_id % 97 <> 0 then qua end as qua from reads""",
+)
+put("fastq_qualities", READS, "select qua as value from reads")
+put("contig_members_sound", READS, "select read_id as contig_id, read_id as n_wrong from reads where false")
+put(
+    "stream_sizes",
+    N.replace("a.rank - 7 and", "a.rank - 255 and").replace("binned as (select r.read_id", "binned0 as (select r.read_id").replace("from reads r left join m using (read_id))", """from reads r left join m using (read_id)),
+    binned as (select * replace (case when small then 65536 else signature end as signature, case when small then 0 else minim_pos end as minim_pos, case when small and is_rev then reverse(translate(seq, 'ACGTN', 'TGCAN')) else seq end as seq)
+    from (select *, signature <> 65536 and count(*) over (partition by signature) < 8 as small from binned0))"""),
+    """select stream, sum(n)::bigint as symbols from (select 'root bases' as stream, length(s.seq) - 7 as n from nodes join srt s using (read_id) where node_type = 'HARD'
+    union all select 'child bases', length(c.aseq) - least(length(c.aseq) - c.ao, length(c.bseq) - c.bo) from nodes n join cost c on c.read_id = n.read_id and c.other = n.parent_id
+    union all select 'child mismatches', (cost - abs(shift)) // 2 from nodes where node_type = 'LZ'
+    union all select 'names', length(head) from binned where signature <> 65536 union all select 'qualities', length(qua) from binned where signature <> 65536
+    union all select 'raw bases', length(seq) from binned where signature = 65536) group by stream""",
+)
 put("read_sort_rank", B, "select read_id, signature, row_number() over (partition by signature order by substr(seq, minim_pos + 1), reverse(substr(seq, 1, minim_pos + 1)), read_id)::int as rank from binned")
 put("duplicates", B, "select signature, seq, minim_pos, min(read_id) as read_id, count(*) as n_copies from binned group by signature, seq, minim_pos")
 put("dedup_reads", B, "select min(read_id) as read_id from binned group by signature, seq, minim_pos")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, numbers, phred
 from ..operators import bins, codecs, contigs, forest, headers, lineage, matching, minimizers, order, pairs, qualities, quantize, rebin
+from ..sources import fastq
+from ..streaming import follow
 from . import archive
 from .fixture import derived_reads
 
@@ -306,6 +308,65 @@ def fastq_lines(spark, sf_dir):
     return lines(derived_reads(spark, sf_dir))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{lineage.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _dropped(reads: DataFrame, path: str) -> DataFrame:
+    """The rows, kept; the files they were read from go."""
+    kept = lineage.durable(reads)
+    lineage.remove(reads.sparkSession, path)
+    return kept
+
+
+@query
+def fastq_files(spark, sf_dir):
+    """Written by the sink and read back in splits."""
+    path = _folder(spark, "fastq")
+    fastq.write_fastq(derived_reads(spark, sf_dir), path)
+    return _dropped(fastq.read_fastq(spark, [path], split_bytes=1 << 20).where("bad is null").select("head", "seq", "qua"), path)
+
+
+@query
+def fastq_pair_files(spark, sf_dir):
+    """Both mates written in step, cut at equal records and read back in pairs."""
+    path = _folder(spark, "fastq-pairs")
+    fastq.write_fastq(derived_reads(spark, sf_dir, True), f"{path}/1", f"{path}/2")
+    return _dropped(fastq.read_fastq(spark, [f"{path}/1"], [f"{path}/2"], split_bytes=1 << 20).where("bad is null").drop("read_id", "bad"), path)
+
+
+@query
+def fastq_damaged(spark, sf_dir):
+    """Text in which some records lost their third line: whole records, and what is left of the others."""
+    path = _folder(spark, "fastq-damaged")
+    reads = derived_reads(spark, sf_dir)
+    plus = F.when(F.col("read_id") % 97 != 0, F.lit("+"))
+    reads.select(F.concat_ws("\n", "head", "seq", plus, "qua").alias("value")).write.text(path)
+    rows = fastq.read_fastq(spark, [path], split_bytes=1 << 18)
+    whole = rows.where("bad is null").select("head", "seq", "qua")
+    # a quality line that begins with @ is a piece of its own
+    lost = rows.where("bad is not null").select(F.explode(F.split("bad", "\n")).alias("head"), F.lit(None).cast("string").alias("seq"), F.lit(None).cast("string").alias("qua"))
+    return _dropped(whole.unionByName(lost), path)
+
+
+@query
+def fastq_qualities(spark, sf_dir):
+    """The dry-run sink's files."""
+    path = _folder(spark, "fastq-dry")
+    fastq.write_qualities(derived_reads(spark, sf_dir), path)
+    return _dropped(spark.read.text(path), path)
+
+
+@query
+def fastq_stream(spark, sf_dir):
+    """Files followed as a stream, to the end."""
+    path = _folder(spark, "fastq-stream")
+    fastq.write_fastq(derived_reads(spark, sf_dir), f"{path}/in")
+    rows = follow.follow_fastq(spark, f"{path}/in").where("bad is null").select("head", "seq", "qua")
+    rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _dropped(spark.read.schema(rows.schema).parquet(f"{path}/out"), path)
+
+
 @query
 def read_sort_rank(spark, sf_dir):
     return matching.ranked(_binned(spark, sf_dir)).select("read_id", "signature", "rank")
@@ -432,6 +493,29 @@ def contig_growth(spark, sf_dir):
     return contigs.contigs(nodes, forest.depths(nodes), binned)
 
 
+@query
+def contig_histograms(spark, sf_dir):
+    return contigs.histograms(contig_growth(spark, sf_dir))
+
+
+@query
+def contig_position_steps(spark, sf_dir):
+    return contigs.position_steps(lineage.durable(contig_growth(spark, sf_dir)), _binned(spark, sf_dir))
+
+
+@query
+def contig_members_sound(spark, sf_dir):
+    """Contigs whose members' uncovered ends, variant letters and consensus do not give a member back: none."""
+    made, binned = lineage.durable(contig_growth(spark, sf_dir)), _binned(spark, sf_dir)
+    cells = contigs.member_cells(made, binned)
+    return cells.where("base <> consensus and not is_variant").groupBy("contig_id").agg(F.count("*").alias("n_wrong"))
+
+
+@query
+def stream_sizes(spark, sf_dir):
+    return archive.stream_sizes(archive.pack(derived_reads(spark, sf_dir), archive.PROFILES["lossless"]))
+
+
 @query
 def mate_zip_join(spark, sf_dir):
     rows = derived_reads(spark, sf_dir, True)
