@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from ..operators.lineage import durable, shared_dir
+from ..operators.lineage import durable, remove, shared_dir
 
-__all__ = ["durable", "shared_dir", "stored"]
+__all__ = ["durable", "remove", "shared_dir", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

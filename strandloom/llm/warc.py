@@ -6,20 +6,23 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .scratch import durable, shared_dir
+from .scratch import durable, remove, shared_dir
 
 REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
 #: A payload of more rows than both HOT_ROWS and a part in HOT_SHARE of all repeats is hot, so there are at most HOT_SHARE of them.
 HOT_ROWS, HOT_SHARE = 10_000, 1_000
+#: Most payloads that repeat, and most files, of which a table is sent to all tasks; bits of the map of the former beyond that.
+ROLES, FILES, MARK_BITS = 100_000, 100_000, 28
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -35,16 +38,25 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def record_of(page: str, url: str, payload: bytes, size: int, digest: str, refers: str | None) -> bytes:
+def _urn(page: str | None) -> str:
+    """The name of a page's record: any text, percent-encoded; null is a name of another kind."""
+    return "<urn:null:>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
+def _page(urn: str) -> str | None:
+    return None if urn == "<urn:null:>" else unquote(urn.removeprefix("<urn:page:").removesuffix(">"))
+
+
+def record_of(page: str | None, url: str, payload: bytes, size: int, digest: str, refers: str | None) -> bytes:
     """A response with its payload, or a revisit that names the response's record; size and digest are those of the full payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload if refers is None else b"")
-    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", _urn(page)), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if url:
         fields.append(("WARC-Target-URI", "".join(url.split())))
     fields += [("Content-Type", "application/http;msgtype=response"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers is not None:
-        fields += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", _urn(refers)), ("WARC-Profile", PROFILE)]
     return _record(fields, block)
 
 
@@ -104,7 +116,7 @@ class Record:
         digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
         if fields["WARC-Type"] == "response" and (self.seen != self.stated or self.body.hexdigest() != digest):
             raise ValueError("payload digest differs")
-        name = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else None
+        name = lambda k: _page(fields[k]) if k in fields else None
         got = {"page": name("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "type": fields["WARC-Type"], "refers": name("WARC-Refers-To"), "digest": digest, "bytes": self.stated}
         return got | ({"payload": bytes(self.payload)} if self.payload is not None else {})
 
@@ -134,6 +146,16 @@ def _roles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts.where(F.col("n") > least).drop("n"), counts.where(F.col("n") <= least).drop("n")
 
 
+def _marked(rows: DataFrame, roles: DataFrame) -> DataFrame:
+    """rows with marked: whether a bit map of MARK_BITS bits, in rows of 4 KB, has the digest's bit. A false mark costs a shuffled row, no more."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS)) + 1
+    maps = roles.select(cell("digest").alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("map"))
+    held = rows.withColumn("cell", cell("digest")).withColumns({"bucket": F.bitmap_bucket_number("cell"), "bit": F.bitmap_bit_position("cell")})
+    byte = F.conv(F.hex(F.substr("map", F.expr("int(bit div 8 + 1)"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.coalesce(F.getbit(byte, F.expr("int(bit % 8)")) == 1, F.lit(False))
+    return held.join(F.broadcast(maps), "bucket", "left").withColumn("marked", set_).drop("bucket", "cell", "bit", "map")  # 32 MB at most
+
+
 def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archive a table (page_id, url, html); one row (path, records) for each file.
 
@@ -148,8 +170,11 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     leaves no record twice. An empty table gives no files. Other columns are
     not read. The folder stays until its owner removes it.
 
-    A payload that very many rows repeat is matched by a broadcast of at most
-    HOT_SHARE rows; its rows do not meet in one task.
+    Which payloads repeat is found on digests alone. The roles of up to ROLES
+    such payloads are broadcast, so no payload is moved; of more, only rows
+    whose digest a bit map of fixed size marks are joined by it. A payload
+    that very many rows repeat is matched by a broadcast of at most HOT_SHARE
+    rows. Page ids may be any text (they are percent-encoded).
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
@@ -158,12 +183,18 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     rows = pages.select("page_id", url.alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     hot, others = _roles(rows.drop("payload"))
     rows = rows.join(F.broadcast(hot.select("digest", F.col("low").alias("h"), F.col("low_url").alias("h_url"))), "digest", "left")
-    # rows of hot payloads have keys of their own, dealt by input partition, and meet nothing
-    rows = rows.withColumn("match", F.when(F.col("h").isNull(), F.col("digest")).otherwise(F.concat_ws("#", "digest", F.spark_partition_id())))
-    rows = rows.join(others.select(F.col("digest").alias("match"), "low", "low_url"), "match", "left").withColumns({"low": F.coalesce("h", "low"), "low_url": F.coalesce("h_url", "low_url")})
+    roles = others.select("digest", "low", "low_url")
+    if others.count() <= ROLES:
+        rows = rows.join(F.broadcast(roles), "digest", "left")
+    else:  # only rows that the map marks, and no hot ones, are moved
+        marked = _marked(rows, others)
+        alone = (~F.col("marked")) | F.col("h").isNotNull()
+        none = {c: F.lit(None).cast(roles.schema[c].dataType) for c in ("low", "low_url")}
+        rows = marked.where(~alone).join(roles, "digest", "left").unionByName(marked.where(alone).withColumns(none)).drop("marked")
+    rows = rows.withColumns({"low": F.coalesce("h", "low"), "low_url": F.coalesce("h_url", "low_url")})
     is_low = F.coalesce((F.col("page_id") == F.col("low")) & (F.col("url") == F.col("low_url")), F.lit(False))
     long_ = F.col("bytes") >= REVISIT_BYTES
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page")
+    page = F.col("page_id").cast("string").alias("page")
 
     def shaped(df: DataFrame, revisit: Column) -> DataFrame:
         return df.select(page, "url", F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload")).alias("payload"), "bytes", "digest", F.when(revisit, F.col("low").cast("string")).alias("refers"))
@@ -203,7 +234,7 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
 def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
     """Records of the listed archives (column path): page, url, type, refers, digest, bytes, and payload if asked for.
 
-    A task reads a file, once, in order, and holds CHUNK bytes of it and the
+    A task reads a file (two or more beyond FILES), once, in order, and holds CHUNK bytes of it and the
     records of an output batch; a record that is cut short, framed wrongly or
     fails a digest stops the read. Revisits have the stated length and digest
     of the full payload, and no payload. An empty list gives no rows.
@@ -230,15 +261,24 @@ def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
                     yield batch_of(rows)
 
     schema = "page string, url string, type string, refers string, digest string, bytes long" + ", payload binary" * payload
-    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, schema)  # dealt in turn: a file a task
+    n = files.count()
+    if n > FILES:
+        return files.select("path").repartition(n).mapInArrow(run, schema)
+    # the partitions of a range hold a number each, and a broadcast of at most FILES names leaves them so
+    named = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("id"))
+    return files.sparkSession.range(0, n, 1, max(1, n)).join(F.broadcast(named), "id").select("path").mapInArrow(run, schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Per page, from the archives as read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per page, from the archives as read back: page_id, payload_bytes, payload_digest, record_type, refers_to. The archives go when all are read."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    records = read_warc(write_warc(pages), payload=False)
-    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
-    return records.select(number("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to"))
+    spark = pages.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    records = read_warc(write_warc(pages, folder), payload=False)
+    number = lambda c: F.col(c).cast(kind)
+    out = durable(records.select(number("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to")))
+    remove(spark, folder)
+    return out
 
 
 ORACLE = """

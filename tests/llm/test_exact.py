@@ -256,7 +256,7 @@ def test_shards(spark):
     assert shards.sharded(big.limit(0), [1.0] * 16).count() == 0
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     body, long_ = "<p>" + "é" * 80, "".join(chr(97 + i * i % 26) for i in range(300_000))
     rows = [(5, "http://a", body), (2, "http://b", body), (9, None, None), (7, "x", "tiny"), (8, "x", "tiny"), (None, "n", body), (2, "again", body), (2, "again", body)]
     rows += [(20, "l", long_), (21, "l", long_), (None, "m", "z" * 200), (None, "m", "z" * 200), *[(30 + i, f"u{i}", "hot" * 50) for i in range(60)]]
@@ -281,6 +281,29 @@ def test_warc(spark):
     texts = {(r["page"], r["url"]): bytes(r["payload"]).decode() for r in read.where("type = 'response'").collect()}
     assert texts["2", "again"] == body and texts["20", "l"] == long_ and texts["9", None] == ""
     assert warc.archived(df.limit(0)).count() == 0
+    with monkeypatch.context() as m:  # payloads that repeat are too many to be sent to all tasks
+        m.setattr(warc, "ROLES", 0)
+        moved = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archived(df).collect())
+    assert moved == got
+
+
+def test_warc_names_of_any_text(spark, monkeypatch):
+    ids = ["null", None, "a\r\nContent-Length: 5", "<x>", "%0A", "", "é 日", "a" * 300]
+    rows = [(i, f"http://x/{n}\r\n y", "p" * 200 if n % 2 else f"{n}" * 150) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for roles in (100_000, 0):
+        monkeypatch.setattr(warc, "ROLES", roles)
+        got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archived(df).collect()}
+        low = min(i for i, _, p in rows if p == "p" * 200 and i is not None)
+        assert got == {i: (len(p), hashlib.sha256(p.encode()).hexdigest(), *(("revisit", low) if p == "p" * 200 and i != low else ("response", None))) for i, _, p in rows}
+
+
+def test_warc_reads_a_file_a_task(spark, tmp_path):
+    df = spark.range(0, 500, 1, 37).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("html"))
+    files = warc.write_warc(df, f"file://{tmp_path}/warc")
+    read = warc.read_warc(files)
+    held = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert files.count() == 37 and sorted(r["count"] for r in held) == sorted(r["records"] for r in files.collect()) and len(held) == 37
 
 
 def test_warc_reader_verifies():
