@@ -33,7 +33,8 @@ COMMON = 0.1
 UNIT, STEPS = 4, 5  # windows are STEPS times as long as their distance, which is UNIT words times a power of 2
 SPAN, PART = 1 << 16, 1 << 15
 DENSE = 1 << 26
-LEAST_WORDS = 5
+#: Items of fewer words are found as exact phrases; bytes of items that are searched in one pass; tasks that sum for the singular vectors.
+LEAST_WORDS, ITEM_BYTES, SUM_TASKS = 5, 32 << 20, 16_384
 
 
 class Terms:
@@ -122,8 +123,11 @@ def latent_space(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         if df[0]:
             yield pd.DataFrame({"df": [df.tobytes()], "z": [z.astype(np.float32).tobytes()]})
 
+    tasks = texts.rdd.getNumPartitions()
+    if tasks > SUM_TASKS:  # so that the sums are of bounded size for any input
+        texts, tasks = texts.coalesce(SUM_TASKS), SUM_TASKS
     parts = texts.mapInArrow(sums, "df binary, z binary")
-    groups = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
+    groups = max(1, int(tasks**0.5))
     while groups:  # a tree of sums: no task takes in more than about the square root of all partitions
         parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(groups, "g").drop("g").mapInPandas(total, "df binary, z binary")
         groups = int(groups**0.5) if groups > 8 else 0
@@ -243,7 +247,7 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", cosine: float = 0.3, share: float = 0.6, answer: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", cosine: float = 0.3, share: float = 0.6, answer: float = 0.6, phrase_words: int = 1) -> DataFrame:
     """Rows (doc_id, item_id, common_words, item_words, cosine, at): benchmark items found in documents.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, in lower
@@ -255,32 +259,74 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     window with the longest such subsequence (the first of several). A document
     has one row for each item found; documents that repeat have rows each.
     Items that repeat in all columns count once; equal ids with different
-    texts or answers are different items. Null and empty texts hold nothing;
-    items of fewer than LEAST_WORDS words, null or empty are never found. All
-    items are searched in one pass; beyond ITEMS of them, there is a pass for
-    each group of about ITEMS, so that what is sent to the tasks is bounded.
-    Other columns are not read.
+    texts or answers are different items. Null and empty texts hold nothing.
+    Items of fewer than LEAST_WORDS words, but ``phrase_words`` at least, have
+    too few terms for a cosine: they are found where their words stand next to
+    each other in order, whatever the answer (``cosine`` is null). Items of fewer words, null or
+    empty ones are not looked for. All items are searched in one pass; beyond
+    ITEMS of them, or ITEM_BYTES of text, there is a pass for each part of
+    about that size, so that what is sent to the tasks is bounded (an item of
+    more bytes is a pass of its own size). Other columns are not read.
     """
     has_answer = "answer" in benchmark.columns
     items = benchmark.select("item_id", F.col("text"), (F.col("answer") if has_answer else F.lit(None)).cast("string").alias("answer")).where("text is not null").dropDuplicates()
-    passes = max(1, -(-items.count() // ITEMS))
+    many = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0))).alias("size")).first()
+    passes = max(1, -(-many["n"] // ITEMS), -(-(many["size"] or 0) // ITEM_BYTES))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
     for b in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(passes)) == b)
-        found = _search(rows, part, cosine, share, answer)
+        found = _search(rows, part, cosine, share, answer, phrase_words)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("doc_id", doc_id)
 
 
-def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answer: float) -> DataFrame:
+def _phrases(docs: DataFrame, phrases: list[tuple[int, np.ndarray]]) -> DataFrame:
+    """Rows as of ``_search`` for items (number, word hashes) of few words: where they first stand in a document as they are."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    by_size: dict[int, dict[int, list[int]]] = {}
+    for k, h in phrases:
+        by_size.setdefault(len(h), {}).setdefault(int(kernel.grams(h, len(h))[0]), []).append(k)
+    sought = {m: (np.sort(np.array(list(keys), np.uint64)), keys) for m, keys in by_size.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel.sliced(batches, 1):
+            w = kernel.words(batch.column(1), "alnum")
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            for m, (sorted_, keys) in sought.items():
+                g = kernel.grams(w.hash, m)
+                at = np.flatnonzero(sorted_[np.minimum(np.searchsorted(sorted_, g), len(sorted_) - 1)] == g)
+                doc = np.searchsorted(w.first, at, "right") - 1
+                whole = at + m <= w.first[doc + 1]
+                for d, a, x in zip(doc[whole].tolist(), (at - w.first[doc])[whole].tolist(), g[at[whole]].tolist(), strict=True):
+                    for k in keys[x]:
+                        best.setdefault((d, k), (m, a))
+            rows = sorted(best.items())
+            numbers = lambda x, t: pa.array(list(x), t)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(numbers((d for (d, _), _ in rows), pa.int64())), numbers((k for (_, k), _ in rows), pa.int32()), numbers((m for _, (m, _) in rows), pa.int32()),
+                    numbers((m for _, (m, _) in rows), pa.int32()), pa.nulls(len(rows), pa.float64()), numbers((a for _, (_, a) in rows), pa.int64()),
+                ],
+                names=["doc_id", "item", "common_words", "item_words", "cosine", "at"],
+            )
+
+    return docs.mapInArrow(run, f"doc_id {kind}, item int, common_words int, item_words int, cosine double, at long")
+
+
+def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answer: float, phrase_words: int) -> DataFrame:
     spark = docs.sparkSession
     items = part.collect()
     cut = lambda texts: (lambda w: [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))])(kernel.words(pa.array(texts, pa.string()), "alnum"))
     words = cut([r["text"] for r in items])
     use = [i for i, x in enumerate(words) if len(x) >= LEAST_WORDS]
-    names = spark.createDataFrame([(k, items[i]["item_id"]) for k, i in enumerate(use)], f"item int, item_id {part.schema['item_id'].dataType.simpleString()}")
+    few = [i for i, x in enumerate(words) if max(1, phrase_words) <= len(x) < LEAST_WORDS]
+    names = spark.createDataFrame([(k, items[i]["item_id"]) for k, i in enumerate(use + few)], f"item int, item_id {part.schema['item_id'].dataType.simpleString()}")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    named = lambda found: found.join(F.broadcast(names), "item").select("doc_id", "item_id", "common_words", "item_words", "cosine", "at")
+    phrases = named(_phrases(docs, [(len(use) + k, words[i]) for k, i in enumerate(few)])) if few else None
+    if not use and phrases is not None:
+        return phrases
     if not use:
         return spark.createDataFrame([], f"doc_id {kind}, item_id {part.schema['item_id'].dataType.simpleString()}, common_words int, item_words int, cosine double, at long")
     answers = cut([r["answer"] or "" for r in items])
@@ -377,4 +423,4 @@ def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answe
             )
 
     found = docs.mapInArrow(run, f"doc_id {kind}, item int, common_words int, item_words int, cosine double, at long")
-    return found.join(F.broadcast(names), "item").select("doc_id", "item_id", "common_words", "item_words", "cosine", "at")
+    return named(found) if phrases is None else named(found).unionByName(phrases)

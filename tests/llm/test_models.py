@@ -1,9 +1,12 @@
 """Learned operators: held-out accuracy, planted passages, edge cases, and the pipeline against its parts."""
 
+import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontam, quality, toxicity
@@ -439,3 +442,49 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert pipe.run(spark, str(empty)).count() == 0
+
+
+def test_contaminated_by_short_items(spark):
+    docs = spark.createDataFrame([(1, "so the Answer, is 42! yes"), (2, "the answer is"), (3, "is 42 the answer"), (4, None), (5, "answer"), (6, "the answer is 42 the answer is 42"), (6, "the answer is 42")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "The answer is 42"), (11, "42"), (12, ""), (13, None), (14, "not there"), (15, "42"), (16, "answer")], "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["common_words"], r["item_words"], r["at"]) for r in decontam.contaminated(docs, bench).collect())
+    want = [(1, 10, 4, 4, 1), (6, 10, 4, 4, 0), (6, 10, 4, 4, 0)]
+    want += [(d, i, 1, 1, at) for d, at in ((1, 4), (3, 1), (6, 3), (6, 3)) for i in (11, 15)] + [(d, 16, 1, 1, at) for d, at in ((1, 2), (2, 1), (3, 3), (5, 0), (6, 1), (6, 1))]
+    assert found == sorted(want)
+    assert {r["item_id"] for r in decontam.contaminated(docs, bench, phrase_words=2).collect()} == {10}
+    assert decontam.contaminated(docs, bench, phrase_words=5).count() == 0
+    long_ = " ".join(f"w{i}" for i in range(30))
+    both = bench.unionByName(spark.createDataFrame([(20, long_)], "item_id long, text string"))
+    more = docs.unionByName(spark.createDataFrame([(9, f"x y {long_} z")], "doc_id long, text string"))
+    rows = sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(more, both).collect())
+    assert rows == sorted([*((d, i) for d, i, *_ in want), (9, 20)])
+
+
+def test_contaminated_in_parts_of_bounded_bytes(spark, monkeypatch):
+    rng = random.Random(1)
+    items = [" ".join(f"w{rng.randrange(900)}" for _ in range(30)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, f"a b {x} c") for i, x in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 700)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()) == whole == [(i, i) for i in range(12)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_the_cosine_loses_nothing_on_the_tables(spark):
+    """All windows decided by their common subsequences (no cosine bound), and these by a plain dynamic program, give what the cosine's candidates give."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(docs, bench).collect()}
+    every = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(docs, bench, cosine=-1.0).collect()}
+    assert {k: r["common_words"] for k, r in found.items()} == {k: r["common_words"] for k, r in every.items()} and len(found) > 20
+    texts, items = (dict(t.select(t.columns[0], "text").collect()) for t in (docs, bench))
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    for (d, i), r in found.items():
+        x, y = cut(items[i]), cut(texts[d])[r["at"] : r["at"] + 5 * max(4, 1 << (len(cut(items[i])) - 1).bit_length() >> 2)]
+        row = [0] * (len(x) + 1)
+        for b in y:
+            old = row
+            row = [0]
+            for j, a in enumerate(x):
+                row.append(old[j] + 1 if a == b else max(old[j + 1], row[j]))
+        assert row[-1] == r["common_words"] >= 0.6 * len(x) and r["item_words"] == len(x)
