@@ -56,7 +56,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     keyed = _keyed(docs)
-    found = contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
+    found = contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key", phrase_words=5)  # a short phrase is no leak
     return keyed.join(found.select("key").distinct(), "key", "left_anti").select(*COLUMNS)
 
 
