@@ -143,6 +143,18 @@ def words(column: pa.Array, lower: bool | str = False) -> Words:
     return Words(data, s, np.concatenate(ends), mix(np.concatenate(hashes)), np.searchsorted(s, o))
 
 
+def symbols(w: Words) -> np.ndarray:
+    """A number for each distinct word."""
+    size = w.end - w.start
+    offsets = np.append(0, np.cumsum(size))
+    mark = np.zeros(len(w.data) + 1, np.int8)
+    mark[w.start] += 1
+    mark[w.end] -= 1
+    flat = w.data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    return column.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of k consecutive word hashes; k - 1 fewer than words."""
     n = len(h) - k + 1

@@ -6,13 +6,13 @@
    anchors than windows. Anchors are counted over the whole corpus.
 2. Anchors seen at least twice are marked in a bitmap of fixed size; a false
    mark costs work, never a wrong result.
-3. Passages. Stretches of text whose windows select a marked anchor go to the
-   shard of that anchor, which confirms on the words themselves what recurs
-   and keeps the distinct recurring passages, without places.
-4. Automata. Each shard compiles its passages into Aho-Corasick automata of
-   bounded size and streams the stretches of all documents through them. What
-   an automaton finds in a stretch, and nothing else, is removed from every
-   place that the stretch has in a text.
+3. Stretches of text whose windows select a marked anchor go to the shard of
+   that anchor, where equal passages meet. Hashes of the shard's windows
+   choose the passages that seem to recur; one place of each is kept.
+4. Automata. A shard compiles these passages into Aho-Corasick automata of
+   bounded size and streams all its stretches through them. What the automata
+   find at two places or more, and nothing else, is removed from every place
+   that the stretch has in a text.
 
 A document is sent to the shards of its own anchors only: a shard's automata
 hold all passages that a stretch can contain, and streaming every document
@@ -25,7 +25,7 @@ that no anchor's stretches meet in one task.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -39,7 +39,7 @@ from .scratch import stored
 
 MARK_BITS, HOT_BITS, HOT_COUNT = 28, 20, 20_000
 PLACE = np.uint64((1 << 30) - 1)
-AUTOMATON_BYTES, POOL_BYTES = 3 << 20, 24 << 20
+SHARD_BYTES, PATTERNS, POOL_BYTES = 1 << 20, 1 << 15, 24 << 20
 
 
 def selected(w: kernel.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,117 +154,73 @@ def _stretches(docs: DataFrame, marks, window: int, phrase: int) -> DataFrame:
     return docs.mapInArrow(run, "seg binary, text_key binary, start long, route long, words binary, n long")
 
 
-def _by_route(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Runs of rows with one route (the first column), the other columns as tuples."""
-    route, rows = None, []
-    for batch in batches:
-        for r, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r != route:
-                if rows:
-                    yield route, rows
-                route, rows = r, []
-            rows.append(tuple(rest))
-    if rows:
-        yield route, rows
+def candidates(w: kernel.Words, n: np.ndarray, window: int) -> np.ndarray:
+    """First places of the passages of ``window`` words that may recur in texts that count n times each: those whose hash does."""
+    g = kernel.grams(w.hash, window)
+    if not len(g):
+        return np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(n)), np.diff(w.first))
+    at = np.flatnonzero(text[: len(g)] == text[window - 1 :])
+    if not len(at):
+        return at
+    order = np.argsort(g[at], kind="stable")
+    lead = np.flatnonzero(np.append(True, np.diff(g[at][order]) != 0))
+    return at[order[lead]][np.add.reduceat(n[text[at[order]]], lead) > 1]
 
 
-def _passages(rows: list[tuple], window: int) -> tuple[set[bytes], dict[bytes, bytes]]:
-    """Of one route's rows (seg, words, n): the distinct recurring passages, and the distinct stretches in which one may be.
+def located(group: dict[bytes, tuple[bytes, int]], window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of stretches by name, as words and the number of their places: name, first word and end of each piece that consists of recurring passages.
 
-    A passage is a longest run of recurring windows of a stretch.
+    The passages are compiled into automata of PATTERNS each, and all the
+    stretches are streamed through each. A passage recurs if an automaton finds
+    it at two places; hashes only choose what is compiled.
     """
-    group: dict[bytes, list] = {}
-    for seg, text, n in rows:
-        group.setdefault(seg, [text, 0])[1] += n
-    if sum(n for _, n in group.values()) < 2:
-        return set(), {}
-    counts: Counter = Counter()
-    cut = {}
-    for seg, (text, n) in group.items():
-        at = [-1]
-        while (k := text.find(b" ", at[-1] + 1)) >= 0:
-            at.append(k)
-        at.append(len(text))
-        cut[seg] = at
-        if len(group) > 1:
-            for i in range(len(at) - window):
-                counts[text[at[i] + 1 : at[i + window]]] += n
-    passages, streamed = set(), {}
-    for seg, (text, n) in group.items():
-        at, begin = cut[seg], -1
-        for i in range(len(at) - window + 1):
-            if i < len(at) - window and (n > 1 or counts[text[at[i] + 1 : at[i + window]]] > 1):
-                begin = i if begin < 0 else begin
-            elif begin >= 0:
-                passages.add(text[at[begin] + 1 : at[i - 1 + window]])
-                streamed[seg] = text
-                begin = -1
-    return passages, streamed
-
-
-def _confirmed(stretches: DataFrame, window: int) -> DataFrame:
-    """Rows (route, seg, words): the recurring passages (seg null) of each route, and the distinct stretches to be streamed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[], [], []]
-        size = 0
-        for route, rows in _by_route(batches):
-            passages, streamed = _passages(rows, window)
-            for seg, text in [*((None, x) for x in passages), *streamed.items()]:
-                for col, value in zip(cols, (route, seg, text), strict=True):
-                    col.append(value)
-                size += len(text)
-            if size > POOL_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["route", "seg", "words"])
-                cols, size = [[], [], []], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["route", "seg", "words"])
-
-    words = stretches.where("words is not null").select("route", "seg", "words", "n")
-    return words.repartition("route").sortWithinPartitions("route").mapInArrow(run, "route long, seg binary, words binary")
+    names, n = list(group), np.array([k for _, k in group.values()], np.int64)
+    w = kernel.words(pa.array([text for text, _ in group.values()], pa.large_binary()))
+    symbol, start = kernel.symbols(w).tolist(), candidates(w, n, window).tolist()
+    hits: list[np.ndarray] = []
+    texts = [tuple(symbol[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)] if start else []
+    for a in range(0, len(start), PATTERNS):
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, x in enumerate(start[a : a + PATTERNS]):
+            machine.add_word(tuple(symbol[x : x + window]), i)
+        machine.make_automaton()
+        found = np.array([(i, end, k) for i, text in enumerate(texts) for end, k in machine.iter(text)], np.int64).reshape(-1, 3)
+        times = np.bincount(found[:, 2], n[found[:, 0]])
+        hits.append(found[times[found[:, 2]] > 1, :2])
+    if not hits or not sum(map(len, hits)):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of, end = np.concatenate(hits).T
+    order = np.lexsort((end, of))
+    of, end = of[order], end[order] + 1
+    new = np.append(True, (np.diff(of) != 0) | (np.diff(end) > window))
+    lead = np.flatnonzero(new)
+    return [names[i] for i in of[lead].tolist()], end[lead] - window, end[np.append(lead[1:], len(end)) - 1]
 
 
-def _located(confirmed: DataFrame) -> DataFrame:
-    """Rows (seg, lo, hi): the words of each distinct stretch at which the automata find passages."""
+def _located(stretches: DataFrame, window: int) -> DataFrame:
+    """Rows (seg, lo, hi): the words of each distinct stretch at which automata find recurring passages. A shard is some whole routes."""
 
-    def streamed(passages: list[bytes], stretches: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        ids: defaultdict[bytes, int] = defaultdict(lambda: len(ids))
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for text in passages:
-            key = tuple(ids[x] for x in text.split(b" "))
-            machine.add_word(key, len(key))
-        machine.make_automaton()
-        unknown = len(ids)
-        segs, lows, highs = [], [], []
-        for seg, text in stretches:
-            found: list[tuple[int, int]] = []
-            for a, b in sorted((end + 1 - n, end + 1) for end, n in machine.iter(tuple(ids.get(x, unknown) for x in text.split(b" ")))):
-                if found and a <= found[-1][1]:
-                    found[-1] = (found[-1][0], max(b, found[-1][1]))
-                else:
-                    found.append((a, b))
-            segs += [seg] * len(found)
-            lows += [a for a, _ in found]
-            highs += [b for _, b in found]
-        return pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["seg", "lo", "hi"])
+    def batch_of(names: list[bytes], lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["seg", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages: list[bytes] = []
-        stretches: list[tuple[bytes, bytes]] = []
-        size = 0
-        for _, rows in _by_route(batches):
-            for seg, text in rows:
-                size += len(text)
-                if seg is None:
-                    passages.append(text)
-                else:
-                    stretches.append((seg, text))
-            if size > AUTOMATON_BYTES and passages:
-                yield streamed(passages, stretches)
-                passages, stretches, size = [], [], 0
-        if passages:
-            yield streamed(passages, stretches)
-
-    return confirmed.repartition("route").sortWithinPartitions("route").mapInArrow(run, "seg binary, lo long, hi long")
+        group: dict[bytes, tuple[bytes, int]] = {}
+        last, size = None, 0
+        for batch in batches:
+            for route, seg, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if route != last and size > SHARD_BYTES:
+                    yield batch_of(*located(group, window))
+                    group, size = {}, 0
+                last = route
+                if seg not in group:
+                    size += len(words)
+                group[seg] = (words, n + group.get(seg, (b"", 0))[1])
+        if group:
+            yield batch_of(*located(group, window))
+
+    words = stretches.where("words is not null").select("route", "seg", "words", "n")
+    return words.repartition("route").sortWithinPartitions("route").mapInArrow(run, "seg binary, lo long, hi long")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, phrase: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -283,7 +239,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(text).alias("text"))
     marks = spark.sparkContext.broadcast(_bitmaps(_anchors(texts, window, phrase)))
     stretches = stored(_stretches(texts, marks, window, phrase), "stretches")
-    located = _located(_confirmed(stretches, window))
+    located = _located(stretches, window)
     spans = (
         stretches.where("start is not null")
         .select("seg", "text_key", "start")

@@ -292,18 +292,6 @@ def altered(n: int, h: int) -> np.ndarray | None:
     return np.append(np.arange(a), a + np.arange(n - a) % p)
 
 
-def _symbols(w: kernel.Words) -> np.ndarray:
-    """A number for each distinct word."""
-    size = w.end - w.start
-    offsets = np.append(0, np.cumsum(size))
-    mark = np.zeros(len(w.data) + 1, np.int8)
-    mark[w.start] += 1
-    mark[w.end] -= 1
-    flat = w.data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
-    return column.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
 def _best(found: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
     """The run of greatest length / period; on ties of smallest start, then period."""
     best = None
@@ -338,7 +326,7 @@ def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         for batch in kernel.sliced(batches, 2):
             w = kernel.words(batch.column(2))
             size = np.diff(w.first)
-            symbol = _symbols(w)
+            symbol = kernel.symbols(w)
             moved = {i: x for i, h in enumerate(batch.column(1).to_pylist()) if h % EVERY == 0 and (x := altered(int(size[i]), h)) is not None}
             for i, x in moved.items():
                 symbol[w.first[i] : w.first[i + 1]] = symbol[w.first[i] + x]

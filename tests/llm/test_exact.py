@@ -155,16 +155,31 @@ def test_repeats(spark, monkeypatch):
     assert repeats.without_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_repeats_are_what_the_automata_find(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, t) for i, t in corpus(3)], "doc_id long, text string")
-    whole = repeats._located
-
-    def nothing_found(confirmed):
-        return whole(confirmed.where("seg is not null"))  # streams all stretches, without the passages
-
-    assert repeats.without_repeats(rows).agg(F.sum("n_removed")).first()[0] > 0
-    monkeypatch.setattr(repeats, "_located", nothing_found)
-    assert repeats.without_repeats(rows).agg(F.sum("n_removed")).first()[0] == 0
+def test_repeats_are_what_the_automata_find(monkeypatch):
+    rng = random.Random(9)
+    for patterns in (1 << 15, 3):
+        monkeypatch.setattr(repeats, "PATTERNS", patterns)
+        for _ in range(60):
+            words = [rng.choice("ab") for _ in range(rng.randrange(1, 60))]
+            texts = [" ".join(words[a : a + rng.randrange(1, 25)]) for a in (rng.randrange(len(words)) for _ in range(rng.randrange(1, 8)))]
+            group = {f"{i}".encode(): (t.encode(), rng.choice([1, 1, 2])) for i, t in enumerate(texts)}
+            count = collections.Counter()
+            for t, n in group.values():
+                w = t.split()
+                for j in range(len(w) - 4):
+                    count[tuple(w[j : j + 5])] += n
+            want = set()
+            for name, (t, _) in group.items():
+                w = t.split()
+                want |= {(name, j + d) for j in range(len(w) - 4) if count[tuple(w[j : j + 5])] > 1 for d in range(5)}
+            read = lambda found: {(name, j) for name, lo, hi in zip(*found, strict=True) for j in range(lo, hi)}
+            assert read(repeats.located(group, 5)) == want
+            with monkeypatch.context() as m:
+                # all windows are compiled: the automata alone decide what recurs
+                m.setattr(repeats, "candidates", lambda w, n, k: np.array([x for a, b in zip(w.first, w.first[1:]) for x in range(a, b - k + 1)], np.int64))
+                assert read(repeats.located(group, 5)) == want
+                m.setattr(repeats, "candidates", lambda w, n, k: np.zeros(0, np.int64))
+                assert not read(repeats.located(group, 5))
 
 
 NAME = "<|endoftext|>"
