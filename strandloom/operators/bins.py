@@ -39,9 +39,13 @@ def small_to_n(binned: DataFrame, least: int = 8, k: int = K, paired: bool = Fal
     sized = with_size(binned)
     small = (F.col("bin_size") < least) & (F.col("signature") != 4**k)
     keep = sized.where(~small).drop("bin_size")
+    return keep.unionByName(as_n(sized.where(small).drop("bin_size"), k, paired))
+
+
+def as_n(binned: DataFrame, k: int = K, paired: bool = False) -> DataFrame:
+    """Reads of the N bin: orientation undone, position 0."""
     undone = {"is_swapped": F.lit(False)} if paired else {}
-    moved = restored(sized.where(small).drop("bin_size"), paired).withColumns(undone | {"is_rev": F.lit(False), "signature": F.lit(4**k), "sig_text": F.lit("N" * k), "minim_pos": F.lit(0)})
-    return keep.unionByName(moved)
+    return restored(binned, paired).withColumns(undone | {"is_rev": F.lit(False), "signature": F.lit(4**k), "sig_text": F.lit("N" * k), "minim_pos": F.lit(0)})
 
 
 def small_and_n(binned: DataFrame, least: int, k: int = K) -> DataFrame:
