@@ -80,10 +80,13 @@ def rle0_symbols(data: bytes) -> list[int]:
 
 
 def match_runs(matches: DataFrame) -> DataFrame:
-    """From read_id, flags (array<boolean>): read_id, start, is_match, n of the runs, in order."""
-    cells = matches.select("read_id", F.posexplode("flags").alias("at", "is_match"))
-    island = F.expr("at - row_number() over (partition by read_id, is_match order by at)")
-    return cells.withColumn("g", island).groupBy("read_id", "is_match", "g").agg(F.min("at").alias("start"), F.count("*").alias("n")).select("read_id", "start", "is_match", "n")
+    """From read_id, flags (array<boolean>): read_id, start, is_match, n of the runs, within each row."""
+    n = F.size("flags")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("flags", i) != F.get("flags", i - 1)))
+    rows = matches.select("read_id", "flags", starts.alias("starts")).withColumn("ends", F.array_append(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), n))
+    runs = rows.select("read_id", "flags", F.explode(F.arrays_zip("starts", "ends")).alias("run")).where("run.starts is not null")
+    return runs.select("read_id", F.col("run.starts").alias("start"), F.get("flags", F.col("run.starts")).alias("is_match"), (F.col("run.ends") - F.col("run.starts")).cast("long").alias("n"))
 
 
 def match_flags(nodes: DataFrame, reads: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import durable
+
 SPLIT = "[ ./:#+]"
 NUMBER = "^(0|[1-9][0-9]{0,17})$"
 DICTIONARY = 65_536
@@ -48,52 +50,74 @@ def pair_field(reads: DataFrame) -> DataFrame:
 PREFIX = 4
 
 
-def _everywhere(rows: DataFrame, fields: DataFrame, reads: DataFrame) -> DataFrame:
-    """Constant fields that every read has: their codes need not be kept. A row a field."""
-    present = rows.groupBy("field").agg(F.count("*").alias("n"))
-    return fields.where("is_const").join(present.where(F.col("n") == reads.count()), "field", "left_semi").select("field")
-
+def _split(reads: DataFrame, fields: int) -> DataFrame:
+    """read_id and t0, t1...: the fields of each name, null where a name has fewer."""
+    parts = F.split("head", SPLIT)
+    return reads.select("read_id", *(F.get(parts, F.lit(i)).alias(f"t{i}") for i in range(fields)))
 
-def encoded(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(codes, fields, dictionary): read_id, field, code for fields that vary or that some reads lack.
 
-    Numbers lose their minimum; tokens become their place in the sorted value
-    set, counted in parts of one prefix each. Fields and, within DICTIONARY
-    values, dictionaries are small tables.
-    """
-    rows, fields = tokens(reads), profile(reads)
-    varying = fields.join(F.broadcast(_everywhere(rows, fields, reads)), "field", "left_anti")
-    words = varying.where("not is_numeric")
-    small = (words.agg(F.sum("n_values")).first()[0] or 0) <= DICTIONARY
-    held = rows.join(F.broadcast(words.select("field")), "field").select("field", "token", F.substring("token", 1, PREFIX).alias("part")).distinct()
+def dictionary_of(reads: DataFrame, fields: DataFrame) -> DataFrame:
+    """field, token, place of token fields: the place in the field's sorted value set, counted in parts of one prefix each."""
+    held = tokens(reads).join(F.broadcast(fields.where("not is_numeric").select("field")), "field").select("field", "token", F.substring("token", 1, PREFIX).alias("part")).distinct()
     sizes = held.groupBy("field", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.expr("sum(n) over (partition by field order by part rows between unbounded preceding and 1 preceding)"), F.lit(0))
     within = F.expr("row_number() over (partition by field, part order by token)") - 1
-    dictionary = held.withColumn("within", within).join(sizes.select("field", "part", before.alias("base")), ["field", "part"]).select("field", "token", (F.col("base") + F.col("within")).cast("long").alias("place"))
-    info = F.broadcast(varying.select("field", "is_numeric", "min_val"))  # a row a field
-    coded = rows.select("read_id", "field", "token").join(info, "field").join(F.broadcast(dictionary) if small else dictionary, ["field", "token"], "left")
-    code = F.when(F.col("is_numeric"), F.expr("try_cast(token as bigint)") - F.col("min_val")).otherwise(F.col("place"))
-    return coded.select("read_id", "field", code.alias("code")), fields, dictionary
-
-
-def decoded(codes: DataFrame, fields: DataFrame, dictionary: DataFrame, reads: DataFrame, constants: DataFrame) -> DataFrame:
-    """read_id, head from codes; constants: field, token of the fields that every read has alike (a row a field, put into the plan)."""
-    info = F.broadcast(fields.select("field", "is_numeric", "min_val", "separator"))
-    text = F.when(F.col("is_numeric"), (F.col("code") + F.col("min_val")).cast("string")).otherwise(F.col("token"))
-    moving = codes.join(info, "field").join(dictionary.withColumnRenamed("place", "code"), ["field", "code"], "left")
-    parts = moving.select("read_id", F.struct("field", F.concat(text, F.col("separator")).alias("part")).alias("x")).groupBy("read_id").agg(F.collect_list("x").alias("p"))
-    fixed = constants.join(info, "field").select("field", F.concat("token", "separator").alias("part")).collect()
-    still = F.array(*(F.struct(F.lit(r["field"]).alias("field"), F.lit(r["part"]).alias("part")) for r in fixed)).cast("array<struct<field:int,part:string>>")
-    moved = F.coalesce("p", F.array().cast("array<struct<field:int,part:string>>"))
-    whole = reads.select("read_id").join(parts, "read_id", "left").withColumn("p", F.array_sort(F.concat(moved, still)))
-    return whole.select("read_id", F.array_join(F.col("p.part"), "").alias("head"))
+    return held.withColumn("within", within).join(sizes.select("field", "part", before.alias("base")), ["field", "part"]).select("field", "token", (F.col("base") + F.col("within")).cast("long").alias("place"))
+
+
+class Codec:
+    """Names as a code a field: numbers without their minimum, tokens as their place in the field's dictionary.
+
+    A read stays one row: numbers are arithmetic on the name, tokens one join
+    a token field that varies (a broadcast up to DICTIONARY values). Fields
+    that every read has alike have no code. The profile is a row a field.
+    """
+
+    def __init__(self, reads: DataFrame):
+        self.profile = durable(profile(reads))
+        self.fields = sorted(self.profile.collect(), key=lambda r: r["field"])
+        by_size = {r["n"]: r["count"] for r in reads.groupBy(F.size(F.split("head", SPLIT)).alias("n")).count().collect()}  # a row a number of fields
+        least = min(by_size, default=0)
+        self.moving = [r for r in self.fields if not r["is_const"] or r["field"] >= least]
+        self.words = [r for r in self.moving if not r["is_numeric"]]
+        self.dictionary = durable(dictionary_of(reads, self.profile.where(F.col("field").isin([r["field"] for r in self.words]))))
+        self.constants = {r["field"]: r["token"] for r in self.profile.where("is_const").join(tokens(reads), "field").select("field", "token").distinct().collect()}
+
+    def _joined(self, rows: DataFrame, field, have: str, want: str, key: str, value: str) -> DataFrame:
+        some = self.dictionary.where(F.col("field") == field["field"]).select(F.col(key).alias(have), F.col(value).alias(want))
+        return rows.join(F.broadcast(some) if field["n_values"] <= DICTIONARY else some, have, "left")
+
+    def encode(self, reads: DataFrame) -> DataFrame:
+        """read_id and c<field> of the fields that vary or that some reads lack; null where a name has fewer fields."""
+        rows = _split(reads, len(self.fields))
+        for r in self.words:
+            rows = self._joined(rows, r, f"t{r['field']}", f"c{r['field']}", "token", "place")
+        numbers = {r["field"]: F.expr(f"try_cast(t{r['field']} as bigint)") - F.lit(r["min_val"]) for r in self.moving if r["is_numeric"]}
+        return rows.select("read_id", *((numbers[r["field"]] if r["is_numeric"] else F.col(f"c{r['field']}")).alias(f"c{r['field']}") for r in self.moving))
+
+    def decode(self, codes: DataFrame) -> DataFrame:
+        """read_id, head."""
+        for r in self.words:
+            codes = self._joined(codes, r, f"c{r['field']}", f"t{r['field']}", "place", "token")
+        moving = {r["field"] for r in self.moving}
+        parts = []
+        for r in self.fields:
+            i = r["field"]
+            text = F.lit(self.constants[i]) if i not in moving else (F.col(f"c{i}") + F.lit(r["min_val"])).cast("string") if r["is_numeric"] else F.col(f"t{i}")
+            parts.append(F.concat(text, F.lit(r["separator"])))
+        return codes.select("read_id", F.concat_ws("", *parts).alias("head"))  # a null part is a field that the name lacks
+
+
+def encoded(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(codes, fields, dictionary): read_id, field, code for fields that vary or that some reads lack, a row each; see ``Codec``."""
+    codec = Codec(reads)
+    each = F.array(*(F.struct(F.lit(r["field"]).alias("field"), F.col(f"c{r['field']}").cast("long").alias("code")) for r in codec.moving)) if codec.moving else F.array().cast("array<struct<field:int,code:long>>")
+    return codec.encode(reads).select("read_id", F.explode(each).alias("x")).select("read_id", "x.*").where("code is not null"), codec.profile, codec.dictionary
 
 
 def roundtrip(reads: DataFrame) -> DataFrame:
-    codes, fields, dictionary = encoded(reads)
-    rows = tokens(reads)
-    constants = rows.join(F.broadcast(_everywhere(rows, fields, reads)), "field").select("field", "token").distinct()
-    return decoded(codes, fields, dictionary, reads, constants)
+    codec = Codec(reads)
+    return codec.decode(codec.encode(reads))
 
 
 def mate_header(head: Column, field: int) -> Column:
