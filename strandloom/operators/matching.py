@@ -32,6 +32,46 @@ def duplicates(binned: DataFrame) -> DataFrame:
     return binned.groupBy("signature", "seq", "minim_pos").agg(F.min("read_id").alias("read_id"), F.count("*").alias("n_copies"))
 
 
+def pair_duplicates(pairs: DataFrame, window: int = 4096, k: int = K) -> DataFrame:
+    """signature, rank, read_id, first_id of all pairs outside the N bin: the read whose first mate a pair repeats within the window, else its own.
+
+    In the order of both mates, pairs with equal first mates need not be
+    neighbours. A pair repeats one whose first mate has the same bases and
+    position and which is among the last ``window`` - 1 pairs that repeat
+    none. A bin is scanned in order; a task holds the window's numbers only.
+    """
+    std = pairs.where(F.col("signature") != 4**k)
+    same = ["signature", "seq", "minim_pos"]
+    value = std.groupBy(*same).agg(F.min("read_id").alias("value"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = ranked(std, mate=True).join(value, same, "left").select("signature", "rank", "read_id", F.coalesce("value", F.lit(-1)).alias("value"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bin_, distinct, last = None, 0, {}
+        for f in frames:
+            out = []
+            for sig, read, v in zip(f["signature"].tolist(), f["read_id"].tolist(), f["value"].tolist(), strict=True):
+                if sig != bin_:
+                    bin_, distinct, last = sig, 0, {}
+                at, first = last.get(v, (-window, read)) if v >= 0 else (-window, read)
+                if at < 0 or distinct - at > window - 1:
+                    first = read
+                    if v >= 0:
+                        last[v] = (distinct, read)
+                        if len(last) > 2 * window:
+                            last = {x: y for x, y in last.items() if distinct - y[0] < window}
+                    distinct += 1
+                out.append(first)
+            yield f[["signature", "rank", "read_id"]].assign(first_id=out)
+
+    return rows.repartition("signature").sortWithinPartitions("signature", "rank").mapInPandas(run, "signature int, rank int, read_id long, first_id long")
+
+
+def pair_firsts(pairs: DataFrame, window: int = 4096, k: int = K) -> DataFrame:
+    """signature, seq, minim_pos, mate_seq, read_id and n_copies of the pairs that repeat none within the window (``pair_duplicates``)."""
+    copies = pair_duplicates(pairs, window, k).groupBy(F.col("first_id").alias("read_id")).agg(F.count("*").alias("n_copies"))
+    return pairs.select("signature", "seq", "minim_pos", "mate_seq", "read_id").join(copies, "read_id")
+
+
 def laid_out(seqs: list[str], pos: np.ndarray) -> np.ndarray:
     """Letters of the sequences, a row each, with all signatures in one column; 0 where a sequence has none."""
     size = np.array([len(s) for s in seqs])
@@ -92,16 +132,17 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
-def lz_nodes(binned: DataFrame, window: int = 255, threshold: int | None = None, k: int = K) -> DataFrame:
+def lz_nodes(binned: DataFrame, window: int = 255, threshold: int | None = None, k: int = K, paired: bool = False) -> DataFrame:
     """signature, read_id, rank, node_type, parent_id, shift, cost, no_mismatch, n_copies of distinct reads.
 
     A read is compared with the ``window`` - 1 distinct reads before it in its
     bin; cost = |shift| + 2 * mismatches over the overlap. Up to the threshold
     (half the read's length unless given) it is an LZ child of the cheapest,
     else HARD. The N bin has no nodes. Bins are cut into blocks of ranks with
-    the window's reads in front, so a large bin is many bounded tasks.
+    the window's reads in front, so a large bin is many bounded tasks. Paired
+    reads stand in the order of both mates, and are distinct within the window.
     """
-    rows = ranked(duplicates(binned.where(F.col("signature") != 4**k)))
+    rows = ranked(pair_firsts(binned, window, k), mate=True) if paired else ranked(duplicates(binned.where(F.col("signature") != 4**k)))
     own = F.expr(f"cast((rank - 1) div {BLOCK} as int)")
     reach = F.expr(f"cast((rank - 1 + {window - 1}) div {BLOCK} as int)")
     cells = rows.withColumn("own", own).withColumn("block", F.explode(F.sequence("own", reach)))

@@ -529,6 +529,16 @@ def qual_replace_join(spark, sf_dir):
     return pairs.replace_qualities(rows, rows.select("read_id", phred.illumina_8(F.col("qua")).alias("qua"))).select("read_id", "head", "seq", "qua")
 
 
+@query
+def pair_duplicates(spark, sf_dir):
+    return matching.pair_duplicates(minimizers.minimizer_pe(derived_reads(spark, sf_dir, True)), window=8)
+
+
+@query
+def lz_match_pairs(spark, sf_dir):
+    return matching.lz_nodes(minimizers.minimizer_pe(derived_reads(spark, sf_dir, True)), window=8, paired=True)
+
+
 @query
 def pair_match(spark, sf_dir):
     return pairs.pair_matches(minimizers.minimizer_pe(derived_reads(spark, sf_dir, True)))

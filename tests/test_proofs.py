@@ -296,6 +296,37 @@ def test_contigs(binned, monkeypatch, most):
     assert sizes == {**{("members", k): n for k, n in collections.Counter(len(c["members"]) for c in out).items()}, **{("variants", k): n for k, n in collections.Counter(len(c["variant_cols"]) for c in out).items()}}
 
 
+@pytest.mark.parametrize("window", [3, 8])
+def test_pairs_repeat_within_the_window(reads, window):
+    letters = lambda seed, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substr(F.lit("CG"), F.pmod(F.xxhash64(seed, i), F.lit(2)).cast("int") + 1, F.lit(1))), "")
+    # first mates of a few starts before one end, second mates of many kinds: equal first mates do not stand together
+    rows = reads.withColumns({"seq": F.concat(letters(F.col("read_id") % 23, 20), F.lit("AAGACACACG"), letters(F.col("read_id") % 2, 20)), "mate_seq": letters(F.col("read_id") % 90, 60)})
+    both = lineage.durable(minimizers.minimizer_pe(rows))
+    bins = collections.defaultdict(list)
+    for r in both.collect():
+        if r["signature"] != 65536:
+            bins[r["signature"]].append(r)
+    first, nodes = {}, {}
+    for inside in bins.values():
+        buffer = collections.deque(maxlen=window - 1)
+        for r in sorted(inside, key=lambda r: ((r["seq"] + r["mate_seq"])[r["minim_pos"] :], r["seq"][: r["minim_pos"] + 1][::-1], r["read_id"])):
+            best = (len(r["seq"]) // 2 + 1, None, None)
+            for other in reversed(buffer):
+                cost, shift = cost_of(r["seq"], r["minim_pos"], other["seq"], other["minim_pos"])
+                if abs(shift) <= 127 and cost < best[0]:
+                    best = (cost, other, shift)
+            same = best[0] == 0 and len(best[1]["seq"]) == len(r["seq"])
+            first[r["read_id"]] = best[1]["read_id"] if same else r["read_id"]
+            if not same:
+                nodes[r["read_id"]] = (best[1]["read_id"], best[2], best[0]) if best[1] else (None, None, None)
+                buffer.append(r)
+    assert {r["read_id"]: r["first_id"] for r in matching.pair_duplicates(both, window).collect()} == first
+    got = {r["read_id"]: (r["parent_id"], r["shift"], r["cost"]) for r in matching.lz_nodes(both, window, paired=True).collect()}
+    assert got == nodes and len(nodes) < len(first)
+    apart = collections.Counter((r["signature"], r["seq"], r["minim_pos"]) for rows_ in bins.values() for r in rows_ if r["read_id"] in nodes)
+    assert max(apart.values()) > 1  # equal first mates that are too far apart for the window
+
+
 def test_pair_matches(reads):
     both = lineage.durable(minimizers.minimizer_pe(reads))
     got = {r["read_id"]: (r["flag"], r["parent_id"], r["shift"], r["cost"]) for r in pairs.pair_matches(both, window=40).collect()}
