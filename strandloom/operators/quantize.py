@@ -72,11 +72,8 @@ def mixed(pmf: np.ndarray, target: float, d: np.ndarray) -> tuple[np.ndarray, np
     return low, low, 1.0
 
 
-def codebook(counts: list, length: int, target: float = 1.0, kind: str = "mse") -> dict[tuple[int, int], tuple[float, list[int], list[int]]]:
-    """(column, previous output or -1) -> share of the low quantizer, low and high outputs.
-
-    counts: rows col, prev, cur, cnt, at most SYMBOLS^2 a column.
-    """
+def _walk(counts: list, length: int, target: float, kind: str) -> Iterator[tuple[int, int, np.ndarray, float, np.ndarray, np.ndarray]]:
+    """Column by column and by previous output (-1: none): share of reads by symbol that come there, share of the low quantizer, low and high outputs."""
     d = distortion(kind)
     table = np.zeros((length, SYMBOLS, SYMBOLS))
     first = np.zeros(SYMBOLS)
@@ -86,7 +83,6 @@ def codebook(counts: list, length: int, target: float = 1.0, kind: str = "mse")
         else:
             table[r["col"], r["prev"], r["cur"]] += r["cnt"]
     joint = None
-    book: dict = {}
     for c in range(length):
         if c == 0:
             flows = {-1: first / max(first.sum(), 1)}
@@ -99,21 +95,59 @@ def codebook(counts: list, length: int, target: float = 1.0, kind: str = "mse")
                 continue
             low, high, share = mixed(flow / flow.sum(), target, d)
             share = int(128 * share) / 128
-            book[c, int(q)] = (share, low.tolist(), high.tolist())
+            yield c, int(q), flow, share, low, high
             x = np.arange(SYMBOLS)
             np.add.at(new, (x, low), flow * share)
             np.add.at(new, (x, high), flow * (1 - share))
         joint = new
-    return book
+
+
+def codebook(counts: list, length: int, target: float = 1.0, kind: str = "mse") -> dict[tuple[int, int], tuple[float, list[int], list[int]]]:
+    """(column, previous output or -1) -> share of the low quantizer, low and high outputs.
+
+    counts: rows col, prev, cur, cnt, at most SYMBOLS^2 a column.
+    """
+    return {(c, q): (share, low.tolist(), high.tolist()) for c, q, _, share, low, high in _walk(counts, length, target, kind)}
+
+
+def entropy(counts: list, length: int, target: float, kind: str = "mse") -> float:
+    """Bits a read that the codebook's outputs carry, each given the output before."""
+    bits = 0.0
+    for _, _, flow, share, low, high in _walk(counts, length, target, kind):
+        out = np.bincount(low, flow * share, SYMBOLS) + np.bincount(high, flow * (1 - share), SYMBOLS)
+        out = out[out > 0]
+        bits -= float((out * np.log2(out / out.sum())).sum())
+    return bits
+
+
+def _counted(reads: DataFrame, offset: int) -> tuple[list, int]:
+    """Conditional counts, at most SYMBOLS^2 a column, and the number of columns."""
+    length = reads.agg(F.max(F.length("qua"))).first()[0] or 0
+    return cond_counts(reads, offset).collect(), length
 
 
 def train(reads: DataFrame, target: float = 1.0, kind: str = "mse", offset: int = 33) -> dict:
-    """Codebook from all reads: their conditional counts, at most SYMBOLS^2 a column, are the only thing that is collected.
+    """Codebook from all reads: their conditional counts are the only thing that is collected.
 
     kind: a named distortion or the path of a matrix (``distortion``).
     """
-    length = reads.agg(F.max(F.length("qua"))).first()[0] or 0
-    return codebook(cond_counts(reads, offset).collect(), length, target, kind)
+    counts, length = _counted(reads, offset)
+    return codebook(counts, length, target, kind)
+
+
+def train_for_bits(reads: DataFrame, bits: float, kind: str = "mse", offset: int = 33, steps: int = 12) -> tuple[dict, float, float]:
+    """(codebook, its target distortion, its bits a read): the smallest distortion, found by bisection, whose outputs carry ``bits`` a read at most."""
+    counts, length = _counted(reads, offset)
+    low, high = 0.0, float(distortion(kind).max())
+    if entropy(counts, length, low, kind) <= bits:
+        high = low
+    for _ in range(steps if high > low else 0):
+        middle = (low + high) / 2 if low else high / 8  # the steep part is at small distortions
+        if entropy(counts, length, middle, kind) <= bits:
+            high = middle
+        else:
+            low = middle
+    return codebook(counts, length, high, kind), high, entropy(counts, length, high, kind)
 
 
 def codebook_rows(reads: DataFrame, book: dict) -> DataFrame:

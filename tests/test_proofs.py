@@ -374,7 +374,28 @@ def test_quantized_output_obeys_the_codebook(reads, tmp_path):
     assert changed > 1000
 
 
-@pytest.mark.parametrize("paired,name,block", [(False, "lossless", 1 << 16), (False, "lossless", 9), (True, "lossy", 1 << 16), (True, "lossy", 9)])
+def test_quantizers_for_an_entropy(spark):
+    rng = np.random.default_rng(3)
+    walk = np.clip(30 + np.cumsum(rng.integers(-3, 4, (3000, 12)), axis=1), 2, 40)
+    rows = spark.createDataFrame([(i, "".join(chr(33 + q) for q in r)) for i, r in enumerate(walk.tolist())], "read_id long, qua string")
+    full = 0.0
+    for bits in (8.0, 16.0):
+        book, target, told = quantize.train_for_bits(rows, bits)
+        assert told <= bits and target > 0
+        out = [r["qua"] for r in quantize.apply_codebook(rows, book).collect()]
+        measured = 0.0
+        for c in range(12):
+            pairs_ = collections.Counter((q[c - 1] if c else "", q[c]) for q in out)
+            before = collections.Counter(q[c - 1] if c else "" for q in out)
+            measured -= sum(n / len(out) * np.log2(n / before[p]) for (p, _), n in pairs_.items())
+        assert abs(measured - told) < 0.08 * told + 0.2 and told > 0.8 * bits
+        assert measured > full
+        full = measured
+    counts, length = quantize._counted(rows, 33)
+    assert quantize.train_for_bits(rows, 1e9)[1] == 0 and quantize.entropy(counts, length, 1e9) == 0
+
+
+@pytest.mark.parametrize("paired,name,block", [(False, "lossless", 1 << 16), (False, "lossy", 9), (True, "lossy", 1 << 16), (True, "lossless", 9)])
 def test_stored_archive(spark, reads, tmp_path, monkeypatch, paired, name, block):
     monkeypatch.setattr(archive, "BLOCK", block)  # bins of over 9 rows are put together from parts
     rows = reads if paired else reads.drop("mate_seq", "mate_qua")
