@@ -155,11 +155,11 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(first: np.ndarray, term: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of table rows over each UNIT words of each document, and where each document's blocks begin."""
+    """Sums of table rows over each UNIT words of each document, with a row of zeros at the end, and where each document's blocks begin."""
     size = np.diff(first)
     many = -(-size // UNIT)
     base = np.append(0, np.cumsum(many))
-    grid = np.full(int(base[-1]) * UNIT, len(table) - 1)  # the last row is zero
+    grid = np.full((int(base[-1]) + 1) * UNIT, len(table) - 1)  # the last row is zero
     grid[np.repeat(base[:-1] * UNIT - first[:-1], size) + np.arange(len(term))] = term
     grid = grid.reshape(-1, UNIT)
     out = table[grid[:, 0]]
@@ -180,44 +180,58 @@ def repeats_of(first: np.ndarray, term: np.ndarray, live: np.ndarray) -> tuple[n
     return was[keep], now[keep]
 
 
-def windows(first: np.ndarray, term: np.ndarray, table: np.ndarray, blocks: tuple[np.ndarray, np.ndarray], again: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(first: np.ndarray, term: np.ndarray, table: np.ndarray, blocks: tuple[np.ndarray, np.ndarray], again: tuple[np.ndarray, np.ndarray], k: int, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the windows of STEPS * k blocks, k blocks apart: document, place of the first word, and the sum of table rows over the window's distinct live terms.
 
     first: where each document's terms begin in ``term``, and the end. A
-    shorter document is one window, a document without words none.
+    shorter document is one window, a document without words none. ``wanted``
+    tells from documents and places which windows are to be summed (all).
     """
     fine, begin = blocks
     many = np.diff(begin)
     slots = np.where(many > 0, np.maximum(-(-many // k), STEPS), 0)
-    base = np.cumsum(slots) - slots
-    total = int(slots.sum())
-    within = np.arange(len(fine)) - np.repeat(begin[:-1], many)
-    slot = np.repeat(base, many) + within // k
-    sums = np.zeros((total, table.shape[1]), np.float32)
-    for r in range(k):
-        part = np.flatnonzero(within % k == r) if k > 1 else slice(None)
-        if r:
-            sums[slot[part]] += fine[part]
-        else:
-            sums[slot[part]] = fine[part]
-    out = sums[: total - STEPS + 1].copy()
-    for j in range(1, STEPS):
-        out += sums[j : total - STEPS + 1 + j]
+    here = np.where(slots > 0, slots - STEPS + 1, 0)
+    start = np.cumsum(here) - here  # of each document's windows
+    doc = np.repeat(np.arange(len(slots)), here)
+    index = np.arange(len(doc)) - np.repeat(start, here)
+    alive = np.arange(len(doc)) if wanted is None else np.flatnonzero(wanted(doc, index * k * UNIT))
+    number = np.full(len(doc), -1)
+    number[alive] = np.arange(len(alive))
+    all_docs, (doc, index) = slots, (doc[alive], index[alive])
+    if 4 * len(alive) < len(number):  # few windows, each from its blocks
+        out = np.zeros((len(alive), table.shape[1]), np.float32)
+        at, stop = begin[doc] + index * k, begin[doc + 1]
+        for t in range(STEPS * k):
+            out += fine[np.where(at + t < stop, at + t, len(fine) - 1)]
+    else:  # from sums of k blocks
+        base = np.cumsum(all_docs) - all_docs
+        within = np.arange(len(fine) - 1) - np.repeat(begin[:-1], many)
+        slot = np.repeat(base, many) + within // k
+        sums = np.zeros((int(all_docs.sum()), table.shape[1]), np.float32)
+        for r in range(k):
+            part = np.flatnonzero(within % k == r) if k > 1 else slice(0, len(within))
+            if r:
+                sums[slot[part]] += fine[part]
+            else:
+                sums[slot[part]] = fine[part]
+        every = sums[: len(sums) - STEPS + 1].copy()
+        for j in range(1, STEPS):
+            every += sums[j : len(sums) - STEPS + 1 + j]
+        out = every[base[doc] + index]
     # a term of two places counts once in the windows that hold both: the later place is taken off
     was, now = again
     near = np.flatnonzero(now - was < (STEPS + 1) * k * UNIT)
     was, now = was[near], now[near]
-    doc = np.searchsorted(first, now, "right") - 1
-    low = base[doc] + np.maximum((now - first[doc]) // (UNIT * k) - STEPS + 1, 0)
-    high = base[doc] + np.minimum((was - first[doc]) // (UNIT * k), slots[doc] - STEPS)
+    of = np.searchsorted(first, now, "right") - 1
+    low = np.maximum((now - first[of]) // (UNIT * k) - STEPS + 1, 0)
+    high = np.minimum((was - first[of]) // (UNIT * k), all_docs[of] - STEPS)
     times = np.maximum(high - low + 1, 0)
-    at = np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    at = number[np.repeat(start[of] + low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+    row = np.repeat(term[now], times)[at >= 0]
+    at = at[at >= 0]
     order = np.argsort(at, kind="stable")
-    sums_by(np.repeat(term[now], times)[order], table, at[order], out, -1)
-    many = np.where(slots > 0, slots - STEPS + 1, 0)
-    doc = np.repeat(np.arange(len(slots)), many)
-    index = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    return doc, index * k * UNIT, out[base[doc] + index]
+    sums_by(row[order], table, at[order], out, -1)
+    return doc, index * k * UNIT, out
 
 
 def pieces(first: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -360,6 +374,11 @@ def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answe
         masks: dict[int, dict[int, int]] = {}
         distinct = [set(x.tolist()) for x in words]
         terms = Terms(vocabulary)
+        needs = []  # of each class of items: their terms, and the words that a hit has at least
+        for _, members in classes:
+            known = np.zeros(len(table), bool)
+            known[np.concatenate([place[i] for i in members])] = True
+            needs.append((known, share * length[members].min()))
 
         def held(pair: np.ndarray) -> np.ndarray:
             return member[pair] if member is not None else holds[np.minimum(np.searchsorted(holds, pair), len(holds) - 1)] == pair
@@ -397,8 +416,15 @@ def _search(docs: DataFrame, part: DataFrame, cosine: float, share: float, answe
                 flat = np.arange(first[-1]) + np.repeat(w.first[docs_] + starts - first[:-1], sizes)
                 term, h = every[flat], w.hash[flat]
                 blocks, again = blocks_of(first, term, table), repeats_of(first, term, live)
-                for k, members in classes:
-                    piece, at, sums = windows(first, term, table, blocks, again, k)
+                for (k, members), (known, least) in zip(classes, needs, strict=True):
+                    seen = np.append(0, np.cumsum(known[term], dtype=np.int32))
+
+                    def enough(piece: np.ndarray, at: np.ndarray) -> np.ndarray:
+                        """Windows with as many words of the class's items as a hit of its shortest one has: there is none elsewhere."""
+                        a = first[piece] + at  # noqa: B023
+                        return seen[np.minimum(a + STEPS * UNIT * k, first[piece + 1])] - seen[a] >= least  # noqa: B023
+
+                    piece, at, sums = windows(first, term, table, blocks, again, k, enough)
                     begin = first[piece] + at
                     stop = np.minimum(begin + STEPS * UNIT * k, first[piece + 1])
                     few = max(1, (1 << 22) // len(members))
