@@ -25,6 +25,7 @@ that no anchor's stretches meet in one task.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from .scratch import stored
 
 MARK_BITS, HOT_BITS, HOT_COUNT = 28, 20, 20_000
 PLACE = np.uint64((1 << 30) - 1)
-SHARD_BYTES, PATTERNS, POOL_BYTES = 1 << 20, 1 << 15, 24 << 20
+SHARD_BYTES, PATTERNS, POOL_BYTES = 1 << 19, 1 << 13, 16 << 20
 
 
 def selected(w: kernel.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +186,11 @@ def located(group: dict[bytes, tuple[bytes, int]], window: int) -> tuple[list[by
         for i, x in enumerate(start[a : a + PATTERNS]):
             machine.add_word(tuple(symbol[x : x + window]), i)
         machine.make_automaton()
-        found = np.array([(i, end, k) for i, text in enumerate(texts) for end, k in machine.iter(text)], np.int64).reshape(-1, 3)
+        seen = array("q")
+        for i, text in enumerate(texts):
+            for end, k in machine.iter(text):
+                seen.extend((i, end, k))
+        found = np.frombuffer(seen, np.int64).reshape(-1, 3) if seen else np.zeros((0, 3), np.int64)
         times = np.bincount(found[:, 2], n[found[:, 0]])
         hits.append(found[times[found[:, 2]] > 1, :2])
     if not hits or not sum(map(len, hits)):
