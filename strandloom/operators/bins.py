@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import K
 from .minimizers import restored
 
+#: Tables of up to so many bins are sent to all tasks.
+MOST_BINS = 1 << 16
+
 
 def bin_stats(binned: DataFrame) -> DataFrame:
     """Per bin: reads, reversed reads, bases, range of positions."""
@@ -25,27 +28,31 @@ def _sizes(binned: DataFrame) -> DataFrame:
     return binned.groupBy("signature").agg(F.count("*").alias("bin_size"))
 
 
-def with_size(binned: DataFrame) -> DataFrame:
+def beside(binned: DataFrame, per_bin: DataFrame, k: int = K, how: str = "inner") -> DataFrame:
+    """Reads with their bin's row of ``per_bin``: at most 4^k + 1 rows, which go to the reads while these are few."""
+    return binned.join(F.broadcast(per_bin) if 4**k <= MOST_BINS else per_bin, "signature", how)
+
+
+def with_size(binned: DataFrame, k: int = K) -> DataFrame:
     """Adds bin_size by an aggregate and a join: rows of a bin need not meet in one task."""
-    return binned.join(_sizes(binned), "signature")
+    return beside(binned, _sizes(binned), k)
 
 
 def large_bins(binned: DataFrame, least: int, k: int = K) -> DataFrame:
-    return with_size(binned).where((F.col("bin_size") >= least) & (F.col("signature") != 4**k))
+    return with_size(binned, k).where((F.col("bin_size") >= least) & (F.col("signature") != 4**k))
 
 
 def small_to_n(binned: DataFrame, least: int = 8, k: int = K, paired: bool = False) -> DataFrame:
     """Reads of bins under ``least`` go to the N bin: orientation undone, position 0."""
-    sized = with_size(binned)
     small = (F.col("bin_size") < least) & (F.col("signature") != 4**k)
-    keep = sized.where(~small).drop("bin_size")
-    return keep.unionByName(as_n(sized.where(small).drop("bin_size"), k, paired))
+    return as_n(with_size(binned, k), k, paired, small).drop("bin_size")
 
 
-def as_n(binned: DataFrame, k: int = K, paired: bool = False) -> DataFrame:
-    """Reads of the N bin: orientation undone, position 0."""
+def as_n(binned: DataFrame, k: int = K, paired: bool = False, when: Column | None = None) -> DataFrame:
+    """Reads of the N bin (those that ``when`` names, if given): orientation undone, position 0."""
     undone = {"is_swapped": F.lit(False)} if paired else {}
-    return restored(binned, paired).withColumns(undone | {"is_rev": F.lit(False), "signature": F.lit(4**k), "sig_text": F.lit("N" * k), "minim_pos": F.lit(0)})
+    undone |= {"is_rev": F.lit(False), "signature": F.lit(4**k), "sig_text": F.lit("N" * k), "minim_pos": F.lit(0)}
+    return restored(binned, paired, when).withColumns({c: x if when is None else F.when(when, x).otherwise(F.col(c)) for c, x in undone.items()})
 
 
 def small_and_n(binned: DataFrame, least: int, k: int = K) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.counting import letters
 from ..functions.dna import K, code_text, revcomp
 
 
@@ -23,38 +24,68 @@ def valid_codes(k: int) -> np.ndarray:
     return ~bad
 
 
-def scan(seqs: pd.Series, k: int, skip: int, divisor: int = 1, other: np.ndarray | None = None, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Codes and positions of the smallest signatures of sequences and of their reverse complements; 4^k and 0 for none."""
-    size = seqs.str.len().to_numpy(np.int64)
-    wide = max(int(size.max(initial=0)), k)
-    wall = np.frombuffer("".join(s.ljust(wide, "-") for s in seqs).encode("latin-1"), np.uint8).reshape(len(seqs), wide)
-    table = np.full(256, 4, np.int64)
-    table[[65, 67, 71, 84]] = range(4)  # A, C, G, T
-    bases = table[wall]
-    heavy = (wall == ord("N")).sum(axis=1) >= size // 3
-    starts = wide - k + 1
+#: Reads that are scanned at once: their codes stay in the processor's cache.
+ROWS = 1024
+
+
+def wall(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Base numbers (A, C, G, T: 0 to 3; N: 4; others: 5) of texts, a row each, padded with 6."""
+    table = np.full(256, 5, np.uint8)
+    table[[65, 67, 71, 84, 78]] = range(5)
+    size = np.diff(offsets)
+    out = np.full((len(size), int(size.max(initial=0))), 6, np.uint8)
+    out[np.arange(out.shape[1]) < size[:, None]] = table[data]
+    return out
+
+
+def kmer_numbers(bases: np.ndarray, k: int, back: bool = False) -> np.ndarray:
+    """Codes of the k-mers at all places of rows of base numbers, or of their reverse complements; 4^k where one has another letter."""
+    starts = bases.shape[1] - k + 1
+    known = bases < 4
+    number = np.where(known, 3 - bases if back else bases, 0).astype(np.int32 if k < 15 else np.int64)
+    code, whole = np.zeros((len(bases), starts), number.dtype), np.ones((len(bases), starts), bool)
+    for j in range(k - 1, -1, -1) if back else range(k):
+        code <<= 2
+        code |= number[:, j : j + starts]
+        whole &= known[:, j : j + starts]
+    code[~whole] = 4**k
+    return code
+
+
+def scan(data: np.ndarray, offsets: np.ndarray, k: int, skip: int, divisor: int = 1, other: np.ndarray | None = None, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Codes and positions of the smallest signatures of texts (letters and offsets) and of their reverse complements; 4^k and 0 for none."""
     good = valid_codes(k) & (np.arange(4**k) % divisor == 0)
     if allowed is not None:
         good &= allowed
-    at = np.arange(starts)
-    stop = np.where(heavy, 0, size - k - skip)
-    out = []
-    for back in (False, True):
-        code, n = np.zeros((len(seqs), starts), np.int64), np.zeros((len(seqs), starts), bool)
-        for j in range(k):
-            b = bases[:, j : j + starts]
-            n |= b == 4
-            code += (np.where(b == 4, 0, 3 - b) << 2 * j) if back else (np.where(b == 4, 0, b) << 2 * (k - 1 - j))
-        place = (size - k)[:, None] - at[None, :] if back else np.broadcast_to(at, code.shape)
-        fit = ~n & good[code] & (place >= 0) & (place < stop[:, None])
-        if other is not None:
-            fit &= code != other[:, None]
-        key = np.where(fit, code * wide + place, 4**k * wide)
-        best = key.min(axis=1)
-        out += [best // wide, best % wide]
+    good = np.append(good, False)  # 4^k is no signature
+    out = [np.zeros(len(offsets) - 1, np.int64) for _ in range(4)]
+    for a in range(0, len(offsets) - 1, ROWS):
+        o = offsets[a : a + ROWS + 1]
+        bases, size = wall(data[o[0] : o[-1]], o), np.diff(o)
+        if bases.shape[1] < k:
+            bases = np.pad(bases, ((0, 0), (0, k - bases.shape[1])), constant_values=6)
+        heavy = (bases == 4).sum(axis=1) >= size // 3
+        wide, at = bases.shape[1], np.arange(bases.shape[1] - k + 1)
+        stop = np.where(heavy, 0, size - k - skip)
+        for i, back in ((0, False), (2, True)):
+            code = kmer_numbers(bases, k, back)
+            place = (size - k)[:, None] - at[None, :] if back else np.broadcast_to(at, code.shape)
+            fit = good[code] & (place >= 0) & (place < stop[:, None])
+            if other is not None:
+                fit &= code != other[a : a + ROWS, None]
+            best = np.where(fit, code * np.int64(wide) + place, 4**k * wide).min(axis=1)
+            out[i][a : a + ROWS], out[i + 1][a : a + ROWS] = best // wide, best % wide
     return tuple(out)
 
 
+def single_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``letters`` with a byte a character, so that places are those of characters."""
+    data, offsets = letters(column)
+    if (data < 128).all():
+        return data, offsets
+    return letters(pa.array([None if x is None else "".join(c if c < "\x80" else "?" for c in x) for x in column.to_pylist()], pa.string()))
+
+
 FOUND = "f_code int, f_pos int, r_code int, r_pos int"
 
 
@@ -65,15 +96,24 @@ def smallest(seq: Column, k: int = K, skip: int = 0, divisor: int = 1, other: Co
     the leftmost wins ties; 4^k stands for none, as for reads rich in N.
     ``divisor`` keeps codes that it divides, ``other`` leaves out one code,
     ``allowed`` (4^k booleans) all that it does not name.
-    One NumPy pass over an Arrow batch, many times as fast as array lambdas.
+    NumPy passes over the letters of an Arrow batch, many times as fast as array lambdas.
     """
+    names = ["f_code", "f_pos", "r_code", "r_pos"]
+
+    def found(s: pa.Array, o: np.ndarray | None) -> pa.Array:
+        cells = scan(*single_bytes(s), k, skip, divisor, o, allowed)
+        return pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in cells], names=names)
+
+    @F.arrow_udf(FOUND)
+    def run(s: pa.Array) -> pa.Array:
+        return found(s, None)
 
-    @F.pandas_udf(FOUND)
-    def run(s: pd.Series, o: pd.Series) -> pd.DataFrame:
-        found = scan(s.fillna(""), k, skip, divisor, o.to_numpy(np.int64), allowed)
-        return pd.DataFrame(dict(zip(("f_code", "f_pos", "r_code", "r_pos"), (x.astype(np.int32) for x in found), strict=True)))
+    @F.arrow_udf(FOUND)
+    def run_without(s: pa.Array, o: pa.Array) -> pa.Array:
+        return found(s, o.to_numpy(zero_copy_only=False).astype(np.int64))
 
-    return run(seq, F.lit(-1) if other is None else other)
+    # so called, it stays one step: Spark would run it once for each filter that it moves below, and again above
+    return run.asNondeterministic()(seq) if other is None else run_without.asNondeterministic()(seq, other)
 
 
 def minimizer_se(reads: DataFrame, k: int = K, skip: int = 0) -> DataFrame:
@@ -126,8 +166,9 @@ def minimizer_pe(pairs: DataFrame, k: int = K, skip: int = 0) -> DataFrame:
     return swap_mates(flip_pair(df, F.col("is_rev")), F.col("is_swapped"))
 
 
-def restored(df: DataFrame, paired: bool = False) -> DataFrame:
-    """Orientation as read from the instrument: un-swap, then un-flip."""
+def restored(df: DataFrame, paired: bool = False, when: Column | None = None) -> DataFrame:
+    """Orientation as read from the instrument: un-swap, then un-flip (of the rows that ``when`` names, if given)."""
+    of = lambda c: F.col(c) if when is None else when & F.col(c)
     if paired:
-        return flip_pair(swap_mates(df, F.col("is_swapped")), F.col("is_rev"))
-    return df.withColumns({"seq": F.when(F.col("is_rev"), revcomp(F.col("seq"))).otherwise(F.col("seq")), "qua": F.when(F.col("is_rev"), F.reverse("qua")).otherwise(F.col("qua"))})
+        return flip_pair(swap_mates(df, of("is_swapped")), of("is_rev"))
+    return df.withColumns({"seq": F.when(of("is_rev"), revcomp(F.col("seq"))).otherwise(F.col("seq")), "qua": F.when(of("is_rev"), F.reverse("qua")).otherwise(F.col("qua"))})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dna import K
+from .bins import beside
+
 
 def shuffled(reads: DataFrame, seed: int = 0) -> DataFrame:
     """A random order that hangs on the seed and read_id alone."""
@@ -22,7 +25,7 @@ def position_steps(binned: DataFrame) -> DataFrame:
     return binned.select("read_id", (F.col("minim_pos") - F.lag("minim_pos", 1, 0).over(w)).alias("step"))
 
 
-def in_sized_bins(binned: DataFrame, least: int) -> DataFrame:
+def in_sized_bins(binned: DataFrame, least: int, k: int = K) -> DataFrame:
     """Reads of bins with at least ``least`` reads, by a semi-join with the bin counts."""
     sizes = binned.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return binned.join(sizes, "signature", "left_semi")
+    return beside(binned, sizes, k, "left_semi")
