@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import K
+from .lineage import durable
 
 BLOCK = 8192
 SHIFT_COST, MISMATCH_COST, MAX_SHIFT = 1, 2, 127
@@ -40,36 +41,59 @@ def pair_duplicates(pairs: DataFrame, window: int = 4096, k: int = K) -> DataFra
     position and which is among the last ``window`` - 1 pairs that repeat
     none. A bin is scanned in order; a task holds the window's numbers only.
     """
-    std = pairs.where(F.col("signature") != 4**k)
-    same = ["signature", "seq", "minim_pos"]
-    value = std.groupBy(*same).agg(F.min("read_id").alias("value"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = ranked(std, mate=True).join(value, same, "left").select("signature", "rank", "read_id", F.coalesce("value", F.lit(-1)).alias("value"))
+    return _pair_repeats(pairs, window, k).select("signature", "rank", "read_id", "first_id")
+
+
+def _pair_repeats(pairs: DataFrame, window: int, k: int) -> DataFrame:
+    """``pair_duplicates`` with seq, minim_pos and mate_seq of the reads that repeat none.
+
+    Neighbours with equal first mates repeat the same read, so the scan steps
+    from the first of such a run to the next, and only these take their bases
+    along.
+    """
+    order, after = Window.partitionBy("signature").orderBy(*order_of(mate=True)), ["seq", "minim_pos"]
+    std = pairs.where(F.col("signature") != 4**k).select("signature", "seq", "minim_pos", "mate_seq", "read_id")
+    same = F.coalesce((F.lag("seq").over(order) == F.col("seq")) & (F.lag("minim_pos").over(order) == F.col("minim_pos")), F.lit(False))
+    rows = std.select("signature", F.row_number().over(order).alias("rank"), "read_id", *after, "mate_seq", (same if window > 1 else F.lit(False)).alias("again"))
+    rows = rows.select("signature", "rank", "read_id", *(F.when(~F.col("again"), F.col(c)).alias(c) for c in (*after, "mate_seq")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bin_, distinct, last = None, 0, {}
+        bin_, distinct, last, first = None, 0, {}, None
         for f in frames:
-            out = []
-            for sig, read, v in zip(f["signature"].tolist(), f["read_id"].tolist(), f["value"].tolist(), strict=True):
+            if not len(f):
+                continue
+            heads = np.flatnonzero(f["seq"].notna().to_numpy())
+            h, firsts = f.iloc[heads], [first]
+            for sig, read, value in zip(h["signature"].tolist(), h["read_id"].tolist(), zip(h["seq"].tolist(), h["minim_pos"].tolist(), strict=True), strict=True):
                 if sig != bin_:
                     bin_, distinct, last = sig, 0, {}
-                at, first = last.get(v, (-window, read)) if v >= 0 else (-window, read)
+                at, first = last.get(value, (-window, read))
                 if at < 0 or distinct - at > window - 1:
                     first = read
-                    if v >= 0:
-                        last[v] = (distinct, read)
-                        if len(last) > 2 * window:
-                            last = {x: y for x, y in last.items() if distinct - y[0] < window}
+                    last[value] = (distinct, read)
+                    if len(last) > 2 * window:
+                        last = {x: y for x, y in last.items() if distinct - y[0] < window}
                     distinct += 1
-                out.append(first)
-            yield f[["signature", "rank", "read_id"]].assign(first_id=out)
+                firsts.append(first)
+            # rows go on with the first of the run they are in; the first rows of a batch, with that of the batch before
+            of = np.searchsorted(heads, np.arange(len(f)), side="right")
+            firsts[0] = -1 if firsts[0] is None else firsts[0]
+            out = f[["signature", "rank", "read_id"]].assign(first_id=np.array(firsts, np.int64)[of])
+            own = (out["first_id"] == f["read_id"]).to_numpy()
+            for c in (*after, "mate_seq"):
+                out[c] = f[c].where(own, None)
+            out["minim_pos"] = out["minim_pos"].astype("Int32")
+            yield out
 
-    return rows.repartition("signature").sortWithinPartitions("signature", "rank").mapInPandas(run, "signature int, rank int, read_id long, first_id long")
+    rows = rows.repartition("signature").sortWithinPartitions("signature", "rank")
+    return rows.mapInPandas(run, "signature int, rank int, read_id long, first_id long, seq string, minim_pos int, mate_seq string")
 
 
 def pair_firsts(pairs: DataFrame, window: int = 4096, k: int = K) -> DataFrame:
     """signature, seq, minim_pos, mate_seq, read_id and n_copies of the pairs that repeat none within the window (``pair_duplicates``)."""
-    copies = pair_duplicates(pairs, window, k).groupBy(F.col("first_id").alias("read_id")).agg(F.count("*").alias("n_copies"))
-    return pairs.select("signature", "seq", "minim_pos", "mate_seq", "read_id").join(copies, "read_id")
+    rows = durable(_pair_repeats(pairs, window, k).drop("rank"))
+    copies = rows.groupBy(F.col("first_id").alias("read_id")).agg(F.count("*").alias("n_copies"))
+    return rows.where("seq is not null").select("signature", "seq", "minim_pos", "mate_seq", "read_id").join(copies, "read_id")
 
 
 def laid_out(seqs: list[str], pos: np.ndarray) -> np.ndarray:
@@ -82,20 +106,27 @@ def laid_out(seqs: list[str], pos: np.ndarray) -> np.ndarray:
     return wall
 
 
-def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None, rank: np.ndarray | None = None, reach: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def costs(
+    seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None, rank: np.ndarray | None = None, reach: int = 0, last: np.ndarray | None = None, asks: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each distance d = 1..back: d, shifts and costs of every row against the row d before, in its group (and at most ``reach`` ranks before, if ranks are given).
 
-    Rows are laid out so that signatures meet in one column; a mismatch is a
+    A row may stand for a run of ranks from ``rank`` to ``last``: its first is
+    compared with the lasts of the rows before. ``asks`` names the rows that
+    are compared, all unless given. Rows are laid out so that signatures meet in one column; a mismatch is a
     column that both rows fill with different bases.
     """
     wall = laid_out(seqs, pos)
     group = np.zeros(len(seqs), np.int64) if group is None else group
     most = int(np.unique(group, return_counts=True)[1].max(initial=0)) - 1
+    last = rank if last is None else last
     for d in range(1, min(back, most) + 1):
         shift = pos[:-d] - pos[d:]
         cost = np.full(len(shift), np.iinfo(np.int32).max, np.int64)
         near = (group[d:] == group[:-d]) & (np.abs(shift) <= MAX_SHIFT)
-        pair = np.flatnonzero(near if rank is None else near & (rank[d:] - rank[:-d] <= reach))
+        if rank is not None:
+            near &= rank[d:] - last[:-d] <= reach
+        pair = np.flatnonzero(near if asks is None else near & asks[d:])
         for at in range(0, len(pair), 8192):
             x = pair[at : at + 8192]
             a, b = wall[x + d], wall[x]
@@ -103,11 +134,11 @@ def costs(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None
         yield d, shift, cost
 
 
-def best_before(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None, rank: np.ndarray | None = None, reach: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_before(seqs: list[str], pos: np.ndarray, back: int, group: np.ndarray | None = None, rank: np.ndarray | None = None, reach: int = 0, last: np.ndarray | None = None, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row the distance of the cheapest of the ``back`` rows before (0: none), its shift and cost; the nearest wins ties."""
     best = np.full(len(seqs), np.iinfo(np.int32).max, np.int64)
     dist, shift = np.zeros(len(seqs), np.int64), np.zeros(len(seqs), np.int64)
-    for d, s, c in costs(seqs, pos, back, group, rank, reach):
+    for d, s, c in costs(seqs, pos, back, group, rank, reach, last, asks):
         better = np.flatnonzero(c < best[d:]) + d
         best[better], dist[better], shift[better] = c[better - d], d, s[better - d]
     return dist, shift, best
