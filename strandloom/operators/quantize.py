@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .qualities import cond_counts
@@ -155,36 +155,41 @@ def codebook_rows(reads: DataFrame, book: dict) -> DataFrame:
     return reads.sparkSession.createDataFrame(rows, "col int, prev_out int, ratio double, q_lo array<int>, q_hi array<int>")
 
 
-def apply_codebook(reads: DataFrame, book: dict, seed: int = 0, offset: int = 33) -> DataFrame:
-    """read_id, qua as quantized; the choice of quantizer hangs on (seed, read_id, column) alone."""
+def quantized(read_id: Column, qua: Column, spark: SparkSession, book: dict, seed: int = 0, offset: int = 33) -> Column:
+    """Qualities as quantized; the choice of quantizer hangs on (seed, read_id, column) alone."""
     length = 1 + max((c for c, _ in book), default=-1)
     low = np.tile(np.arange(SYMBOLS), (length, SYMBOLS + 1, 1))
     high, share = low.copy(), np.ones((length, SYMBOLS + 1))
     for (c, q), (s, a, b) in book.items():
         low[c, q], high[c, q], share[c, q] = a, b, s
-    shared = reads.sparkSession.sparkContext.broadcast((low.astype(np.uint8), high.astype(np.uint8), share))
+    shared = spark.sparkContext.broadcast((low.astype(np.uint8), high.astype(np.uint8), share))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def run(ids: pd.Series, quas: pd.Series) -> pd.Series:
         low, high, share = shared.value
-        for f in frames:
-            n = len(f)
-            size = f["qua"].str.len().to_numpy()
-            wide = int(size.max(initial=0))
-            x = np.zeros((n, wide), np.int64)
-            for i, s in enumerate(f["qua"]):
-                x[i, : len(s)] = np.frombuffer(s.encode(), np.uint8).astype(np.int64) - offset
-            prev = np.full(n, -1)
-            out = x.copy()
-            key = f["read_id"].to_numpy(np.uint64)
-            for c in range(min(wide, length)):
-                with np.errstate(over="ignore"):
-                    h = (key * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((c + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) ^ np.uint64(seed)
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                u = (h >> np.uint64(57)).astype(float) / 128  # seven bits
-                now = x[:, c].clip(0, SYMBOLS - 1)
-                out[:, c] = np.where(u >= share[c, prev], high[c, prev, now], low[c, prev, now])
-                prev = out[:, c]
-            text = (out + offset).astype(np.uint8)
-            yield pd.DataFrame({"read_id": f["read_id"], "qua": [text[i, : size[i]].tobytes().decode("latin-1") for i in range(n)]})
-
-    return reads.select("read_id", "qua").mapInPandas(run, "read_id long, qua string")
+        n = len(ids)
+        size = quas.str.len().to_numpy()
+        wide = int(size.max(initial=0))
+        x = np.zeros((n, wide), np.int64)
+        for i, s in enumerate(quas):
+            x[i, : len(s)] = np.frombuffer(s.encode(), np.uint8).astype(np.int64) - offset
+        prev = np.full(n, -1)
+        out = x.copy()
+        key = ids.to_numpy().astype(np.uint64)
+        for c in range(min(wide, length)):
+            with np.errstate(over="ignore"):
+                h = (key * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((c + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) ^ np.uint64(seed)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            u = (h >> np.uint64(57)).astype(float) / 128  # seven bits
+            now = x[:, c].clip(0, SYMBOLS - 1)
+            out[:, c] = np.where(u >= share[c, prev], high[c, prev, now], low[c, prev, now])
+            prev = out[:, c]
+        text = (out + offset).astype(np.uint8)
+        return pd.Series([text[i, : size[i]].tobytes().decode("latin-1") for i in range(n)], dtype=object)
+
+    return run(read_id, qua)
+
+
+def apply_codebook(reads: DataFrame, book: dict, seed: int = 0, offset: int = 33) -> DataFrame:
+    """read_id, qua as ``quantized``."""
+    return reads.select("read_id", quantized(F.col("read_id"), F.col("qua"), reads.sparkSession, book, seed, offset).alias("qua"))
