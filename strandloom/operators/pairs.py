@@ -116,6 +116,11 @@ def pair_matches(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int
     cheaper, of a smaller k-mer or nearer. Of such a run only the first mate
     asks, and for others only the last one counts, the nearest of equal ones.
     """
+    return matched(pairs, window, per_read, k).drop("copies")
+
+
+def matched(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int = K) -> DataFrame:
+    """``pair_matches`` with copies: whether the mate equals its match for certain."""
     order = Window.partitionBy("signature").orderBy(*order_of(mate=True))
     std = pairs.where(F.col("signature") != 4**k).select("signature", "read_id", "seq", "minim_pos", "mate_seq", has_signature(F.col("mate_seq"), k).alias("offers"))
     same = lambda c: F.coalesce((c == F.col("mate_seq")) & F.col("offers"), F.lit(False))
@@ -153,6 +158,6 @@ def pair_matches(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int
     best = offers.groupBy("read_id").agg(F.min(F.struct("cost", "nth", "back", "parent_id", "shift")).alias("b")).select("read_id", "b.parent_id", "b.shift", "b.cost")
     wrong = (F.col("cost") - F.abs("shift") * SHIFT_COST) / MISMATCH_COST
     flag = F.when(F.col("cost").isNull(), "Difficult").when(F.col("cost") == 0, "Identical").when(wrong == 0, "ShiftOnly").when(wrong > 4, "FullExpensive").otherwise("FullEncode")
-    heads = rows.where("before is null").select("signature", "rank", "read_id").join(best, "read_id", "left").select("signature", "rank", "read_id", flag.alias("flag"), "parent_id", "shift", "cost")
-    copies = rows.where("before is not null").select("signature", "rank", "read_id", F.lit("Identical").alias("flag"), F.col("before").alias("parent_id"), F.lit(0).alias("shift"), F.lit(0).alias("cost"))
+    heads = rows.where("before is null").select("signature", "rank", "read_id").join(best, "read_id", "left").select("signature", "rank", "read_id", flag.alias("flag"), "parent_id", "shift", "cost", F.lit(False).alias("copies"))
+    copies = rows.where("before is not null").select("signature", "rank", "read_id", F.lit("Identical").alias("flag"), F.col("before").alias("parent_id"), F.lit(0).alias("shift"), F.lit(0).alias("cost"), F.lit(True).alias("copies"))
     return heads.unionByName(copies)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from strandloom.operators import bins, matching, minimizers, pairs
+from strandloom.plans import archive
 
 rng = random.Random(5)
 FIELDS = "read_id long, head string, seq string, qua string, mate_seq string, mate_qua string"
@@ -79,3 +80,18 @@ def test_numbers_of_kmers_turned():
     bases = minimizers.wall(np.frombuffer(b"ACGTTGCAN", np.uint8), np.array([0, 9]))
     assert minimizers.kmer_numbers(bases, 2).tolist() == [[1, 6, 11, 15, 14, 9, 4, 16]]
     assert minimizers.kmer_numbers(bases, 2, True).tolist() == [[11, 6, 1, 0, 4, 9, 14, 16]]
+
+
+def test_archive_of_equal_pairs(spark, tmp_path):
+    first, mates = [dna(100) for _ in range(2)], [dna(100), dna(100)]
+    rows = [(i, "@r", first[i % 2], "I" * 100, mates[i // 2 % 2], "I" * 100) for i in range(200)]
+    reads = spark.createDataFrame(rows, FIELDS)
+    tables = archive.pack(reads, archive.PROFILES["lossless"])
+    archive.store(tables, str(tmp_path / "a"), archive.PROFILES["lossless"])
+    assert sorted(map(tuple, archive.unpack(archive.load(spark, str(tmp_path / "a"))).select("read_id", "seq", "mate_seq").collect())) == [(r[0], r[2], r[4]) for r in rows]
+    assert sum(r["n_reads"] for r in spark.read.parquet(str(tmp_path / "a/stats")).collect()) == 200
+
+
+def test_lossy_qualities_without_join(spark):
+    reads = spark.createDataFrame([(i, "@r", dna(40), "I" * 20 + "#" * 20) for i in range(50)], FIELDS[: FIELDS.index(", mate_seq")])
+    assert "Join" not in optimized(archive.lossy(reads, archive.PROFILES["lossy"]))
