@@ -343,10 +343,11 @@ def fastq_damaged(spark, sf_dir):
     plus = F.when(F.col("read_id") % 97 != 0, F.lit("+"))
     reads.select(F.concat_ws("\n", "head", "seq", plus, "qua").alias("value")).write.text(path)
     rows = fastq.read_fastq(spark, [path], split_bytes=1 << 18)
-    whole = rows.where("bad is null").select("head", "seq", "qua")
+    whole = F.array(F.struct("head", "seq", "qua"))
     # a quality line that begins with @ is a piece of its own
-    lost = rows.where("bad is not null").select(F.explode(F.split("bad", "\n")).alias("head"), F.lit(None).cast("string").alias("seq"), F.lit(None).cast("string").alias("qua"))
-    return _dropped(whole.unionByName(lost), path)
+    none = F.lit(None).cast("string")
+    lost = F.transform(F.split("bad", "\n"), lambda x: F.struct(x.alias("head"), none.alias("seq"), none.alias("qua")))
+    return _dropped(rows.select(F.inline(F.when(F.col("bad").isNull(), whole).otherwise(lost))), path)
 
 
 @query

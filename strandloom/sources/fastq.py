@@ -28,7 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
+from ..functions.counting import letters
+
 SPLIT_BYTES, STEP, BEFORE, AFTER = 64 << 20, 4 << 20, 10, 6
+#: Bytes behind a window that are read at first to see the AFTER lines there.
+AHEAD = 16 << 10
+#: Plain files are cut into about so many splits at most; longer ones then, since a task costs more than a small split.
+SPLITS = 1024
 NUMBER = re.compile(r"[^ ._,=:/#-]*[ ._,=:/#-]([0-9]{1,18})(?:[ ._,=:/#-]|$)")
 FILE_SHIFT = 44
 COLUMNS = ["read_id", "head", "seq", "qua", "mate_seq", "mate_qua", "bad"]
@@ -108,7 +114,7 @@ class Window:
     def __init__(self, stream, base: int):
         self.stream, self.base, self.data, self.ended = stream, base, b"", False
 
-    def more(self, size: int = STEP) -> None:
+    def more(self, size: int) -> None:
         piece = self.stream.read(size)
         self.ended = not piece
         self.data += piece
@@ -120,8 +126,8 @@ class Window:
             at = self.data.rfind(b"\n", 0, max(0, at - 1)) + 1
         self.data, self.base = self.data[at:], self.base + at
         while True:
-            while not self.ended and self.base + len(self.data) < hi + STEP:
-                self.more()
+            while not self.ended and self.base + len(self.data) < hi + AHEAD:
+                self.more(hi + AHEAD - self.base - len(self.data))
             seen, at = -1, hi - self.base
             while seen < AFTER and at >= 0 and at < len(self.data):
                 at, seen = self.data.find(b"\n", at) + 1, seen + 1
@@ -132,7 +138,7 @@ class Window:
                 bad = found.own(found.bad, lo, hi)
                 if self.ended or not len(bad) or found.bad_end(int(bad[-1])) < len(found.start) - AFTER:
                     return found
-            self.more(len(self.data) + STEP)
+            self.more(len(self.data) + AHEAD)
 
 
 def _stream(path: str, start: int):
@@ -181,8 +187,8 @@ def _limited(path: str, limit: int | None):
     return held
 
 
-def batches(path: str, start: int = 0, stop: int | None = None, strict: bool = False, trim: bool = False, limit: int | None = None) -> Iterator[pa.RecordBatch]:
-    """(at, head, seq, qua, bad) of the records, and malformed stretches, that begin from start up to stop (the end), by byte offset."""
+def batches(path: str, start: int = 0, stop: int | None = None, strict: bool = False, trim: bool = False, limit: int | None = None, names: bool = False) -> Iterator[pa.RecordBatch]:
+    """(at, head, seq, qua, bad) of the records, and malformed stretches, that begin from start up to stop (the end), by byte offset; with ``names`` seq and qua are null."""
     window = _limited(path, limit)(start)
     lo = start
     while stop is None or lo < stop:
@@ -198,10 +204,11 @@ def batches(path: str, start: int = 0, stop: int | None = None, strict: bool = F
         text = [x.data[x.start[i] : x.end[x.bad_end(i) - 1]].tobytes().replace(b"\r\n", b"\n").decode("latin-1") for i in wrong.tolist()]
         padded = lambda c: pa.concat_arrays([c, pa.nulls(len(wrong), pa.string())])  # noqa: B023, E731
         last = np.append(x.start, len(x.data))
-        quality = x.column(np.minimum(good + 3, len(x.start) - 1)) if len(good) else pa.array([], pa.string())
-        if len(good) and good[-1] + 3 >= len(x.start):  # the fourth line of a last read without bases is not there
+        quality = x.column(np.minimum(good + 3, len(x.start) - 1)) if len(good) and not names else pa.array([], pa.string())
+        if len(quality) and good[-1] + 3 >= len(x.start):  # the fourth line of a last read without bases is not there
             quality = pa.concat_arrays([quality[:-1], pa.array([""])])
-        out = pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), head, padded(x.column(good + 1)), padded(quality), pa.concat_arrays([pa.nulls(len(good), pa.string()), pa.array(text, pa.string())])], names=["at", "head", "seq", "qua", "bad"])
+        bases = [pa.nulls(len(at), pa.string())] * 2 if names else [padded(x.column(good + 1)), padded(quality)]
+        out = pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), head, *bases, pa.concat_arrays([pa.nulls(len(good), pa.string()), pa.array(text, pa.string())])], names=["at", "head", "seq", "qua", "bad"])
         if out.num_rows:
             yield out.take(pc.sort_indices(out.column(0))) if len(wrong) else out
         if window.ended and hi >= x.base + int(last[-1]):
@@ -221,32 +228,61 @@ def number_of(head: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def in_step(first: Iterator[tuple], second: Iterator[tuple]) -> Iterator[tuple[tuple | None, tuple | None]]:
-    """Records of two mate files in pairs. Where the numbers in the names differ, the smaller one is given without a mate; so is the rest of the longer file."""
-    a, b = next(first, None), next(second, None)
-    while a is not None or b is not None:
-        x, y = number_of(a[1]) if a else None, number_of(b[1]) if b else None
-        if a is None or b is None:
-            yield a, b
-            a, b = next(first, None), next(second, None)
-        elif x is None or y is None or x == y:
-            yield a, b
-            a, b = next(first, None), next(second, None)
-        elif x < y:
-            yield a, None
-            a = next(first, None)
+def numbers_of(heads: pa.Array) -> pa.Array:
+    """``number_of`` of each name."""
+    return pc.struct_field(pc.extract_regex(heads, "^" + NUMBER.pattern.replace("([0-9]", "(?P<n>[0-9]")), 0).cast(pa.int64())
+
+
+class Ahead:
+    """Rows of batches (at, head, seq, qua, bad), some of them held, with the numbers in their names."""
+
+    def __init__(self, of: Iterator[pa.RecordBatch]):
+        self.of, self.rows, self.known, self.number, self.ended = of, None, None, None, False
+        self.take(0)
+
+    def take(self, n: int) -> pa.RecordBatch | None:
+        """The first n rows; if none is left then, those of the next batch are held."""
+        out = self.rows[:n] if self.rows is not None else None
+        if out is not None:
+            self.rows, self.known, self.number = self.rows[n:], self.known[n:], self.number[n:]
+        while not self.ended and (self.rows is None or not self.rows.num_rows):
+            self.rows = next(self.of, None)
+            self.ended = self.rows is None
+            if not self.ended:
+                number = numbers_of(self.rows.column(1))
+                self.known, self.number = number.is_valid().to_numpy(zero_copy_only=False), number.fill_null(0).to_numpy()
+        return out
+
+
+def _run(good: np.ndarray) -> int:
+    """How many are True before the first that is not."""
+    return int(np.append(good, False).argmin())
+
+
+def in_step(first: Iterator[pa.RecordBatch], second: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, pa.RecordBatch | None]]:
+    """Records of two mate files in pairs, as batches of equal size. Where the numbers in the names differ, the smaller one is given without a mate; so is the rest of the longer file."""
+    a, b = Ahead(first), Ahead(second)
+    while not (a.ended and b.ended):
+        if a.ended or b.ended:
+            yield (a.take(a.rows.num_rows), None) if b.ended else (None, b.take(b.rows.num_rows))
+            continue
+        n = min(a.rows.num_rows, b.rows.num_rows)
+        n = _run(~(a.known[:n] & b.known[:n]) | (a.number[:n] == b.number[:n]))
+        if n:
+            yield a.take(n), b.take(n)
+        elif a.number[0] < b.number[0]:
+            yield a.take(_run(a.known & (a.number < b.number[0]))), None
         else:
-            yield None, b
-            b = next(second, None)
+            yield None, b.take(_run(b.known & (b.number < a.number[0])))
 
 
 class _Piece(InputPartition):
-    """Byte range of a file; of a pair, records of the first file in that range with those of the second one from ``mate_start`` on whose numbers are from lo up to hi, or after ``skip`` of them."""
+    """Byte range of a file; of a pair, records of the first file in that range with those of the second one from ``mate_start`` on (up to ``mate_stop``) whose numbers are from lo up to hi, or after ``skip`` of them."""
 
-    def __init__(self, index: int, path: str, mate: str | None, start: int, stop: int | None, limit: int | None = None, mate_start: int = 0, lo: int | None = None, hi: int | None = None, skip: int = 0, count: int | None = None):
+    def __init__(self, index: int, path: str, mate: str | None, start: int, stop: int | None, limit: int | None = None, mate_start: int = 0, lo: int | None = None, hi: int | None = None, skip: int = 0, count: int | None = None, mate_stop: int | None = None):
         super().__init__((index, start))
         self.index, self.path, self.mate, self.start, self.stop, self.limit = index, path, mate, start, stop, limit
-        self.mate_start, self.lo, self.hi, self.skip, self.count = mate_start, lo, hi, skip, count
+        self.mate_start, self.mate_stop, self.lo, self.hi, self.skip, self.count = mate_start, mate_stop, lo, hi, skip, count
 
 
 def _files(paths: str) -> list[str]:
@@ -268,84 +304,83 @@ class FastqReader(DataSourceReader):
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.trim = options.get("trim", "false").lower() == "true"
         self.split = int(options.get("split_bytes", str(SPLIT_BYTES)))
+        self.names = options.get("names", "false").lower() == "true"
         self.cuts = json.loads(options.get("pair_cuts", "{}"))
         if self.mates and len(self.mates) != len(self.paths):
             raise ValueError("as many mate files as files are needed")
 
     def partitions(self):
-        """Plain files are split by bytes, pairs of files where ``pair_cuts`` has places (see ``read_fastq``); gzip files are a task each."""
-        out = []
-        for i, p in enumerate(self.paths):
+        """Plain files are split by bytes (``split_bytes``, or more if these would be over SPLITS tasks), pairs of files where ``pair_cuts`` has places (see ``read_fastq``); gzip files are a task each."""
+        out, sizes = [], [(lambda s, n: s.get_file_info(n).size or 0)(*_open(p)) for p in self.paths]
+        split = max(self.split, -(-sum(n for p, n in zip(self.paths, sizes, strict=True) if not p.endswith(".gz")) // SPLITS))
+        for i, (p, size) in enumerate(zip(self.paths, sizes, strict=True)):
             mate = self.mates[i] if self.mates else None
-            system, name = _open(p)
-            size = system.get_file_info(name).size or 0
             if mate:
                 out += [_Piece(i, p, mate, **cut) for cut in self.cuts.get(str(i), [{"start": 0, "stop": None}])]
-            elif p.endswith(".gz") or size <= self.split:
+            elif p.endswith(".gz") or size <= split:
                 out.append(_Piece(i, p, None, 0, None))
             else:
-                out += [_Piece(i, p, None, a, min(a + self.split, size)) for a in range(0, size, self.split)]
+                out += [_Piece(i, p, None, a, min(a + split, size)) for a in range(0, size, split)]
         return out
 
     def read(self, piece):
         if piece is None:  # no partitions
             return
-        options = {"strict": self.strict, "trim": False if piece.mate else self.trim}
+        options = {"strict": self.strict, "trim": False if piece.mate else self.trim, "names": self.names}
         base = piece.index << FILE_SHIFT
         if not piece.mate:
             for b in batches(piece.path, piece.start, piece.stop, limit=piece.limit, **options):
                 none = pa.nulls(b.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays([pc.add(b.column(0), base), b.column(1), b.column(2), b.column(3), none, none, b.column(4)], names=COLUMNS)
             return
-        rows: list[tuple] = []
-        for row in self._pairs(piece, options):
-            rows.append(row)
-            if len(rows) == 4096:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    def _pairs(self, piece, options) -> Iterator[tuple]:
+        yield from self._pairs(piece, options)
+
+    def _pairs(self, piece, options) -> Iterator[pa.RecordBatch]:
         base = piece.index << FILE_SHIFT
-        first, second = records(piece.path, piece.start, piece.stop, **options), records(piece.mate, piece.mate_start, None, **options)
+        first, second = batches(piece.path, piece.start, piece.stop, **options), batches(piece.mate, piece.mate_start, piece.mate_stop, **options)
         if piece.lo is not None or piece.hi is not None:
-            second = (r for r in second if piece.lo is None or number_of(r[1]) >= piece.lo)
-            second = _until(second, piece.hi)
+            second = _between(second, piece.lo, piece.hi)
         elif piece.count is not None or piece.skip:
             second = _some(second, piece.skip, piece.count)
         for a, b in in_step(first, second):
             if piece.count is not None and (a is None or b is None):
                 raise ValueError("mate files lack records of each other and are not in order of number: read them with split_pairs=False")
-            alone = (a or b) if a is None or b is None else None
-            if alone and self.strict:
+            if self.strict and (a is None or b is None):
                 raise ValueError("mate files hold different records")
-            number = base | (a[0] if a else b[0] | 1 << FILE_SHIFT - 1)
-            head = (a or b)[1].split(" ", 1)[0] if self.trim else (a or b)[1]
-            if alone:
-                yield number, head, *((alone[2], alone[3], None, None) if a else (None, None, alone[2], alone[3])), alone[4] or f"no mate {2 if a else 1}"
+            one = a if a is not None else b
+            head = pc.list_element(pc.split_pattern(one.column(1), " ", max_splits=1), 0) if self.trim else one.column(1)
+            none = pa.nulls(one.num_rows, pa.string())
+            if a is None or b is None:
+                number, own = pc.add(one.column(0), base | (1 << FILE_SHIFT - 1 if a is None else 0)), [one.column(2), one.column(3)]
+                yield pa.RecordBatch.from_arrays([number, head, *(own + [none, none] if b is None else [none, none] + own), pc.coalesce(one.column(4), f"no mate {1 if a is None else 2}")], names=COLUMNS)
             else:
-                bad = a[4] or b[4]
-                yield (number, head, *(x if not bad else None for x in (a[2], a[3], b[2], b[3])), bad)
+                bad = pc.coalesce(a.column(4), b.column(4))
+                yield pa.RecordBatch.from_arrays([pc.add(a.column(0), base), head, *(pc.if_else(bad.is_valid(), none, x.column(c)) for x in (a, b) for c in (2, 3)), bad], names=COLUMNS)
 
-
-def _until(rows: Iterator[tuple], hi: int | None) -> Iterator[tuple]:
-    for r in rows:
-        if hi is not None and number_of(r[1]) >= hi:
-            return
-        yield r
+    def __getstate__(self):
+        return self.__dict__ | {"paths": [], "mates": [], "cuts": {}}  # tasks have their pieces
 
 
-def _some(rows: Iterator[tuple], skip: int, count: int | None) -> Iterator[tuple]:
-    for i, r in enumerate(rows):
-        if count is not None and i >= skip + count:
+def _between(rows: Iterator[pa.RecordBatch], lo: int | None, hi: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows with numbers, which rise, from lo up to hi."""
+    for b in rows:
+        number = numbers_of(b.column(1)).to_numpy()
+        a, z = 0 if lo is None else int(np.searchsorted(number, lo)), len(number) if hi is None else int(np.searchsorted(number, hi))
+        if a < z:
+            yield b[a:z]
+        if z < len(number):
             return
-        if i >= skip:
-            yield r
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names=COLUMNS)
+def _some(rows: Iterator[pa.RecordBatch], skip: int, count: int | None) -> Iterator[pa.RecordBatch]:
+    seen = 0
+    for b in rows:
+        a, z = max(0, skip - seen), b.num_rows if count is None else min(b.num_rows, skip + count - seen)
+        if a < z:
+            yield b[a:z]
+        seen += b.num_rows
+        if count is not None and seen >= skip + count:
+            return
 
 
 class FastqStream(DataSourceStreamReader):
@@ -434,17 +469,18 @@ class FastqWriter(DataSourceArrowWriter):
         self.overwrite, self.job = overwrite, uuid.uuid4().hex
 
     def _texts(self, batch: pa.RecordBatch) -> list[bytes]:
-        held = {c: batch.column(c).to_pylist() for c in batch.schema.names if c in ("head", "mate_head", "seq", "qua", "mate_seq", "mate_qua")}
+        held = {c: batch.column(c) for c in batch.schema.names if c in ("head", "mate_head", "seq", "qua", "mate_seq", "mate_qua")}
         out = []
         for n in range(len(self.folders)):
             seq, qua = (held[f"mate_{c}" if n else c] for c in ("seq", "qua")) if not self.qualities else (held["mate_qua" if n else "qua"],) * 2
-            head = held["mate_head"] if n and "mate_head" in held else held.get("head", [""] * batch.num_rows)
-            if any(x is None for c in (head, seq, qua) for x in c):
+            head = held["mate_head"] if n and "mate_head" in held else held.get("head", pa.array([""] * batch.num_rows))
+            if any(c.null_count for c in (head, seq, qua)):
                 raise ValueError("a row without name, bases or qualities cannot be written; leave out rows with column bad")
-            if any(len(s) != len(q) for s, q in zip(seq, qua, strict=True)):
+            if not pc.utf8_length(seq).equals(pc.utf8_length(qua)):
                 raise ValueError("bases and qualities differ in length")
-            rows = (q + "\n" for q in qua) if self.qualities else (f"{h}\n{s}\n+\n{q}\n" for h, s, q in zip(head, seq, qua, strict=True))
-            out.append("".join(rows).encode("latin-1"))
+            rows = pc.binary_join_element_wise(qua, "", "\n") if self.qualities else pc.binary_join_element_wise(head, seq, "+", qua, "", "\n")
+            text = letters(rows)[0]
+            out.append(text.tobytes() if not len(text) or text.max() < 128 else text.tobytes().decode().encode("latin-1"))
         return out
 
     def write(self, iterator):
@@ -538,37 +574,45 @@ def read_fastq(spark, paths: list[str], mates: list[str] | None = None, split_pa
     return df if mates else df.drop("mate_seq", "mate_qua")
 
 
-def _index(spark, path: str, split: int) -> list[tuple]:
-    """For each split of a file that holds records: offset and number of its first record, its last number, records, and whether numbers rise."""
+def _index(spark, paths: list[str], split: int) -> list[list[tuple]]:
+    """For each file, and each split of it that holds records: offset and number of its first record, its last number, records, and whether numbers rise."""
     schema = "at long, first long, last long, n long, rises boolean"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first, last, n, rises = None, None, None, 0, True
         for b in frames:
-            for i, head in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = number_of(head)
-                rises &= x is not None and (last is None or x > last)
-                at, first, last, n = (i, x, x, 1) if at is None else (at, first, x, n + 1)
+            if not b.num_rows:
+                continue
+            x = numbers_of(b.column(1))
+            rises = rises and not x.null_count and (last is None or x[0].as_py() > last) and bool((np.diff(x.to_numpy()) > 0).all())
+            at, first = (b.column(0)[0].as_py(), x[0].as_py()) if at is None else (at, first)
+            last, n = x[-1].as_py(), n + b.num_rows
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([n]), pa.array([rises])], names=["at", "first", "last", "n", "rises"])
 
-    rows = spark.read.format("fastq").option("paths", path).option("split_bytes", str(split)).load().select("read_id", "head").mapInArrow(run, schema)
-    return sorted(tuple(r) for r in rows.collect())  # a row a split
+    rows = spark.read.format("fastq").option("paths", ";".join(paths)).option("split_bytes", str(split)).option("names", "true").load().select("read_id", "head").mapInArrow(run, schema)
+    out: list[list[tuple]] = [[] for _ in paths]
+    for at, *rest in sorted(tuple(r) for r in rows.collect()):  # a row a split
+        out[at >> FILE_SHIFT].append((at & (1 << FILE_SHIFT) - 1, *rest))
+    return out
 
 
 def pair_cuts(spark, paths: str, mates: str, split: int) -> dict[str, list[dict]]:
     """Where the pairs of large plain files are cut: by the numbers in the names if these rise in both, else by record number.
 
-    A pass over both files gives a sparse index, a row for each split. Pieces
+    A pass over all files gives a sparse index, a row for each split. Pieces
     begin at the splits of the first file; in the second one, reading begins
-    at the last indexed record before, up to which records are skipped.
+    at the last indexed record before, up to which records are skipped, and
+    ends at the first indexed record behind.
     """
-    out = {}
+    out, large = {}, []
     for i, (p, m) in enumerate(zip(_files(paths), _files(mates), strict=False)):
         size = max((lambda s, n: s.get_file_info(n).size or 0)(*_open(x)) for x in (p, m))
         if p.endswith(".gz") or m.endswith(".gz") or size <= split:
             continue
-        one, two = _index(spark, p, split), _index(spark, m, split)
+        large.append((i, p, m))
+    index = _index(spark, [x for _, *both in large for x in both], split) if large else []
+    for (i, *_), one, two in zip(large, index[::2], index[1::2], strict=True):
         if not one or not two:
             continue
         by_number = all(r[4] for r in one + two) and all(a[2] < b[1] for x in (one, two) for a, b in zip(x, x[1:]))
@@ -582,11 +626,14 @@ def pair_cuts(spark, paths: str, mates: str, split: int) -> dict[str, list[dict]
             if by_number:
                 while at + 1 < len(two) and two[at + 1][1] <= r[1]:
                     at += 1
-                piece |= {"mate_start": two[at][0] if j else 0, "lo": r[1] if j else None, "hi": one[j + 1][1] if j + 1 < len(one) else None}
+                hi = one[j + 1][1] if j + 1 < len(one) else None
+                end = next((two[x][0] for x in range(at + 1, len(two)) if hi is not None and two[x][1] >= hi), None)
+                piece |= {"mate_start": two[at][0] if j else 0, "mate_stop": end, "lo": r[1] if j else None, "hi": hi}
             else:
                 while at + 1 < len(two) and starts[at + 1] <= done:
                     at += 1
-                piece |= {"mate_start": two[at][0], "skip": done - starts[at], "count": r[3]}
+                end = next((two[x][0] for x in range(at + 1, len(two)) if starts[x] >= done + r[3]), None)
+                piece |= {"mate_start": two[at][0], "mate_stop": end, "skip": done - starts[at], "count": r[3]}
             done += r[3]
             pieces.append(piece)
         out[str(i)] = pieces

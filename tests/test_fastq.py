@@ -165,3 +165,76 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
             with pytest.raises(Exception):
                 write_fastq(bad, str(one), str(two), mode=mode)
             assert {p: p.read_bytes() for f in (one, two) for p in f.iterdir()} == held
+
+
+def test_a_split_reads_little_beside_itself(tmp_path, monkeypatch):
+    path = tmp_path / "a.fq"
+    path.write_text("".join(f"@r.{i}\n{'ACGT' * 25}\n+\n{'I' * 100}\n" for i in range(40_000)))
+    seen = []
+    plain = fastq._stream
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            data = self.f.read(n)
+            seen.append(len(data))
+            return data
+
+        __enter__, __exit__ = lambda self: self, lambda self, *_: None
+
+    monkeypatch.setattr(fastq, "_stream", lambda p, a: Counted(plain(p, a)))
+    got = sum(b.num_rows for b in fastq.batches(str(path), 1 << 20, (1 << 20) + (1 << 18)))
+    assert got > 1000 and sum(seen) < 2 << 18
+
+
+def test_steps_of_batches_are_those_of_records():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+
+    def batch(numbers):
+        head = ["@odd" if x is None else f"@r.{x} a" for x in numbers]
+        return pa.RecordBatch.from_arrays([pa.array(range(len(numbers)), pa.int64()), *[pa.array(head, pa.string())] * 4], names=["at", "head", "seq", "qua", "bad"])
+
+    def cut(numbers):
+        while numbers:
+            n = rng.randint(0, 5)
+            yield batch(numbers[:n])
+            numbers = numbers[n:]
+
+    def plain(x, y):
+        while x or y:
+            if x and y and (x[0] is None or y[0] is None or x[0] == y[0]):
+                yield x.pop(0), y.pop(0)
+            elif x and (not y or x[0] < y[0]):
+                yield x.pop(0), "none"
+            else:
+                yield "none", y.pop(0)
+
+    for _ in range(300):
+        x, y = (sorted(rng.sample(range(30), rng.randint(0, 20))) for _ in range(2))
+        x, y = ([None if rng.random() < 0.05 else i for i in z] for z in (x, y))
+        found = []
+        for a, b in fastq.in_step(cut(list(x)), cut(list(y))):
+            names = [["none"] * (a or b).num_rows if c is None else [fastq.number_of(h) for h in c.column(1).to_pylist()] for c in (a, b)]
+            found += zip(*names, strict=True)
+        assert found == list(plain(list(x), list(y)))
+
+
+def test_mates_are_indexed_in_one_job_and_read_up_to_their_end(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / str(n)).mkdir()
+        for f in range(3):
+            (tmp_path / str(n) / f"{f}.fq").write_text("".join(f"@r.{f * 1000 + i} x/{n}\nACGT\n+\nIIII\n" for i in range(1000)))
+    spark.dataSource.register(fastq.FastqSource)
+    group = "mates-in-one-job"
+    spark.sparkContext.setJobGroup(group, group)
+    cuts = fastq.pair_cuts(spark, str(tmp_path / "1"), str(tmp_path / "2"), 4096)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 1
+    assert sorted(cuts) == ["0", "1", "2"] and all(p["mate_stop"] - p["mate_start"] <= 3 * 4096 for c in cuts.values() for p in c[:-1])
+    rows = fastq.read_fastq(spark, [str(tmp_path / "1")], [str(tmp_path / "2")], split_bytes=4096).collect()
+    assert len(rows) == 3000 and all(r["bad"] is None for r in rows) and len({r["head"] for r in rows}) == 3000
