@@ -24,8 +24,13 @@ def _quality(key: Column, tag: str) -> Column:
 
 
 def derived_reads(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFrame:
-    """read_id, head, seq, qua and, if paired, mate_seq, mate_qua, mate_head."""
+    """read_id, head, seq, qua and, if paired, mate_seq, mate_qua, mate_head.
+
+    Two numbers an order become hundreds of letters, so a file of few splits
+    is dealt out before; a task's reads are in order of their names.
+    """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c"))
+    orders = orders.repartition("k").sortWithinPartitions("k")
     rows = orders.withColumn("g", F.col("c") % 64).join(F.broadcast(_genome(spark)), "g")  # 64 rows
     k, c = F.col("k"), F.col("c")
     at = lambda expr: expr.cast("int")
