@@ -43,16 +43,6 @@ def single_targets(binned: DataFrame, p: int, k: int = K, allowed: np.ndarray |
     return rows.withColumns({"new_signature": F.when(new < 4**k, new), "new_pos": F.when(new < 4**k, pos), "flips": flips}).drop("_m")
 
 
-def tree_nodes(heads: DataFrame, window: int = 255, k: int = K) -> DataFrame:
-    """read_id, signature, parent_id, shift of all heads: LZ nodes, and repeats as children of the first equal read."""
-    nodes = lz_nodes(heads, window, k=k).select("read_id", "signature", "parent_id", "shift")
-    same = ["signature", "seq", "minim_pos"]
-    std = heads.where(F.col("signature") != 4**k)
-    first = duplicates(std).where("n_copies > 1").select(*same, F.col("read_id").alias("parent_id"))
-    again = std.select(*same, "read_id").join(first, same).where("read_id <> parent_id")
-    return nodes.unionByName(again.select("read_id", "signature", "parent_id", F.lit(0).alias("shift")))
-
-
 def tree_choices(heads: DataFrame, p: int, window: int = 255, min_tree: int = 4, k: int = K, allowed: np.ndarray | None = None) -> DataFrame:
     """Of eligible reads: read_id, signature, parent_id, shift, tree_id, as_tree, edge_id, new_signature, new_pos, flips.
 
@@ -61,19 +51,25 @@ def tree_choices(heads: DataFrame, p: int, window: int = 255, min_tree: int = 4,
     decides (the latter only if strictly smaller) and is the tree's edge_id.
     Reads of other trees move alone. Null new_signature: the read stays.
     """
-    fine = single_targets(heads, p, k, allowed).select("read_id", "signature", "minim_pos", "new_signature", "new_pos", "flips")
-    nodes = durable(tree_nodes(heads.where(is_eligible(F.col("signature"), p, k)), window, k))
+    same = ["signature", "seq", "minim_pos"]
+    heads = heads.where(is_eligible(F.col("signature"), p, k)).select("read_id", *same)
+    firsts = durable(duplicates(heads))  # trees are of these, with their copies counted; copies then take what their first read has
+    fine = single_targets(firsts, p, k, allowed).select("read_id", *same, "n_copies", "new_signature", "new_pos", "flips")
+    nodes = durable(lz_nodes(firsts, window, k=k).select("read_id", "signature", "parent_id", "shift"))
     roots = depths_by_bin(nodes).select("read_id", F.col("root_id").alias("tree_id"))
     rows = durable(fine.join(nodes.drop("signature"), "read_id").join(roots, "read_id"))
     known = F.when(F.col("new_signature").isNotNull(), F.struct("new_signature", "new_pos", "flips", "read_id"))
     trees = rows.groupBy("tree_id").agg(
-        F.count("*").alias("size"), F.max_by(known, F.struct("minim_pos", -F.col("read_id"))).alias("right"), F.min_by(known, F.struct("minim_pos", "read_id")).alias("left")
+        F.sum("n_copies").alias("size"), F.max_by(known, F.struct("minim_pos", -F.col("read_id"))).alias("right"), F.min_by(known, F.struct("minim_pos", "read_id")).alias("left")
     )
     choice = F.when(F.col("left.new_signature") < F.coalesce(F.col("right.new_signature"), F.lit(4**k)), F.col("left")).otherwise(F.col("right"))
     trees = trees.select("tree_id", (F.col("size") > min_tree).alias("as_tree"), choice.alias("t"))
     rows = rows.join(trees, "tree_id")
     pick = {c: F.when(F.col("as_tree"), F.col(f"t.{c}")).otherwise(F.col(c)) for c in ("new_signature", "new_pos", "flips")}
-    return rows.withColumns(pick).withColumn("edge_id", F.when(F.col("as_tree"), F.col("t.read_id"))).drop("t", "minim_pos")
+    rows = rows.withColumns(pick).withColumn("edge_id", F.when(F.col("as_tree"), F.col("t.read_id"))).drop("t", "n_copies").withColumnRenamed("read_id", "first_id")
+    own = F.col("read_id") == F.col("first_id")
+    moved = {"parent_id": F.when(own, F.col("parent_id")).otherwise(F.col("first_id")), "shift": F.when(own, F.col("shift")).otherwise(F.lit(0))}
+    return heads.join(rows, same).withColumns(moved).select("read_id", "signature", "parent_id", "shift", "tree_id", "as_tree", "edge_id", "new_signature", "new_pos", "flips")
 
 
 def rebin_round(binned: DataFrame, p: int, window: int = 255, min_tree: int = 4, k: int = K) -> DataFrame:
@@ -81,6 +77,7 @@ def rebin_round(binned: DataFrame, p: int, window: int = 255, min_tree: int = 4,
 
     Reads without a target, and bins that are not eligible, stay.
     """
+    binned = durable(binned.select("read_id", "signature", "seq", "minim_pos"))  # signatures are found once
     moved = tree_choices(binned, p, window, min_tree, k)
     stay = binned.where(~is_eligible(F.col("signature"), p, k)).select("read_id", "signature", F.col("signature").alias("new_signature"), F.lit(None).cast("long").alias("tree_id"), F.lit(False).alias("as_tree"))
     return moved.select("read_id", "signature", F.coalesce("new_signature", "signature").alias("new_signature"), "tree_id", "as_tree").unionByName(stay)

@@ -7,8 +7,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from strandloom.operators import bins, matching, minimizers, pairs
-from strandloom.plans import archive
+from strandloom.operators import bins, matching, minimizers, pairs, rebin
+from strandloom.plans import archive, fixture, queries
 
 rng = random.Random(5)
 FIELDS = "read_id long, head string, seq string, qua string, mate_seq string, mate_qua string"
@@ -95,3 +95,26 @@ def test_archive_of_equal_pairs(spark, tmp_path):
 def test_lossy_qualities_without_join(spark):
     reads = spark.createDataFrame([(i, "@r", dna(40), "I" * 20 + "#" * 20) for i in range(50)], FIELDS[: FIELDS.index(", mate_seq")])
     assert "Join" not in optimized(archive.lossy(reads, archive.PROFILES["lossy"]))
+
+
+def few_copied_reads(spark):
+    texts = [dna(40) for _ in range(20)]
+    return minimizers.minimizer_se(spark.createDataFrame([(i, "@r", texts[i % 20], "I" * 40) for i in range(60)], FIELDS[: FIELDS.index(", mate_seq")]))
+
+
+def test_rebin_round_finds_signatures_once(spark):
+    moved = rebin.rebin_round(few_copied_reads(spark), 2, window=8)
+    assert "ArrowEvalPython" not in optimized(moved)
+    assert sorted(r["read_id"] for r in moved.collect()) == list(range(60))
+
+
+def test_prefix_search_matches_once(spark):
+    binned = few_copied_reads(spark)
+    assert optimized(matching.by_prefix(matching.lz_nodes(binned, 3), binned, 8)).count("MapInPandas") <= 2
+
+
+def test_contigs_are_made_of_kept_reads(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3) for i in range(60)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("contig_growth", "contig_members_sound", "contig_position_steps"):
+        assert "ArrowEvalPython" not in optimized(queries.QUERIES[name](spark, str(tmp_path)))
+    assert "Repartition" in optimized(fixture.derived_reads(spark, str(tmp_path)))
