@@ -232,12 +232,13 @@ def by_prefix(nodes: DataFrame, binned: DataFrame, window: int = 255, threshold:
     next ones of all are chosen from these by their places in the list. So a
     task holds one block, and the result does not depend on ``history``.
     """
-    pos = F.col("minim_pos")
+    nodes, pos = durable(nodes), F.col("minim_pos")  # read several times below
     rows = nodes.select("signature", "read_id", "rank", "node_type").join(binned.select("read_id", "seq", "minim_pos"), "read_id").where(pos >= LEAST_POS)
     rows = rows.withColumns({"pair": F.substr("seq", pos - 1, F.lit(2)), "prefix": F.concat(F.reverse(F.substr("seq", F.lit(1), pos - 1)), F.lit("~"))})
     listed = Window.partitionBy("signature", "pair").orderBy("prefix", "rank")
     ahead = F.rank().over(Window.partitionBy("signature", "pair").orderBy("prefix"))  # a read's place before its equals
     rows = rows.withColumns({"spot": F.row_number().over(listed), "ahead": ahead, "own": F.expr(f"cast((rank - 1) div {history} as int)")}).drop("prefix")
+    rows = durable(rows)
     held = rows.withColumn("block", F.col("own")).withColumn("asks", F.lit(False))
     asked = rows.where((F.col("node_type") == "HARD") & (F.col("own") > 0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).withColumn("asks", F.lit(True))
     side, keys = window // 2 + 1, ["signature", "pair", "block"]

@@ -34,6 +34,11 @@ def _kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_reads(spark, sf_dir).select(F.explode(F.transform(starts, lambda i: F.substr("seq", i, F.lit(8)))).alias("kmer")).distinct()
 
 
+def _firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of equal reads, kept: nodes are these alone, and signatures are found once."""
+    return lineage.durable(matching.duplicates(_binned(spark, sf_dir)).drop("n_copies"))
+
+
 def _nodes(spark: SparkSession, sf_dir: str, window: int = 8) -> DataFrame:
     return matching.lz_nodes(_binned(spark, sf_dir), window=window)
 
@@ -395,8 +400,8 @@ def lz_match_w255(spark, sf_dir):
 
 @query
 def lz_prefix_search(spark, sf_dir):
-    binned = _binned(spark, sf_dir)
-    rows = matching.by_prefix(matching.lz_nodes(binned, 3), binned, 8)
+    firsts = _firsts(spark, sf_dir)
+    rows = matching.by_prefix(matching.lz_nodes(firsts, 3), firsts, 8)
     return rows.select("read_id", "signature", "rank", "node_type", "parent_id", "shift", "cost", "no_mismatch")
 
 
