@@ -493,10 +493,16 @@ def contig_variants(spark, sf_dir):
     return contigs.variants(_binned(spark, sf_dir))
 
 
+def _grown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Contigs, and the reads they are made of."""
+    firsts = _firsts(spark, sf_dir)
+    nodes = lineage.durable(matching.lz_nodes(firsts, 64))
+    return contigs.contigs(nodes, forest.depths(nodes), firsts), firsts
+
+
 @query
 def contig_growth(spark, sf_dir):
-    binned, nodes = _binned(spark, sf_dir), lineage.durable(_nodes(spark, sf_dir, 64))
-    return contigs.contigs(nodes, forest.depths(nodes), binned)
+    return _grown(spark, sf_dir)[0]
 
 
 @query
@@ -506,14 +512,15 @@ def contig_histograms(spark, sf_dir):
 
 @query
 def contig_position_steps(spark, sf_dir):
-    return contigs.position_steps(lineage.durable(contig_growth(spark, sf_dir)), _binned(spark, sf_dir))
+    made, firsts = _grown(spark, sf_dir)
+    return contigs.position_steps(lineage.durable(made), firsts)
 
 
 @query
 def contig_members_sound(spark, sf_dir):
     """Contigs whose members' uncovered ends, variant letters and consensus do not give a member back: none."""
-    made, binned = lineage.durable(contig_growth(spark, sf_dir)), _binned(spark, sf_dir)
-    cells = contigs.member_cells(made, binned)
+    made, firsts = _grown(spark, sf_dir)
+    cells = contigs.member_cells(lineage.durable(made), firsts)
     return cells.where("base <> consensus and not is_variant").groupBy("contig_id").agg(F.count("*").alias("n_wrong"))
 
 
