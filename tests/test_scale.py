@@ -4,11 +4,13 @@ import random
 import time
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from strandloom.operators import bins, matching, minimizers, pairs, rebin
-from strandloom.plans import archive, fixture, queries
+from strandloom.plans import archive, fixture, oracle, queries
 
 rng = random.Random(5)
 FIELDS = "read_id long, head string, seq string, qua string, mate_seq string, mate_qua string"
@@ -58,6 +60,21 @@ def test_bin_rules_read_twice_and_move_no_reads(spark):
         assert plan.count("ArrowEvalPython") <= 2 and plan.count("rightHint=(strategy=broadcast)") == plan.count("Join")
 
 
+@pytest.mark.parametrize("name", ["small_and_n_union"])
+def test_bin_rules_over_one_file(spark, tmp_path, name):
+    folder = str(tmp_path / "orders.parquet")
+    spark.range(6000).selectExpr("id * 7 as o_orderkey", "id * id % 1000 as o_custkey").coalesce(1).write.parquet(folder)
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    plan = optimized(df)
+    assert plan.count("ArrowEvalPython") == plan.count("RepartitionByExpression") == 2 and "Union" not in plan
+    assert plan.count("rightHint=(strategy=broadcast)") == plan.count("Join")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{folder}/*.parquet'")
+    wanted = con.execute(oracle.ORACLE[name]).df()[df.columns]
+    got = df.toPandas()
+    assert 0 < len(got) and sorted(got.itertuples(index=False, name=None)) == sorted(wanted.itertuples(index=False, name=None))
+
+
 def test_pair_repeats_without_join(spark):
     rows = [(i, "@r", dna(40), "I" * 40, dna(40), "I" * 40) for i in range(50)]
     assert "Join" not in optimized(matching.pair_duplicates(minimizers.minimizer_pe(spark.createDataFrame(rows, FIELDS)), 8))
