@@ -60,7 +60,7 @@ def test_bin_rules_read_twice_and_move_no_reads(spark):
         assert plan.count("ArrowEvalPython") <= 2 and plan.count("rightHint=(strategy=broadcast)") == plan.count("Join")
 
 
-@pytest.mark.parametrize("name", ["small_and_n_union", "small_bins_to_n"])
+@pytest.mark.parametrize("name", ["small_and_n_union", "small_bins_to_n", "bin_filter_min"])
 def test_bin_rules_over_one_file(spark, tmp_path, name):
     folder = str(tmp_path / "orders.parquet")
     spark.range(6000).selectExpr("id * 7 as o_orderkey", "id * id % 1000 as o_custkey").coalesce(1).write.parquet(folder)
