@@ -116,11 +116,6 @@ def pair_matches(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int
     cheaper, of a smaller k-mer or nearer. Of such a run only the first mate
     asks, and for others only the last one counts, the nearest of equal ones.
     """
-    return matched(pairs, window, per_read, k).drop("copies")
-
-
-def matched(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int = K) -> DataFrame:
-    """``pair_matches`` with copies: whether the mate equals its match for certain."""
     order = Window.partitionBy("signature").orderBy(*order_of(mate=True))
     std = pairs.where(F.col("signature") != 4**k).select("signature", "read_id", "seq", "minim_pos", "mate_seq", has_signature(F.col("mate_seq"), k).alias("offers"))
     same = lambda c: F.coalesce((c == F.col("mate_seq")) & F.col("offers"), F.lit(False))
@@ -134,6 +129,24 @@ def matched(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int = K)
     after = Window.partitionBy("signature").orderBy("rank")
     last = lambda c: F.when(F.col("goes_on"), F.lead(c).over(after)).otherwise(F.col(c))
     runs = rows.where("mate_seq is not null").select("signature", "rank", "read_id", "before", "mate_seq", last("rank").alias("last"), last("read_id").alias("last_id")).where("before is null")
+    best = best_matches(runs, window, per_read, k)
+    heads = rows.where("before is null").select("signature", "rank", "read_id").join(best, "read_id", "left").select("signature", "rank", "read_id", flag_of().alias("flag"), "parent_id", "shift", "cost")
+    copies = rows.where("before is not null").select("signature", "rank", "read_id", F.lit("Identical").alias("flag"), F.col("before").alias("parent_id"), F.lit(0).alias("shift"), F.lit(0).alias("cost"))
+    return heads.unionByName(copies)
+
+
+def flag_of() -> Column:
+    """What a mate's match is, from its shift and cost."""
+    wrong = (F.col("cost") - F.abs("shift") * SHIFT_COST) / MISMATCH_COST
+    return F.when(F.col("cost").isNull(), "Difficult").when(F.col("cost") == 0, "Identical").when(wrong == 0, "ShiftOnly").when(wrong > 4, "FullExpensive").otherwise("FullEncode")
+
+
+def best_matches(runs: DataFrame, window: int = 4096, per_read: int = 4, k: int = K) -> DataFrame:
+    """read_id, parent_id, shift, cost of the best match of mates, for those that have one, by the rules of ``pair_matches``.
+
+    A row stands for a run of equal mates (signature, rank, read_id, mate_seq,
+    last, last_id): its first asks, and matches of others are named by their last.
+    """
     found = F.transform(F.slice(signatures(F.col("mate_seq"), k), 1, per_read), lambda s: F.struct(s.alias("kmer"), (F.instr(F.col("mate_seq"), s) - 1).alias("p")))
     index = durable(runs.withColumn("sigs", found)).select("signature", "rank", "read_id", "last", "last_id", "mate_seq", F.posexplode("sigs").alias("nth", "sig"))
     block = lambda c: F.expr(f"cast(({c} - 1) div {window} as int)")
@@ -155,9 +168,4 @@ def matched(pairs: DataFrame, window: int = 4096, per_read: int = 4, k: int = K)
         yield from map(match, whole_groups(frames, keys))
 
     offers = index.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInPandas(run, "read_id long, cost int, nth int, back int, parent_id long, shift int")
-    best = offers.groupBy("read_id").agg(F.min(F.struct("cost", "nth", "back", "parent_id", "shift")).alias("b")).select("read_id", "b.parent_id", "b.shift", "b.cost")
-    wrong = (F.col("cost") - F.abs("shift") * SHIFT_COST) / MISMATCH_COST
-    flag = F.when(F.col("cost").isNull(), "Difficult").when(F.col("cost") == 0, "Identical").when(wrong == 0, "ShiftOnly").when(wrong > 4, "FullExpensive").otherwise("FullEncode")
-    heads = rows.where("before is null").select("signature", "rank", "read_id").join(best, "read_id", "left").select("signature", "rank", "read_id", flag.alias("flag"), "parent_id", "shift", "cost", F.lit(False).alias("copies"))
-    copies = rows.where("before is not null").select("signature", "rank", "read_id", F.lit("Identical").alias("flag"), F.col("before").alias("parent_id"), F.lit(0).alias("shift"), F.lit(0).alias("cost"), F.lit(True).alias("copies"))
-    return heads.unionByName(copies)
+    return offers.groupBy("read_id").agg(F.min(F.struct("cost", "nth", "back", "parent_id", "shift")).alias("b")).select("read_id", "b.parent_id", "b.shift", "b.cost")

@@ -600,11 +600,13 @@ def qvz_apply(spark, sf_dir):
 def _roundtrip(p: archive.Profile, paired: bool = False, stored: bool = False) -> Query:
     def run(spark, sf_dir):
         reads = derived_reads(spark, sf_dir, paired)
-        tables = archive.pack(reads.drop("mate_head"), p)
+        scratch = _folder(spark, "rows") if stored else None
+        tables = archive.pack(reads.drop("mate_head"), p, scratch=scratch)
         if stored:
-            path = f"{lineage.shared_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+            path = _folder(spark, "archive")
             archive.store(tables, path, p)
             tables = archive.load(spark, path)
+            lineage.remove(spark, scratch)
         return archive.unpack(tables)
 
     return run

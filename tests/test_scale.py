@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandloom.operators import bins, matching, minimizers, pairs, rebin
+from strandloom.operators import bins, lineage, matching, minimizers, pairs, rebin
 from strandloom.plans import archive, fixture, oracle, queries
 
 rng = random.Random(5)
@@ -151,3 +151,37 @@ def test_stream_sizes_read_members_once(spark):
     sizes = archive.stream_sizes(tables)
     assert optimized(sizes).count("Join") == optimized(tables["members"]).count("Join") + optimized(tables["raw"]).count("Join")
     assert {r["stream"]: r["symbols"] for r in sizes.collect()}["qualities"] == 2400
+
+
+def odd_pairs():
+    """Copies of pairs and of either mate, pairs of the N bin and of small bins, texts of unequal length, empty and missing ones."""
+    firsts, mates = [dna(60) for _ in range(3)], [dna(60) for _ in range(3)]
+    rows = [(i, f"@r.{i} x/1", firsts[i % 3], "I" * 30 + "#" * 30, mates[i // 3 % 3], "5" * 60) for i in range(90)]
+    rows += [(100 + i, "@n", "N" * 60, "#" * 60, "N" * 50, "#" * 50) for i in range(5)] + [(110, "@short", "ACGT", "IIII", "", ""), (111, "@small", dna(60), "I" * 60, dna(40), "I" * 40)]
+    rows += [(200 + i, "@none", firsts[0], "I" * 60, None, None) for i in range(3)] + [(210 + i, "@cut", firsts[1][: 30 + i], "I" * (30 + i), mates[1][: 60 - i], "I" * (60 - i)) for i in range(20)]
+    return rows
+
+
+def check_pair_archive(spark, folder, p):
+    """Rows of pairs come back; whole rows are not shuffled again, neither to be stored nor for either mate."""
+    reads = spark.createDataFrame(odd_pairs(), FIELDS).repartition(3)
+    scratch = f"{folder}/rows"
+    tables = archive.pack(reads, p, scratch=scratch)
+    assert not {"Join", "Repartition", "Window"} & set(optimized(tables["members"]).replace("\n", " ").split())
+    archive.store(tables, f"{folder}/a", p)
+    lineage.remove(spark, scratch)
+    loaded = archive.load(spark, f"{folder}/a")
+    back = archive.unpack(loaded)
+    above = optimized(back).split("pair_id")[0]
+    assert above.count("Join") == 1 and "Repartition" not in above
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    fields = reads.columns
+    whole = order(back.select(*fields).collect())
+    assert whole == order(archive.lossy(reads, p).select(*fields).collect()) and len(whole) == len(odd_pairs())
+    middle = loaded["nodes"].where("kind = 'HARD'").agg({"signature": "max"}).first()[0]
+    halves = [order(archive.unpack(archive.load(spark, f"{folder}/a", x)).select(*fields).collect()) for x in ((0, middle), (middle, 4**8))]
+    assert all(halves) and order(halves[0] + halves[1] + [tuple(r) for r in loaded["raw"].select(*fields).collect()]) == whole
+
+
+def test_lossless_archive_of_pairs(spark, tmp_path):
+    check_pair_archive(spark, tmp_path, archive.PROFILES["lossless"])
