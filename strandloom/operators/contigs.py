@@ -18,8 +18,10 @@ from .matching import laid_out, whole_groups
 VOTE_ORDER = "AGCTN"
 #: Bases at each end of a read that a contig does not look at; most new variants of a read, and differences of one that brings some.
 CUT, MOST_NEW, MOST_HAMMING = 2, 1, 8
-#: Most reads of a tree that grow together; larger trees are cut by rank.
-TREE = 16_384
+#: Most reads of a tree that grow together; None: a tree is never cut. If a number is set, larger trees are cut by rank.
+TREE: int | None = None
+#: Most reads that are laid out, or looked at for variants, at once.
+ROWS = 16_384
 
 
 def column_counts(binned: DataFrame, k: int = K) -> DataFrame:
@@ -79,15 +81,12 @@ class Tree:
 
     def __init__(self, seqs: list[str], pos: np.ndarray, parent: np.ndarray, cost: np.ndarray, shift: np.ndarray, barred: np.ndarray | None = None):
         self.pos, self.size, self.parent = pos, np.array([len(s) for s in seqs], np.int64), parent
-        self.left = int(pos.max(initial=0))  # column of the signature
-        self.cells = laid_out(seqs, pos)
-        at = np.arange(self.cells.shape[1])
-        first = self.left - pos
-        self.cells[(at < (first + CUT)[:, None]) | (at >= (first + self.size - CUT)[:, None])] = 0
-        c = self.cells
-        self.there, self.b0, self.b1, self.n = (_words(x) for x in (c != 0, np.isin(c, [71, 84]), np.isin(c, [67, 84]), c == 78))
+        self.seqs, self.left = seqs, int(pos.max(initial=0))  # column of the signature
+        self.width = self.left + int((self.size - pos).max(initial=0))
+        words = [[_words(x) for x in (c != 0, np.isin(c, [71, 84]), np.isin(c, [67, 84]), c == 78)] for c in self._cells(np.arange(len(seqs)))]
+        self.there, self.b0, self.b1, self.n = (np.concatenate(x) for x in zip(*words, strict=True))
         self.some_n = np.array(["N" in s for s in seqs], bool)
-        self.inner_n = (c == 78).any(1)
+        self.inner_n = self.n.any(1)
         #: Thirty times the price of the LZ match: 3 + cost, and 1 + cost / 1.5 more unless it has no mismatch.
         self.price = 30 * (3 + cost) + np.where(cost != np.abs(shift), 30 + 20 * cost, 0)
         self.cost = cost
@@ -105,6 +104,19 @@ class Tree:
         tops = np.flatnonzero(parent < 0)
         self.tops = tops[np.lexsort((tops, inner[tops]))]
 
+    def _cells(self, reads: np.ndarray) -> Iterator[np.ndarray]:
+        """Letters of reads in the tree's columns, ROWS reads at once; 0 at the CUT ends and beyond."""
+        at = np.arange(self.width)
+        for a in range(0, max(len(reads), 1), ROWS):
+            x = reads[a : a + ROWS]
+            pos, cells = self.pos[x], np.zeros((len(x), self.width), np.uint8)
+            inner = laid_out([self.seqs[i] for i in x], pos)
+            off = self.left - int(pos.max(initial=0))
+            cells[:, off : off + inner.shape[1]] = inner
+            first = self.left - pos
+            cells[(at < (first + CUT)[:, None]) | (at >= (first + self.size[x] - CUT)[:, None])] = 0
+            yield cells
+
     def _children(self, reads: np.ndarray | list[int]) -> np.ndarray:
         return np.concatenate([self.below[i] for i in reads]) if len(reads) else np.zeros(0, np.int64)
 
@@ -129,8 +141,10 @@ class Tree:
 
     def _take(self, q: np.ndarray) -> None:
         self.members += q.tolist()
-        width = self.cells.shape[1]
-        self.depth[:width] += (self.cells[q] != 0).sum(0)
+        first = self.left - self.pos[q] + CUT
+        last = np.maximum(first, self.left - self.pos[q] + self.size[q] - CUT)
+        n = len(self.depth) + 2 * CUT + 1
+        self.depth += np.cumsum(np.bincount(first, minlength=n) - np.bincount(last, minlength=n))[: len(self.depth)]
 
     def _agreeing(self, q: np.ndarray) -> np.ndarray:
         """Which reads of a queue are taken in turn if none may differ from what is there when it is looked at."""
@@ -167,7 +181,7 @@ class Tree:
             part = q[i : i + step]
             ok = self._cheaper(part)
             if not ok.any():
-                i, step = i + len(part), min(4 * step, TREE)
+                i, step = i + len(part), min(4 * step, ROWS)
                 continue
             j = int(ok.argmax())
             read = part[j : j + 1]
@@ -214,7 +228,7 @@ class Tree:
 
     def profile(self, members: list[int]) -> tuple[int, str, list[int]]:
         """First column, consensus and variant columns of members, by counts of the five letters in each column; 0 is the signature's first base."""
-        counts = np.stack([(self.cells[members] == ord(b)).sum(0) for b in VOTE_ORDER])
+        counts = sum(np.stack([(c == ord(b)).sum(0) for b in VOTE_ORDER]) for c in self._cells(np.array(members, np.int64)))
         covered = np.flatnonzero(counts.any(0))
         if not len(covered):
             return 0, "", []
@@ -238,8 +252,9 @@ def contigs(nodes: DataFrame, depth: DataFrame, binned: DataFrame, least: int =
     ``members`` holds the others too); children of members that are outside,
     ``rehung``, hang from it. ``start`` is the column of the consensus' first
     base, 0 that of the signature; CUT bases at the ends of reads do not count
-    for it. Reads of ``barred`` (read_id) stay outside. A tree of over TREE
-    reads is cut by rank, so that parents come first, into blocks that grow alone.
+    for it. Reads of ``barred`` (read_id) stay outside. A tree grows whole, in
+    one task, whatever its size; only if TREE is set, a larger one is cut by
+    rank, so that parents come first, into blocks that grow alone.
     """
     rows = nodes.where("node_type = 'LZ'").join(depth.select("read_id", "root_id"), "read_id").join(binned.select("read_id", "seq", "minim_pos"), "read_id")
     if barred is not None:
@@ -247,10 +262,8 @@ def contigs(nodes: DataFrame, depth: DataFrame, binned: DataFrame, least: int =
     else:
         rows = rows.withColumn("barred", F.lit(None).cast("boolean"))
     keys = ["signature", "root_id", "block"]
-    large = rows.groupBy("signature", "root_id").count().where(F.col("count") > TREE).select("signature", "root_id", F.lit(True).alias("large"))
-    rows = rows.join(large, ["signature", "root_id"], "left")
-    cut = rows.where("large").withColumn("block", F.expr(f"cast((row_number() over (partition by signature, root_id order by rank) - 1) div {TREE} as int)"))
-    rows = rows.where("large is null").withColumn("block", F.lit(0)).unionByName(cut).select(*keys, "rank", "read_id", "parent_id", "cost", "shift", "seq", "minim_pos", "barred")
+    block = F.lit(0) if TREE is None else F.expr(f"cast((row_number() over (partition by signature, root_id order by rank) - 1) div {TREE} as int)")
+    rows = rows.withColumn("block", block).select(*keys, "rank", "read_id", "parent_id", "cost", "shift", "seq", "minim_pos", "barred")
     names = ["signature", "contig_id", "root_id", "main_id", "start", "consensus", "variant_cols", "members", "rehung"]
 
     def build(f: pd.DataFrame) -> list[tuple]:

@@ -465,3 +465,14 @@ def test_allowed_targets(binned):
 def test_profile_is_kept_as_json():
     p = archive.thorough(archive.PROFILES["max"])
     assert json.loads(json.dumps(archive.asdict(p)))["rounds"] == [2, 4, 8]
+
+
+def test_contig_position_steps_of_a_tree_that_no_block_holds(spark):
+    n = 16_384 + 16
+    rows = spark.range(1, n + 1).selectExpr("7 as signature", "id as read_id", "cast(id as int) + 1 as rank", "'LZ' as node_type", "id - 1 as parent_id", "0 as shift", "0 as cost", "cast(id % 20 as int) as minim_pos")
+    rows = rows.withColumn("seq", F.substr(F.lit("CCGTTACG" * 5 + "ACGTCGTC" + "GGATCTTA" * 5), 41 - F.col("minim_pos"), F.lit(40)))
+    depth = rows.select("read_id", F.lit(0).alias("root_id"))
+    made = lineage.durable(contigs.contigs(rows.drop("seq", "minim_pos"), depth, rows))
+    assert [(r["contig_id"], r["main_id"], r["start"], len(r["consensus"]), r["variant_cols"], len(r["members"])) for r in made.collect()] == [(1, 1, -17, 55, [], n)]
+    steps = contigs.position_steps(made, rows).collect()
+    assert len(steps) == n - 1 and sum(r["step"] for r in steps) == 19
