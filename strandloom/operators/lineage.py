@@ -41,16 +41,18 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """As ``durable``, for wide rows: compressed by column, in a folder that ``remove`` can delete when nothing reads them any more.
-
-    Spark deletes the files of the shuffles before once the driver's garbage is collected, which is asked for here.
-    """
+    """As ``durable``, for wide rows: compressed by column, in a folder that ``remove`` can delete when nothing reads them any more."""
     path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession._jvm.System.gc()
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that no plan refers to any more: it does so when the driver's garbage has been collected (mostly for the second time)."""
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
