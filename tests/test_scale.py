@@ -190,3 +190,7 @@ def test_lossless_archive_of_pairs(spark, tmp_path):
 
 def test_lossy_archive_of_pairs(spark, tmp_path):
     check_pair_archive(spark, tmp_path, archive.PROFILES["lossy"])
+
+
+def test_reduced_archive_of_pairs(spark, tmp_path):
+    check_pair_archive(spark, tmp_path, archive.PROFILES["reduced"])
