@@ -194,3 +194,7 @@ def test_lossy_archive_of_pairs(spark, tmp_path):
 
 def test_reduced_archive_of_pairs(spark, tmp_path):
     check_pair_archive(spark, tmp_path, archive.PROFILES["reduced"])
+
+
+def test_thorough_archive_of_pairs(spark, tmp_path):
+    check_pair_archive(spark, tmp_path, archive.thorough(archive.PROFILES["lossless"], 64))
