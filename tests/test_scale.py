@@ -196,5 +196,9 @@ def test_reduced_archive_of_pairs(spark, tmp_path):
     check_pair_archive(spark, tmp_path, archive.PROFILES["reduced"])
 
 
+def test_max_archive_of_pairs(spark, tmp_path):
+    check_pair_archive(spark, tmp_path, archive.PROFILES["max"])
+
+
 def test_thorough_archive_of_pairs(spark, tmp_path):
     check_pair_archive(spark, tmp_path, archive.thorough(archive.PROFILES["lossless"], 64))
